@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import operator
 import re
 import struct
 import uuid
@@ -148,33 +149,45 @@ class WordTokens(dict):
         self.library.encode_special_tokens = True
         self.most, self.item = most, 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.opens = np.array([(t := self.library.id_to_token(i)) is not None and t.startswith("Ġ") for i in range(self.library.get_vocab_size())])
-        self.across = re.compile(r"\s \s|  ").search
+        spaced = re.compile(r"[^\S ] [^\S ]").search
+        self.across = lambda t: "  " in t or spaced(t)
+        self.plain = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+        self.marks = dict(zip(".,;:!?", self.packed(list(".,;:!?"))))
 
     def packed(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.item}").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, new: list[str]) -> None:
-        """Encode parts, each given without its space. Those that begin with no white space go to the library many in a text: each begins at an id that begins with a space."""
-        row = [w for w in new if w and not w[0].isspace()]
+        """Encode parts, each given without its space.
+
+        A mark after letters is a word by itself to the pre-tokenizer, so it needs no encoding again. Parts that begin with
+        no white space go to the library many in a text: each begins at an id that begins with a space. The rest go one by
+        one.
+        """
+        item, plain, marks = f"<u{self.item}", self.plain, self.marks
+        marked = [w for w in new if w[-1:] in marks and plain(w[:-1])]
+        rest = list({w[:-1] for w in marked}.difference(self).union(new).difference(marked))
+        row = [w for w in rest if w and not w[0].isspace()]
         for i in range(0, len(row), 2000):
-            ids = np.array(self.library.encode_batch_fast([" " + " ".join(row[i : i + 2000])], add_special_tokens=False)[0].ids, f"<u{self.item}")
+            ids = np.array(self.library.encode_batch_fast([" " + " ".join(row[i : i + 2000])], add_special_tokens=False)[0].ids, item)
             starts = np.flatnonzero(self.opens[ids]).tolist()
             if len(starts) != len(row[i : i + 2000]):
                 raise AssertionError("parts and ids don't agree")
             raw, size = ids.tobytes(), self.item
             self.update(zip(row[i : i + 2000], (raw[a * size : b * size] for a, b in zip(starts, [*starts[1:], len(ids)]))))
-        rest = [w for w in new if not w or w[0].isspace()]
+        rest = [w for w in rest if not w or w[0].isspace()]
         self.update(zip(rest, self.packed([" " + w for w in rest])))
+        for w in marked:
+            self[w] = self[w[:-1]] + marks[w[-1]]
 
     def of(self, texts: list[str]) -> list[bytes]:
         if len(self) > self.most:
             self.clear()
         parts = [None if self.across(t) else t.split(" ") for t in texts]
-        found = [p and list(map(self.get, p[1:])) for p in parts]
-        self.learn(list({w for p, f in zip(parts, found) if f and None in f for w, v in zip(p[1:], f) if v is None}))
-        found = [list(map(self.__getitem__, p[1:])) if f and None in f else f for p, f in zip(parts, found)]
+        found = [[] if p is None else list(map(self.get, p[1:])) for p in parts]
+        self.learn(list({w for p, f in zip(parts, found) if p for w in itertools.compress(p[1:], map(operator.not_, f))}))
         firsts = self.packed([t if p is None else p[0] for t, p in zip(texts, parts)])
-        return [a if f is None else b"".join([a, *f]) for a, f in zip(firsts, found)]
+        return [a if p is None else b"".join([a, *map(self.__getitem__, p[1:])]) if None in f else b"".join([a, *f]) for a, p, f in zip(firsts, parts, found)]
 
 
 def tokens(path: str) -> WordTokens:
