@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import _shared as S
-from . import langid, pii, sentencepiece_codec, simhash, token_store, warc
+from . import langid, line_dedup, pii, sentencepiece_codec, simhash, substring, token_store, warc
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -18,6 +18,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.coded(S.table(spark, sf_dir, "documents", "doc_id", "text"), PIECES)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(S.table(spark, sf_dir, "documents", "doc_id", "text"), most=1, least=20)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.grouped(S.table(spark, sf_dir, "documents", "doc_id", "text"), size=4, most=4)
 
@@ -34,10 +38,14 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(S.table(spark, sf_dir, "documents", "doc_id", "text"), BPE, end_id=0)
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicated(S.table(spark, sf_dir, "documents", "doc_id", "text"), length=13)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(S.table(spark, sf_dir, "pages", "page_id", "url", "html"), smallest=0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op3_simhash, op5_pii, op6_langid, op8_token_store, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_line_dedup, op3_simhash, op5_pii, op6_langid, op8_token_store, op9_substring, op10_warc)}
 
 ORACLE: dict[str, str] = {}
