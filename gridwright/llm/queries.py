@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import _shared as S
-from . import langid, line_dedup, pii, sentencepiece_codec, simhash, substring, token_store, warc
+from . import ann, decontamination, langid, line_dedup, pii, sentencepiece_codec, simhash, substring, token_store, warc
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -26,6 +26,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.grouped(S.table(spark, sf_dir, "documents", "doc_id", "text"), size=4, most=4)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(S.table(spark, sf_dir, "documents", "doc_id", "text"), S.table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detected(S.table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -34,6 +38,10 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(S.table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(S.table(spark, sf_dir, "embeddings", "vec_id", "embedding"), every=20, top=20)
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(S.table(spark, sf_dir, "documents", "doc_id", "text"), BPE, end_id=0)
 
@@ -46,6 +54,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(S.table(spark, sf_dir, "pages", "page_id", "url", "html"), smallest=0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_line_dedup, op3_simhash, op5_pii, op6_langid, op8_token_store, op9_substring, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_sentencepiece, op2_line_dedup, op3_simhash, op4_decontamination, op5_pii, op6_langid, op7_ann, op8_token_store, op9_substring, op10_warc)
+}
 
 ORACLE: dict[str, str] = {}
