@@ -179,7 +179,7 @@ def candidates(docs: DataFrame, most: int, least: int) -> DataFrame:
 
     def file(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         h = xxhash.xxh3_64_intdigest
-        for i, j in S.by_bytes(texts := b.column("text").to_pylist(), 2_000_000):
+        for i, j in S.by_bytes(texts := b.column("text").to_pylist(), 1_000_000):
             lines = list({x for t in texts[i:j] for _, x in lines_of(t, least)})
             if not lines:
                 continue
@@ -211,7 +211,7 @@ def links(docs: DataFrame, most: int, least: int) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(bits)
 
     def fetch(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for i, j in S.by_bytes(texts := b.column("text").to_pylist(), 2_000_000):
+        for i, j in S.by_bytes(texts := b.column("text").to_pylist(), 1_000_000):
             lines = list({x for t in texts[i:j] for _, x in lines_of(t, least)})
             if lines:
                 yield S.batch(TEXT, S.signed(names(lines)), lines)
@@ -235,7 +235,7 @@ def later_lines(docs: DataFrame, most: int = 1, least: int = 20) -> DataFrame:
     """doc_id, gone (places of its lines that go), near (how many of them are no exact copies of their class's first line)."""
 
     def number(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for i, j in S.by_bytes(texts := b.column("text").to_pylist(), 2_000_000):
+        for i, j in S.by_bytes(texts := b.column("text").to_pylist(), 1_000_000):
             found = [(k, at, x) for k, t in zip(b.column("doc_id")[i:j].to_pylist(), texts[i:j]) if k is not None for at, x in lines_of(t, least)]
             if found:
                 ids, at, lines = zip(*found)
@@ -246,7 +246,8 @@ def later_lines(docs: DataFrame, most: int = 1, least: int = 20) -> DataFrame:
     joined = lines.join(parts, F.col("line") == F.col("node"), "left") if parts is not None else lines.withColumn("component", F.lit(None).cast("long"))
     lines = S.stored(joined.select(F.coalesce("component", "line").alias("class"), F.when(F.col("component").isNull(), F.col("check")).otherwise(0).alias("check"), "line", "doc_id", "at"), "lines")
     first = lines.groupBy("class", "check").agg(F.min(F.struct("doc_id", "at", "line")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("class", "check", "first")
-    later = lines.join(first, ["class", "check"]).where("struct(doc_id, at) > struct(first.doc_id, first.at)")
+    # Both sides grow with the corpus: dealt at every size, never broadcast.
+    later = lines.join(first.hint("merge"), ["class", "check"]).where("struct(doc_id, at) > struct(first.doc_id, first.at)")
     return later.groupBy("doc_id").agg(F.collect_list("at").alias("gone"), F.count_if(F.col("line") != F.col("first.line")).alias("near")).withColumnRenamed("doc_id", "line_doc_id")
 
 
@@ -304,6 +305,6 @@ def digest(docs: DataFrame, most: int = 1, least: int = 20) -> DataFrame:
 
     spots = [F.pmod(F.xxhash64(F.col("doc_id"), F.lit(i)), F.lit(FILTER_BITS)).alias(n) for i, n in ((1, "p"), (2, "q"))]
     some = S.map_arrow(docs.where("doc_id is not null").select("doc_id", "text", *spots), changing, "doc_id long, text string")
-    changed = S.map_arrow(some.join(gone, F.col("doc_id") == F.col("line_doc_id")).select("line_doc_id", "text", "gone", "near"), cut, "changed_id long, less long, near long, new_sha256 string")
+    changed = S.map_arrow(some.join(gone.hint("merge"), F.col("doc_id") == F.col("line_doc_id")).select("line_doc_id", "text", "gone", "near"), cut, "changed_id long, less long, near long, new_sha256 string")
     out = every.join(changed, F.col("doc_id") == F.col("changed_id"), "left")
     return out.select("doc_id", "n_lines", F.coalesce("less", F.lit(0)).alias("n_removed"), F.coalesce("near", F.lit(0)).alias("n_near"), F.coalesce("new_sha256", "kept_sha256").alias("kept_sha256"))
