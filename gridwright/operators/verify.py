@@ -30,7 +30,7 @@ def verified(pages: DataFrame, text: str = "raw_text") -> DataFrame:
     codes = F.when(F.size(grids) == 0, F.array(F.lit(html.NO_TABLE_FOUND))).otherwise(F.array_distinct(F.flatten(F.transform(F.col("tables"), lambda t: t["failure_codes"]))))
     out = out.withColumn("tables", tables).withColumn("verifier_failure_codes", codes).withColumn("predicted_table_count", F.size(grids))
     out = out.withColumn("verifier_decision", F.when(F.size("verifier_failure_codes") == 0, F.lit(html.PASS)).otherwise(F.lit(html.REPARSE)))
-    return out.withColumn("html_parse_ok", ~F.array_contains("verifier_failure_codes", html.HTML_PARSE_ERROR)).withColumn("span_normalization_ok", ~F.array_contains("verifier_failure_codes", html.SPAN_EXPANSION_FAILED))
+    return out.withColumn("html_parse_ok", ~F.array_contains("verifier_failure_codes", html.HTML_PARSE_ERROR)).withColumn("span_normalization_ok", ~F.arrays_overlap("verifier_failure_codes", F.array(F.lit(html.SPAN_EXPANSION_FAILED), F.lit(html.RECTANGULAR_INCONSISTENCY))))
 
 
 def should_reparse() -> Column:
