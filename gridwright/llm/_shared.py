@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -79,32 +78,6 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
-class WordHash(dict):
-    """64-bit hashes of words, kept for later batches up to a bound."""
-
-    def __init__(self, seed: int = 0, most: int = 1_000_000):
-        self.seed, self.most = seed, most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
-        return h
-
-    def of(self, ws: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, ws), np.uint64, len(ws))
-
-
-_HASHES: dict[int, WordHash] = {}
-
-
-def word_hashes(ws: list[bytes], seed: int = 0) -> np.ndarray:
-    """Hashes of words, by a table that the Python worker keeps."""
-    if seed not in _HASHES:
-        _HASHES[seed] = WordHash(seed)
-    return _HASHES[seed].of(ws)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads each bit over all."""
     x = x ^ (x >> np.uint64(32))
@@ -124,7 +97,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         size = max(1 << 14, 1 << (n - 1).bit_length())
         inverse = pow(base, -1, 1 << 64)
         up, down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)]), dtype=np.uint64) for b in (base, inverse))
-        if size <= 1 << 22:
+        if size <= 1 << 21:
             _POWERS[base] = up, down
     return up[:n], down[:n]
 
@@ -139,6 +112,57 @@ def windows(h: np.ndarray, length: int, base: int = 0x9E3779B97F4A7C15) -> np.nd
     return mix((sums[length:] - sums[:n]) * down[:n])
 
 
+GAP = np.zeros(256, bool)
+GAP[[9, 10, 11, 12, 13, 32]] = True
+BYTES = 0xA0761D6478BD642F  # base of the polynomial over a word's bytes
+
+
+def spans_hash(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of bytes: a polynomial of them modulo 2**64 and their number, mixed."""
+    up, down = _powers(BYTES, len(b) + 1)
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b + np.uint64(1)) * up[:-1], dtype=np.uint64, out=sums[1:])
+    return mix(mix((sums[ends] - sums[starts]) * down[starts]) + (ends - starts).astype(np.uint64))
+
+
+def hashed_words(text: str | None, lower: bool = False, piece: int = 1 << 19) -> np.ndarray:
+    """The hashes of a text's words, from its bytes at once; lower: of a text with A-Z in lower case."""
+    raw = text.encode() if text else b""
+    raw = raw.lower() if lower else raw
+    out, begin = [], 0
+    while begin < len(raw):
+        end = len(raw)
+        if end - begin > piece:  # cut between words
+            cut = next((k for k in range(begin + piece, min(end, begin + 2 * piece)) if GAP[raw[k]]), None)
+            end = cut if cut is not None else end
+        b = np.frombuffer(raw, np.uint8, end - begin, begin)
+        edge = np.flatnonzero(np.diff(GAP[b], prepend=True, append=True))
+        out.append(spans_hash(b, edge[::2], edge[1::2]))
+        begin = end
+    return np.concatenate(out) if len(out) > 1 else out[0] if out else np.empty(0, np.uint64)
+
+
+def hashed_texts(texts: list, lower: bool = False, group: int = 1 << 17) -> Iterator[np.ndarray]:
+    """hashed_words of each text; short ones are hashed many at once."""
+    i = 0
+    while i < len(texts):
+        raws: list[bytes] = []
+        size = 0
+        while i < len(texts) and size < group:
+            raws.append((texts[i] or "").encode())
+            size += len(raws[-1]) + 1
+            i += 1
+        if len(raws) == 1:
+            yield hashed_words(texts[i - 1], lower)
+            continue
+        raw = b"\n".join(raws)
+        b = np.frombuffer(raw.lower() if lower else raw, np.uint8)
+        edge = np.flatnonzero(np.diff(GAP[b], prepend=True, append=True))
+        h = spans_hash(b, edge[::2], edge[1::2])
+        ends = np.searchsorted(edge[::2], np.cumsum([len(r) + 1 for r in raws])).tolist()
+        yield from (h[a:e] for a, e in zip([0, *ends], ends))
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

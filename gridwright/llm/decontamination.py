@@ -30,8 +30,9 @@ BLOCKS = 4
 HIT = pa.schema([("doc_id", pa.int64()), ("item_ids", pa.list_(pa.int64())), ("similarity", pa.float64()), ("n_words", pa.int64())])
 
 
-def lowered(text: str | None) -> list[bytes]:
-    return text.encode().lower().split() if text else []
+def lowered(text: str | None) -> np.ndarray:
+    """Hashes of a text's words in lower case (A-Z)."""
+    return S.hashed_words(text, lower=True)
 
 
 def signs(h: np.ndarray) -> np.ndarray:
@@ -62,10 +63,10 @@ def weighted(a: np.ndarray, b: np.ndarray) -> float:
 class Items:
     """Items of one shingle size: their shingles, lengths, fingerprints and the blocks these are filed under."""
 
-    def __init__(self, ids: list[int], words: list[list[bytes]], size: int, radius: int):
+    def __init__(self, ids: list[int], words: list[np.ndarray], size: int, radius: int):
         self.ids, self.size, self.radius = ids, size, radius
         self.length = np.array([len(w) for w in words])
-        self.shingles = [S.windows(S.word_hashes(w, 1), size) for w in words]
+        self.shingles = [S.windows(w, size) for w in words]
         every = np.concatenate(self.shingles)
         order = np.argsort(every, kind="stable")
         self.known, first = np.unique(every[order], return_index=True)
@@ -73,25 +74,34 @@ class Items:
         # The lengths of the items that have a shingle.
         self.lengths_of = [np.unique(self.length[o]) for o in np.split(owner, first[1:])]
         self.prints = np.array([packed(signs(s).sum(0)[None])[0] for s in self.shingles])
-        self.near = masks(16, radius // BLOCKS)
+        self.near = masks(16, radius // BLOCKS).astype(np.int64)
         self.filed = []
         for k in range(BLOCKS):
             value = (self.prints >> np.uint64(16 * k) & np.uint64(0xFFFF)).astype(np.int64)
             order = np.argsort(value, kind="stable")
-            self.filed.append((order, np.searchsorted(value[order], np.arange((1 << 16) + 1))))
+            known, first = np.unique(value[order], return_index=True)
+            self.filed.append((order, known, np.append(first, len(order))))
 
     def lookup(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) of all pairs whose fingerprints are within the radius."""
+        """(window, item) of all pairs whose fingerprints are within the radius.
+
+        In each block the filed values close to the window's are found by trying all close values, or by going through the
+        filed ones where those are fewer.
+        """
         pairs = []
-        for k, (order, start) in enumerate(self.filed):
-            block = (prints >> np.uint64(16 * k) & np.uint64(0xFFFF)).astype(np.uint32)
+        for k, (order, known, start) in enumerate(self.filed):
+            block = (prints >> np.uint64(16 * k) & np.uint64(0xFFFF)).astype(np.int64)
             for i in range(0, len(prints), 64):
-                value = block[i : i + 64, None] ^ self.near[None]
-                n = start[value + 1] - start[value]
-                w, at = np.nonzero(n)
-                counts = n[w, at]
-                slot = np.repeat(start[value[w, at]], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                pairs.append(np.stack([np.repeat(w, counts) + i, order[slot]]))
+                if len(known) <= len(self.near):
+                    w, slot = np.nonzero(np.bitwise_count(block[i : i + 64, None] ^ known[None]) <= self.radius // BLOCKS)
+                else:
+                    value = block[i : i + 64, None] ^ self.near[None]
+                    at = np.minimum(np.searchsorted(known, value), len(known) - 1)
+                    w, hit = np.nonzero(known[at] == value)
+                    slot = at[w, hit]
+                counts = start[slot + 1] - start[slot]
+                item = order[np.repeat(start[slot], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
+                pairs.append(np.stack([np.repeat(w, counts) + i, item]))
         found = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((2, 0), int)
         ok = np.bitwise_count(prints[found[0]] ^ self.prints[found[1]]) <= self.radius
         return found[0][ok], found[1][ok]
@@ -136,7 +146,7 @@ def prepared(benchmark: DataFrame, size: int, radius: int) -> Iterator[list[Item
         part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect() if blocks > 1 else rows.collect()
         by: dict[int, tuple[list, list]] = {}
         for r in sorted(part, key=lambda r: (r.item_id, r.text)):
-            if w := lowered(r.text):
+            if len(w := lowered(r.text)):
                 ids, words = by.setdefault(min(size, len(w)), ([], []))
                 ids.append(r.item_id)
                 words.append(w)
@@ -153,11 +163,9 @@ def searched(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: float
 
         def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             rows = []
-            for k, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                ws = lowered(t.as_py())
-                h = S.word_hashes(ws, 1)
+            for k, h in zip(b.column("doc_id").to_pylist(), S.hashed_texts(b.column("text").to_pylist(), lower=True)):
                 found = {items.ids[i]: s for items in held.value for i, (s, _) in items.matches(h, least).items()}
-                rows.append((k, sorted(found), max(found.values(), default=None), len(ws)))
+                rows.append((k, sorted(found), max(found.values(), default=None), len(h)))
             if rows:
                 yield S.batch(HIT, *zip(*rows))
 
@@ -180,7 +188,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, least:
         held = docs.sparkSession.sparkContext.broadcast(blocks)
 
         def run(b: pa.RecordBatch, held=held) -> Iterator[pa.RecordBatch]:
-            clean = [not any(items.matches(S.word_hashes(lowered(t.as_py()), 1), least) for items in held.value) for t in b.column("text")]
+            clean = [not any(items.matches(h, least) for items in held.value) for h in S.hashed_texts(b.column("text").to_pylist(), lower=True)]
             yield b.filter(pa.array(clean, pa.bool_()))
 
         docs = S.map_arrow(docs, run, T.StructType(schema.fields))

@@ -111,9 +111,9 @@ def deduplicated(docs: DataFrame, length: int = 13, short: int | None = None, te
     def file(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i, j in S.by_bytes(texts := b.column("text").to_pylist()):
             hs, ids = [], []
-            for k, t in zip(b.column("doc_id")[i:j].to_pylist(), texts[i:j]):
-                if k is not None and len(ws := S.words(t)) >= length:
-                    hs.append(filed(S.word_hashes(ws), short, length)[1])
+            for k, h in zip(b.column("doc_id")[i:j].to_pylist(), S.hashed_texts(texts[i:j])):
+                if k is not None and len(h) >= length:
+                    hs.append(filed(h, short, length)[1])
                     ids.append(np.full(len(hs[-1]), k, np.int64))
             if hs:
                 yield S.batch(FILED, S.signed(np.concatenate(hs)), np.concatenate(ids))
@@ -125,8 +125,7 @@ def deduplicated(docs: DataFrame, length: int = 13, short: int | None = None, te
     def extend(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i, j in S.by_bytes(texts := b.column("text").to_pylist(), 1_000_000):
             parts = []
-            for k, t, m in zip(b.column("doc_id")[i:j].to_pylist(), texts[i:j], b.column("marks")[i:j]):
-                h = S.word_hashes(S.words(t))
+            for k, h, m in zip(b.column("doc_id")[i:j].to_pylist(), S.hashed_texts(texts[i:j]), b.column("marks")[i:j]):
                 at = np.flatnonzero(np.isin(filed(h, short, length)[0], m.values.to_numpy().view(np.uint64)))
                 parts.append((S.windows(h, length)[at], S.windows(S.mix(h), length, OTHER)[at], np.full(len(at), k, np.int64), at.astype(np.int32)))
             h, g, ids, at = (np.concatenate(x) for x in zip(*parts))

@@ -16,6 +16,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -142,7 +143,7 @@ class WordTokens(dict):
     library whole.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -152,6 +153,8 @@ class WordTokens(dict):
         spaced = re.compile(r"[^\S ] [^\S ]").search
         self.across = lambda t: "  " in t or spaced(t)
         self.plain = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+        # How the vocabulary spells the bytes of letters: printable Latin-1 characters stand for themselves, the others follow from U+0100 on.
+        self.letters = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
         self.marks = dict(zip(".,;:!?", self.packed(list(".,;:!?"))))
 
     def packed(self, texts: list[str]) -> list[bytes]:
@@ -160,25 +163,34 @@ class WordTokens(dict):
     def learn(self, new: list[str]) -> None:
         """Encode parts, each given without its space.
 
-        A mark after letters is a word by itself to the pre-tokenizer, so it needs no encoding again. Parts that begin with
-        no white space go to the library many in a text: each begins at an id that begins with a space. The rest go one by
-        one.
+        Letters alone are one word to the pre-tokenizer, so the library's model takes them without it; a mark after letters
+        is a word by itself and needs no encoding again. Other parts that begin with no white space go to the library many
+        in a text: each begins at an id that begins with a space. The rest go one by one.
         """
-        item, plain, marks = f"<u{self.item}", self.plain, self.marks
-        marked = [w for w in new if w[-1:] in marks and plain(w[:-1])]
-        rest = list({w[:-1] for w in marked}.difference(self).union(new).difference(marked))
+        code, plain, marks, merge = "H" if self.item == 2 else "I", self.plain, self.marks, self.library.model.tokenize
+        rest = []
+        for w in new:
+            mark = marks.get(w[-1:])
+            word = w[:-1] if mark else w
+            if not plain(word):
+                rest.append(w)
+                continue
+            ids = self.get(word) if mark else None
+            if ids is None:
+                spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                ids = self[word] = array(code, [t.id for t in merge("Ġ" + spelled)]).tobytes()
+            if mark:
+                self[w] = ids + mark
         row = [w for w in rest if w and not w[0].isspace()]
-        for i in range(0, len(row), 2000):
-            ids = np.array(self.library.encode_batch_fast([" " + " ".join(row[i : i + 2000])], add_special_tokens=False)[0].ids, item)
+        for i in range(0, len(row), 1000):
+            ids = np.array(self.library.encode_batch_fast([" " + " ".join(row[i : i + 1000])], add_special_tokens=False)[0].ids, f"<u{self.item}")
             starts = np.flatnonzero(self.opens[ids]).tolist()
-            if len(starts) != len(row[i : i + 2000]):
+            if len(starts) != len(row[i : i + 1000]):
                 raise AssertionError("parts and ids don't agree")
             raw, size = ids.tobytes(), self.item
-            self.update(zip(row[i : i + 2000], (raw[a * size : b * size] for a, b in zip(starts, [*starts[1:], len(ids)]))))
+            self.update(zip(row[i : i + 1000], (raw[a * size : b * size] for a, b in zip(starts, [*starts[1:], len(ids)]))))
         rest = [w for w in rest if not w or w[0].isspace()]
         self.update(zip(rest, self.packed([" " + w for w in rest])))
-        for w in marked:
-            self[w] = self[w[:-1]] + marks[w[-1]]
 
     def of(self, texts: list[str]) -> list[bytes]:
         if len(self) > self.most:
@@ -187,7 +199,7 @@ class WordTokens(dict):
         found = [[] if p is None else list(map(self.get, p[1:])) for p in parts]
         self.learn(list({w for p, f in zip(parts, found) if p for w in itertools.compress(p[1:], map(operator.not_, f))}))
         firsts = self.packed([t if p is None else p[0] for t, p in zip(texts, parts)])
-        return [a if p is None else b"".join([a, *map(self.__getitem__, p[1:])]) if None in f else b"".join([a, *f]) for a, p, f in zip(firsts, parts, found)]
+        return [a if p is None else b"".join([a, *(v or self[w] for v, w in zip(f, p[1:]))]) if None in f else b"".join([a, *f]) for a, p, f in zip(firsts, parts, found)]
 
 
 def tokens(path: str) -> WordTokens:
