@@ -11,12 +11,10 @@ from __future__ import annotations
 
 import itertools
 import json
-import operator
 import re
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,75 +129,128 @@ class Shard:
             i, begin = i + k, at
 
 
-_TOKENIZERS: dict[str, WordTokens] = {}
-
-
-class WordTokens(dict):
+class WordTokens:
     """Ids of a byte-level BPE file of the tokenizers library.
 
     Its pre-tokenizer never joins what stands before a single space with what follows: a text is its first part and then
     parts that begin with a space, each encoded by itself, and the library need encode each different part only once. Where
     white space stands on both sides of a space, or two spaces together, its rule looks across them; such texts go to the
     library whole.
+
+    Parts are found by 64-bit hashes of their bytes in an open table of arrays: their ids stand in one pool, and a batch's
+    ids are gathered from it at once.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.most, self.item = most, 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+        self.kind = np.dtype(f"<u{self.item}")
         self.opens = np.array([(t := self.library.id_to_token(i)) is not None and t.startswith("Ġ") for i in range(self.library.get_vocab_size())])
-        spaced = re.compile(r"[^\S ] [^\S ]").search
-        self.across = lambda t: "  " in t or spaced(t)
-        self.plain = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
-        # How the vocabulary spells the bytes of letters: printable Latin-1 characters stand for themselves, the others follow from U+0100 on.
-        self.letters = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
-        self.marks = dict(zip(".,;:!?", self.packed(list(".,;:!?"))))
-
-    def packed(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, f"<u{self.item}").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, new: list[str]) -> None:
-        """Encode parts, each given without its space.
-
-        Letters alone are one word to the pre-tokenizer, so the library's model takes them without it; a mark after letters
-        is a word by itself and needs no encoding again. Other parts that begin with no white space go to the library many
-        in a text: each begins at an id that begins with a space. The rest go one by one.
-        """
-        code, plain, marks, merge = "H" if self.item == 2 else "I", self.plain, self.marks, self.library.model.tokenize
-        rest = []
-        for w in new:
-            mark = marks.get(w[-1:])
-            word = w[:-1] if mark else w
-            if not plain(word):
-                rest.append(w)
-                continue
-            ids = self.get(word) if mark else None
-            if ids is None:
-                spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-                ids = self[word] = array(code, [t.id for t in merge("Ġ" + spelled)]).tobytes()
-            if mark:
-                self[w] = ids + mark
-        row = [w for w in rest if w and not w[0].isspace()]
+        self.spaced = re.compile(r"[^\S ] [^\S ]").search
+        self.mask = (1 << (2 * most - 1).bit_length()) - 1
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(self.mask + 1, np.uint64)  # 0: free
+        self.entry = np.zeros(self.mask + 1, np.int32)
+        self.offset, self.length, self.entries = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
+        self.pool, self.used = np.zeros(1 << 18, self.kind), 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The entries of hashes, -1 where there is none."""
+        slot = (h & np.uint64(self.mask)).astype(np.int64)
+        held = self.keys[slot]
+        out = np.where(held == h, self.entry[slot], -1)
+        go = np.flatnonzero((held != h) & (held != 0))
+        while len(go):
+            slot[go] = (slot[go] + 1) & self.mask
+            held = self.keys[slot[go]]
+            same = held == h[go]
+            out[go[same]] = self.entry[slot[go[same]]]
+            go = go[~same & (held != 0)]
+        return out
+
+    def insert(self, h: np.ndarray, entry: np.ndarray) -> None:
+        """File different hashes that aren't in the table."""
+        slot = (h & np.uint64(self.mask)).astype(np.int64)
+        while len(h):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[free]  # of several for one slot the last stays
+            mine = free & (self.keys[slot] == h)
+            self.entry[slot[mine]] = entry[mine]
+            h, slot, entry = h[~mine], (slot[~mine] + 1) & self.mask, entry[~mine]
+
+    def add(self, lists: list[np.ndarray] | np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Append ids to the pool, as so many entries; returns their numbers."""
+        ids = np.concatenate(lists) if isinstance(lists, list) else lists
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.entries + len(lengths) > len(self.offset):
+            self.offset, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.offset, self.length))
+        self.pool[self.used : self.used + len(ids)] = ids
+        at = np.arange(self.entries, self.entries + len(lengths))
+        self.offset[at], self.length[at] = self.used + np.cumsum(lengths) - lengths, lengths
+        self.used += len(ids)
+        self.entries += len(lengths)
+        return at
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, h: np.ndarray, parts: list[str]) -> None:
+        """Encode new parts, each given without its space. Those that begin with no white space go to the library many in a text: each begins at an id that begins with a space. The rest go one by one."""
+        plain = np.array([bool(p) and not p[0].isspace() for p in parts], bool)
+        row = [p for p, ok in zip(parts, plain) if ok]
+        hs = h[plain]
         for i in range(0, len(row), 1000):
-            ids = np.array(self.library.encode_batch_fast([" " + " ".join(row[i : i + 1000])], add_special_tokens=False)[0].ids, f"<u{self.item}")
-            starts = np.flatnonzero(self.opens[ids]).tolist()
+            ids = self.whole([" " + " ".join(row[i : i + 1000])])[0]
+            starts = np.flatnonzero(self.opens[ids])
             if len(starts) != len(row[i : i + 1000]):
                 raise AssertionError("parts and ids don't agree")
-            raw, size = ids.tobytes(), self.item
-            self.update(zip(row[i : i + 1000], (raw[a * size : b * size] for a, b in zip(starts, [*starts[1:], len(ids)]))))
-        rest = [w for w in rest if not w or w[0].isspace()]
-        self.update(zip(rest, self.packed([" " + w for w in rest])))
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        if len(self) > self.most:
+            self.insert(hs[i : i + 1000], self.add(ids, np.diff(np.append(starts, len(ids)))))
+        rest = [p for p, ok in zip(parts, plain) if not ok]
+        if rest:
+            lists = self.whole([" " + p for p in rest])
+            self.insert(h[~plain], self.add(lists, np.array([len(x) for x in lists])))
+
+    def of(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if self.entries > self.most:
             self.clear()
-        parts = [None if self.across(t) else t.split(" ") for t in texts]
-        found = [[] if p is None else list(map(self.get, p[1:])) for p in parts]
-        self.learn(list({w for p, f in zip(parts, found) if p for w in itertools.compress(p[1:], map(operator.not_, f))}))
-        firsts = self.packed([t if p is None else p[0] for t, p in zip(texts, parts)])
-        return [a if p is None else b"".join([a, *(v or self[w] for v, w in zip(f, p[1:]))]) if None in f else b"".join([a, *f]) for a, p, f in zip(firsts, parts, found)]
+        kept = self.entries, self.used
+        alone = ["  " in t or self.spaced(t) is not None for t in texts]
+        raw = b" ".join(b"" if x else t.encode() for t, x in zip(texts, alone))
+        b = np.frombuffer(raw, np.uint8)
+        gaps = np.flatnonzero(b == 32)
+        starts, ends = np.concatenate([[0], gaps + 1]), np.append(gaps, len(b))
+        counts = np.array([1 if x else t.count(" ") + 1 for t, x in zip(texts, alone)])
+        firsts = np.cumsum(counts) - counts
+        h = S.spans_hash(b, starts, ends)
+        h[h == 0] = 1
+        entry = self.find(h)
+        lost = entry < 0
+        lost[firsts] = False
+        if lost.any():
+            new, where = np.unique(h[lost], return_index=True)
+            at = np.flatnonzero(lost)[where]
+            self.learn(new, [raw[i:j].decode() for i, j in zip(starts[at].tolist(), ends[at].tolist())])
+            entry[lost] = self.find(h[lost])
+            kept = self.entries, self.used
+        # First parts have no space before them, and texts that stand alone are all first part: entries for this batch only.
+        lists = self.whole([t if x else t.partition(" ")[0] for t, x in zip(texts, alone)])
+        entry[firsts] = self.add(lists, np.array([len(x) for x in lists], np.int32))
+        sizes = self.length[entry].astype(np.int64)
+        ends = np.cumsum(sizes)
+        ids = self.pool[np.repeat(self.offset[entry] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        self.entries, self.used = kept
+        stops = ends[firsts + counts - 1].tolist()
+        return [ids[i:j] for i, j in zip([0, *stops], stops)]
+
+
+_TOKENIZERS: dict[str, WordTokens] = {}
 
 
 def tokens(path: str) -> WordTokens:
@@ -234,9 +285,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
         def documents() -> Iterator[tuple[int | None, bytes]]:
             for b in batches:
                 texts, keys = b.column("text").to_pylist(), b.column("key").to_pylist()
-                for i, j in S.by_bytes(texts, 1_000_000):
+                for i, j in S.by_bytes(texts, 500_000):
                     for k, ids in zip(keys[i:j], encoder.of([t or "" for t in texts[i:j]])):
-                        yield k, ids + end
+                        yield k, ids.tobytes() + end
 
         stream = documents()
         if (first := next(stream, None)) is None:
