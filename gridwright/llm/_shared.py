@@ -20,6 +20,9 @@ def ship(spark: SparkSession) -> None:
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH")) if x)
         env.setdefault("TOKENIZERS_PARALLELISM", "false")
+    # Texts vary in length: batches for Python are bounded by bytes, not only by rows.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

@@ -150,9 +150,9 @@ def met(t: pa.Table, most: int, block: int = 2048) -> tuple[np.ndarray, np.ndarr
     return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
 
 
-def fixed_filter(df: DataFrame, column: str) -> bytes | None:
-    """A filter of FILTER_BITS bits (4 MB) over a column of longs: two bits for each. It never misses a value; with very many values it lets more of the others through. None if there are no values."""
-    bits = df.select(F.explode(F.array(*(F.pmod(F.xxhash64(F.col(column), F.lit(i)), F.lit(FILTER_BITS)) for i in (1, 2)))).alias("bit")).distinct()
+def fixed_filter(df: DataFrame, *spots: Column) -> bytes | None:
+    """A filter of FILTER_BITS bits (4 MB) over rows whose bits stand at the given spots. It never misses a row's; with very many rows it lets more others through. None if there are no rows."""
+    bits = df.select(F.explode(F.array(*spots)).alias("bit")).distinct()
 
     def pack(t):
         bit = t.column("bit").to_numpy()
@@ -169,6 +169,15 @@ def fixed_filter(df: DataFrame, column: str) -> bytes | None:
     return bytes(out)
 
 
+def line_spots(line: Column) -> list[Column]:
+    """A line's hash is even already: two parts of it are its spots."""
+    return [line.bitwiseAND(F.lit(FILTER_BITS - 1)), F.shiftright(line, 25).bitwiseAND(F.lit(FILTER_BITS - 1))]
+
+
+def id_spots(key: Column) -> list[Column]:
+    return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(FILTER_BITS)) for i in (1, 2)]
+
+
 def passes(bits: bytes, *positions: np.ndarray) -> np.ndarray:
     held = np.frombuffer(bits, np.uint8)
     return np.logical_and.reduce([held[p >> 3] >> (p & 7).astype(np.uint8) & 1 for p in positions]).astype(bool)
@@ -204,23 +213,20 @@ def candidates(docs: DataFrame, most: int, least: int) -> DataFrame:
 def links(docs: DataFrame, most: int, least: int) -> DataFrame:
     """Pairs (a, b) of hashes of different lines within the distance."""
     pairs = S.stored(candidates(docs, most, least), "met")
-    bits = fixed_filter(pairs.select(F.explode(F.array("a", "b")).alias("line")), "line")
+    bits = fixed_filter(pairs.select(F.explode(F.array("a", "b")).alias("line")), *line_spots(F.col("line")))
     if bits is None:
         return pairs
-    # The filter's positions are Spark's hashes; the lines' own hashes come from Python, so the test stands in Spark's terms too.
     held = docs.sparkSession.sparkContext.broadcast(bits)
 
     def fetch(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i, j in S.by_bytes(texts := b.column("text").to_pylist(), 1_000_000):
             lines = list({x for t in texts[i:j] for _, x in lines_of(t, least)})
             if lines:
-                yield S.batch(TEXT, S.signed(names(lines)), lines)
-
-    def wanted(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        yield b.filter(pa.array(passes(held.value, b.column("p").to_numpy(), b.column("q").to_numpy()))).select(["line", "text"])
+                h = S.signed(names(lines))
+                ok = passes(held.value, h & (FILTER_BITS - 1), h >> 25 & (FILTER_BITS - 1))
+                yield S.batch(TEXT, h[ok], [x for x, o in zip(lines, ok.tolist()) if o])
 
-    spots = [F.pmod(F.xxhash64(F.col("line"), F.lit(i)), F.lit(FILTER_BITS)).alias(n) for i, n in ((1, "p"), (2, "q"))]
-    texts = S.map_arrow(S.map_arrow(docs, fetch, "line long, text string").select("line", "text", *spots), wanted, "line long, text string")
+    texts = S.map_arrow(docs, fetch, "line long, text string")
     texts = S.stored(texts.groupBy("line").agg(F.min("text").alias("text")), "texts")
     both = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b").select("a", "b", "left", "right")
 
@@ -291,7 +297,7 @@ def digest(docs: DataFrame, most: int = 1, least: int = 20) -> DataFrame:
         yield S.batch(DIGEST, b.column("doc_id"), [0 if t is None else t.count("\n") + 1 for t in texts], [sha256((t or "").encode()).hexdigest() for t in texts])
 
     every = S.map_arrow(docs, count, "doc_id long, n_lines long, kept_sha256 string")
-    bits = fixed_filter(gone, "line_doc_id")
+    bits = fixed_filter(gone, *id_spots(F.col("line_doc_id")))
     if bits is None:
         return every.select("doc_id", "n_lines", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_near"), "kept_sha256")
     held = docs.sparkSession.sparkContext.broadcast(bits)
@@ -303,7 +309,7 @@ def digest(docs: DataFrame, most: int = 1, least: int = 20) -> DataFrame:
         out = [sha256(without(t or "", set(g)).encode()).hexdigest() for t, g in zip(b.column("text").to_pylist(), b.column("gone").to_pylist())]
         yield pa.RecordBatch.from_arrays([b.column("line_doc_id"), pa.array([len(g) for g in b.column("gone").to_pylist()], pa.int64()), b.column("near"), pa.array(out, pa.string())], names=["changed_id", "less", "near", "new_sha256"])
 
-    spots = [F.pmod(F.xxhash64(F.col("doc_id"), F.lit(i)), F.lit(FILTER_BITS)).alias(n) for i, n in ((1, "p"), (2, "q"))]
+    spots = [c.alias(n) for c, n in zip(id_spots(F.col("doc_id")), "pq")]
     some = S.map_arrow(docs.where("doc_id is not null").select("doc_id", "text", *spots), changing, "doc_id long, text string")
     changed = S.map_arrow(some.join(gone.hint("merge"), F.col("doc_id") == F.col("line_doc_id")).select("line_doc_id", "text", "gone", "near"), cut, "changed_id long, less long, near long, new_sha256 string")
     out = every.join(changed, F.col("doc_id") == F.col("changed_id"), "left")

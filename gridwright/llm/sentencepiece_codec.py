@@ -42,7 +42,7 @@ def codec(path: str) -> Codec:
 class Codec(dict):
     """Keeps, for each segment seen, its ids as little-endian 32-bit integers; at most `most` of them."""
 
-    def __init__(self, path: str, most: int = 1_000_000, check: str = "segments"):
+    def __init__(self, path: str, most: int = 500_000, check: str = "segments"):
         from sentencepiece import SentencePieceProcessor
 
         sp = self.library = SentencePieceProcessor(model_file=path)
