@@ -251,7 +251,7 @@ class WarcReader(DataSourceReader):
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist([{c: r.get(c) for c in self.columns} for r in rows], schema=schema)
 
-        for path in partition.paths:
+        for path in partition.paths if partition else ():  # Spark reads once without a partition if there are none
             with where.open_input_file(path) as file:
                 for h, http, payload, block in records(file, file.size(), self.wanted, payloads):
                     said = h.get("warc-payload-digest", "").removeprefix("sha1:") or None
