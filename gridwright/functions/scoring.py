@@ -34,14 +34,16 @@ def flat_text(grids: Column) -> Column:
     return stripped(F.array_join(F.transform(grids, table), "\n\n"))
 
 
-def prf(pred: Column, gold: Column) -> Column:
-    """precision, recall, f1 of two cell sets: all 1 if both are empty, all 0 if one is."""
-    hits = F.size(F.array_intersect(pred, gold)).cast("double")
-    n, m = F.size(pred), F.size(gold)
-    zero = F.lit(0.0)
+def hits(pred: Column, gold: Column) -> Column:
+    """How many cells two sets share: a column of its own, as three figures use it."""
+    return F.size(F.array_intersect(pred, gold))
+
+
+def prf(hits: Column, n: Column, m: Column) -> Column:
+    """precision, recall, f1 of n predicted and m gold cells that share `hits`: all 1 if both are none, all 0 if one is."""
 
     def ladder(x: Column) -> Column:
-        return F.when((n == 0) & (m == 0), F.lit(1.0)).when((n == 0) | (m == 0) | (hits == 0), zero).otherwise(x)
+        return F.when((n == 0) & (m == 0), F.lit(1.0)).when((n == 0) | (m == 0) | (hits == 0), F.lit(0.0)).otherwise(x)
 
     return F.struct(ladder(F.try_divide(hits, n)).alias("precision"), ladder(F.try_divide(hits, m)).alias("recall"), ladder(F.try_divide(2 * hits, n + m)).alias("f1"))
 

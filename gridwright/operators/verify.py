@@ -65,12 +65,13 @@ def scored(outputs: DataFrame, gold: DataFrame) -> DataFrame:
     out = out.withColumn("grids", F.when(F.col("pred_parse_error").isNull(), F.col("grids")).otherwise(none))
     out = out.withColumn("pred_set", scoring.cell_set(F.col("grids"))).withColumn("pred_text", scoring.flat_text(F.col("grids"))).drop("grids")
     out = out.join(g, out["page_id"] == g["gold_id"], "left").withColumn("gold_missing", F.col("gold_id").isNull())
-    score = scoring.prf(F.col("pred_set"), F.col("gold_set"))
+    out = out.withColumn("hits", scoring.hits(F.col("pred_set"), F.col("gold_set")))
+    score = scoring.prf(F.col("hits"), F.size("pred_set"), F.size("gold_set"))
     zero = lambda c: F.when(F.col("gold_missing"), F.lit(0.0)).otherwise(c)
     out = out.withColumn("s", score).withColumn("precision", zero(F.col("s.precision"))).withColumn("recall", zero(F.col("s.recall"))).withColumn("cell_f1", zero(F.col("s.f1")))
     out = out.withColumn("text_similarity", zero(scoring.similarity(F.col("pred_text"), F.col("gold_text")))).withColumn("gold_cells", F.coalesce(F.size("gold_set"), F.lit(0)).cast("long")).withColumn("pred_cells", F.size("pred_set").cast("long"))
     out = out.withColumn("gold_cells", F.when(F.col("gold_missing"), 0).otherwise(F.col("gold_cells"))).withColumn("pred_parse_error", F.when(~F.col("gold_missing"), F.col("pred_parse_error")))
-    return out.drop("s", "gold_set", "pred_set", "gold_text", "pred_text", "gold_id")
+    return out.drop("s", "hits", "gold_set", "pred_set", "gold_text", "pred_text", "gold_id")
 
 
 def macros(scores: DataFrame, *by: str) -> DataFrame:

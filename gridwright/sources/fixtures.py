@@ -83,6 +83,8 @@ run_log as (select s.system_id, s.ord, s.adaptive, s.low, s.high, s.tiles, event
 def order_html(spark: SparkSession, sf_dir: str, clean: bool = False) -> DataFrame:
     """k, n, page_id, raw_text: a table of an order's lines, damaged by k % 8 unless `clean`."""
     rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as k", "struct(l_linenumber as l, l_partkey as p, l_suppkey as s, cast(l_quantity as bigint) as q, l_returnflag as f) as x")
+    # Dealt by a fixed number: what follows is heavy for each row, and small shuffles would be joined into one task.
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
     rows = rows.groupBy("k").agg(F.sort_array(F.collect_list("x")).alias("x")).withColumn("n", F.size("x"))
     mode = F.lit(7) if clean else F.col("k") % 8
 
