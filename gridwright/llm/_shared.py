@@ -19,7 +19,9 @@ def ship(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH")) if x)
-        env.setdefault("TOKENIZERS_PARALLELISM", "false")
+        # One thread for tokenizers; freed memory of Python workers goes back to the system.
+        for k, v in {"TOKENIZERS_PARALLELISM": "false", "ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "4194304"}.items():
+            env.setdefault(k, v)
     # Texts vary in length: batches for Python are bounded by bytes, not only by rows.
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
@@ -166,6 +168,64 @@ def hashed_texts(texts: list, lower: bool = False, group: int = 1 << 17) -> Iter
         yield from (h[a:e] for a, e in zip([0, *ends], ends))
 
 
+class Parts:
+    """Ids of text parts, found by 64-bit hashes in an open table of arrays; the ids stand in one pool, so those of a batch are gathered at once. Far smaller than a dictionary of objects."""
+
+    def __init__(self, kind: str, most: int):
+        self.kind, self.most = np.dtype(kind), most
+        self.mask = (1 << (2 * most - 1).bit_length()) - 1
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(self.mask + 1, np.uint64)  # 0: free
+        self.entry = np.zeros(self.mask + 1, np.int32)
+        self.offset, self.length, self.entries = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
+        self.pool, self.used = np.zeros(1 << 18, self.kind), 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The entries of hashes, -1 where there is none."""
+        slot = (h & np.uint64(self.mask)).astype(np.int64)
+        held = self.keys[slot]
+        out = np.where(held == h, self.entry[slot], -1)
+        go = np.flatnonzero((held != h) & (held != 0))
+        while len(go):
+            slot[go] = (slot[go] + 1) & self.mask
+            held = self.keys[slot[go]]
+            same = held == h[go]
+            out[go[same]] = self.entry[slot[go[same]]]
+            go = go[~same & (held != 0)]
+        return out
+
+    def insert(self, h: np.ndarray, entry: np.ndarray) -> None:
+        """File different hashes that aren't in the table."""
+        slot = (h & np.uint64(self.mask)).astype(np.int64)
+        while len(h):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[free]  # of several for one slot the last stays
+            mine = free & (self.keys[slot] == h)
+            self.entry[slot[mine]] = entry[mine]
+            h, slot, entry = h[~mine], (slot[~mine] + 1) & self.mask, entry[~mine]
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Append ids to the pool, as entries of these lengths; returns their numbers."""
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.entries + len(lengths) > len(self.offset):
+            self.offset, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.offset, self.length))
+        self.pool[self.used : self.used + len(ids)] = ids
+        at = np.arange(self.entries, self.entries + len(lengths))
+        self.offset[at], self.length[at] = self.used + np.cumsum(lengths) - lengths, lengths
+        self.used += len(ids)
+        self.entries += len(lengths)
+        return at
+
+    def gather(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of entries in a row, and where each one's end."""
+        sizes = self.length[entry].astype(np.int64)
+        ends = np.cumsum(sizes)
+        return self.pool[np.repeat(self.offset[entry] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

@@ -105,9 +105,9 @@ def predicted(docs: DataFrame, model: Model | None, text: str = "text") -> DataF
         texts = b.column(text).to_pylist()
         langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
         some = [i for i, t in enumerate(texts) if model and t and LETTER.search(t)]
-        for k in range(0, len(some), 256):
-            s = model.scores([texts[i] for i in some[k : k + 256]])
-            for i, row in zip(some[k : k + 256], s):
+        for k in range(0, len(some), 64):
+            s = model.scores([texts[i] for i in some[k : k + 64]])
+            for i, row in zip(some[k : k + 64], s):
                 langs[i], scores[i] = model.languages[int(row.argmax())], float(row.max())
         yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
 

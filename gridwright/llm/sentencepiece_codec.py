@@ -14,9 +14,6 @@ segment is merged once however often it appears. Every batch is checked against
 from __future__ import annotations
 
 import heapq
-import itertools
-import re
-from array import array
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -39,14 +36,14 @@ def codec(path: str) -> Codec:
     return _MODELS[path]
 
 
-class Codec(dict):
-    """Keeps, for each segment seen, its ids as little-endian 32-bit integers; at most `most` of them."""
+class Codec:
+    """A model, with the ids of the segments seen so far; at most about `most` of them."""
 
     def __init__(self, path: str, most: int = 500_000, check: str = "segments"):
         from sentencepiece import SentencePieceProcessor
 
         sp = self.library = SentencePieceProcessor(model_file=path)
-        self.most, self.check = most, check
+        self.check, self.parts = check, S.Parts("<u4", most)
         self.pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         normal = [i for i in range(len(self.pieces)) if not (sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i) or sp.is_unused(i))]
         if any(SPACE in self.pieces[i].lstrip(SPACE) for i in normal):
@@ -150,52 +147,61 @@ class Codec(dict):
                 out.extend(self.byte_ids[b] for b in (chr(-1 - s) if s < 0 else self.rare[s - len(self.pieces)]).encode())
         return out
 
-    def learn(self, new: list[str]) -> None:
-        """Merge segments, each given without its first space mark, and keep their ids."""
-        short = [w for w in new if len(w) <= 48]
-        sym, counts = self.merge_all([SPACE + w for w in short])
-        ends = np.cumsum(counts)
-        other = np.zeros(len(sym) + 1, np.int64)  # how many symbols before a place are no ids yet
-        np.cumsum((sym < 0) | (sym >= len(self.pieces)), out=other[1:])
-        odd = (other[ends] > other[ends - counts]).tolist()
-        raw = sym.astype("<u4").tobytes()
-        for w, e, c, o in zip(short, ends.tolist(), counts.tolist(), odd):
-            self[w] = np.array(self.to_ids(sym[e - c : e].tolist()), "<u4").tobytes() if o else raw[4 * (e - c) : 4 * e]
-        for w in new:
-            if len(w) > 48:
-                self[w] = np.array(self.to_ids(self.merge_one([int(self.table[ord(c)]) for c in SPACE + w])), "<u4").tobytes()
+    def learn(self, h: np.ndarray, new: list[str]) -> None:
+        """Merge segments, each with its space marks, and keep their ids under these hashes."""
+        short = np.array([len(w) <= 48 for w in new], bool)
+        sym, counts = self.merge_all([w for w, s in zip(new, short) if s])
+        lists = np.split(sym, np.cumsum(counts)[:-1])
+        odd = np.add.reduceat((sym < 0) | (sym >= len(self.pieces)), np.cumsum(counts) - counts) if len(sym) else ()
+        lists = [np.array(self.to_ids(x.tolist())) if o else x for x, o in zip(lists, odd)]
+        lists += [np.array(self.to_ids(self.merge_one([int(self.table[ord(c)]) for c in w]))) for w, s in zip(new, short) if not s]
         if self.check:
-            self.agree(seen := [w for w in new if w], [self[w] for w in seen])  # a lone space mark is no text of the library
-
-    def segments(self, text: str) -> list[str]:
-        """A text's segments, each without one leading space mark."""
-        if SPACE in text or "  " in text or text[:1] == " " or text[-1:] == " ":
-            return [x[1:] for x in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))]
-        return text.split(" ")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text with begin and end ids, as little-endian 32-bit integers."""
-        if len(self) > self.most:
-            self.clear()
-        parts = [self.segments(t) if t else [] for t in texts]
-        found = [list(map(self.get, p)) for p in parts]
-        self.learn(list({w for p, f in zip(parts, found) if None in f for w, v in zip(p, f) if v is None}))
-        found = [list(map(self.__getitem__, p)) if None in f else f for p, f in zip(parts, found)]
-        begin, end = (np.array([i], "<u4").tobytes() for i in (self.library.bos_id(), self.library.eos_id()))
-        out = [b"".join([begin, *f, end]) for f in found]
-        self.agree(texts if self.check == "texts" else [], [x[4:-4] for x in out] if self.check == "texts" else [])
+            order = [w for w, s in zip(new, short) if s] + [w for w, s in zip(new, short) if not s]
+            self.agree(*zip(*((w[1:], x) for w, x in zip(order, lists) if w != SPACE)))  # a lone space mark is no text of the library
+        self.parts.insert(np.concatenate([h[short], h[~short]]), self.parts.add(np.concatenate(lists), np.array([len(x) for x in lists])))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, with begin and end ids."""
+        if self.parts.entries > self.parts.most:
+            self.parts.clear()
+        # A space mark in a text counts as a space; a text that isn't empty gets one before it.
+        raws = [b" " + t.replace(SPACE, " ").encode() if t else b"" for t in texts]
+        raw = b"".join(raws)
+        b = np.frombuffer(raw, np.uint8)
+        bounds = np.cumsum([0, *map(len, raws)])
+        space = b == 32
+        first = space.copy()
+        first[1:] &= ~space[:-1]
+        first[bounds[:-1][np.diff(bounds) > 0]] = True
+        starts = np.flatnonzero(first)
+        ends = np.append(starts[1:], len(b))[: len(starts)]
+        h = S.spans_hash(b, starts, ends)
+        h[h == 0] = 1
+        entry = self.parts.find(h)
+        if (lost := entry < 0).any():
+            new, where = np.unique(h[lost], return_index=True)
+            at = np.flatnonzero(lost)[where]
+            self.learn(new, [raw[i:j].decode().replace(" ", SPACE) for i, j in zip(starts[at].tolist(), ends[at].tolist())])
+            entry[lost] = self.parts.find(h[lost])
+        ids, stops = self.parts.gather(entry)
+        cuts = np.append(0, stops)[np.searchsorted(starts, bounds)].tolist()
+        begin, end = (np.array([i], "<u4") for i in (self.library.bos_id(), self.library.eos_id()))
+        out = [np.concatenate([begin, ids[i:j], end]) for i, j in zip(cuts, cuts[1:])]
+        if self.check == "texts":
+            self.agree(texts, [x[1:-1] for x in out])
         return out
 
-    def agree(self, texts: list[str], ids: list[bytes]) -> None:
-        for t, mine, theirs in zip(texts, ids, self.library.encode(texts, num_threads=1)):
-            if mine != array("I", theirs).tobytes():
+    def agree(self, texts: list[str] = (), ids: list[np.ndarray] = ()) -> None:
+        """Hold ids against the library's."""
+        for t, mine, theirs in zip(texts, ids, self.library.encode(list(texts), num_threads=1)):
+            if mine.tolist() != theirs:
                 raise ValueError(f"ids differ from the sentencepiece library's in {t[:200]!r}")
 
-    def decode(self, ids: list[bytes]) -> list[str]:
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
         """The library's decode of ids."""
-        return self.library.decode([array("I", x).tolist() for x in ids], num_threads=1)
+        return self.library.decode([x.tolist() for x in ids], num_threads=1)
 
-    def both(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
+    def both(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
         """Encode, decode and hold the decoded texts against the given ones, but for space marks, which come back as spaces."""
         ids = self.encode(texts)
         decoded = self.decode(ids)
@@ -221,7 +227,7 @@ def coded(docs: DataFrame, model: str) -> DataFrame:
         rows = []
         for i, j in S.by_bytes(texts, 1_000_000):
             ids, decoded = c.both([t or "" for t in texts[i:j]])
-            rows += [(k, len(x) // 4, sha256(x).hexdigest(), sha256(d.encode()).hexdigest()) for k, x, d in zip(keys[i:j], ids, decoded)]
+            rows += [(k, len(x), sha256(x).hexdigest(), sha256(d.encode()).hexdigest()) for k, x, d in zip(keys[i:j], ids, decoded)]
         if rows:
             yield S.batch(schema, *zip(*rows))
 
@@ -237,7 +243,7 @@ def with_tokens(docs: DataFrame, model: str, text: str = "text", ids: str = "tok
         c, texts = codec(model), b.column(text).to_pylist()
         for i, j in S.by_bytes(texts, 1_000_000):
             made, decoded = c.both([t or "" for t in texts[i:j]])
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) // 4 for x in made)]), pa.int32()), pa.array(np.frombuffer(b"".join(made), "<i4")))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, made)]), pa.int32()), pa.array(np.concatenate(made).astype(np.int32)))
             part = b.slice(i, j - i)
             yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), lists, pa.array(decoded, pa.string())], names=[f.name for f in out.fields])
 

@@ -137,8 +137,6 @@ class WordTokens:
     white space stands on both sides of a space, or two spaces together, its rule looks across them; such texts go to the
     library whole.
 
-    Parts are found by 64-bit hashes of their bytes in an open table of arrays: their ids stand in one pool, and a batch's
-    ids are gathered from it at once.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
@@ -146,56 +144,11 @@ class WordTokens:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.most, self.item = most, 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+        self.item = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.item}")
         self.opens = np.array([(t := self.library.id_to_token(i)) is not None and t.startswith("Ġ") for i in range(self.library.get_vocab_size())])
         self.spaced = re.compile(r"[^\S ] [^\S ]").search
-        self.mask = (1 << (2 * most - 1).bit_length()) - 1
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys = np.zeros(self.mask + 1, np.uint64)  # 0: free
-        self.entry = np.zeros(self.mask + 1, np.int32)
-        self.offset, self.length, self.entries = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
-        self.pool, self.used = np.zeros(1 << 18, self.kind), 0
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """The entries of hashes, -1 where there is none."""
-        slot = (h & np.uint64(self.mask)).astype(np.int64)
-        held = self.keys[slot]
-        out = np.where(held == h, self.entry[slot], -1)
-        go = np.flatnonzero((held != h) & (held != 0))
-        while len(go):
-            slot[go] = (slot[go] + 1) & self.mask
-            held = self.keys[slot[go]]
-            same = held == h[go]
-            out[go[same]] = self.entry[slot[go[same]]]
-            go = go[~same & (held != 0)]
-        return out
-
-    def insert(self, h: np.ndarray, entry: np.ndarray) -> None:
-        """File different hashes that aren't in the table."""
-        slot = (h & np.uint64(self.mask)).astype(np.int64)
-        while len(h):
-            free = self.keys[slot] == 0
-            self.keys[slot[free]] = h[free]  # of several for one slot the last stays
-            mine = free & (self.keys[slot] == h)
-            self.entry[slot[mine]] = entry[mine]
-            h, slot, entry = h[~mine], (slot[~mine] + 1) & self.mask, entry[~mine]
-
-    def add(self, lists: list[np.ndarray] | np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Append ids to the pool, as so many entries; returns their numbers."""
-        ids = np.concatenate(lists) if isinstance(lists, list) else lists
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while self.entries + len(lengths) > len(self.offset):
-            self.offset, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.offset, self.length))
-        self.pool[self.used : self.used + len(ids)] = ids
-        at = np.arange(self.entries, self.entries + len(lengths))
-        self.offset[at], self.length[at] = self.used + np.cumsum(lengths) - lengths, lengths
-        self.used += len(ids)
-        self.entries += len(lengths)
-        return at
+        self.parts = S.Parts(self.kind, most)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -210,17 +163,17 @@ class WordTokens:
             starts = np.flatnonzero(self.opens[ids])
             if len(starts) != len(row[i : i + 1000]):
                 raise AssertionError("parts and ids don't agree")
-            self.insert(hs[i : i + 1000], self.add(ids, np.diff(np.append(starts, len(ids)))))
+            self.parts.insert(hs[i : i + 1000], self.parts.add(ids, np.diff(np.append(starts, len(ids)))))
         rest = [p for p, ok in zip(parts, plain) if not ok]
         if rest:
             lists = self.whole([" " + p for p in rest])
-            self.insert(h[~plain], self.add(lists, np.array([len(x) for x in lists])))
+            self.parts.insert(h[~plain], self.parts.add(np.concatenate(lists), np.array([len(x) for x in lists])))
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if self.entries > self.most:
-            self.clear()
-        kept = self.entries, self.used
+        table = self.parts
+        if table.entries > table.most:
+            table.clear()
         alone = ["  " in t or self.spaced(t) is not None for t in texts]
         raw = b" ".join(b"" if x else t.encode() for t, x in zip(texts, alone))
         b = np.frombuffer(raw, np.uint8)
@@ -230,22 +183,20 @@ class WordTokens:
         firsts = np.cumsum(counts) - counts
         h = S.spans_hash(b, starts, ends)
         h[h == 0] = 1
-        entry = self.find(h)
+        entry = table.find(h)
         lost = entry < 0
         lost[firsts] = False
         if lost.any():
             new, where = np.unique(h[lost], return_index=True)
             at = np.flatnonzero(lost)[where]
             self.learn(new, [raw[i:j].decode() for i, j in zip(starts[at].tolist(), ends[at].tolist())])
-            entry[lost] = self.find(h[lost])
-            kept = self.entries, self.used
+            entry[lost] = table.find(h[lost])
+        kept = table.entries, table.used
         # First parts have no space before them, and texts that stand alone are all first part: entries for this batch only.
         lists = self.whole([t if x else t.partition(" ")[0] for t, x in zip(texts, alone)])
-        entry[firsts] = self.add(lists, np.array([len(x) for x in lists], np.int32))
-        sizes = self.length[entry].astype(np.int64)
-        ends = np.cumsum(sizes)
-        ids = self.pool[np.repeat(self.offset[entry] - (ends - sizes), sizes) + np.arange(ends[-1])]
-        self.entries, self.used = kept
+        entry[firsts] = table.add(np.concatenate(lists), np.array([len(x) for x in lists], np.int32))
+        ids, ends = table.gather(entry)
+        table.entries, table.used = kept
         stops = ends[firsts + counts - 1].tolist()
         return [ids[i:j] for i, j in zip([0, *stops], stops)]
 
