@@ -59,4 +59,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_sentencepiece, op2_line_dedup, op3_simhash, op4_decontamination, op5_pii, op6_langid, op7_ann, op8_token_store, op9_substring, op10_warc)
 }
 
-ORACLE: dict[str, str] = {}
+# SQL of the two that it can tell. The others hash (XXH64), tokenize, learn, search approximately or reach transitively;
+# tests hold them against brute-force versions.
+ORACLE: dict[str, str] = {
+    "op9_substring": r"""with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+  win as (select doc_id, i, min(doc_id) over (partition by words) as first from (select doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') as words from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from d where len(w) >= 13))),
+  gone as (select distinct doc_id, unnest(range(i, i + 13)) as i from win where first < doc_id),
+  kept as (select k.doc_id, count(*) as n, string_agg(k.word, ' ' order by k.i) as t from (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from d) k anti join gone g on k.doc_id = g.doc_id and k.i = g.i group by k.doc_id)
+  select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (doc_id)""",
+    "op10_warc": """select page_id, payload_bytes, payload_digest, case when page_id = top then 'response' else 'revisit' end as record_type, case when page_id <> top then top end as refers_to from (
+  select page_id, cast(octet_length(encode(coalesce(html, ''))) as bigint) as payload_bytes, max(page_id) over (partition by coalesce(html, '')) as top,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(((('0x' || substr(sha1(coalesce(html, '')), cast(i // 4 * 5 + 1 as int), 5))::bigint >> cast(15 - i % 4 * 5 as int)) & 31) + 1 as int), 1)), '') as payload_digest from pages)""",
+}

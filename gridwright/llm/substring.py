@@ -80,6 +80,62 @@ def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
+def candidates(docs: DataFrame, length: int, short: int, gone: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The first level and the step to full length: the documents (doc_id, text, marks) that have repeated short windows, but for those in gone (gone_id), and their windows (h, g, doc_id, at) that contain one: two hashes, and the first word's place."""
+
+    def file(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for i, j in S.by_bytes(texts := b.column("text").to_pylist()):
+            hs, ids = [], []
+            for k, h in zip(b.column("doc_id")[i:j].to_pylist(), S.hashed_texts(texts[i:j])):
+                if k is not None and len(h) >= length:
+                    hs.append(filed(h, short, length)[1])
+                    ids.append(np.full(len(hs[-1]), k, np.int64))
+            if hs:
+                yield S.batch(FILED, S.signed(np.concatenate(hs)), np.concatenate(ids))
+
+    levels = S.map_arrow(docs, file, "h long, doc_id long")
+    if gone is not None:
+        levels = levels.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    marks = repeated(levels).groupBy("doc_id").agg(F.collect_set("h").alias("marks")).withColumnRenamed("doc_id", "marked_id")
+    near = S.stored(docs.join(marks, F.col("doc_id") == F.col("marked_id")).select("doc_id", "text", "marks"), "candidates")
+
+    def extend(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for i, j in S.by_bytes(texts := b.column("text").to_pylist(), 1_000_000):
+            parts = []
+            for k, h, m in zip(b.column("doc_id")[i:j].to_pylist(), S.hashed_texts(texts[i:j]), b.column("marks")[i:j]):
+                at = np.flatnonzero(np.isin(filed(h, short, length)[0], m.values.to_numpy().view(np.uint64)))
+                parts.append((S.windows(h, length)[at], S.windows(S.mix(h), length, OTHER)[at], np.full(len(at), k, np.int64), at.astype(np.int32)))
+            h, g, ids, at = (np.concatenate(x) for x in zip(*parts))
+            if len(h):
+                yield S.batch(AT, S.signed(h), S.signed(g), ids, at)
+
+    return near, S.map_arrow(near, extend, "h long, g long, doc_id long, at int")
+
+
+def repeats(docs: DataFrame, length: int = 13) -> DataFrame:
+    """doc_id and longest: the longest of length, 2 * length, 4 * length, ... at which a window of the document stands in another document too; documents without any don't occur.
+
+    A window of twice the length is named by the names of its halves, so no level but the first reads a text. Only windows
+    that repeat go to the next level; it ends when none are left.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    _, rows = candidates(docs, length, (length + 1) // 2)
+    found = None
+    while True:
+        groups = rows.groupBy("h", "g").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "g")
+        rows = S.stored(rows.join(groups, ["h", "g"], "left_semi"), "level")
+        if not rows.take(1):
+            break
+        level = rows.select("doc_id", F.lit(length).alias("longest")).distinct()
+        found = level if found is None else found.unionAll(level)
+        after = rows.select("doc_id", (F.col("at") - length).alias("at"), F.col("h").alias("h2"), F.col("g").alias("g2"))
+        rows = rows.join(after, ["doc_id", "at"]).select(F.xxhash64("h", "h2").alias("h"), F.xxhash64("g", "g2", F.lit(1)).alias("g"), "doc_id", "at")
+        length *= 2
+    if found is None:
+        return docs.sparkSession.createDataFrame([], "doc_id long, longest int")
+    return found.groupBy("doc_id").agg(F.max("longest").alias("longest"))
+
+
 def deduplicated(docs: DataFrame, length: int = 13, short: int | None = None, text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text, if asked for) of each document (doc_id, text).
 
@@ -108,29 +164,7 @@ def deduplicated(docs: DataFrame, length: int = 13, short: int | None = None, te
     first = every.where("copy is not null and doc_id is not null").groupBy("copy").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
     gone = S.stored(every.join(first, "copy").where("doc_id > first").select(F.col("doc_id").alias("gone_id")).distinct(), "copies")
 
-    def file(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for i, j in S.by_bytes(texts := b.column("text").to_pylist()):
-            hs, ids = [], []
-            for k, h in zip(b.column("doc_id")[i:j].to_pylist(), S.hashed_texts(texts[i:j])):
-                if k is not None and len(h) >= length:
-                    hs.append(filed(h, short, length)[1])
-                    ids.append(np.full(len(hs[-1]), k, np.int64))
-            if hs:
-                yield S.batch(FILED, S.signed(np.concatenate(hs)), np.concatenate(ids))
-
-    levels = S.map_arrow(docs, file, "h long, doc_id long").join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    marks = repeated(levels).groupBy("doc_id").agg(F.collect_set("h").alias("marks")).withColumnRenamed("doc_id", "marked_id")
-    near = S.stored(docs.join(marks, F.col("doc_id") == F.col("marked_id")).select("doc_id", "text", "marks"), "candidates")
-
-    def extend(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for i, j in S.by_bytes(texts := b.column("text").to_pylist(), 1_000_000):
-            parts = []
-            for k, h, m in zip(b.column("doc_id")[i:j].to_pylist(), S.hashed_texts(texts[i:j]), b.column("marks")[i:j]):
-                at = np.flatnonzero(np.isin(filed(h, short, length)[0], m.values.to_numpy().view(np.uint64)))
-                parts.append((S.windows(h, length)[at], S.windows(S.mix(h), length, OTHER)[at], np.full(len(at), k, np.int64), at.astype(np.int32)))
-            h, g, ids, at = (np.concatenate(x) for x in zip(*parts))
-            if len(h):
-                yield S.batch(AT, S.signed(h), S.signed(g), ids, at)
+    near, rows = candidates(docs, length, short, gone)
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows sorted by window and document, those after the window's first document."""
@@ -147,8 +181,7 @@ def deduplicated(docs: DataFrame, length: int = 13, short: int | None = None, te
             if keep.any():
                 yield S.batch(pa.schema([("doc_id", pa.int64()), ("at", pa.int32())]), d[keep], b.column("at").to_numpy()[keep])
 
-    full = S.map_arrow(near, extend, "h long, g long, doc_id long, at int").repartition("h", "g").sortWithinPartitions("h", "g", "doc_id")
-    hits = full.mapInArrow(later, "doc_id long, at int").groupBy("doc_id").agg(F.collect_list("at").alias("starts")).withColumnRenamed("doc_id", "hit_id")
+    hits = rows.repartition("h", "g").sortWithinPartitions("h", "g", "doc_id").mapInArrow(later, "doc_id long, at int").groupBy("doc_id").agg(F.collect_list("at").alias("starts")).withColumnRenamed("doc_id", "hit_id")
 
     def cut(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = []

@@ -200,6 +200,30 @@ def test_substring_dedup(spark, length):
         substring.deduplicated(odd, 13, 3)
 
 
+def test_doubling_levels(spark):
+    texts = corpus(50, seed=9) + ["z " + " ".join(f"q{i}" for i in range(100)), "y " + " ".join(f"q{i}" for i in range(100))]
+    words = [(t or "").encode().split() for t in texts]
+    want = {}
+    for level in (5, 10, 20, 40, 80):
+        seen = collections.defaultdict(set)
+        for i, w in enumerate(words):
+            for k in range(len(w) - level + 1):
+                seen[tuple(w[k : k + level])].add(i)
+        want |= {i: level for s in seen.values() if len(s) > 1 for i in s}
+    assert {r.doc_id: r.longest for r in substring.repeats(frame(spark, texts), 5).collect()} == want
+    assert want[50] == 80 and substring.repeats(frame(spark, texts[:1])).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_against_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    for t in ("documents", "pages"):
+        c.sql(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    want, got = c.sql(queries.ORACLE[name]), queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert want.columns == got.columns and sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in got.collect())
+
+
 def plain_search(vectors, every, top):
     ok = {i: np.array(v, float) for i, v in vectors if v is not None and None not in v and len(v) and np.isfinite(v).all() and any(v)}
     out = {}
