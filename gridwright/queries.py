@@ -58,12 +58,13 @@ KEPT = "case when hit then 2 * k else k end"
 
 
 @query(f"""select s.system_id, count(k) as sample_size, round(coalesce(avg(value), 0), 6) as mean_runtime_ms, round(coalesce(quantile_cont(value, 0.95), 0), 6) as p95_runtime_ms,
-  round(coalesce(avg({KEPT}), 0), 6) as mean_output_tokens, case when s.adaptive then count(*) filter (where hit) end as reparse_count,
+  round(coalesce(avg({KEPT}), 0), 6) as mean_output_tokens, (case when s.adaptive then count(*) filter (where hit) end)::double as reparse_count,
   case when s.adaptive then round(coalesce(avg(hit::int), 0), 6) end as reparse_rate, round(case when s.adaptive then coalesce(avg(l.low + case when hit then l.high else 0 end), 0) else s.tiles::double end, 6) as cost_tiles
   from systems s left join run_log l using (system_id) group by s.system_id, s.adaptive, s.tiles""", L)
 def results_table(spark, sf_dir):
     out = summary.summaries(fx.run_log(spark, sf_dir), fx.systems(spark).select("system_id", "adaptive", "low", "high", "tiles"))
-    return rounded(out.drop("adaptive", "low", "high", "tiles"))
+    # Nullable whole numbers as doubles, which both engines show alike.
+    return rounded(out.drop("adaptive", "low", "high", "tiles").withColumn("reparse_count", F.col("reparse_count").cast("double")))
 
 
 @query("""select s.system_id, round(m.measured, 6) as measured, t.target, round(m.measured - t.target, 6) as delta, round((m.measured - t.target) / t.target, 6) as relative_delta,
@@ -323,9 +324,9 @@ def stub_calibration(spark, sf_dir):
     return spark.createDataFrame([(s["adaptive"]["low"], s["adaptive"]["high"], s["fixed_2b"]["max_tiles"], s["fixed_8b"]["max_tiles"], s["adaptive"]["measured"])], "low int, high int, fixed_2b int, fixed_8b int, measured double")
 
 
-@query("select o as ord, s as system_id, f as family, r as runner, d as seed from (values (0, 'adaptive_2b', 'adaptive_2b', 'adaptive', null), (1, 'fixed_2b_low', 'fixed_2b_low', 'single_pass', null), (2, 'fixed_2b_matched', 'fixed_2b_matched', 'single_pass', null), (3, 'random_2b_seed0', 'random_2b', 'adaptive_random', 0), (4, 'random_2b_seed1', 'random_2b', 'adaptive_random', 1), (5, 'fixed_8b_matched', 'fixed_8b_matched', 'single_pass', null)) t(o, s, f, r, d)")
+@query("select o as ord, s as system_id, f as family, r as runner, d::double as seed from (values (0, 'adaptive_2b', 'adaptive_2b', 'adaptive', null), (1, 'fixed_2b_low', 'fixed_2b_low', 'single_pass', null), (2, 'fixed_2b_matched', 'fixed_2b_matched', 'single_pass', null), (3, 'random_2b_seed0', 'random_2b', 'adaptive_random', 0), (4, 'random_2b_seed1', 'random_2b', 'adaptive_random', 1), (5, 'fixed_8b_matched', 'fixed_8b_matched', 'single_pass', null)) t(o, s, f, r, d)")
 def system_specs(spark, sf_dir):
-    return experiment.specs_frame(spark, experiment.specs([0, 1]))
+    return experiment.specs_frame(spark, experiment.specs([0, 1])).withColumn("seed", F.col("seed").cast("double"))
 
 
 def _entries(spark, sf_dir):
@@ -334,10 +335,10 @@ def _entries(spark, sf_dir):
     return e.withColumns({"random_probability": F.lit(None).cast("double"), "notes": F.array().cast("array<string>"), "error": F.lit(None).cast("string"), "reason": F.lit(None).cast("string")})
 
 
-@query(f"""select system_id, count(*) as pages_processed, count(*) as sample_size, round(avg(value), 6) as mean_runtime_ms, round(avg({KEPT}), 6) as mean_output_tokens, case when any_value(adaptive) then count(*) filter (where event_type = 'error') end as no_table, case when any_value(adaptive) then count(*) filter (where event_type <> 'error' and k % 3 = 0) end as one_table from run_log group by 1""", L)
+@query(f"""select system_id, count(*) as pages_processed, count(*) as sample_size, round(avg(value), 6) as mean_runtime_ms, round(avg({KEPT}), 6) as mean_output_tokens, (case when any_value(adaptive) then count(*) filter (where event_type = 'error') end)::double as no_table, (case when any_value(adaptive) then count(*) filter (where event_type <> 'error' and k % 3 = 0) end)::double as one_table from run_log group by 1""", L)
 def system_results(spark, sf_dir):
     out = analysis.results(_entries(spark, sf_dir), fx.run_log(spark, sf_dir))
-    return rounded(out.select("system_id", F.col("pages_processed").cast("long").alias("pages_processed"), "sample_size", "mean_runtime_ms", "mean_output_tokens", F.col("verifier_failure_codes")["NO_TABLE_FOUND"].alias("no_table"), F.col("predicted_table_count_hist")[1].alias("one_table")))
+    return rounded(out.select("system_id", F.col("pages_processed").cast("long").alias("pages_processed"), "sample_size", "mean_runtime_ms", "mean_output_tokens", F.col("verifier_failure_codes")["NO_TABLE_FOUND"].cast("double").alias("no_table"), F.col("predicted_table_count_hist")[1].cast("double").alias("one_table")))
 
 
 @query("select system_id, count(*) filter (where hit) as reparse_count, round(avg(hit::int), 6) as reparse_rate, count(*) filter (where not hit) as passed, count(*) filter (where event_type = 'purchase') as degenerate from run_log where adaptive group by 1", L)
