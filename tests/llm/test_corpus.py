@@ -102,6 +102,8 @@ def test_line_dedup(spark, most):
     clash = df.selectExpr("doc_id", "text", "1 as gone", "2 as near").unionByName(spark.createDataFrame([(None, texts[0], 3, 4)], "doc_id long, text string, gone int, near int"))
     rows = line_dedup.deduplicated(clash, most).collect()
     assert {r.doc_id: r.text for r in rows} == {**dict(enumerate(want)), None: texts[0]} and rows[0].asDict().keys() == {"doc_id", "text", "gone", "near"}
+    emptied = {i for i, t in enumerate(texts) if any(len(x) >= 20 for x in (t or "").split("\n")) and not any(len(x) >= 20 for x in want[i].split("\n"))}
+    assert emptied and {r.doc_id for r in line_dedup.deduplicated(df, most, drop_emptied=True).collect()} == set(range(len(texts))) - emptied
     assert line_dedup.digest(frame(spark, [])).count() == 0 and line_dedup.deduplicated(frame(spark, [])).count() == 0
 
 
