@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import struct
 import uuid
 import zlib
@@ -29,6 +30,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from . import _shared as S
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+LISTED = "_archives.json"  # the names of a folder's archives that count
 HEAD = 4096  # inflated at first; more follows while headers go on
 
 SCHEMA = T.StructType(
@@ -102,7 +104,7 @@ def ident(key: int | None) -> str:
 
 
 def write_archives(pages: DataFrame, folder: str, smallest: int = 0, roll: int = 256 << 20, date: str = "2024-01-01T00:00:00Z") -> list[str]:
-    """Write pages as archives in the folder; returns the files that count, those of successful tasks. A task rolls to a new file at so many bytes."""
+    """Write pages as archives in the folder; returns the files. A task rolls to a new file at so many bytes. Files of lost or repeated tasks may be left in the folder; a list beside the archives names those that count, and the reader takes no others."""
     S.ship(pages.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +128,10 @@ def write_archives(pages: DataFrame, folder: str, smallest: int = 0, roll: int =
 
     where, base = pafs.FileSystem.from_uri(folder)
     where.create_dir(base, recursive=True)
-    return [r.path for r in deduplicated(pages, smallest).mapInArrow(write, "path string").collect()]
+    names = sorted(r.path for r in deduplicated(pages, smallest).mapInArrow(write, "path string").collect())
+    with where.open_output_stream(f"{base}/{LISTED}") as sink:
+        sink.write(json.dumps([n.rsplit("/", 1)[1] for n in names]).encode())
+    return names
 
 
 def headers(block: bytes) -> dict[str, str]:
@@ -231,8 +236,13 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[Files]:
         where, base = pafs.FileSystem.from_uri(self.folder)
         out, size = [], 0
-        for f in sorted(where.get_file_info(pafs.FileSelector(base)), key=lambda f: f.path):
-            if f.is_file and f.path.endswith((".warc", ".warc.gz")):
+        found = sorted(where.get_file_info(pafs.FileSelector(base)), key=lambda f: f.path)
+        listed = None
+        if any(f.base_name == LISTED for f in found):
+            with where.open_input_file(f"{base}/{LISTED}") as source:
+                listed = set(json.loads(source.read()))
+        for f in found:
+            if f.is_file and f.path.endswith((".warc", ".warc.gz")) and (listed is None or f.base_name in listed):
                 if not out or size + f.size > self.each:
                     out, size = [*out, Files([])], 0
                 out[-1].paths.append(f.path)

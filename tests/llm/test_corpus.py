@@ -334,6 +334,7 @@ def test_archive_reader(spark, tmp_path):
     folder = f"file://{tmp_path}"
     files = warc.write_archives(pages, folder, roll=500)
     assert len(files) > 5
+    (tmp_path / "lost.warc.gz").write_bytes(b"\x1f\x8b half a file of a lost task")
     got = warc.read_archives(spark, folder).collect()
     assert len(got) == 31 and all(r.payload_ok for r in got if r.record_type == "response")
     assert {len(r.payload) for r in got if r.payload is not None} == {i * 100 for i in range(30)}
