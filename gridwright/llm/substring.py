@@ -24,6 +24,7 @@ from . import graph
 
 FILED = pa.schema([("h", pa.int64()), ("doc_id", pa.int64())])
 AT = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32())])
+LATER = pa.schema([("doc_id", pa.int64()), ("h", pa.int64())])
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("copy", pa.binary())])
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 OTHER = 0xC2B2AE3D27D4EB4F
@@ -80,8 +81,8 @@ def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def candidates(docs: DataFrame, length: int, short: int, gone: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The first level and the step to full length: the documents (doc_id, text, marks) that have repeated short windows, but for those in gone (gone_id), and their windows (h, g, doc_id, at) that contain one: two hashes, and the first word's place."""
+def candidates(docs: DataFrame, length: int, short: int, gone: DataFrame | None = None, once: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The first level and the step to full length: the documents (doc_id, text, marks) that have repeated short windows, but for those in gone (gone_id), and their windows (h, g, doc_id, at) that contain one: two hashes, and the first word's place. once: each different window of a document once, so that no window has more rows than there are documents."""
 
     def file(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i, j in S.by_bytes(texts := b.column("text").to_pylist()):
@@ -104,6 +105,8 @@ def candidates(docs: DataFrame, length: int, short: int, gone: DataFrame | None
             parts = []
             for k, h, m in zip(b.column("doc_id")[i:j].to_pylist(), S.hashed_texts(texts[i:j]), b.column("marks")[i:j]):
                 at = np.flatnonzero(np.isin(filed(h, short, length)[0], m.values.to_numpy().view(np.uint64)))
+                if once:
+                    at = at[np.unique(S.windows(h, length)[at], return_index=True)[1]]
                 parts.append((S.windows(h, length)[at], S.windows(S.mix(h), length, OTHER)[at], np.full(len(at), k, np.int64), at.astype(np.int32)))
             h, g, ids, at = (np.concatenate(x) for x in zip(*parts))
             if len(h):
@@ -164,7 +167,7 @@ def deduplicated(docs: DataFrame, length: int = 13, short: int | None = None, te
     first = every.where("copy is not null and doc_id is not null").groupBy("copy").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
     gone = S.stored(every.join(first, "copy").where("doc_id > first").select(F.col("doc_id").alias("gone_id")).distinct(), "copies")
 
-    near, rows = candidates(docs, length, short, gone)
+    near, rows = candidates(docs, length, short, gone, once=True)
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows sorted by window and document, those after the window's first document."""
@@ -179,15 +182,16 @@ def deduplicated(docs: DataFrame, length: int = 13, short: int | None = None, te
             keep = d > firsts
             h0, g0, d0 = int(h[-1]), int(g[-1]), int(firsts[-1])
             if keep.any():
-                yield S.batch(pa.schema([("doc_id", pa.int64()), ("at", pa.int32())]), d[keep], b.column("at").to_numpy()[keep])
+                yield S.batch(LATER, d[keep], h[keep])
 
-    hits = rows.repartition("h", "g").sortWithinPartitions("h", "g", "doc_id").mapInArrow(later, "doc_id long, at int").groupBy("doc_id").agg(F.collect_list("at").alias("starts")).withColumnRenamed("doc_id", "hit_id")
+    hits = rows.drop("at").repartition("h", "g").sortWithinPartitions("h", "g", "doc_id").mapInArrow(later, "doc_id long, h long").groupBy("doc_id").agg(F.collect_set("h").alias("windows")).withColumnRenamed("doc_id", "hit_id")
 
     def cut(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = []
-        for k, t, s in zip(b.column("doc_id"), b.column("text"), b.column("starts")):
+        for k, t, gone_windows in zip(b.column("doc_id"), b.column("text"), b.column("windows")):
             ws = S.words(t.as_py())
-            out = covered(s.values.to_numpy().astype(np.int64), length, len(ws))
+            starts = np.flatnonzero(np.isin(S.windows(S.hashed_words(t.as_py()), length), gone_windows.values.to_numpy().view(np.uint64)))
+            out = covered(starts, length, len(ws))
             kept = b" ".join(w for w, o in zip(ws, out.tolist()) if not o)
             rows.append((k.as_py(), int(out.sum()), sha256(kept).hexdigest(), kept.decode() if text else None))
         if rows:
