@@ -238,7 +238,7 @@ def links(docs: DataFrame, most: int, least: int) -> DataFrame:
 
 
 def later_lines(docs: DataFrame, most: int = 1, least: int = 20) -> DataFrame:
-    """doc_id, gone (places of its lines that go), near (how many of them are no exact copies of their class's first line)."""
+    """line_doc_id, gone (places of its lines that go), near (how many of them are no exact copies of their class's first line), stays_in (the documents that hold those first lines)."""
 
     def number(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i, j in S.by_bytes(texts := b.column("text").to_pylist(), 1_000_000):
@@ -254,7 +254,7 @@ def later_lines(docs: DataFrame, most: int = 1, least: int = 20) -> DataFrame:
     first = lines.groupBy("class", "check").agg(F.min(F.struct("doc_id", "at", "line")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("class", "check", "first")
     # Both sides grow with the corpus: dealt at every size, never broadcast.
     later = lines.join(first.hint("merge"), ["class", "check"]).where("struct(doc_id, at) > struct(first.doc_id, first.at)")
-    return later.groupBy("doc_id").agg(F.collect_list("at").alias("gone"), F.count_if(F.col("line") != F.col("first.line")).alias("near")).withColumnRenamed("doc_id", "line_doc_id")
+    return later.groupBy("doc_id").agg(F.collect_list("at").alias("gone"), F.count_if(F.col("line") != F.col("first.line")).alias("near"), F.sort_array(F.collect_set("first.doc_id")).alias("stays_in")).withColumnRenamed("doc_id", "line_doc_id")
 
 
 def without(text: str, gone: set[int]) -> str:
@@ -273,9 +273,9 @@ def deduplicated(docs: DataFrame, most: int = 1, least: int = 20, drop_emptied:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     gone = later_lines(own, most, least)
     kept = docs.schema
-    if {"line_doc_id", "gone", "near"}.intersection(kept.names):
+    if set(gone.columns).intersection(kept.names):
         gone = gone.withColumnsRenamed({c: f"{c}__line_dedup" for c in gone.columns})
-    key, places_, _ = gone.columns
+    key, places_ = gone.columns[:2]
     rows = docs.join(gone.select(key, places_), docs["doc_id"] == gone[key], "left").drop(key)
 
     def cut(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -292,7 +292,7 @@ DIGEST = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("kept_sha2
 
 
 def digest(docs: DataFrame, most: int = 1, least: int = 20) -> DataFrame:
-    """doc_id, n_lines, n_removed, n_near (removed lines that are no exact copies of the line that stays), kept_sha256 of each document's text without the removed lines. Only texts that lose lines are dealt."""
+    """doc_id, n_lines, n_removed, n_near (removed lines that are no exact copies of the line that stays), kept_sha256 of each document's text without the removed lines, stays_in (doc_ids of the lines that stay for the removed ones, ascending, comma-joined). Only texts that lose lines are dealt."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     gone = S.stored(later_lines(docs.where("doc_id is not null"), most, least), "later")
 
@@ -303,7 +303,7 @@ def digest(docs: DataFrame, most: int = 1, least: int = 20) -> DataFrame:
     every = S.map_arrow(docs, count, "doc_id long, n_lines long, kept_sha256 string")
     bits = fixed_filter(gone, *id_spots(F.col("line_doc_id")))
     if bits is None:
-        return every.select("doc_id", "n_lines", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_near"), "kept_sha256")
+        return every.select("doc_id", "n_lines", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_near"), "kept_sha256", F.lit("").alias("stays_in"))
     held = docs.sparkSession.sparkContext.broadcast(bits)
 
     def changing(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -311,10 +311,10 @@ def digest(docs: DataFrame, most: int = 1, least: int = 20) -> DataFrame:
 
     def cut(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out = [sha256(without(t or "", set(g)).encode()).hexdigest() for t, g in zip(b.column("text").to_pylist(), b.column("gone").to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column("line_doc_id"), pa.array([len(g) for g in b.column("gone").to_pylist()], pa.int64()), b.column("near"), pa.array(out, pa.string())], names=["changed_id", "less", "near", "new_sha256"])
+        yield pa.RecordBatch.from_arrays([b.column("line_doc_id"), pa.array([len(g) for g in b.column("gone").to_pylist()], pa.int64()), b.column("near"), pa.array(out, pa.string()), pa.array([",".join(map(str, x)) for x in b.column("stays_in").to_pylist()], pa.string())], names=["changed_id", "less", "near", "new_sha256", "stays_in"])
 
     spots = [c.alias(n) for c, n in zip(id_spots(F.col("doc_id")), "pq")]
     some = S.map_arrow(docs.where("doc_id is not null").select("doc_id", "text", *spots), changing, "doc_id long, text string")
-    changed = S.map_arrow(some.join(gone.hint("merge"), F.col("doc_id") == F.col("line_doc_id")).select("line_doc_id", "text", "gone", "near"), cut, "changed_id long, less long, near long, new_sha256 string")
+    changed = S.map_arrow(some.join(gone.hint("merge"), F.col("doc_id") == F.col("line_doc_id")).select("line_doc_id", "text", "gone", "near", "stays_in"), cut, "changed_id long, less long, near long, new_sha256 string, stays_in string")
     out = every.join(changed, F.col("doc_id") == F.col("changed_id"), "left")
-    return out.select("doc_id", "n_lines", F.coalesce("less", F.lit(0)).alias("n_removed"), F.coalesce("near", F.lit(0)).alias("n_near"), F.coalesce("new_sha256", "kept_sha256").alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", F.coalesce("less", F.lit(0)).alias("n_removed"), F.coalesce("near", F.lit(0)).alias("n_near"), F.coalesce("new_sha256", "kept_sha256").alias("kept_sha256"), F.coalesce("stays_in", F.lit("")).alias("stays_in"))

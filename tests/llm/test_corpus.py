@@ -99,6 +99,8 @@ def test_line_dedup(spark, most):
     df = frame(spark, texts)
     got = {r.doc_id: r for r in line_dedup.digest(df.repartition(5), most).collect()}
     assert [got[i].kept_sha256 for i in range(len(texts))] == [hashlib.sha256((t or "").encode()).hexdigest() for t in want]
+    stays = [sorted({first[x][0] for k, x in enumerate((t or "").split("\n")) if len(x) >= 20 and first[x] != (i, k)}) for i, t in enumerate(texts)]
+    assert [got[i].stays_in for i in range(len(texts))] == [",".join(map(str, x)) for x in stays]
     clash = df.selectExpr("doc_id", "text", "1 as gone", "2 as near").unionByName(spark.createDataFrame([(None, texts[0], 3, 4)], "doc_id long, text string, gone int, near int"))
     rows = line_dedup.deduplicated(clash, most).collect()
     assert {r.doc_id: r.text for r in rows} == {**dict(enumerate(want)), None: texts[0]} and rows[0].asDict().keys() == {"doc_id", "text", "gone", "near"}
