@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _shared as S
-from . import graph
 
 FILED = pa.schema([("h", pa.int64()), ("doc_id", pa.int64())])
 AT = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32())])
