@@ -40,6 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
         found = os.path.join(tempfile.gettempdir(), f"gridwright-{os.getpid()}")
         spark.sparkContext.setCheckpointDir(found)
         found = "file://" + found
+    if "://" not in found:  # a path of the default file system, which readers outside Spark must know too
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        found = found.replace(":/", ":///", 1) if "://" not in found else found
     return found.rstrip("/")
 
 
