@@ -64,7 +64,8 @@ def components(links: DataFrame, stop: int = 60) -> DataFrame:
     of hot centres can be split. Rounds are written to the shared folder; it ends when a round changes nothing.
     """
     pairs = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    pairs = S.stored(_contract(pairs).distinct(), "links")
+    # Links are told apart before they are contracted: a stage then has one Python step, and one worker for each task.
+    pairs = S.stored(_contract(pairs.distinct()).distinct(), "links")
     was = None
     for _ in range(stop):
         both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
