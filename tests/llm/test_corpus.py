@@ -109,6 +109,20 @@ def test_line_dedup(spark, most):
     assert line_dedup.digest(frame(spark, [])).count() == 0 and line_dedup.deduplicated(frame(spark, [])).count() == 0
 
 
+def test_lines_with_a_changed_word_go(spark, tmp_path):
+    """The query and the pipeline's stage reach three edits."""
+    base = "and so the night whst the by for all of them"
+    texts = [base, "and so the night whst is by for all of them\nhere stands a line of its own", "and so the night whst by for all of them today"]
+    assert [distance(base, t.split("\n")[0]) for t in texts] == [0, 3, 10]
+    texts.append(base.replace("so the", "so he").replace("night", "nights").replace("by", "my"))
+    assert distance(base, texts[3]) == 3
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_removed, r.n_near) for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: (0, 0), 1: (1, 1), 2: (0, 0), 3: (1, 1)}
+    docs = frame(spark, texts).selectExpr("*", "'en' as lang", "'s' as source", "length(text) as n_chars")
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()} == {0: texts[0], 1: "here stands a line of its own", 2: texts[2]}
+
+
 def test_filter_never_misses(spark):
     df = spark.range(5000).selectExpr("id * 7919 as k")
     bits = line_dedup.fixed_filter(df, *line_dedup.id_spots(df.k))
