@@ -261,14 +261,14 @@ def without(text: str, gone: set[int]) -> str:
     return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
 
 
-def deduplicated(docs: DataFrame, most: int = 1, least: int = 20, drop_emptied: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, most: int = 1, least: int = 20, drop_emptied: bool = False, drop_blank: bool = False) -> DataFrame:
     """The documents (doc_id, text and any others) without the lines that are within `most` edits of a line that stands earlier in the corpus, or linked to one by such steps.
 
     Lines end at newlines. Lines of fewer than `least` characters stay and aren't compared: small edits make other lines of
     them. Earlier means by doc_id and then by place. Null texts and rows with a null doc_id stay as they are, and their
     lines count for no others; rows that repeat a doc_id count as one document. A document whose lines all go keeps an
-    empty text. With drop_emptied, documents that lose all of their compared lines go, whatever short lines they have left:
-    they say nothing that earlier ones don't.
+    empty text. With drop_blank, documents that lose lines and have no line left but blank ones go. With drop_emptied, documents
+    that lose all of their compared lines go, whatever short lines they have left, though no earlier one may have those.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     gone = later_lines(own, most, least)
@@ -282,7 +282,7 @@ def deduplicated(docs: DataFrame, most: int = 1, least: int = 20, drop_emptied:
         pairs = list(zip(b.column("text").to_pylist(), b.column(places_).to_pylist()))
         out = [t if g is None or t is None else without(t, set(g)) for t, g in pairs]
         b = b.set_column(b.schema.get_field_index("text"), "text", pa.array(out, pa.string())).select(kept.names)
-        stay = [not drop_emptied or g is None or t is None or len(g) < len(lines_of(t, least)) for t, g in pairs]
+        stay = [g is None or t is None or not (drop_emptied and len(g) == len(lines_of(t, least)) or drop_blank and not new.strip()) for (t, g), new in zip(pairs, out)]
         yield b if all(stay) else b.filter(pa.array(stay, pa.bool_()))
 
     return S.map_arrow(rows, cut, kept)

@@ -123,6 +123,12 @@ def test_lines_with_a_changed_word_go(spark, tmp_path):
     assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()} == {0: texts[0], 1: "here stands a line of its own", 2: texts[2]}
 
 
+def test_documents_with_short_lines_left_stay(spark):
+    texts = ["this line stands in every document", "this line stands in every document\na short one", "this line stands in every document\n \n", "\n"]
+    docs = frame(spark, texts).selectExpr("*", "'en' as lang", "'s' as source", "length(text) as n_chars")
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()} == {0: texts[0], 1: "a short one", 3: "\n"}
+
+
 def test_filter_never_misses(spark):
     df = spark.range(5000).selectExpr("id * 7919 as k")
     bits = line_dedup.fixed_filter(df, *line_dedup.id_spots(df.k))
