@@ -1,7 +1,7 @@
 """A corpus pipeline: each stage takes all that the one before kept, and returns documents again.
 
-Stages: language identification (documents without a letter, or like no learned language, go), line dedup, SimHash
-near-dedup (one document of each group stays), benchmark decontamination (documents that hold an item go), SentencePiece
+Stages: language identification (documents without a letter, or like no learned language, go), line dedup, near-dedup
+by SimHash and by prefixes of shingle sets (one document of each group stays), benchmark decontamination (documents that hold an item go), SentencePiece
 coding (ids and decoded text are added). Every stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes each
 one's result to the shared folder and reads it back.
 """
@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.llm import _shared, decontamination, langid, line_dedup, sentencepiece_codec, simhash
+from gridwright.llm import _shared, decontamination, langid, line_dedup, sentencepiece_codec, similar
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.3  # of four languages, a guess has 0.25: below this a text is like none of them
@@ -33,9 +33,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: the one with the smallest doc_id."""
+    """Keeps one document of each group of near-duplicates (sets of five-word shingles of similarity 0.8 or more, or linked by such pairs): the one with the smallest doc_id."""
     _shared.ship(spark)
-    return simhash.one_of_each(docs, size=4, most=4).select(*docs.columns)
+    return similar.one_of_each(docs, size=5, least="0.8").select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

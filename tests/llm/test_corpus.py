@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from gridwright.llm import ann, graph, line_dedup, queries, simhash, substring, token_store, warc
+from gridwright.llm import ann, graph, line_dedup, queries, similar, simhash, substring, token_store, warc
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 DOC = "doc_id long, text string"
@@ -159,6 +159,36 @@ def test_simhash(spark):
     assert simhash.grouped(frame(spark, [])).count() == 0
 
 
+def test_similar_documents(spark):
+    """All pairs of five-word shingle sets at 0.8 or more link, those far apart in SimHash too; the pipeline's stage takes them."""
+    rng = random.Random(8)
+    texts = corpus(60)
+    for _ in range(40):
+        w = [f"w{rng.randrange(500)}" for _ in range(rng.randrange(30, 150))]
+        texts.append(" ".join(w))
+        for k in range(rng.randrange(1, 4)):
+            v = list(w)
+            for _ in range(rng.randrange(1, 5)):
+                v[rng.randrange(len(v))] = f"x{k}"
+            texts.append(" ".join(v))
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    forest, far = graph.Forest(), 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                forest.link(i, j)
+                far += (plain_print(texts[i]) ^ plain_print(texts[j])).bit_count() > 4
+    df = frame(spark, texts)
+    assert far > 10 and {r.doc_id: r.component_id for r in similar.grouped(df.repartition(3)).collect()} == {i: forest.find(i) for i in range(len(texts))}
+    docs = df.selectExpr("*", "'en' as lang", "'s' as source", "length(text) as n_chars")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted({forest.find(i) for i in range(len(texts))})
+    assert similar.grouped(frame(spark, [])).count() == 0
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.integers(0, 2**64 - 1), st.lists(st.integers(0, 63), max_size=4, unique=True))
 def test_ring_keys_meet(fp, bits):
