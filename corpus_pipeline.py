@@ -26,9 +26,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines that repeat earlier ones, but for at most three edits; n_chars follows the text. Documents that lose lines and have none left but blank ones go; all others stay."""
+    """Removes lines that repeat earlier ones, but for at most three edits (lines of fewer than 20 characters: exactly); n_chars follows the text. Documents that lose lines and have none left but blank ones go; all others stay."""
     _shared.ship(spark)
-    out = line_dedup.deduplicated(docs, most=3, least=20, drop_blank=True)
+    out = line_dedup.deduplicated(docs, most=3, least=20, drop_blank=True, short=True)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -106,9 +106,9 @@ def sketches(lines: list[str]) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8).reshape(-1, 64), axis=1, bitorder="little").view("<i8").ravel()
 
 
-def lines_of(text: str | None, least: int) -> list[tuple[int, str]]:
-    """(place, line) of the lines that are long enough to be compared."""
-    return [(i, x) for i, x in enumerate(text.split("\n")) if len(x) >= least] if text else []
+def lines_of(text: str | None, least: int, short: bool = False) -> list[tuple[int, str]]:
+    """(place, line) of the lines that are long enough to be compared; short: and of shorter ones that aren't blank."""
+    return [(i, x) for i, x in enumerate(text.split("\n")) if len(x) >= least or short and x.strip()] if text else []
 
 
 def names(lines: list[str], seed: int = 0) -> np.ndarray:
@@ -237,12 +237,12 @@ def links(docs: DataFrame, most: int, least: int) -> DataFrame:
     return S.map_arrow(both, verify, "a long, b long")
 
 
-def later_lines(docs: DataFrame, most: int = 1, least: int = 20) -> DataFrame:
+def later_lines(docs: DataFrame, most: int = 1, least: int = 20, short: bool = False) -> DataFrame:
     """line_doc_id, gone (places of its lines that go), near (how many of them are no exact copies of their class's first line), stays_in (the documents that hold those first lines)."""
 
     def number(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i, j in S.by_bytes(texts := b.column("text").to_pylist(), 1_000_000):
-            found = [(k, at, x) for k, t in zip(b.column("doc_id")[i:j].to_pylist(), texts[i:j]) if k is not None for at, x in lines_of(t, least)]
+            found = [(k, at, x) for k, t in zip(b.column("doc_id")[i:j].to_pylist(), texts[i:j]) if k is not None for at, x in lines_of(t, least, short)]
             if found:
                 ids, at, lines = zip(*found)
                 yield S.batch(LINE, S.signed(names(lines)), S.signed(names(lines, 1)), list(ids), list(at))
@@ -261,17 +261,17 @@ def without(text: str, gone: set[int]) -> str:
     return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
 
 
-def deduplicated(docs: DataFrame, most: int = 1, least: int = 20, drop_emptied: bool = False, drop_blank: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, most: int = 1, least: int = 20, drop_emptied: bool = False, drop_blank: bool = False, short: bool = False) -> DataFrame:
     """The documents (doc_id, text and any others) without the lines that are within `most` edits of a line that stands earlier in the corpus, or linked to one by such steps.
 
     Lines end at newlines. Lines of fewer than `least` characters stay and aren't compared: small edits make other lines of
-    them. Earlier means by doc_id and then by place. Null texts and rows with a null doc_id stay as they are, and their
+    them. With short, those that aren't blank go where they exactly repeat an earlier line. Earlier means by doc_id and then by place. Null texts and rows with a null doc_id stay as they are, and their
     lines count for no others; rows that repeat a doc_id count as one document. A document whose lines all go keeps an
     empty text. With drop_blank, documents that lose lines and have no line left but blank ones go. With drop_emptied, documents
     that lose all of their compared lines go, whatever short lines they have left, though no earlier one may have those.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    gone = later_lines(own, most, least)
+    gone = later_lines(own, most, least, short)
     kept = docs.schema
     if set(gone.columns).intersection(kept.names):
         gone = gone.withColumnsRenamed({c: f"{c}__line_dedup" for c in gone.columns})
@@ -282,7 +282,7 @@ def deduplicated(docs: DataFrame, most: int = 1, least: int = 20, drop_emptied:
         pairs = list(zip(b.column("text").to_pylist(), b.column(places_).to_pylist()))
         out = [t if g is None or t is None else without(t, set(g)) for t, g in pairs]
         b = b.set_column(b.schema.get_field_index("text"), "text", pa.array(out, pa.string())).select(kept.names)
-        stay = [g is None or t is None or not (drop_emptied and len(g) == len(lines_of(t, least)) or drop_blank and not new.strip()) for (t, g), new in zip(pairs, out)]
+        stay = [g is None or t is None or not (drop_emptied and len(g) == len(lines_of(t, least, short)) or drop_blank and not new.strip()) for (t, g), new in zip(pairs, out)]
         yield b if all(stay) else b.filter(pa.array(stay, pa.bool_()))
 
     return S.map_arrow(rows, cut, kept)
@@ -291,10 +291,10 @@ def deduplicated(docs: DataFrame, most: int = 1, least: int = 20, drop_emptied:
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def digest(docs: DataFrame, most: int = 1, least: int = 20) -> DataFrame:
+def digest(docs: DataFrame, most: int = 1, least: int = 20, short: bool = False) -> DataFrame:
     """doc_id, n_lines, n_removed, n_near (removed lines that are no exact copies of the line that stays), kept_sha256 of each document's text without the removed lines, stays_in (doc_ids of the lines that stay for the removed ones, ascending, comma-joined). Only texts that lose lines are dealt."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    gone = S.stored(later_lines(docs.where("doc_id is not null"), most, least), "later")
+    gone = S.stored(later_lines(docs.where("doc_id is not null"), most, least, short), "later")
 
     def count(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = b.column("text").to_pylist()

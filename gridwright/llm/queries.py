@@ -19,7 +19,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.digest(S.table(spark, sf_dir, "documents", "doc_id", "text"), most=3, least=20)
+    return line_dedup.digest(S.table(spark, sf_dir, "documents", "doc_id", "text"), most=3, least=20, short=True)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

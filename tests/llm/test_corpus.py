@@ -129,6 +129,17 @@ def test_documents_with_short_lines_left_stay(spark):
     assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()} == {0: texts[0], 1: "a short one", 3: "\n"}
 
 
+def test_short_lines_that_repeat_go(spark, tmp_path):
+    texts = ["share\n\nshare this", "share\n\n \nshare thin", "share this\nshare thin\nshare"]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    want = [texts[0], "\n \nshare thin", ""]
+    got = {r.doc_id: r for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert [(got[i].n_removed, got[i].n_near, got[i].stays_in) for i in range(3)] == [(0, 0, ""), (1, 0, "0"), (3, 0, "0,1")]
+    assert [got[i].kept_sha256 for i in range(3)] == [hashlib.sha256(t.encode()).hexdigest() for t in want]
+    docs = frame(spark, texts).selectExpr("*", "'en' as lang", "'s' as source", "length(text) as n_chars")
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()} == {0: want[0], 1: want[1]}
+
+
 def test_filter_never_misses(spark):
     df = spark.range(5000).selectExpr("id * 7919 as k")
     bits = line_dedup.fixed_filter(df, *line_dedup.id_spots(df.k))
