@@ -135,19 +135,19 @@ class WordTokens:
     Its pre-tokenizer never joins what stands before a single space with what follows: a text is its first part and then
     parts that begin with a space, each encoded by itself, and the library need encode each different part only once. Where
     white space stands on both sides of a space, or two spaces together, its rule looks across them; such texts go to the
-    library whole.
-
+    library whole, and so do texts that hold an added token.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.item = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.item}")
         self.opens = np.array([(t := self.library.id_to_token(i)) is not None and t.startswith("Ġ") for i in range(self.library.get_vocab_size())])
         self.spaced = re.compile(r"[^\S ] [^\S ]").search
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)").search
         self.parts = S.Parts(self.kind, most)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -174,7 +174,7 @@ class WordTokens:
         table = self.parts
         if table.entries > table.most:
             table.clear()
-        alone = ["  " in t or self.spaced(t) is not None for t in texts]
+        alone = ["  " in t or self.spaced(t) is not None or self.added(t) is not None for t in texts]
         raw = b" ".join(b"" if x else t.encode() for t, x in zip(texts, alone))
         b = np.frombuffer(raw, np.uint8)
         gaps = np.flatnonzero(b == 32)

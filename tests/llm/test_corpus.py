@@ -361,6 +361,16 @@ def test_token_shards(spark):
     assert token_store.token_store(frame(spark, []), BPE).count() == 0
 
 
+def test_added_tokens_in_texts():
+    from tokenizers import Tokenizer
+
+    texts = ["a b <|endoftext|> c", "<|endoftext|>", "a<|endoftext|>b c", "<|endoftext|> <|endoftext|>", "a b c", "< |endoftext|> b"]
+    library = Tokenizer.from_file(BPE)
+    got = token_store.WordTokens(BPE).of(texts)
+    assert [x.tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in got[0].tolist() and 50256 not in got[5].tolist()
+
+
 def test_shard_access():
     docs = [(i, np.arange(i * 37 % 50, dtype="<u2").tobytes()) for i in range(1000)]
     sink = io.BytesIO()
