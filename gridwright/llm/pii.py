@@ -83,7 +83,7 @@ LOOSE = {
     "card": re.compile(r"(?<![0-9])[0-9](?:[\s._/-]{0,2}[0-9]){12,18}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9])(?:00|\+\s?|\()?[0-9](?:[\s()./-]{0,3}[0-9]){6,14}(?![0-9])"),
 }
-SPELLED = re.compile(r"\(at\)|\[at\]|\{at\}|\[dot\]|\(dot\)|\{dot\}| dot | DOT |@")
+SPELLED = re.compile(r"\(at\)|\[at\]|\{at\}|\[dot\]|\(dot\)|\{dot\}|\s(?:at|AT|dot|DOT)(?=\s)|@")
 HINTS = {"email": ("mail", "contact", "write"), "ip": ("ip", "host", "server", "addr"), "card": ("card", "visa", "pay", "credit"), "phone": ("tel", "phone", "call", "fax", "mobil")}
 
 

@@ -174,3 +174,9 @@ def test_blocks_find_all_within_the_radius():
 
     items.near = every.view(Short)
     assert set(zip(*(x.tolist() for x in items.lookup(prints)))) == full
+
+
+def test_spelled_at_is_proposed():
+    for text in ("write to john at example.com now", "john AT example.com", "john\tat\nexample.com", "john at example dot com"):
+        want = [m.span() for m in pii.LOOSE["email"].finditer(text)]
+        assert want and [(a, b) for k, a, b in pii.proposals(text) if k == "email"] == want
