@@ -154,30 +154,30 @@ def prepared(benchmark: DataFrame, size: int, radius: int) -> Iterator[list[Item
 
 
 def searched(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: float = 0.8, radius: int = RADIUS) -> DataFrame:
-    """doc_id, item_ids (ascending, of the items it holds a passage close to), similarity (largest, or null), n_words of each document (doc_id, text). A null text has no words. Nothing is shuffled, but where items come in several blocks."""
+    """doc_id, item_ids (ascending, of the items it holds a passage close to), similarity (largest, or null), n_words of each document (doc_id, text). A null text has no words. One row comes out for each row; nothing is shuffled: where items come in several blocks, the same rows go through one after the other."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_ids array<long>, similarity double, n_words long"
 
-    def scan(blocks: list[Items]) -> DataFrame:
+    def scan(docs: DataFrame, blocks: list[Items], last: bool) -> DataFrame:
         held = docs.sparkSession.sparkContext.broadcast(blocks)
 
         def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             rows = []
-            for k, h in zip(b.column("doc_id").to_pylist(), S.hashed_texts(b.column("text").to_pylist(), lower=True)):
+            texts, n = b.column("text").to_pylist(), b.num_rows
+            before = zip(b.column("item_ids").to_pylist(), b.column("similarity").to_pylist()) if "item_ids" in b.schema.names else zip([[]] * n, [None] * n)
+            for k, (ids, most), h in zip(b.column("doc_id").to_pylist(), before, S.hashed_texts(texts, lower=True)):
                 found = {items.ids[i]: s for items in held.value for i, (s, _) in items.matches(h, least).items()}
-                rows.append((k, sorted(found), max(found.values(), default=None), len(h)))
+                rows.append((k, sorted({*ids, *found}), max([*found.values(), *([] if most is None else [most])], default=None), len(h)))
             if rows:
-                yield S.batch(HIT, *zip(*rows))
+                out = S.batch(HIT, *zip(*rows))
+                yield out if last else out.append_column("text", pa.array(texts, pa.string()))
 
-        return S.map_arrow(docs, run, schema)
+        return S.map_arrow(docs, run, schema if last else schema + ", text string")
 
-    parts = [scan(b) for b in prepared(benchmark, size, radius)] or [scan([])]
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionAll(p)
-    return every.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("similarity").alias("similarity"), F.max("n_words").alias("n_words"))
+    parts = list(prepared(benchmark, size, radius)) or [[]]
+    for i, blocks in enumerate(parts):
+        docs = scan(docs, blocks, i == len(parts) - 1)
+    return docs
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: float = 0.8, radius: int = RADIUS) -> DataFrame:

@@ -180,3 +180,13 @@ def test_spelled_at_is_proposed():
     for text in ("write to john at example.com now", "john AT example.com", "john\tat\nexample.com", "john at example dot com"):
         want = [m.span() for m in pii.LOOSE["email"].finditer(text)]
         assert want and [(a, b) for k, a, b in pii.proposals(text) if k == "email"] == want
+
+
+def test_items_in_blocks_keep_rows(spark, monkeypatch):
+    """Rows that repeat a doc_id, or have none, stay rows of their own when items come in several blocks."""
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(9))) for i in range(7)]
+    docs = [(1, items[0][1]), (1, items[1][1] + " and " + items[2][1]), (None, items[3][1]), (None, "nothing of them"), (2, items[4][1] + " " + items[5][1][:-4]), (3, None)]
+    df, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(str, decontamination.report(df, benchmark).collect()))
+    monkeypatch.setattr(decontamination, "ITEMS_AT_ONCE", 2)
+    assert len(one) == len(docs) and sorted(map(str, decontamination.report(df, benchmark).collect())) == one
