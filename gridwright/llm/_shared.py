@@ -9,7 +9,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -34,15 +36,21 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one of its own where that is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or the checkpoint directory that the session was given.
+
+    Where neither is set, a local master (tests) gets a temporary folder of its own; on a cluster that is a ValueError, as
+    no machine's own folder is seen by the others.
+    """
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
-        found = os.path.join(tempfile.gettempdir(), f"gridwright-{os.getpid()}")
-        spark.sparkContext.setCheckpointDir(found)
-        found = "file://" + found
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = "file://" + os.path.join(tempfile.gettempdir(), f"gridwright-{os.getpid()}")
+        sc.setCheckpointDir(found)
     if "://" not in found:  # a path of the default file system, which readers outside Spark must know too
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
-        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        path = sc._jvm.org.apache.hadoop.fs.Path(found)
+        found = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
         found = found.replace(":/", ":///", 1) if "://" not in found else found
     return found.rstrip("/")
 
@@ -59,6 +67,21 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """Join rows with groups, one for each of their keys, whose column `size` counts the group's rows.
+
+    A key of a large group would send all its rows to one task. Groups of over a ten-thousandth of all rows are broadcast:
+    there are fewer than 10,000 of them whatever the data. The rest is dealt by key, never broadcast. Rows without a group go.
+    """
+    least = max(1000, rows.count() // 10_000)
+    held = groups.where(F.col(size) > least).drop(size)
+    other = [F.col(c).alias(f"large_{c}") for c in keys]
+    same = [rows[c] == F.col(f"large_{c}") for c in keys]
+    names = held.select(*other)
+    cold = rows.join(F.broadcast(names), same, "left_anti").join(groups.where(F.col(size) <= least).drop(size).hint("merge"), keys)
+    return rows.join(F.broadcast(held), keys).unionByName(cold)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow by batch; fn yields any number of batches for each."""
     ship(df.sparkSession)
@@ -96,6 +119,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+CHARACTERS = 0xA0761D6478BD642F  # base of polynomials over characters
+
+
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -123,22 +149,49 @@ def windows(h: np.ndarray, length: int, base: int = 0x9E3779B97F4A7C15) -> np.nd
 
 GAP = np.zeros(256, bool)
 GAP[[9, 10, 11, 12, 13, 32]] = True
-BYTES = 0xA0761D6478BD642F  # base of the polynomial over a word's bytes
-
-
-def spans_hash(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each range of bytes: a polynomial of them modulo 2**64 and their number, mixed."""
-    up, down = _powers(BYTES, len(b) + 1)
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((b + np.uint64(1)) * up[:-1], dtype=np.uint64, out=sums[1:])
-    return mix(mix((sums[ends] - sums[starts]) * down[starts]) + (ends - starts).astype(np.uint64))
+LANE = np.array([0, *((1 << 8 * k) - 1 for k in range(1, 9))], np.uint64)  # masks of so many low bytes
+LONG = 64  # longer ranges of bytes are hashed one by one
+
+
+def spans_hash(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each range of bytes, 128 bits that tell ranges apart.
+
+    Each 8 bytes of a range are mixed into its two states before the next are added, so unlike in a polynomial no pattern of
+    letters cancels out. Ranges of more than LONG bytes get XXH3's 128 bits.
+    """
+    size = ends - starts
+    n = size.astype(np.uint64)
+    padded = np.concatenate([b, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(b) + 1,), "<u8", padded, strides=(1,))
+    lane = lanes[starts] & LANE[np.minimum(size, 8)]
+    h = mix(lane ^ n * np.uint64(0x9E3779B97F4A7C15))
+    g = mix((lane ^ np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xFF51AFD7ED558CCD) + n)
+    for at in range(8, LONG, 8):
+        rows = np.flatnonzero(size > at)
+        if not len(rows):
+            break
+        lane = lanes[starts[rows] + at] & LANE[np.minimum(size[rows] - at, 8)]
+        h[rows] = mix(h[rows] ^ lane)
+        g[rows] = mix((g[rows] + lane) * np.uint64(0xC4CEB9FE1A85EC53) + np.uint64(1))
+    for i in np.flatnonzero(size > LONG).tolist():
+        whole = xxhash.xxh3_128_intdigest(padded[starts[i] : ends[i]].tobytes())
+        h[i], g[i] = whole & 0xFFFFFFFFFFFFFFFF, whole >> 64
+    return h, g
+
+
+def distinct(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The place of the first of each different pair of hashes."""
+    order = np.lexsort((g, h))
+    first = np.ones(len(order), bool)
+    first[1:] = (h[order[1:]] != h[order[:-1]]) | (g[order[1:]] != g[order[:-1]])
+    return order[first]
 
 
 def hashed_words(text: str | None, lower: bool = False, piece: int = 1 << 19) -> np.ndarray:
-    """The hashes of a text's words, from its bytes at once; lower: of a text with A-Z in lower case."""
+    """The two hashes of each of a text's words (a row of each), from its bytes at once; lower: of a text with A-Z in lower case."""
     raw = text.encode() if text else b""
     raw = raw.lower() if lower else raw
-    out, begin = [], 0
+    out, begin = [np.empty((2, 0), np.uint64)], 0
     while begin < len(raw):
         end = len(raw)
         if end - begin > piece:  # cut between words
@@ -146,9 +199,9 @@ def hashed_words(text: str | None, lower: bool = False, piece: int = 1 << 19) ->
             end = cut if cut is not None else end
         b = np.frombuffer(raw, np.uint8, end - begin, begin)
         edge = np.flatnonzero(np.diff(GAP[b], prepend=True, append=True))
-        out.append(spans_hash(b, edge[::2], edge[1::2]))
+        out.append(np.stack(spans_hash(b, edge[::2], edge[1::2])))
         begin = end
-    return np.concatenate(out) if len(out) > 1 else out[0] if out else np.empty(0, np.uint64)
+    return np.concatenate(out, axis=1) if len(out) > 2 else out[-1]
 
 
 def hashed_texts(texts: list, lower: bool = False, group: int = 1 << 17) -> Iterator[np.ndarray]:
@@ -167,13 +220,13 @@ def hashed_texts(texts: list, lower: bool = False, group: int = 1 << 17) -> Iter
         raw = b"\n".join(raws)
         b = np.frombuffer(raw.lower() if lower else raw, np.uint8)
         edge = np.flatnonzero(np.diff(GAP[b], prepend=True, append=True))
-        h = spans_hash(b, edge[::2], edge[1::2])
+        h = np.stack(spans_hash(b, edge[::2], edge[1::2]))
         ends = np.searchsorted(edge[::2], np.cumsum([len(r) + 1 for r in raws])).tolist()
-        yield from (h[a:e] for a, e in zip([0, *ends], ends))
+        yield from (h[:, a:e] for a, e in zip([0, *ends], ends))
 
 
 class Parts:
-    """Ids of text parts, found by 64-bit hashes in an open table of arrays; the ids stand in one pool, so those of a batch are gathered at once. Far smaller than a dictionary of objects."""
+    """Ids of text parts, found by 128-bit hashes in an open table of arrays; the ids stand in one pool, so those of a batch are gathered at once. Far smaller than a dictionary of objects."""
 
     def __init__(self, kind: str, most: int):
         self.kind, self.most = np.dtype(kind), most
@@ -181,34 +234,36 @@ class Parts:
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(self.mask + 1, np.uint64)  # 0: free
+        self.keys, self.checks = (np.zeros(self.mask + 1, np.uint64) for _ in range(2))  # a key of 0: free
         self.entry = np.zeros(self.mask + 1, np.int32)
         self.offset, self.length, self.entries = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
         self.pool, self.used = np.zeros(1 << 18, self.kind), 0
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """The entries of hashes, -1 where there is none."""
+    def find(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """The entries of pairs of hashes (h is never 0), -1 where there is none."""
         slot = (h & np.uint64(self.mask)).astype(np.int64)
         held = self.keys[slot]
-        out = np.where(held == h, self.entry[slot], -1)
-        go = np.flatnonzero((held != h) & (held != 0))
+        same = (held == h) & (self.checks[slot] == g)
+        out = np.where(same, self.entry[slot], -1)
+        go = np.flatnonzero(~same & (held != 0))
         while len(go):
             slot[go] = (slot[go] + 1) & self.mask
             held = self.keys[slot[go]]
-            same = held == h[go]
+            same = (held == h[go]) & (self.checks[slot[go]] == g[go])
             out[go[same]] = self.entry[slot[go[same]]]
             go = go[~same & (held != 0)]
         return out
 
-    def insert(self, h: np.ndarray, entry: np.ndarray) -> None:
-        """File different hashes that aren't in the table."""
+    def insert(self, h: np.ndarray, g: np.ndarray, entry: np.ndarray) -> None:
+        """File different pairs of hashes that aren't in the table."""
         slot = (h & np.uint64(self.mask)).astype(np.int64)
         while len(h):
             free = self.keys[slot] == 0
             self.keys[slot[free]] = h[free]  # of several for one slot the last stays
-            mine = free & (self.keys[slot] == h)
+            self.checks[slot[free]] = g[free]
+            mine = free & (self.keys[slot] == h) & (self.checks[slot] == g)
             self.entry[slot[mine]] = entry[mine]
-            h, slot, entry = h[~mine], (slot[~mine] + 1) & self.mask, entry[~mine]
+            h, g, slot, entry = h[~mine], g[~mine], (slot[~mine] + 1) & self.mask, entry[~mine]
 
     def add(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Append ids to the pool, as entries of these lengths; returns their numbers."""

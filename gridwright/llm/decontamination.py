@@ -32,7 +32,7 @@ HIT = pa.schema([("doc_id", pa.int64()), ("item_ids", pa.list_(pa.int64())), ("s
 
 def lowered(text: str | None) -> np.ndarray:
     """Hashes of a text's words in lower case (A-Z)."""
-    return S.hashed_words(text, lower=True)
+    return S.hashed_words(text, lower=True)[0]
 
 
 def signs(h: np.ndarray) -> np.ndarray:
@@ -165,7 +165,7 @@ def searched(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: float
             rows = []
             texts, n = b.column("text").to_pylist(), b.num_rows
             before = zip(b.column("item_ids").to_pylist(), b.column("similarity").to_pylist()) if "item_ids" in b.schema.names else zip([[]] * n, [None] * n)
-            for k, (ids, most), h in zip(b.column("doc_id").to_pylist(), before, S.hashed_texts(texts, lower=True)):
+            for k, (ids, most), h in zip(b.column("doc_id").to_pylist(), before, (x[0] for x in S.hashed_texts(texts, lower=True))):
                 found = {items.ids[i]: s for items in held.value for i, (s, _) in items.matches(h, least).items()}
                 rows.append((k, sorted({*ids, *found}), max([*found.values(), *([] if most is None else [most])], default=None), len(h)))
             if rows:
@@ -188,7 +188,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, least:
         held = docs.sparkSession.sparkContext.broadcast(blocks)
 
         def run(b: pa.RecordBatch, held=held) -> Iterator[pa.RecordBatch]:
-            clean = [not any(items.matches(h, least) for items in held.value) for h in S.hashed_texts(b.column("text").to_pylist(), lower=True)]
+            clean = [not any(items.matches(h, least) for items in held.value) for h, _ in S.hashed_texts(b.column("text").to_pylist(), lower=True)]
             yield b.filter(pa.array(clean, pa.bool_()))
 
         docs = S.map_arrow(docs, run, T.StructType(schema.fields))

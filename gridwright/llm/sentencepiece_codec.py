@@ -7,8 +7,9 @@ arrays and takes the best pair of each segment at once.
 
 No piece of such a vocabulary holds the space mark after another character (checked when a model is read), so no merge
 crosses from a character to a space mark: a text is a row of segments, each a run of space marks and what follows it, and a
-segment is merged once however often it appears. Every batch is checked against the sentencepiece library, by its new segments or
-(check="texts") by its whole texts, and every text must come back from decoding; a difference raises ValueError.
+segment is merged once however often it appears. New segments, or with check="texts" whole texts, are held against the
+sentencepiece library, and every text is decoded: where a segment's ids differ, or a text doesn't come back, the library's
+own ids are taken.
 """
 
 from __future__ import annotations
@@ -147,7 +148,7 @@ class Codec:
                 out.extend(self.byte_ids[b] for b in (chr(-1 - s) if s < 0 else self.rare[s - len(self.pieces)]).encode())
         return out
 
-    def learn(self, h: np.ndarray, new: list[str]) -> None:
+    def learn(self, h: np.ndarray, g: np.ndarray, new: list[str]) -> None:
         """Merge segments, each with its space marks, and keep their ids under these hashes."""
         short = np.array([len(w) <= 48 for w in new], bool)
         sym, counts = self.merge_all([w for w, s in zip(new, short) if s])
@@ -155,10 +156,13 @@ class Codec:
         odd = np.add.reduceat((sym < 0) | (sym >= len(self.pieces)), np.cumsum(counts) - counts) if len(sym) else ()
         lists = [np.array(self.to_ids(x.tolist())) if o else x for x, o in zip(lists, odd)]
         lists += [np.array(self.to_ids(self.merge_one([int(self.table[ord(c)]) for c in w]))) for w, s in zip(new, short) if not s]
-        if self.check:
-            order = [w for w, s in zip(new, short) if s] + [w for w, s in zip(new, short) if not s]
-            self.agree(*zip(*((w[1:], x) for w, x in zip(order, lists) if w != SPACE)))  # a lone space mark is no text of the library
-        self.parts.insert(np.concatenate([h[short], h[~short]]), self.parts.add(np.concatenate(lists), np.array([len(x) for x in lists])))
+        order = np.concatenate([np.flatnonzero(short), np.flatnonzero(~short)])
+        if self.check:  # the library puts the first space mark itself; a lone one is no text of it
+            held = [k for k, i in enumerate(order.tolist()) if new[i] != SPACE]
+            for k, theirs in zip(held, self.library.encode([new[order[k]][1:] for k in held], num_threads=1)):
+                if lists[k].tolist() != theirs:
+                    lists[k] = np.array(theirs, np.int64)
+        self.parts.insert(h[order], g[order], self.parts.add(np.concatenate(lists), np.array([len(x) for x in lists])))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, with begin and end ids."""
@@ -175,39 +179,38 @@ class Codec:
         first[bounds[:-1][np.diff(bounds) > 0]] = True
         starts = np.flatnonzero(first)
         ends = np.append(starts[1:], len(b))[: len(starts)]
-        h = S.spans_hash(b, starts, ends)
+        h, g = S.spans_hash(b, starts, ends)
         h[h == 0] = 1
-        entry = self.parts.find(h)
+        entry = self.parts.find(h, g)
         if (lost := entry < 0).any():
-            new, where = np.unique(h[lost], return_index=True)
-            at = np.flatnonzero(lost)[where]
-            self.learn(new, [raw[i:j].decode().replace(" ", SPACE) for i, j in zip(starts[at].tolist(), ends[at].tolist())])
-            entry[lost] = self.parts.find(h[lost])
+            at = np.flatnonzero(lost)
+            at = at[S.distinct(h[at], g[at])]
+            self.learn(h[at], g[at], [raw[i:j].decode().replace(" ", SPACE) for i, j in zip(starts[at].tolist(), ends[at].tolist())])
+            entry[lost] = self.parts.find(h[lost], g[lost])
         ids, stops = self.parts.gather(entry)
         cuts = np.append(0, stops)[np.searchsorted(starts, bounds)].tolist()
         begin, end = (np.array([i], "<u4") for i in (self.library.bos_id(), self.library.eos_id()))
         out = [np.concatenate([begin, ids[i:j], end]) for i, j in zip(cuts, cuts[1:])]
         if self.check == "texts":
-            self.agree(texts, [x[1:-1] for x in out])
+            out = [x if x.tolist() == theirs else np.array(theirs, "<u4") for x, theirs in zip(out, self.whole(texts))]
         return out
 
-    def agree(self, texts: list[str] = (), ids: list[np.ndarray] = ()) -> None:
-        """Hold ids against the library's."""
-        for t, mine, theirs in zip(texts, ids, self.library.encode(list(texts), num_threads=1)):
-            if mine.tolist() != theirs:
-                raise ValueError(f"ids differ from the sentencepiece library's in {t[:200]!r}")
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        """The library's ids of whole texts, with begin and end ids."""
+        return self.library.encode(list(texts), add_bos=True, add_eos=True, num_threads=1)
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         """The library's decode of ids."""
         return self.library.decode([x.tolist() for x in ids], num_threads=1)
 
     def both(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
-        """Encode, decode and hold the decoded texts against the given ones, but for space marks, which come back as spaces."""
+        """Ids and the texts they decode to. A text that doesn't come back, but for space marks, which come back as spaces, gets the library's ids and what these decode to."""
         ids = self.encode(texts)
         decoded = self.decode(ids)
-        for t, d in zip(texts, decoded):
-            if t != d and t.replace(SPACE, " ") != d:
-                raise ValueError(f"a text doesn't come back from its ids: {t[:200]!r}")
+        lost = [i for i, (t, d) in enumerate(zip(texts, decoded)) if t != d and t.replace(SPACE, " ") != d]
+        for i, theirs in zip(lost, self.whole([texts[i] for i in lost]) if lost else ()):
+            ids[i] = np.array(theirs, "<u4")
+            decoded[i] = self.library.decode(theirs)
         return ids, decoded
 
 

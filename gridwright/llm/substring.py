@@ -6,7 +6,8 @@ until no candidates survive.
 
 The first level needn't file every position. Of the short windows in a full-length one, the one with the smallest hash
 stands for it; two equal full-length windows have the same. Filing only those keeps a quarter of the positions and loses
-no repeat. A text is dealt once to meet its repeated short windows; only documents that have some go further.
+no repeat. Words have two hashes of 64 bits, windows one from each: by both together, 128 bits, a window decides a removal.
+A text is dealt once to meet its repeated short windows; only documents that have some go further.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from . import _shared as S
 
 FILED = pa.schema([("h", pa.int64()), ("doc_id", pa.int64())])
 AT = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32())])
-LATER = pa.schema([("doc_id", pa.int64()), ("h", pa.int64())])
-DIGEST = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("copy", pa.binary())])
-KEPT = pa.schema([("doc_id", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
-OTHER = 0xC2B2AE3D27D4EB4F
+LATER = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("g", pa.int64())])
+DIGEST = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("copy", pa.binary()), ("own_text", pa.string())])
+KEPT = pa.schema([("doc_id", pa.int64()), ("copy", pa.binary()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
+OTHER = 0xC2B2AE3D27D4EB4F  # base of the second hash of windows
 
 
 def least_of(h: np.ndarray, width: int) -> np.ndarray:
@@ -39,6 +40,11 @@ def least_of(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def named(hg: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each window, from the words' two."""
+    return S.windows(hg[0], length), S.windows(hg[1], length, OTHER)
+
+
 def filed(h: np.ndarray, short: int, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For word hashes: the hash that stands for each full-length window, and those that are filed, each once."""
     marks = least_of(S.windows(h, short), length - short + 1) if len(h) >= length else np.empty(0, np.uint64)
@@ -80,13 +86,27 @@ def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
+def found_pairs(h: np.ndarray, g: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs (a, b) stand among the pairs (h, g), which are sorted."""
+    low = np.searchsorted(h, a, "left")
+    out = np.zeros(len(a), bool)
+    go = np.arange(len(a))
+    while len(go):  # more than one round only where first hashes agree
+        go = go[(low[go] < len(h))]
+        go = go[h[low[go]] == a[go]]
+        out[go] |= g[low[go]] == b[go]
+        go = go[~out[go]]
+        low[go] += 1
+    return out
+
+
 def candidates(docs: DataFrame, length: int, short: int, gone: DataFrame | None = None, once: bool = False) -> tuple[DataFrame, DataFrame]:
     """The first level and the step to full length: the documents (doc_id, text, marks) that have repeated short windows, but for those in gone (gone_id), and their windows (h, g, doc_id, at) that contain one: two hashes, and the first word's place. once: each different window of a document once, so that no window has more rows than there are documents."""
 
     def file(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i, j in S.by_bytes(texts := b.column("text").to_pylist()):
             hs, ids = [], []
-            for k, h in zip(b.column("doc_id")[i:j].to_pylist(), S.hashed_texts(texts[i:j])):
+            for k, (h, _) in zip(b.column("doc_id")[i:j].to_pylist(), S.hashed_texts(texts[i:j])):
                 if k is not None and len(h) >= length:
                     hs.append(filed(h, short, length)[1])
                     ids.append(np.full(len(hs[-1]), k, np.int64))
@@ -102,11 +122,12 @@ def candidates(docs: DataFrame, length: int, short: int, gone: DataFrame | None
     def extend(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i, j in S.by_bytes(texts := b.column("text").to_pylist(), 1_000_000):
             parts = []
-            for k, h, m in zip(b.column("doc_id")[i:j].to_pylist(), S.hashed_texts(texts[i:j]), b.column("marks")[i:j]):
-                at = np.flatnonzero(np.isin(filed(h, short, length)[0], m.values.to_numpy().view(np.uint64)))
+            for k, hg, m in zip(b.column("doc_id")[i:j].to_pylist(), S.hashed_texts(texts[i:j]), b.column("marks")[i:j]):
+                at = np.flatnonzero(np.isin(filed(hg[0], short, length)[0], m.values.to_numpy().view(np.uint64)))
+                wide = named(hg, length)
                 if once:
-                    at = at[np.unique(S.windows(h, length)[at], return_index=True)[1]]
-                parts.append((S.windows(h, length)[at], S.windows(S.mix(h), length, OTHER)[at], np.full(len(at), k, np.int64), at.astype(np.int32)))
+                    at = at[S.distinct(wide[0][at], wide[1][at])]
+                parts.append((wide[0][at], wide[1][at], np.full(len(at), k, np.int64), at.astype(np.int32)))
             h, g, ids, at = (np.concatenate(x) for x in zip(*parts))
             if len(h):
                 yield S.batch(AT, S.signed(h), S.signed(g), ids, at)
@@ -142,8 +163,9 @@ def deduplicated(docs: DataFrame, length: int = 13, short: int | None = None, te
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text, if asked for) of each document (doc_id, text).
 
     A word is removed if a window of `length` words covers it whose words also start in a document with a smaller doc_id.
-    Windows are judged on the input. Null texts have no words; null ids are left as they are and make nothing else go;
-    rows of one doc_id are each treated as the document's text.
+    Windows are judged on the input. Null texts have no words; null ids are left as they are and make nothing else go. Rows
+    that repeat a doc_id are one document for what is earlier, but each is cut by its own text and comes out once; nothing
+    of them goes because of another row of that id.
     """
     short = short or (length + 1) // 2
     if not 0 < short <= length <= 2 * short:
@@ -157,16 +179,20 @@ def deduplicated(docs: DataFrame, length: int = 13, short: int | None = None, te
             ws = S.words(t.as_py())
             kept = b" ".join(ws)
             name = sha256(kept)
-            rows.append((k.as_py(), len(ws), name.hexdigest(), name.digest()[:16] if len(ws) >= length else None))
+            rows.append((k.as_py(), len(ws), name.hexdigest(), name.digest()[:16] if len(ws) >= length else None, t.as_py() if text else None))
         if rows:
             yield S.batch(DIGEST, *zip(*rows))
 
     # Documents with the same words as an earlier one lose every word; only the first of each goes on.
-    every = S.stored(S.map_arrow(docs, digest, "doc_id long, n_words long, kept_sha256 string, copy binary"), "digests")
-    first = every.where("copy is not null and doc_id is not null").groupBy("copy").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
-    gone = S.stored(every.join(first, "copy").where("doc_id > first").select(F.col("doc_id").alias("gone_id")).distinct(), "copies")
+    every = S.stored(S.map_arrow(docs, digest, "doc_id long, n_words long, kept_sha256 string, copy binary, own_text string"), "digests")
+    named_rows = every.where("copy is not null and doc_id is not null").select("doc_id", "copy")
+    first = named_rows.groupBy("copy").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    gone = S.stored(S.join_groups(named_rows, first, ["copy"], "copies").where("doc_id > first").groupBy("doc_id", "copy").agg(F.count(F.lit(1)).alias("n")), "copies")
+    # Of ids that stand in several rows, those go no further whose rows are all copies.
+    whole = every.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").join(gone.groupBy("doc_id").agg(F.sum("n").alias("n")), "doc_id").where("rows > n").select("doc_id")
+    only = gone.join(whole, "doc_id", "left_anti").select(F.col("doc_id").alias("gone_id")).distinct()
 
-    near, rows = candidates(docs, length, short, gone, once=True)
+    near, rows = candidates(docs, length, short, only, once=True)
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows sorted by window and document, those after the window's first document."""
@@ -181,27 +207,33 @@ def deduplicated(docs: DataFrame, length: int = 13, short: int | None = None, te
             keep = d > firsts
             h0, g0, d0 = int(h[-1]), int(g[-1]), int(firsts[-1])
             if keep.any():
-                yield S.batch(LATER, d[keep], h[keep])
+                yield S.batch(LATER, d[keep], h[keep], g[keep])
 
-    hits = rows.drop("at").repartition("h", "g").sortWithinPartitions("h", "g", "doc_id").mapInArrow(later, "doc_id long, h long").groupBy("doc_id").agg(F.collect_set("h").alias("windows")).withColumnRenamed("doc_id", "hit_id")
+    dealt = rows.drop("at").repartition("h", "g").sortWithinPartitions("h", "g", "doc_id")
+    hits = dealt.mapInArrow(later, "doc_id long, h long, g long").groupBy("doc_id").agg(F.collect_set(F.struct("h", "g")).alias("windows")).withColumnRenamed("doc_id", "hit_id")
 
     def cut(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = []
-        for k, t, gone_windows in zip(b.column("doc_id"), b.column("text"), b.column("windows")):
+        for k, t, going in zip(b.column("doc_id"), b.column("text"), b.column("windows")):
             ws = S.words(t.as_py())
-            starts = np.flatnonzero(np.isin(S.windows(S.hashed_words(t.as_py()), length), gone_windows.values.to_numpy().view(np.uint64)))
+            wide = named(S.hashed_words(t.as_py()), length)
+            h, g = (going.values.field(c).to_numpy().view(np.uint64) for c in ("h", "g"))
+            # The pairs that go are different, so a window's place among them by its first hash is checked by its second.
+            order = np.lexsort((g, h))
+            starts = np.flatnonzero(np.isin(wide[0], h))
+            starts = starts[found_pairs(h[order], g[order], wide[0][starts], wide[1][starts])]
             out = covered(starts, length, len(ws))
             kept = b" ".join(w for w, o in zip(ws, out.tolist()) if not o)
-            rows.append((k.as_py(), int(out.sum()), sha256(kept).hexdigest(), kept.decode() if text else None))
+            rows.append((k.as_py(), sha256(b" ".join(ws)).digest()[:16], int(out.sum()), sha256(kept).hexdigest(), kept.decode() if text else None))
         if rows:
             yield S.batch(KEPT, *zip(*rows))
 
-    changed = S.map_arrow(near.drop("marks").join(hits, F.col("doc_id") == F.col("hit_id")).drop("hit_id"), cut, "doc_id long, n_removed long, kept_sha256 string, kept_text string")
+    changed = S.map_arrow(near.drop("marks").join(hits, F.col("doc_id") == F.col("hit_id")).drop("hit_id"), cut, "doc_id long, copy binary, n_removed long, kept_sha256 string, kept_text string")
     empty = sha256(b"").hexdigest()
-    changed = changed.unionByName(gone.select(F.col("gone_id").alias("doc_id"), F.lit(None).cast("long").alias("n_removed"), F.lit(empty).alias("kept_sha256"), F.lit("").alias("kept_text")))
-    changed = changed.toDF("changed_id", "less", "new_sha256", "kept_text")
-    out = every.drop("copy").join(changed, F.col("doc_id") == F.col("changed_id"), "left")
-    out = out.select("doc_id", "n_words", F.when(F.col("changed_id").isNull(), 0).otherwise(F.coalesce("less", "n_words")).alias("n_removed"), F.coalesce("new_sha256", "kept_sha256").alias("kept_sha256"), "kept_text")
-    if not text:
-        return out.drop("kept_text")
-    return out.join(docs.select(F.col("doc_id").alias("own_id"), "text"), F.col("doc_id").eqNullSafe(F.col("own_id")), "left").select("doc_id", "n_words", "n_removed", "kept_sha256", F.coalesce("kept_text", "text").alias("kept_text"))
+    changed = changed.unionByName(gone.select("doc_id", "copy", F.lit(None).cast("long").alias("n_removed"), F.lit(empty).alias("kept_sha256"), F.lit("").alias("kept_text")))
+    # One row for each different text of an id: rows come out as often as they came in.
+    changed = changed.groupBy("doc_id", "copy").agg(F.max(F.struct(F.coalesce("n_removed", F.lit(-1)).alias("n"), "kept_sha256", "kept_text")).alias("r"))
+    changed = changed.select(F.col("doc_id").alias("changed_id"), F.col("copy").alias("changed_copy"), F.when(F.col("r.n") >= 0, F.col("r.n")).alias("less"), F.col("r.kept_sha256").alias("new_sha256"), "r.kept_text")
+    out = every.join(changed, (F.col("doc_id") == F.col("changed_id")) & (F.col("copy") == F.col("changed_copy")), "left")
+    out = out.select("doc_id", "copy", "n_words", F.when(F.col("changed_id").isNull(), 0).otherwise(F.coalesce("less", "n_words")).alias("n_removed"), F.coalesce("new_sha256", "kept_sha256").alias("kept_sha256"), F.coalesce("kept_text", "own_text").alias("kept_text"))
+    return out.drop("copy", "kept_text") if not text else out.drop("copy")

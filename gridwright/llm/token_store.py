@@ -15,11 +15,13 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,9 @@ from . import _shared as S
 
 MAGIC = b"GWEF0001"
 SAMPLE = 256  # a select sample for each so many documents
+PIECE = 1 << 13
+ROLL = 256 << 20  # a shard ends at so many bytes of ids,
+MOST = 4 << 20  # or so many documents
 
 
 class EliasFano:
@@ -41,8 +46,10 @@ class EliasFano:
         n = len(values)
         top = int(values[-1]) if n else 0
         width = max(0, (top // n).bit_length() - 1) if n else 0
-        bits = (values[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
-        low = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little")
+        places = np.arange(width, dtype=np.uint64)
+        # Bits are spread out for a few thousand numbers at a time, a multiple of 8, so each piece ends with a whole byte.
+        pieces = [np.packbits(((values[i : i + PIECE, None] >> places) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little") for i in range(0, n, PIECE)]
+        low = np.concatenate(pieces) if pieces else np.empty(0, np.uint8)
         ones = (values >> np.uint64(width)).astype(np.int64) + np.arange(n)
         high = np.zeros((int(ones[-1]) // 8 + 1) if n else 0, np.uint8)
         np.bitwise_or.at(high, ones >> 3, (1 << (ones & 7)).astype(np.uint8))
@@ -70,21 +77,24 @@ class EliasFano:
         return ((ones - np.arange(i, j)).astype(np.uint64) << np.uint64(self.width)) | self.lows(i, j)
 
 
-def write_shard(sink, documents: Iterator[tuple[int | None, bytes]], item: int) -> dict:
-    """Write documents (key, ids as bytes) in the order given; returns how many documents and ids the shard has. Ids are streamed, only their counts are held."""
-    keys, counts, nulls = [], [], 0
+def write_shard(sink, documents: Iterator[tuple[int | None, bytes]], item: int, roll: int = ROLL, most: int = MOST) -> dict:
+    """Write documents (key, ids as bytes) in the order given, until the shard is full; returns how many documents and ids it has. Ids are streamed; of a document only its key and its count are held, 16 bytes."""
+    keys, counts, nulls, size = array("q"), array("q"), 0, 0
     for key, ids in documents:
         sink.write(ids)
         nulls += key is None
         keys.append(0 if key is None else key)
         counts.append(len(ids) // item)
-    ends = EliasFano.of(np.cumsum(np.array(counts, np.uint64)))
-    parts = [np.array(keys, "<i8"), ends.low, ends.high, ends.samples]
+        size += len(ids)
+        if size >= roll or len(keys) >= most:
+            break
+    ends = EliasFano.of(np.cumsum(np.frombuffer(counts, np.int64)).astype(np.uint64))
+    parts = [np.frombuffer(keys, "<i8"), ends.low, ends.high, ends.samples]
     for p in parts:
         sink.write(p.tobytes())
-    foot = json.dumps({"n": ends.n, "ids": int(sum(counts)), "item": item, "nulls": nulls, "width": ends.width, "sizes": [p.nbytes for p in parts], "sample": parts[3].dtype.str}).encode()
+    foot = json.dumps({"n": ends.n, "ids": size // item, "item": item, "nulls": nulls, "width": ends.width, "sizes": [p.nbytes for p in parts], "sample": parts[3].dtype.str}).encode()
     sink.write(foot + struct.pack("<I", len(foot)) + MAGIC)
-    return {"n": ends.n, "ids": int(sum(counts))}
+    return {"n": ends.n, "ids": size // item}
 
 
 class Shard:
@@ -133,7 +143,8 @@ class WordTokens:
     """Ids of a byte-level BPE file of the tokenizers library.
 
     Its pre-tokenizer never joins what stands before a single space with what follows: a text is its first part and then
-    parts that begin with a space, each encoded by itself, and the library need encode each different part only once. Where
+    parts that begin with a space, each encoded by itself, and the library need encode each different part only once (parts are
+    told apart by 128-bit hashes). Where
     white space stands on both sides of a space, or two spaces together, its rule looks across them; such texts go to the
     library whole, and so do texts that hold an added token.
     """
@@ -153,21 +164,21 @@ class WordTokens:
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, h: np.ndarray, parts: list[str]) -> None:
+    def learn(self, h: np.ndarray, g: np.ndarray, parts: list[str]) -> None:
         """Encode new parts, each given without its space. Those that begin with no white space go to the library many in a text: each begins at an id that begins with a space. The rest go one by one."""
-        plain = np.array([bool(p) and not p[0].isspace() for p in parts], bool)
-        row = [p for p, ok in zip(parts, plain) if ok]
-        hs = h[plain]
-        for i in range(0, len(row), 1000):
-            ids = self.whole([" " + " ".join(row[i : i + 1000])])[0]
+        plain = [i for i, p in enumerate(parts) if p and not p[0].isspace()]
+        rest = [i for i, p in enumerate(parts) if not p or p[0].isspace()]
+        for k in range(0, len(plain), 1000):
+            some = plain[k : k + 1000]
+            ids = self.whole([" " + " ".join(parts[i] for i in some)])[0]
             starts = np.flatnonzero(self.opens[ids])
-            if len(starts) != len(row[i : i + 1000]):
-                raise AssertionError("parts and ids don't agree")
-            self.parts.insert(hs[i : i + 1000], self.parts.add(ids, np.diff(np.append(starts, len(ids)))))
-        rest = [p for p, ok in zip(parts, plain) if not ok]
+            if len(starts) == len(some):
+                self.parts.insert(h[some], g[some], self.parts.add(ids, np.diff(np.append(starts, len(ids)))))
+            else:
+                rest += some
         if rest:
-            lists = self.whole([" " + p for p in rest])
-            self.parts.insert(h[~plain], self.parts.add(np.concatenate(lists), np.array([len(x) for x in lists])))
+            lists = self.whole([" " + parts[i] for i in rest])
+            self.parts.insert(h[rest], g[rest], self.parts.add(np.concatenate(lists), np.array([len(x) for x in lists])))
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -181,16 +192,16 @@ class WordTokens:
         starts, ends = np.concatenate([[0], gaps + 1]), np.append(gaps, len(b))
         counts = np.array([1 if x else t.count(" ") + 1 for t, x in zip(texts, alone)])
         firsts = np.cumsum(counts) - counts
-        h = S.spans_hash(b, starts, ends)
+        h, g = S.spans_hash(b, starts, ends)
         h[h == 0] = 1
-        entry = table.find(h)
+        entry = table.find(h, g)
         lost = entry < 0
         lost[firsts] = False
         if lost.any():
-            new, where = np.unique(h[lost], return_index=True)
-            at = np.flatnonzero(lost)[where]
-            self.learn(new, [raw[i:j].decode() for i, j in zip(starts[at].tolist(), ends[at].tolist())])
-            entry[lost] = table.find(h[lost])
+            at = np.flatnonzero(lost)
+            at = at[S.distinct(h[at], g[at])]
+            self.learn(h[at], g[at], [raw[i:j].decode() for i, j in zip(starts[at].tolist(), ends[at].tolist())])
+            entry[lost] = table.find(h[lost], g[lost])
         kept = table.entries, table.used
         # First parts have no space before them, and texts that stand alone are all first part: entries for this batch only.
         lists = self.whole([t if x else t.partition(" ")[0] for t, x in zip(texts, alone)])
@@ -210,17 +221,18 @@ def tokens(path: str) -> WordTokens:
     return _TOKENIZERS[path]
 
 
-SHARD = pa.schema([("path", pa.string()), ("shard_key", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+SHARD = pa.schema([("path", pa.string()), ("part", pa.int32()), ("place", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, key: str = "doc_id", text: str = "text") -> list:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, key: str = "doc_id", text: str = "text", roll: int = ROLL) -> list:
     """Encode every text and write the ids, each document's followed by end_id, as shards in ascending order of the key.
 
-    Null texts are empty; null keys come first; rows of one key keep no particular order. Texts are dealt by ranges of the
-    key and sorted before they are encoded, a shard for each range. A task writes under a name of its own, and only the
-    names that successful tasks return count, so a lost or repeated task leaves nothing behind that is read. Returns the
-    shards in order, one small row for each partition: path, n_docs, n_ids, base (ids before it).
+    Null texts are empty; null keys come first; rows of one key keep no particular order; added tokens in a text are found
+    as the library finds them. Texts are dealt by ranges of the key and sorted before they are encoded; a task writes shards
+    of bounded size one after the other, so what a worker holds doesn't grow with its range. It writes under names of its
+    own, and only the names that successful tasks return count, so a lost or repeated task leaves nothing behind that is
+    read. Returns the shards in order, one small row for each: path, n_docs, n_ids, base (ids before it).
     """
     spark = docs.sparkSession
     S.ship(spark)
@@ -230,7 +242,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, base = pafs.FileSystem.from_uri(folder)
-        encoder = tokens(tokenizer)
+        encoder, part = tokens(tokenizer), TaskContext.get().partitionId()
         end = np.array([end_id], f"<u{encoder.item}").tobytes()
 
         def documents() -> Iterator[tuple[int | None, bytes]]:
@@ -240,17 +252,18 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
                     for k, ids in zip(keys[i:j], encoder.of([t or "" for t in texts[i:j]])):
                         yield k, ids.tobytes() + end
 
-        stream = documents()
-        if (first := next(stream, None)) is None:
-            return
-        path = f"{base}/{uuid.uuid4().hex}.gwt"
-        with where.open_output_stream(path, compression=None, buffer_size=1 << 20) as sink:
-            made = write_shard(sink, itertools.chain([first], stream), encoder.item)
-        yield S.batch(SHARD, [path], [-(1 << 63) if first[0] is None else first[0]], [made["n"]], [made["ids"]])
+        stream, place = documents(), 0
+        while (first := next(stream, None)) is not None:
+            path = f"{base}/{uuid.uuid4().hex}.gwt"
+            with where.open_output_stream(path, compression=None, buffer_size=1 << 20) as sink:
+                made = write_shard(sink, itertools.chain([first], stream), encoder.item, roll)
+            yield S.batch(SHARD, [path], [part], [place], [made["n"]], [made["ids"]])
+            place += 1
 
     where, base = pafs.FileSystem.from_uri(folder)
     where.create_dir(base, recursive=True)
-    shards = sorted(dealt.mapInArrow(write, "path string, shard_key long, n_docs long, n_ids long").collect(), key=lambda r: r.shard_key)
+    # Ranges ascend with the number of their partition.
+    shards = sorted(dealt.mapInArrow(write, "path string, part int, place int, n_docs long, n_ids long").collect(), key=lambda r: (r.part, r.place))
     out, total = [], 0
     for r in shards:
         out.append((r.path, r.n_docs, r.n_ids, total))

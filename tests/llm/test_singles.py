@@ -117,8 +117,39 @@ def test_words_and_hashes():
     texts = ["", None, " a  b\tc\x0b\x0cd\r\ne ", "é\x85x y", "x" * 100, " ".join(map(str, range(3000)))]
     for t, h in zip(texts, _shared.hashed_texts(texts)):
         ws = re.findall(r"[^\x20\x09-\x0D]+", t or "")
-        assert len(h) == len(ws) and (_shared.hashed_words(t, piece=64) == h).all()
-        assert [int(_shared.hashed_words(w)[0]) for w in ws[:50]] == h[:50].tolist()
+        assert h.shape == (2, len(ws)) and (_shared.hashed_words(t, piece=64) == h).all()
+        assert [_shared.hashed_words(w)[:, 0].tolist() for w in ws[:50]] == h[:, :50].T.tolist()
+
+
+def thue_morse(bits):
+    """A word and its complement, whose letters' polynomials agree modulo 2**64 for every odd base once they are long."""
+    word = "".join("ab"[k.bit_count() & 1] for k in range(1 << bits))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_no_pattern_of_letters_collides():
+    seen = {}
+    words = [w for k in range(1, 13) for w in thue_morse(k)] + ["a" * k for k in range(1, 300)] + ["\x00" * k for k in range(1, 70)] + [f"w{k}" for k in range(20_000)]
+    for w in words:
+        b = np.frombuffer(w.encode(), np.uint8)
+        for half in _shared.spans_hash(b, np.array([0]), np.array([len(b)])):
+            assert seen.setdefault(int(half[0]), w) == w
+
+
+def test_pieces_of_words_that_fooled_polynomials(spark):
+    texts = [*thue_morse(11), " ".join(thue_morse(12))]
+    c = sp.codec(PIECES)
+    got = {r.doc_id: r.ids_sha256 for r in sp.coded(rows(spark, texts), PIECES).collect()}
+    want = [np.array(c.library.encode(t, add_bos=True, add_eos=True), "<u4").tobytes() for t in texts]
+    assert got == {i: hashlib.sha256(w).hexdigest() for i, w in enumerate(want)}
+
+
+def test_a_text_that_differs_gets_the_librarys_ids():
+    c = sp.Codec(PIECES)
+    c.byte_ids = c.byte_ids[::-1]  # as if this agenda were wrong about characters outside the vocabulary
+    text = "plain words and 𓀀 signs"
+    ids, back = c.both([text])
+    assert ids[0].tolist() == c.library.encode(text, add_bos=True, add_eos=True) and back == [text]
 
 
 def brute_items(text, items, least=0.8):
