@@ -6,8 +6,16 @@ under its own segments, with its length and the segment's number, and asks, for
 for the substrings at those places. Lines that meet are first held against each other by a parity sketch of their
 character pairs (an edit changes at most four of its bits), then by a banded bit-parallel edit distance over their texts.
 
-Lines are known by hashes until then: texts of lines that met are fetched by a filter of fixed size over the hashes, so no
-more than about those are moved. Links make classes; of each class the first line of the corpus stays.
+A line files and asks for thirty entries at three edits, so these are what costs: keys are hashed for a whole batch of lines
+at once, and entries (a key, a line's hash, its sketch: 18 bytes) travel packed, many for each row, by buckets of keys. The
+number of buckets follows from the number of lines, so that a bucket is small enough to be sorted in memory.
+
+Under a key that many lines share, first only a spanning forest of the close ones is verified, each line to the closest. The
+rest is kept; after components are known, only its pairs that aren't joined yet are verified too. So large groups of near
+copies make about as many pairs as they have members, and no link between different lines is lost.
+
+Lines are known by hashes until texts are compared: texts of lines that met are fetched by a filter over the hashes. Links
+make classes; of each class the first line of the corpus stays.
 """
 
 from __future__ import annotations
@@ -25,10 +33,15 @@ from pyspark.sql import functions as F
 from . import _shared as S
 from . import graph
 
-ROW = pa.schema([("key", pa.int64()), ("line", pa.int64()), ("sketch", pa.int64()), ("asks", pa.bool_())])
-LINE = pa.schema([("line", pa.int64()), ("check", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32())])
+PACK = pa.schema([("bucket", pa.int32()), ("entries", pa.binary())])
+MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("line", pa.int64()), ("sketch", pa.int64()), ("role", pa.int32())])
+LINE = pa.schema([("line", pa.int64()), ("check", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int32())])
 TEXT = pa.schema([("line", pa.int64()), ("text", pa.string())])
-FILTER_BITS = 1 << 25
+BUCKET = 1 << 20  # entries that a bucket has on average at most
+FLUSH = 1 << 19  # entries that a task holds before it packs them
+SKETCH = 48
+MASK = (1 << SKETCH) - 1
+FILES, ASKS = 1, 2
 
 
 def within(a: str, b: str, most: int) -> bool:
@@ -82,28 +95,77 @@ def places(own: int, length: int, most: int) -> list[tuple[int, int, int]]:
     return out
 
 
-_PLANS: dict[tuple[int, int], list] = {}
+_PLANS: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
 
 
-def plan(own: int, most: int) -> list[tuple[bytes, int, int, bool]]:
-    """What a line of a length files and asks for: a prefix of the key, begin, end, asks."""
+def plan(own: int, most: int) -> tuple[np.ndarray, ...]:
+    """What a line of a length files and asks for: begins, ends, and numbers that stand for the filed line's length and the segment; the first most + 1 are filed."""
     if (own, most) not in _PLANS:
         if len(_PLANS) > 20_000:
             _PLANS.clear()
-        files = [(b"%d:%d:" % (own, i), a, b, False) for i, (a, b) in enumerate(cuts(own, most))]
-        _PLANS[own, most] = files + [(b"%d:%d:" % (n, i), a, b, True) for n in range(max(most + 1, own - most), own + 1) for i, a, b in places(own, n, most)]
+        rows = [(a, b, own, i) for i, (a, b) in enumerate(cuts(own, most))]
+        rows += [(a, b, n, i) for n in range(max(most + 1, own - most), own + 1) for i, a, b in places(own, n, most)]
+        begin, end, n, i = np.array(rows, np.int64).T
+        _PLANS[own, most] = begin, end, S.mix((n * (most + 1) + i).astype(np.uint64))
     return _PLANS[own, most]
 
 
-def sketches(lines: list[str]) -> np.ndarray:
-    """64 parities of each line's character pairs."""
-    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    c = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4").astype(np.uint64)
-    pair = S.mix(c[:-1] << np.uint64(32) | c[1:]) >> np.uint64(58)
-    own = np.repeat(np.arange(len(lines)), sizes)
+def points(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of lines in a row, and the lines' lengths."""
+    return np.frombuffer("".join(lines).encode("utf-32-le"), "<u4").astype(np.uint64), np.fromiter(map(len, lines), np.int64, len(lines))
+
+
+def sketches(c: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """SKETCH parities of each line's character pairs."""
+    pair = (S.mix(c[:-1] << np.uint64(32) | c[1:]) >> np.uint64(32)) * np.uint64(SKETCH) >> np.uint64(32)
+    own = np.repeat(np.arange(len(sizes)), sizes)
     inside = own[1:] == own[:-1]
-    counts = np.bincount(own[:-1][inside] * 64 + pair[inside].astype(np.int64), minlength=64 * len(lines))
-    return np.packbits((counts & 1).astype(np.uint8).reshape(-1, 64), axis=1, bitorder="little").view("<i8").ravel()
+    counts = np.bincount(own[:-1][inside] * 64 + pair[inside].astype(np.int64), minlength=64 * len(sizes))
+    return np.packbits((counts & 1).astype(np.uint8).reshape(-1, 64), axis=1, bitorder="little").view("<u8").ravel()
+
+
+def entries(lines: list[str], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, line hashes, sketches and roles of all that lines file and ask for. Keys are polynomials of a substring's characters modulo 2**64, mixed with its length and place: a collision only proposes a pair."""
+    c, sizes = points(lines)
+    up, down = S._powers(S.CHARACTERS, len(c) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((c + np.uint64(1)) * up[:-1], dtype=np.uint64)])
+    plans = [plan(n, most) for n in sizes.tolist()]
+    counts = np.fromiter((len(p[0]) for p in plans), np.int64, len(plans))
+    begin, end, salt = (np.concatenate([p[k] for p in plans]) for k in range(3))
+    base = np.repeat(np.cumsum(sizes) - sizes, counts)
+    begin, end = begin + base, end + base
+    key = S.mix((sums[end] - sums[begin]) * down[begin] + salt)
+    place = np.arange(len(key)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return key, np.repeat(names(lines), counts), np.repeat(sketches(c, sizes), counts), np.where(place <= most, FILES, ASKS)
+
+
+def packed(key: np.ndarray, line: np.ndarray, sketch: np.ndarray, role: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A row for each bucket: 32 bits of the keys, the last of which tells the role, then the hashes, then the sketches."""
+    bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+    short = ((key & np.uint64(0xFFFFFFFE)) | (role == ASKS).astype(np.uint64)).astype("<u4")[order]
+    line, low, high = line[order].astype("<u8"), (sketch & np.uint64(0xFFFFFFFF)).astype("<u4")[order], (sketch >> np.uint64(32)).astype("<u2")[order]
+    cut = graph.runs(bucket[order])
+    rows = [b"".join(x[i:j].tobytes() for x in (short, line, low, high)) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
+    return S.batch(PACK, bucket[order][cut[:-1]], rows)
+
+
+def unpacked(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of 31 bits, line hashes, sketches and roles of a bucket's rows, sorted by key and line; each line once in a role under a key."""
+    parts: list[list[np.ndarray]] = [[], [], [], []]
+    for r in rows:
+        n, at = len(r) // 18, 0
+        for k, kind in enumerate(("<u4", "<u8", "<u4", "<u2")):
+            parts[k].append(np.frombuffer(r, kind, n, at))
+            at += n * parts[k][-1].itemsize
+    short, line, low, high = (np.concatenate(p) for p in parts)
+    order = np.lexsort((line, short))
+    short, line = short[order], line[order]
+    once = np.ones(len(short), bool)
+    once[1:] = (short[1:] != short[:-1]) | (line[1:] != line[:-1])
+    order, short, line = order[once], short[once], line[once]
+    # Roles of a line under one key come together: the last bit of the key sorts within it.
+    return short >> np.uint32(1), line, low[order].astype(np.uint64) | high[order].astype(np.uint64) << np.uint64(32), np.where(short & 1, ASKS, FILES)
 
 
 def lines_of(text: str | None, least: int, short: bool = False) -> list[tuple[int, str]]:
@@ -115,105 +177,180 @@ def names(lines: list[str], seed: int = 0) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(x.encode(), seed) for x in lines), np.uint64, len(lines))
 
 
-def met(t: pa.Table, most: int, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different lines that meet under a key and whose sketches are close. Each line counts once under a key; blocks bound the memory. A line of a large group makes a pair with each close one only the first time they aren't joined yet under the key."""
-    key, line, sketch, asks = (t.column(c).to_numpy() for c in ("key", "line", "sketch", "asks"))
-    sketch = sketch.view(np.uint64)
+def forest(line: np.ndarray, sketch: np.ndarray, asks: np.ndarray, files: np.ndarray, label: np.ndarray, most: int, every: bool = False) -> tuple[list, list, np.ndarray]:
+    """Of a group's lines: links (a, b) between close ones that a spanning forest needs, each to the closest of another tree, and which lines have close pairs that it leaves out. every: all close pairs of lines whose labels differ instead."""
+    a, b, left = [], [], np.zeros(len(line), bool)
+    right = np.flatnonzero(files)
+    for q in np.flatnonzero(asks).tolist():
+        apart = np.bitwise_count(sketch[right] ^ sketch[q])
+        close = apart <= 4 * most
+        near, apart = right[close], apart[close]
+        other = label[near] != label[q]
+        if every:
+            near = near[other]
+            a += [line[q]] * len(near)
+            b += line[near].tolist()
+            continue
+        if other.all() and len(near) < 2:
+            taken = near
+        else:
+            rest = near[near != q]
+            left[rest] = True
+            left[q] |= len(rest) > 0
+            near, apart = near[other], apart[other]
+            order = np.lexsort((apart, label[near]))
+            near = near[order]
+            taken = near[np.concatenate([[True], label[near][1:] != label[near][:-1]])] if len(near) else near
+        if len(taken):
+            a += [line[q]] * len(taken)
+            b += line[taken].tolist()
+            label[np.isin(label, label[taken])] = label[q]
+    return a, b, left
+
+
+def met(key: np.ndarray, line: np.ndarray, sketch: np.ndarray, role: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (a, b) between lines that meet under a key and whose sketches are close, and which entries belong to pairs that were left out."""
     starts = graph.runs(key)
-    both = np.logical_or.reduceat(asks, starts[:-1]) & ~np.logical_and.reduceat(asks, starts[:-1]) if len(key) else np.zeros(0, bool)
-    a, b = [], []
-    for s in np.flatnonzero(both).tolist():
+    sizes = np.diff(starts)
+    left = np.zeros(len(key), bool)
+    first = starts[:-1][sizes == 2]
+    ok = (role[first] != role[first + 1]) & (line[first] != line[first + 1]) & (np.bitwise_count(sketch[first] ^ sketch[first + 1]) <= 4 * most)
+    a, b = [line[first[ok]]], [line[first[ok] + 1]]
+    roles = np.bitwise_or.reduceat(role, starts[:-1]) if len(key) else role
+    for s in np.flatnonzero((sizes > 2) & (roles == FILES | ASKS)).tolist():
         i, j = int(starts[s]), int(starts[s + 1])
-        if j - i == 2:
-            if line[i] != line[i + 1] and (sketch[i] ^ sketch[i + 1]).item().bit_count() <= 4 * most:
-                a.append(line[i : i + 1])
-                b.append(line[i + 1 : i + 2])
-            continue
-        ids, first = np.unique(line[i:j], return_index=True)
-        if len(ids) < 2:
+        one, at, back = np.unique(line[i:j], return_index=True, return_inverse=True)
+        if len(one) < 2:
             continue
-        asked = np.zeros(len(ids), bool)
-        filed = np.zeros(len(ids), bool)
-        where = np.searchsorted(ids, line[i:j])
-        asked[where[asks[i:j]]] = True
-        filed[where[~asks[i:j]]] = True
-        sk = sketch[i:j][first]
-        left, right = np.flatnonzero(asked), np.flatnonzero(filed)
-        for k in range(0, len(right), block):
-            r = right[k : k + block]
-            for q in left.tolist():
-                near = r[np.bitwise_count(sk[r] ^ sk[q]) <= 4 * most]
-                near = near[near != q]
-                if len(near):
-                    a.append(np.full(len(near), ids[q]))
-                    b.append(ids[near])
-    return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
-
-
-def fixed_filter(df: DataFrame, *spots: Column) -> bytes | None:
-    """A filter of FILTER_BITS bits (4 MB) over rows whose bits stand at the given spots. It never misses a row's; with very many rows it lets more others through. None if there are no rows."""
-    bits = df.select(F.explode(F.array(*spots)).alias("bit")).distinct()
+        asks, files = (np.bincount(back, role[i:j] == r, len(one)) > 0 for r in (ASKS, FILES))
+        x, y, more = forest(one, sketch[i:j][at], asks, files, np.arange(len(one)), most)
+        a.append(np.array(x, np.uint64))
+        b.append(np.array(y, np.uint64))
+        left[i:j] = more[back]
+    return np.concatenate(a), np.concatenate(b), left
+
+
+class Filter:
+    """A filter of bits over rows, some 16 bits a row, at least 128 KB and at most 32 MB. It never misses a row; where there are too many rows for its size it lets more others through."""
+
+    def __init__(self, bits: bytes):
+        self.held = np.frombuffer(bits, np.uint8)
+        self.mask = np.int64(len(bits) * 8 - 1)
+
+    def passes(self, *hashes: np.ndarray) -> np.ndarray:
+        """Of rows' hashes, those that may be in it."""
+        at = [h & self.mask for h in hashes]
+        return np.logical_and.reduce([self.held[p >> 3] >> (p & 7).astype(np.uint8) & 1 for p in at]).astype(bool)
+
+
+def filter_of(df: DataFrame, *hashes: Column) -> Filter | None:
+    """A filter over rows by hashes; None if there are no rows."""
+    n = df.count()
+    if not n:
+        return None
+    size = 1 << min(28, max(20, (16 * n - 1).bit_length()))
+    part_bits = min(size, 1 << 19)
+    bits = df.select(F.explode(F.array(*(h.bitwiseAND(F.lit(size - 1)) for h in hashes))).alias("bit")).distinct()
 
     def pack(t):
         bit = t.column("bit").to_numpy()
-        part = np.zeros(1 << 16, np.uint8)
-        np.bitwise_or.at(part, bit % (1 << 19) >> 3, (1 << (bit & 7)).astype(np.uint8))
-        return pa.table({"part": [int(bit[0]) >> 19], "bits": [part.tobytes()]})
+        part = np.zeros(part_bits // 8, np.uint8)
+        np.bitwise_or.at(part, bit % part_bits >> 3, (1 << (bit & 7)).astype(np.uint8))
+        return pa.table({"part": [int(bit[0]) // part_bits], "bits": [part.tobytes()]})
 
-    parts = bits.withColumn("part", F.expr("bit div 524288")).groupBy("part").applyInArrow(pack, "part long, bits binary").collect()
-    if not parts:
-        return None
-    out = bytearray(FILTER_BITS // 8)
-    for p in parts:
-        out[p.part << 16 : (p.part + 1) << 16] = p.bits
-    return bytes(out)
+    out = bytearray(size // 8)
+    for p in bits.withColumn("part", F.expr(f"bit div {part_bits}")).groupBy("part").applyInArrow(pack, "part long, bits binary").collect():
+        out[p.part * part_bits // 8 : (p.part + 1) * part_bits // 8] = p.bits
+    return Filter(bytes(out))
 
 
 def line_spots(line: Column) -> list[Column]:
-    """A line's hash is even already: two parts of it are its spots."""
-    return [line.bitwiseAND(F.lit(FILTER_BITS - 1)), F.shiftright(line, 25).bitwiseAND(F.lit(FILTER_BITS - 1))]
+    """A line's hash is even already: two parts of it serve."""
+    return [line, F.shiftright(line, 28)]
+
+
+def spots_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return h, h >> 28
 
 
 def id_spots(key: Column) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(FILTER_BITS)) for i in (1, 2)]
+    return [F.xxhash64(key, F.lit(i)) for i in (1, 2)]
 
 
-def passes(bits: bytes, *positions: np.ndarray) -> np.ndarray:
-    held = np.frombuffer(bits, np.uint8)
-    return np.logical_and.reduce([held[p >> 3] >> (p & 7).astype(np.uint8) & 1 for p in positions]).astype(bool)
+def many_lines(docs: DataFrame) -> int:
+    """No fewer than there are lines: newlines, and one for each text."""
+    n = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).head()[0]
+    return int(n or 0)
 
 
 def candidates(docs: DataFrame, most: int, least: int) -> DataFrame:
-    """Pairs (a, b) of line hashes that meet, each once."""
+    """What lines that meet have to say, as a table: links (a, b) of a forest; and, with null a, the entries (key, line, sketch, role) of pairs that it left out."""
+    counted = most + 1 + sum(len(places(1000, 1000 - d, most)) for d in range(most + 1))
+    buckets = max(1, -(-many_lines(docs) * counted // BUCKET))
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        n = 0
+        for b in batches:
+            for i, j in S.by_bytes(texts := b.column("text").to_pylist(), 1_000_000):
+                if lines := list({x for t in texts[i:j] for _, x in lines_of(t, least)}):
+                    held.append(entries(lines, most))
+                    n += len(held[-1][0])
+                if n >= FLUSH:
+                    yield packed(*(np.concatenate(x) for x in zip(*held)), buckets)
+                    held, n = [], 0
+        if held:
+            yield packed(*(np.concatenate(x) for x in zip(*held)), buckets)
+
+    def told(bucket: int, rows: list[bytes]) -> pa.RecordBatch:
+        key, line, sketch, role = unpacked(rows)
+        a, b, left = met(key, line, sketch, role, most)
+        pairs = [*S.signed(np.minimum(a, b)).tolist(), *[None] * int(left.sum())], [*S.signed(np.maximum(a, b)).tolist(), *[None] * int(left.sum())]
+        none = [None] * len(a)
+        rest = ((np.int64(bucket) << 31 | key[left].astype(np.int64)), S.signed(line[left]), sketch[left].astype(np.int64), role[left])
+        return S.batch(MET, *pairs, *(none + x.tolist() for x in rest))
 
-    def file(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        h = xxhash.xxh3_64_intdigest
-        for i, j in S.by_bytes(texts := b.column("text").to_pylist(), 1_000_000):
-            lines = list({x for t in texts[i:j] for _, x in lines_of(t, least)})
-            if not lines:
-                continue
-            keys, counts, asks = [], [], []
-            for x in lines:
-                p = plan(len(x), most)
-                counts.append(len(p))
-                keys += [h(prefix + x[s:e].encode()) for prefix, s, e, _ in p]
-                asks += [a for *_, a in p]
-            yield S.batch(ROW, S.signed(np.array(keys, np.uint64)), S.signed(np.repeat(names(lines), counts)), np.repeat(sketches(lines), counts), asks)
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        which, rows = None, []
+        for b in batches:
+            for bucket, row in zip(b.column("bucket").to_pylist(), b.column("entries")):
+                if bucket != which and rows:
+                    yield told(which, rows)
+                    rows = []
+                which = bucket
+                rows.append(row.as_py())
+        if rows:
+            yield told(which, rows)
+
+    S.ship(docs.sparkSession)
+    rows = docs.select("text").mapInArrow(file, "bucket int, entries binary").repartition("bucket").sortWithinPartitions("bucket")
+    return S.stored(rows.mapInArrow(meet, "a long, b long, key long, line long, sketch long, role int"), "met")
+
+
+def rest_of(found: DataFrame, parts: DataFrame, most: int) -> DataFrame:
+    """The pairs (a, b) that the forest left out and whose lines aren't in one component yet."""
+    rows = found.where("key is not null").select("key", "line", "sketch", "role")
+    rows = rows.join(parts, F.col("line") == F.col("node"), "left").select("key", "line", "sketch", "role", F.coalesce("component", "line").alias("part"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in graph.whole_runs(batches, "key"):
-            a, b = met(t, most)
-            if len(a):
-                yield S.batch(graph.PAIR, np.minimum(a, b), np.maximum(a, b))
+            key, line, sketch, role, part = (t.column(c).to_numpy() for c in ("key", "line", "sketch", "role", "part"))
+            starts = graph.runs(key)
+            for i, j in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                if (part[i:j] == part[i]).all():
+                    continue
+                one, at, back = np.unique(line[i:j], return_index=True, return_inverse=True)
+                asks, files = (np.bincount(back, role[i:j] == r, len(one)) > 0 for r in (ASKS, FILES))
+                a, b, _ = forest(one, sketch[i:j][at].view(np.uint64), asks, files, part[i:j][at], most, every=True)
+                if a:
+                    yield S.batch(graph.PAIR, np.minimum(a, b), np.maximum(a, b))
 
-    rows = S.map_arrow(docs, file, "key long, line long, sketch long, asks boolean")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").distinct()
 
 
-def links(docs: DataFrame, most: int, least: int) -> DataFrame:
-    """Pairs (a, b) of hashes of different lines within the distance."""
-    pairs = S.stored(candidates(docs, most, least), "met")
-    bits = fixed_filter(pairs.select(F.explode(F.array("a", "b")).alias("line")), *line_spots(F.col("line")))
+def verified(pairs: DataFrame, docs: DataFrame, most: int, least: int) -> DataFrame:
+    """Those of pairs (a, b) of line hashes, a table, whose lines are within the distance. Only texts of these lines are moved."""
+    bits = filter_of(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct(), *line_spots(F.col("line")))
     if bits is None:
         return pairs
     held = docs.sparkSession.sparkContext.broadcast(bits)
@@ -223,10 +360,10 @@ def links(docs: DataFrame, most: int, least: int) -> DataFrame:
             lines = list({x for t in texts[i:j] for _, x in lines_of(t, least)})
             if lines:
                 h = S.signed(names(lines))
-                ok = passes(held.value, h & (FILTER_BITS - 1), h >> 25 & (FILTER_BITS - 1))
+                ok = held.value.passes(*spots_of(h))
                 yield S.batch(TEXT, h[ok], [x for x, o in zip(lines, ok.tolist()) if o])
 
-    texts = S.map_arrow(docs, fetch, "line long, text string")
+    texts = S.map_arrow(docs.select("text"), fetch, "line long, text string")
     texts = S.stored(texts.groupBy("line").agg(F.min("text").alias("text")), "texts")
     both = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b").select("a", "b", "left", "right")
 
@@ -234,27 +371,46 @@ def links(docs: DataFrame, most: int, least: int) -> DataFrame:
         ok = pa.array([within(x, y, most) for x, y in zip(b.column("left").to_pylist(), b.column("right").to_pylist())], pa.bool_())
         yield b.select(["a", "b"]).filter(ok)
 
-    return S.map_arrow(both, verify, "a long, b long")
+    return S.stored(S.map_arrow(both, verify, "a long, b long"), "near")
+
+
+def classes(docs: DataFrame, most: int, least: int) -> DataFrame:
+    """node, component of the hashes of lines that are within the distance of another line, or linked to one by such steps."""
+    found = candidates(docs, most, least)
+    near = verified(S.stored(found.where("a is not null").select("a", "b").distinct(), "pairs"), docs, most, least)
+    parts = graph.components(near)
+    more = S.stored(rest_of(found, parts, most), "rest")
+    if not more.take(1):
+        return parts
+    return graph.components(near.unionAll(verified(more, docs, most, least)))
 
 
 def later_lines(docs: DataFrame, most: int = 1, least: int = 20, short: bool = False) -> DataFrame:
-    """line_doc_id, gone (places of its lines that go), near (how many of them are no exact copies of their class's first line), stays_in (the documents that hold those first lines)."""
+    """line_doc_id and line_row (of a document: doc_id, text, row), gone (places of its lines that go), near (how many of them are no exact copies of their class's first line), stays_in (the documents that hold those first lines)."""
 
     def number(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i, j in S.by_bytes(texts := b.column("text").to_pylist(), 1_000_000):
-            found = [(k, at, x) for k, t in zip(b.column("doc_id")[i:j].to_pylist(), texts[i:j]) if k is not None for at, x in lines_of(t, least, short)]
+            found = [(k, r, at, x) for k, r, t in zip(b.column("doc_id")[i:j].to_pylist(), b.column("row")[i:j].to_pylist(), texts[i:j]) for at, x in lines_of(t, least, short)]
             if found:
-                ids, at, lines = zip(*found)
-                yield S.batch(LINE, S.signed(names(lines)), S.signed(names(lines, 1)), list(ids), list(at))
+                ids, rows, at, lines = zip(*found)
+                yield S.batch(LINE, S.signed(names(lines)), S.signed(names(lines, 1)), list(ids), list(rows), list(at))
 
-    parts = graph.components(links(docs, most, least)) if most else None
-    lines = S.map_arrow(docs, number, "line long, check long, doc_id long, at int")
+    parts = classes(docs, most, least) if most else None
+    # Rows that agree in doc_id and text are one document.
+    lines = S.map_arrow(docs, number, "line long, check long, doc_id long, row long, at int")
     joined = lines.join(parts, F.col("line") == F.col("node"), "left") if parts is not None else lines.withColumn("component", F.lit(None).cast("long"))
-    lines = S.stored(joined.select(F.coalesce("component", "line").alias("class"), F.when(F.col("component").isNull(), F.col("check")).otherwise(0).alias("check"), "line", "doc_id", "at"), "lines")
-    first = lines.groupBy("class", "check").agg(F.min(F.struct("doc_id", "at", "line")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("class", "check", "first")
-    # Both sides grow with the corpus: dealt at every size, never broadcast.
-    later = lines.join(first.hint("merge"), ["class", "check"]).where("struct(doc_id, at) > struct(first.doc_id, first.at)")
-    return later.groupBy("doc_id").agg(F.collect_list("at").alias("gone"), F.count_if(F.col("line") != F.col("first.line")).alias("near"), F.sort_array(F.collect_set("first.doc_id")).alias("stays_in")).withColumnRenamed("doc_id", "line_doc_id")
+    lines = S.stored(joined.select(F.coalesce("component", "line").alias("class"), F.when(F.col("component").isNull(), F.col("check")).otherwise(0).alias("check"), "line", "doc_id", "row", "at"), "lines")
+    first = lines.groupBy("class", "check").agg(F.min(F.struct("doc_id", "row", "at", "line")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = S.join_groups(lines, first, ["class", "check"], "n").where("struct(doc_id, row, at) > struct(first.doc_id, first.row, first.at)")
+    near = F.size(F.collect_set(F.when(F.col("line") != F.col("first.line"), F.col("at")))).cast("long")
+    found = later.groupBy("doc_id", "row").agg(F.collect_set("at").alias("gone"), near.alias("near"), F.sort_array(F.collect_set("first.doc_id")).alias("stays_in"))
+    return found.withColumnsRenamed({"doc_id": "line_doc_id", "row": "line_row"})
+
+
+def with_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text and row, a hash of the text that tells rows of one doc_id apart; rows without a doc_id or a text go."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return own.where("doc_id is not null and text is not null").withColumn("row", F.xxhash64("text"))
 
 
 def without(text: str, gone: set[int]) -> str:
@@ -265,18 +421,19 @@ def deduplicated(docs: DataFrame, most: int = 1, least: int = 20, drop_emptied:
     """The documents (doc_id, text and any others) without the lines that are within `most` edits of a line that stands earlier in the corpus, or linked to one by such steps.
 
     Lines end at newlines. Lines of fewer than `least` characters stay and aren't compared: small edits make other lines of
-    them. With short, those that aren't blank go where they exactly repeat an earlier line. Earlier means by doc_id and then by place. Null texts and rows with a null doc_id stay as they are, and their
-    lines count for no others; rows that repeat a doc_id count as one document. A document whose lines all go keeps an
-    empty text. With drop_blank, documents that lose lines and have no line left but blank ones go. With drop_emptied, documents
-    that lose all of their compared lines go, whatever short lines they have left, though no earlier one may have those.
+    them. With short, those that aren't blank go where they exactly repeat an earlier line. Earlier means by doc_id and then
+    by place. Null texts and rows with a null doc_id stay as they are, and their lines count for no others. Rows that repeat
+    a doc_id come out as often as they came in: such with the same text are one document, others are documents of their own
+    whose order is fixed by a hash of their texts. A document whose lines all go keeps an empty text. With drop_blank,
+    documents that lose lines and have no line left but blank ones go. With drop_emptied, documents that lose all of their
+    compared lines go, whatever short lines they have left, though no earlier one may have those.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    gone = later_lines(own, most, least, short)
+    gone = later_lines(with_rows(docs), most, least, short).select("line_doc_id", "line_row", "gone")
     kept = docs.schema
-    if set(gone.columns).intersection(kept.names):
-        gone = gone.withColumnsRenamed({c: f"{c}__line_dedup" for c in gone.columns})
-    key, places_ = gone.columns[:2]
-    rows = docs.join(gone.select(key, places_), docs["doc_id"] == gone[key], "left").drop(key)
+    renamed = {c: f"{c}__line_dedup" for c in gone.columns}
+    gone = gone.withColumnsRenamed(renamed)
+    key, row, places_ = renamed.values()
+    rows = docs.join(gone, (docs["doc_id"] == gone[key]) & (F.xxhash64(docs["text"]) == gone[row]), "left").drop(key, row)
 
     def cut(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         pairs = list(zip(b.column("text").to_pylist(), b.column(places_).to_pylist()))
@@ -288,33 +445,37 @@ def deduplicated(docs: DataFrame, most: int = 1, least: int = 20, drop_emptied:
     return S.map_arrow(rows, cut, kept)
 
 
-DIGEST = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("kept_sha256", pa.string())])
+DIGEST = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_lines", pa.int64()), ("kept_sha256", pa.string())])
 
 
 def digest(docs: DataFrame, most: int = 1, least: int = 20, short: bool = False) -> DataFrame:
-    """doc_id, n_lines, n_removed, n_near (removed lines that are no exact copies of the line that stays), kept_sha256 of each document's text without the removed lines, stays_in (doc_ids of the lines that stay for the removed ones, ascending, comma-joined). Only texts that lose lines are dealt."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    gone = S.stored(later_lines(docs.where("doc_id is not null"), most, least, short), "later")
+    """doc_id, n_lines, n_removed, n_near (removed lines that are no exact copies of the line that stays), kept_sha256 of each document's text without the removed lines, stays_in (doc_ids of the lines that stay for the removed ones, ascending, comma-joined). A row for each row, as in deduplicated; a null text has no lines. Only texts that lose lines are dealt."""
+    rows = with_rows(docs)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("row"))
+    gone = S.stored(later_lines(rows, most, least, short), "later")
 
     def count(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = b.column("text").to_pylist()
-        yield S.batch(DIGEST, b.column("doc_id"), [0 if t is None else t.count("\n") + 1 for t in texts], [sha256((t or "").encode()).hexdigest() for t in texts])
+        yield S.batch(DIGEST, b.column("doc_id"), b.column("row"), [0 if t is None else t.count("\n") + 1 for t in texts], [sha256((t or "").encode()).hexdigest() for t in texts])
 
-    every = S.map_arrow(docs, count, "doc_id long, n_lines long, kept_sha256 string")
-    bits = fixed_filter(gone, *id_spots(F.col("line_doc_id")))
+    every = S.map_arrow(docs, count, "doc_id long, row long, n_lines long, kept_sha256 string")
+    bits = filter_of(gone, *id_spots(F.col("line_doc_id")))
     if bits is None:
         return every.select("doc_id", "n_lines", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_near"), "kept_sha256", F.lit("").alias("stays_in"))
     held = docs.sparkSession.sparkContext.broadcast(bits)
 
     def changing(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        yield b.filter(pa.array(passes(held.value, b.column("p").to_numpy(), b.column("q").to_numpy()))).select(["doc_id", "text"])
+        yield b.filter(pa.array(held.value.passes(b.column("p").to_numpy(), b.column("q").to_numpy()))).select(["doc_id", "text", "row"])
 
     def cut(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        out = [sha256(without(t or "", set(g)).encode()).hexdigest() for t, g in zip(b.column("text").to_pylist(), b.column("gone").to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column("line_doc_id"), pa.array([len(g) for g in b.column("gone").to_pylist()], pa.int64()), b.column("near"), pa.array(out, pa.string()), pa.array([",".join(map(str, x)) for x in b.column("stays_in").to_pylist()], pa.string())], names=["changed_id", "less", "near", "new_sha256", "stays_in"])
+        out = [sha256(without(t, set(g)).encode()).hexdigest() for t, g in zip(b.column("text").to_pylist(), b.column("gone").to_pylist())]
+        less, stays = [len(g) for g in b.column("gone").to_pylist()], [",".join(map(str, x)) for x in b.column("stays_in").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("line_doc_id"), b.column("line_row"), pa.array(less, pa.int64()), b.column("near"), pa.array(out, pa.string()), pa.array(stays, pa.string())], names=["changed_id", "changed_row", "less", "near", "new_sha256", "stays_in"])
 
     spots = [c.alias(n) for c, n in zip(id_spots(F.col("doc_id")), "pq")]
-    some = S.map_arrow(docs.where("doc_id is not null").select("doc_id", "text", *spots), changing, "doc_id long, text string")
-    changed = S.map_arrow(some.join(gone.hint("merge"), F.col("doc_id") == F.col("line_doc_id")).select("line_doc_id", "text", "gone", "near", "stays_in"), cut, "changed_id long, less long, near long, new_sha256 string, stays_in string")
-    out = every.join(changed, F.col("doc_id") == F.col("changed_id"), "left")
+    some = S.map_arrow(rows.select("doc_id", "text", "row", *spots), changing, "doc_id long, text string, row long")
+    met_ = some.join(gone.hint("merge"), (F.col("doc_id") == F.col("line_doc_id")) & (F.col("row") == F.col("line_row")))
+    changed = S.map_arrow(met_.select("line_doc_id", "line_row", "text", "gone", "near", "stays_in"), cut, "changed_id long, changed_row long, less long, near long, new_sha256 string, stays_in string")
+    changed = changed.dropDuplicates(["changed_id", "changed_row"])
+    out = every.join(changed, (F.col("doc_id") == F.col("changed_id")) & (F.col("row") == F.col("changed_row")), "left")
     return out.select("doc_id", "n_lines", F.coalesce("less", F.lit(0)).alias("n_removed"), F.coalesce("near", F.lit(0)).alias("n_near"), F.coalesce("new_sha256", "kept_sha256").alias("kept_sha256"), F.coalesce("stays_in", F.lit("")).alias("stays_in"))

@@ -30,7 +30,7 @@ SET = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
 def sets(texts: list, size: int) -> Iterator[np.ndarray]:
     """The different hashes of each text's runs of so many words, lower-cased in A-Z, ascending; of all words, if there are fewer."""
     for i, j in S.by_bytes(texts):
-        for h in S.hashed_texts(texts[i:j], lower=True):
+        for h, _ in S.hashed_texts(texts[i:j], lower=True):
             yield np.unique(S.windows(h, min(size, len(h)))) if len(h) else np.empty(0, np.uint64)
 
 
@@ -94,7 +94,7 @@ def counted(docs: DataFrame, size: int) -> np.ndarray:
 def verified(pairs: DataFrame, docs: DataFrame, size: int, least: Fraction) -> DataFrame:
     """Those of pairs (a, b) of set names whose sets are that similar. Only sets of the pairs are moved."""
     pairs = S.stored(pairs, "met")
-    bits = line_dedup.fixed_filter(pairs.select(F.explode(F.array("a", "b")).alias("line")), *line_dedup.line_spots(F.col("line")))
+    bits = line_dedup.filter_of(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct(), *line_dedup.line_spots(F.col("line")))
     if bits is None:
         return pairs
     held = docs.sparkSession.sparkContext.broadcast(bits)
@@ -104,7 +104,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, least: Fraction) -> D
         for i, j in S.by_bytes(texts):
             found = list(sets(texts[i:j], size))
             h = S.signed(np.array([name(x) for x in found], np.uint64))
-            ok = line_dedup.passes(held.value, h & (line_dedup.FILTER_BITS - 1), h >> 25 & (line_dedup.FILTER_BITS - 1))
+            ok = held.value.passes(*line_dedup.spots_of(h))
             yield S.batch(SET, h[ok], [x.tobytes() for x, o in zip(found, ok.tolist()) if o])
 
     own = S.stored(S.map_arrow(docs, fetch, "id long, shingles binary").groupBy("id").agg(F.min("shingles").alias("shingles")), "sets")

@@ -72,15 +72,16 @@ def test_segments_meet_and_sketches_are_close(a, edits, k):
     for at, c, insert in edits[:k]:
         b = b[:at] + c + b[at + (not insert) :]
     n = distance(a, b)
-    sketch = line_dedup.sketches([a, b]).view(np.uint64)
+    sketch = line_dedup.sketches(*line_dedup.points([a, b]))
     assert int(np.bitwise_count(sketch[0] ^ sketch[1])) <= 4 * n
     if n <= k and min(len(a), len(b)) > k:
         long, short = sorted((a, b), key=len, reverse=True)
-        filed = {(p, short[i:j]) for p, i, j, asks in line_dedup.plan(len(short), k) if not asks}
-        assert filed & {(p, long[i:j]) for p, i, j, asks in line_dedup.plan(len(long), k) if asks}
+        key, line, _, role = line_dedup.entries([short, long], k)
+        own, other = line_dedup.names([short, long])
+        assert a == b or {*key[(role == line_dedup.FILES) & (line == own)].tolist()} & {*key[(role == line_dedup.ASKS) & (line == other)].tolist()}
 
 
-@pytest.mark.parametrize("most", [1, 2])
+@pytest.mark.parametrize("most", [1, 2, 3])
 def test_line_dedup(spark, most):
     texts = corpus()
     at = collections.OrderedDict()
@@ -142,9 +143,9 @@ def test_short_lines_that_repeat_go(spark, tmp_path):
 
 def test_filter_never_misses(spark):
     df = spark.range(5000).selectExpr("id * 7919 as k")
-    bits = line_dedup.fixed_filter(df, *line_dedup.id_spots(df.k))
+    held = line_dedup.filter_of(df, *line_dedup.id_spots(df.k))
     spots = df.unionByName(spark.range(5000).selectExpr("-id - 1 as k")).select("k", *(c.alias(n) for c, n in zip(line_dedup.id_spots(df.k), "pq"))).toPandas()
-    ok = line_dedup.passes(bits, spots.p.to_numpy(), spots.q.to_numpy())
+    ok = held.passes(spots.p.to_numpy(), spots.q.to_numpy())
     assert ok[spots.k >= 0].all() and ok[spots.k < 0].mean() < 0.01
 
 
