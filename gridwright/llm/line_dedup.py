@@ -11,8 +11,9 @@ at once, and entries (a key, a line's hash, its sketch: 18 bytes) travel packed,
 number of buckets follows from the number of lines, so that a bucket is small enough to be sorted in memory.
 
 Under a key that many lines share, first only a spanning forest of the close ones is verified, each line to the closest. The
-rest is kept; after components are known, only its pairs that aren't joined yet are verified too. So large groups of near
-copies make about as many pairs as they have members, and no link between different lines is lost.
+members of all other close pairs are kept; once components are known, their texts are brought to the key's group and pairs
+that aren't joined yet are verified where they meet, large groups by pairs of blocks. So large groups of near copies make no
+more rows than they have members, and no link between different lines is lost.
 
 Lines are known by hashes until texts are compared: texts of lines that met are fetched by a filter over the hashes. Links
 make classes; of each class the first line of the corpus stays.
@@ -42,6 +43,7 @@ FLUSH = 1 << 19  # entries that a task holds before it packs them
 SKETCH = 48
 MASK = (1 << SKETCH) - 1
 FILES, ASKS = 1, 2
+BLOCK = 2048  # members of a block of a large group
 
 
 def within(a: str, b: str, most: int) -> bool:
@@ -177,34 +179,25 @@ def names(lines: list[str], seed: int = 0) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(x.encode(), seed) for x in lines), np.uint64, len(lines))
 
 
-def forest(line: np.ndarray, sketch: np.ndarray, asks: np.ndarray, files: np.ndarray, label: np.ndarray, most: int, every: bool = False) -> tuple[list, list, np.ndarray]:
-    """Of a group's lines: links (a, b) between close ones that a spanning forest needs, each to the closest of another tree, and which lines have close pairs that it leaves out. every: all close pairs of lines whose labels differ instead."""
-    a, b, left = [], [], np.zeros(len(line), bool)
+def forest(line: np.ndarray, sketch: np.ndarray, asks: np.ndarray, files: np.ndarray, most: int) -> tuple[list, list, np.ndarray]:
+    """Of a group's lines: links (a, b) between close ones that a spanning forest needs, each to the closest of another tree, and which lines have close pairs that it leaves out."""
+    a, b, left, label = [], [], np.zeros(len(line), bool), np.arange(len(line))
     right = np.flatnonzero(files)
     for q in np.flatnonzero(asks).tolist():
         apart = np.bitwise_count(sketch[right] ^ sketch[q])
-        close = apart <= 4 * most
+        close = (apart <= 4 * most) & (right != q)
         near, apart = right[close], apart[close]
-        other = label[near] != label[q]
-        if every:
-            near = near[other]
-            a += [line[q]] * len(near)
-            b += line[near].tolist()
+        if not len(near):
             continue
-        if other.all() and len(near) < 2:
-            taken = near
-        else:
-            rest = near[near != q]
-            left[rest] = True
-            left[q] |= len(rest) > 0
-            near, apart = near[other], apart[other]
-            order = np.lexsort((apart, label[near]))
-            near = near[order]
-            taken = near[np.concatenate([[True], label[near][1:] != label[near][:-1]])] if len(near) else near
-        if len(taken):
-            a += [line[q]] * len(taken)
-            b += line[taken].tolist()
-            label[np.isin(label, label[taken])] = label[q]
+        other = label[near] != label[q]
+        taken = near[other][np.lexsort((apart[other], label[near[other]]))]
+        taken = taken[np.concatenate([[True], label[taken][1:] != label[taken][:-1]])] if len(taken) else taken
+        rest = near[~np.isin(near, taken)]
+        left[rest] = True
+        left[q] |= len(rest) > 0
+        a += [line[q]] * len(taken)
+        b += line[taken].tolist()
+        label[np.isin(label, label[taken])] = label[q]
     return a, b, left
 
 
@@ -223,7 +216,7 @@ def met(key: np.ndarray, line: np.ndarray, sketch: np.ndarray, role: np.ndarray,
         if len(one) < 2:
             continue
         asks, files = (np.bincount(back, role[i:j] == r, len(one)) > 0 for r in (ASKS, FILES))
-        x, y, more = forest(one, sketch[i:j][at], asks, files, np.arange(len(one)), most)
+        x, y, more = forest(one, sketch[i:j][at], asks, files, most)
         a.append(np.array(x, np.uint64))
         b.append(np.array(y, np.uint64))
         left[i:j] = more[back]
@@ -327,32 +320,11 @@ def candidates(docs: DataFrame, most: int, least: int) -> DataFrame:
     return S.stored(rows.mapInArrow(meet, "a long, b long, key long, line long, sketch long, role int"), "met")
 
 
-def rest_of(found: DataFrame, parts: DataFrame, most: int) -> DataFrame:
-    """The pairs (a, b) that the forest left out and whose lines aren't in one component yet."""
-    rows = found.where("key is not null").select("key", "line", "sketch", "role")
-    rows = rows.join(parts, F.col("line") == F.col("node"), "left").select("key", "line", "sketch", "role", F.coalesce("component", "line").alias("part"))
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in graph.whole_runs(batches, "key"):
-            key, line, sketch, role, part = (t.column(c).to_numpy() for c in ("key", "line", "sketch", "role", "part"))
-            starts = graph.runs(key)
-            for i, j in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                if (part[i:j] == part[i]).all():
-                    continue
-                one, at, back = np.unique(line[i:j], return_index=True, return_inverse=True)
-                asks, files = (np.bincount(back, role[i:j] == r, len(one)) > 0 for r in (ASKS, FILES))
-                a, b, _ = forest(one, sketch[i:j][at].view(np.uint64), asks, files, part[i:j][at], most, every=True)
-                if a:
-                    yield S.batch(graph.PAIR, np.minimum(a, b), np.maximum(a, b))
-
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").distinct()
-
-
-def verified(pairs: DataFrame, docs: DataFrame, most: int, least: int) -> DataFrame:
-    """Those of pairs (a, b) of line hashes, a table, whose lines are within the distance. Only texts of these lines are moved."""
-    bits = filter_of(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct(), *line_spots(F.col("line")))
+def texts_of(lines: DataFrame, docs: DataFrame, least: int) -> DataFrame | None:
+    """line, text of line hashes (a column `line`, different ones), a table; None if there are none. Only texts of these lines are moved, but for a few that pass the filter."""
+    bits = filter_of(lines, *line_spots(F.col("line")))
     if bits is None:
-        return pairs
+        return None
     held = docs.sparkSession.sparkContext.broadcast(bits)
 
     def fetch(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -364,7 +336,14 @@ def verified(pairs: DataFrame, docs: DataFrame, most: int, least: int) -> DataFr
                 yield S.batch(TEXT, h[ok], [x for x, o in zip(lines, ok.tolist()) if o])
 
     texts = S.map_arrow(docs.select("text"), fetch, "line long, text string")
-    texts = S.stored(texts.groupBy("line").agg(F.min("text").alias("text")), "texts")
+    return S.stored(texts.groupBy("line").agg(F.min("text").alias("text")), "texts")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, most: int, least: int) -> DataFrame:
+    """Those of pairs (a, b) of line hashes, a table, whose lines are within the distance."""
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct(), docs, least)
+    if texts is None:
+        return pairs
     both = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b").select("a", "b", "left", "right")
 
     def verify(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -374,15 +353,55 @@ def verified(pairs: DataFrame, docs: DataFrame, most: int, least: int) -> DataFr
     return S.stored(S.map_arrow(both, verify, "a long, b long"), "near")
 
 
+def rest_of(found: DataFrame, parts: DataFrame, docs: DataFrame, most: int, least: int) -> DataFrame | None:
+    """Links (a, b) between lines within the distance that the forest left out and whose lines aren't in one component yet; None if it left nothing out.
+
+    A group of up to BLOCK lines is one task's. A larger one is cut into blocks by the lines' hashes and each two blocks meet
+    in a group of their own, so no task holds more than two.
+    """
+    rows = found.where("key is not null").select("key", "line", "sketch", "role")
+    texts = texts_of(rows.select("line").distinct(), docs, least)
+    if texts is None:
+        return None
+    blocks = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(blocks.hint("merge"), "key").withColumn("own", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("group", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).select("group", "line", "sketch", "role")
+    rows = rows.join(parts, F.col("line") == F.col("node"), "left").withColumn("part", F.coalesce("component", "line")).join(texts, "line")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in graph.whole_runs(batches, "group"):
+            key, line, sketch, role, part = (t.column(c).to_numpy() for c in ("group", "line", "sketch", "role", "part"))
+            a, b, starts = [], [], graph.runs(key)
+            for i, j in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                label = part[i:j]
+                if (label == label[0]).all():
+                    continue
+                one, at, back = np.unique(line[i:j], return_index=True, return_inverse=True)
+                asks, files = (np.bincount(back, role[i:j] == r, len(one)) > 0 for r in (ASKS, FILES))
+                text, print_, label = t.column("text").slice(i, j - i).take(pa.array(at)).to_pylist(), sketch[i:j][at], label[at].copy()
+                right = np.flatnonzero(files)
+                for q in np.flatnonzero(asks).tolist():
+                    near = right[(np.bitwise_count(print_[right] ^ print_[q]) <= 4 * most) & (label[right] != label[q])]
+                    for r in near.tolist():
+                        if label[r] != label[q] and within(text[q], text[r], most):
+                            a.append(min(one[q], one[r]))
+                            b.append(max(one[q], one[r]))
+                            label[label == label[r]] = label[q]
+            if a:
+                yield S.batch(graph.PAIR, a, b)
+
+    dealt = rows.select("group", "line", "sketch", "role", "part", "text").repartition("group").sortWithinPartitions("group")
+    return S.stored(dealt.mapInArrow(meet, "a long, b long").distinct(), "near")
+
+
 def classes(docs: DataFrame, most: int, least: int) -> DataFrame:
     """node, component of the hashes of lines that are within the distance of another line, or linked to one by such steps."""
     found = candidates(docs, most, least)
     near = verified(S.stored(found.where("a is not null").select("a", "b").distinct(), "pairs"), docs, most, least)
     parts = graph.components(near)
-    more = S.stored(rest_of(found, parts, most), "rest")
-    if not more.take(1):
-        return parts
-    return graph.components(near.unionAll(verified(more, docs, most, least)))
+    more = rest_of(found, parts, docs, most, least)
+    return graph.components(near.unionAll(more)) if more is not None and more.take(1) else parts
 
 
 def later_lines(docs: DataFrame, most: int = 1, least: int = 20, short: bool = False) -> DataFrame:

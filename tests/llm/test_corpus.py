@@ -452,3 +452,48 @@ def test_pipeline(spark):
 
 def test_queries_are_registered():
     assert [int(re.match(r"op(\d+)_", n).group(1)) for n in queries.QUERIES] == list(range(1, 11))
+
+
+def test_rows_of_one_id(spark):
+    """Rows come out as often as they came in, and nothing goes because of another row of the id."""
+    w, v, q = (" ".join(f"{c}{i}" for i in range(20)) for c in "wvq")
+    df = spark.createDataFrame([(1, w), (2, w), (2, v), (2, v), (3, q), (3, None), (None, w), (None, None), (4, w + " " + q)], DOC)
+    got = sorted(((r.doc_id or 0, r.n_words, r.n_removed) for r in substring.deduplicated(df).collect()))
+    assert got == sorted([(1, 20, 0), (2, 20, 20), (2, 20, 0), (2, 20, 0), (3, 20, 0), (3, 0, 0), (0, 20, 0), (0, 0, 0), (4, 40, 40)])
+    texts = {(r.doc_id, r.kept_text) for r in substring.deduplicated(df, text=True).collect()}
+    assert texts == {(1, w), (2, ""), (2, v), (3, q), (3, None), (None, w), (None, None), (4, "")}
+    a, b = "this line stands twice over", "and that line stands elsewhere"
+    df = spark.createDataFrame([(1, a), (2, f"{a}\n{b}"), (2, f"only here, first place of it\n{a}"), (2, f"{a}\n{b}"), (None, a), (5, f"{b}.\nx"), (5, None)], DOC)
+    rows = line_dedup.deduplicated(df, 3).collect()
+    assert sorted((r.doc_id or 0, r.text or "-") for r in rows) == sorted([(1, a), (2, b), (2, "only here, first place of it"), (2, b), (0, a), (5, "x"), (5, "-")])
+    assert sorted((r.doc_id or 0, r.n_lines, r.n_removed) for r in line_dedup.digest(df, 3).collect()) == sorted([(1, 1, 0), (2, 2, 1), (2, 2, 1), (2, 2, 1), (0, 1, 0), (5, 2, 1), (5, 0, 0)])
+
+
+def test_large_groups_of_near_lines(spark, monkeypatch):
+    """Chains of variants and false friends under shared keys, in one block and in several."""
+    rng = random.Random(3)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(80))
+    lines = {base}
+    for _ in range(120):
+        s = list(rng.choice(sorted(lines)))
+        for _ in range(rng.randrange(1, 8)):
+            s[rng.randrange(len(s))] = rng.choice("abcdefgh")
+        lines.add("".join(s))
+    lines = sorted(lines)
+    forest = graph.Forest()
+    for i, x in enumerate(lines):
+        for j in range(i):
+            if distance(x, lines[j]) <= 3:
+                forest.link(i, j)
+    want = {}
+    for i in range(len(lines)):
+        want.setdefault(forest.find(i), set()).add(lines[i])
+    docs = line_dedup.with_rows(frame(spark, lines))
+    names = dict(zip(line_dedup.S.signed(line_dedup.names(lines)).tolist(), lines))
+    for block in (2048, 16):
+        monkeypatch.setattr(line_dedup, "BLOCK", block)
+        got = {}
+        for r in line_dedup.classes(docs, 3, 20).collect():
+            got.setdefault(r.component, set()).add(names[r.node])
+        assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+        assert max(map(len, got.values())) > 10
