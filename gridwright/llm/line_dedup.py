@@ -80,6 +80,51 @@ def within(a: str, b: str, most: int) -> bool:
     return len(a) - len(b) <= most and score <= most
 
 
+def within_all(left: list[str], right: list[str], most: int, chunk: int = 1 << 20) -> np.ndarray:
+    """`within` for many pairs at once: the same bands, a column of every pair in each step. Pairs that can't come back go early."""
+    swap = [(y, x) if len(x) < len(y) else (x, y) for x, y in zip(left, right)]
+    la, lb = (np.array([len(p[k]) for p in swap], np.int64) for k in (0, 1))
+    out = la <= most
+    order = np.flatnonzero(~out & (la - lb <= most))
+    order = order[np.argsort(la[order], kind="stable")]
+    width, at = 2 * most + 1, 0
+    full = np.int32((1 << width) - 1)
+    while at < len(order):
+        end = at + max(1, int(np.searchsorted((np.arange(len(order) - at) + 1) * la[order[at:]], chunk, "right")))
+        rows, at = order[at:end], end
+        if len(rows) < 8:
+            out[rows] = [within(*swap[i], most) for i in rows.tolist()]
+            continue
+        a, b = np.full((len(rows), int(la[rows].max()) + width), -1, np.int32), np.full((len(rows), int(lb[rows].max())), -2, np.int32)
+        for k, i in enumerate(rows.tolist()):
+            for held, text, start in ((a, swap[i][0], most), (b, swap[i][1], 0)):
+                held[k, start : start + len(text)] = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<i4")
+        a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+        n, m = la[rows], lb[rows]
+        up, down, score = (np.full(len(rows), v, np.int32) for v in (full ^ np.int32((1 << most) - 1), 0, most))
+        for j in range(len(b)):
+            match = np.zeros(len(rows), np.int32)
+            for r in range(width):
+                match |= (a[j + r] == b[j]).astype(np.int32) << np.int32(r)
+            diagonal = (((match & up) + up) ^ up | match | down) & full
+            rise, fall = (down | ~(diagonal | up)) & full, diagonal & up
+            last = n - 1 - j + most
+            edge = np.clip(last, 0, width - 1).astype(np.int32)
+            step = np.where(last >= width - 1, 1 - (diagonal >> np.int32(width - 1) & 1), np.where(last >= 0, (rise >> edge & 1) - (fall >> edge & 1), 0))
+            on = j < m
+            score = np.where(on, score + step, score).astype(np.int32)
+            up, down = np.where(on, (fall | ~(diagonal >> 1 | rise)) & full, up), np.where(on, diagonal >> 1 & rise, down)
+            if j % 32 == 31:
+                stay = score - np.bitwise_count(up) <= most
+                if stay.mean() < 0.7:
+                    rows, n, m, up, down, score = (x[stay] for x in (rows, n, m, up, down, score))
+                    a, b = a[:, stay], b[:, stay]
+                    if not len(rows):
+                        break
+        out[rows] = score <= most
+    return out
+
+
 def cuts(length: int, most: int) -> list[tuple[int, int]]:
     """Begin and end of the segments of a line: as even as can be, longer ones last."""
     n, base, longer = most + 1, length // (most + 1), length % (most + 1)
@@ -126,6 +171,17 @@ def sketches(c: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8).reshape(-1, 64), axis=1, bitorder="little").view("<u8").ravel()
 
 
+def counts_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How often each line has characters of 32 kinds, and pairs of them of 64 kinds. An edit changes two of the first counts by one, or four of the second."""
+    c, sizes = points(lines)
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    inside = own[1:] == own[:-1]
+    pair = (S.mix(c[:-1] << np.uint64(32) | c[1:]) >> np.uint64(58)).astype(np.int64)
+    one = np.bincount(own * 32 + (S.mix(c) >> np.uint64(59)).astype(np.int64), minlength=32 * len(sizes))
+    two = np.bincount(own[:-1][inside] * 64 + pair[inside], minlength=64 * len(sizes))
+    return one.reshape(-1, 32).astype(np.int32), two.reshape(-1, 64).astype(np.int32)
+
+
 def entries(lines: list[str], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys, line hashes, sketches and roles of all that lines file and ask for. Keys are polynomials of a substring's characters modulo 2**64, mixed with its length and place: a collision only proposes a pair."""
     c, sizes = points(lines)
@@ -347,8 +403,7 @@ def verified(pairs: DataFrame, docs: DataFrame, most: int, least: int) -> DataFr
     both = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b").select("a", "b", "left", "right")
 
     def verify(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ok = pa.array([within(x, y, most) for x, y in zip(b.column("left").to_pylist(), b.column("right").to_pylist())], pa.bool_())
-        yield b.select(["a", "b"]).filter(ok)
+        yield b.select(["a", "b"]).filter(pa.array(within_all(b.column("left").to_pylist(), b.column("right").to_pylist(), most)))
 
     return S.stored(S.map_arrow(both, verify, "a long, b long"), "near")
 
@@ -370,26 +425,45 @@ def rest_of(found: DataFrame, parts: DataFrame, docs: DataFrame, most: int, leas
     rows = rows.join(parts, F.col("line") == F.col("node"), "left").withColumn("part", F.coalesce("component", "line")).join(texts, "line")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined, tried = graph.Forest(), set()
+        held: list[tuple] = []  # pairs to be verified: their hashes, components and texts
+
+        def tell() -> Iterator[pa.RecordBatch]:
+            some = [h for h in held if joined.find(h[2]) != joined.find(h[3])]
+            held.clear()
+            good = [h for h, ok in zip(some, within_all([h[4] for h in some], [h[5] for h in some], most)) if ok]
+            for h in good:
+                joined.link(h[2], h[3])
+            if good:
+                yield S.batch(graph.PAIR, [h[0] for h in good], [h[1] for h in good])
+
         for t in graph.whole_runs(batches, "group"):
             key, line, sketch, role, part = (t.column(c).to_numpy() for c in ("group", "line", "sketch", "role", "part"))
-            a, b, starts = [], [], graph.runs(key)
+            starts = graph.runs(key)
             for i, j in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                label = part[i:j]
-                if (label == label[0]).all():
+                if len({joined.find(x) for x in set(part[i:j].tolist())}) < 2:
                     continue
                 one, at, back = np.unique(line[i:j], return_index=True, return_inverse=True)
                 asks, files = (np.bincount(back, role[i:j] == r, len(one)) > 0 for r in (ASKS, FILES))
-                text, print_, label = t.column("text").slice(i, j - i).take(pa.array(at)).to_pylist(), sketch[i:j][at], label[at].copy()
-                right = np.flatnonzero(files)
+                text, print_, label = t.column("text").slice(i, j - i).take(pa.array(at)).to_pylist(), sketch[i:j][at], part[i:j][at]
+                right, (single, double) = np.flatnonzero(files), counts_of(text)
+                ids, own = one.tolist(), label.tolist()
                 for q in np.flatnonzero(asks).tolist():
                     near = right[(np.bitwise_count(print_[right] ^ print_[q]) <= 4 * most) & (label[right] != label[q])]
+                    near = near[np.abs(single[near] - single[q]).sum(1) <= 2 * most]
+                    near = near[np.abs(double[near] - double[q]).sum(1) <= 4 * most]
                     for r in near.tolist():
-                        if label[r] != label[q] and within(text[q], text[r], most):
-                            a.append(min(one[q], one[r]))
-                            b.append(max(one[q], one[r]))
-                            label[label == label[r]] = label[q]
-            if a:
-                yield S.batch(graph.PAIR, a, b)
+                        pair = min(ids[q], ids[r]), max(ids[q], ids[r])
+                        if pair not in tried:
+                            tried.add(pair)
+                            held.append((*pair, own[q], own[r], text[q], text[r]))
+                    if len(held) >= 4096:
+                        yield from tell()
+                if len(tried) > 1_000_000:
+                    tried.clear()
+                if len(joined.parent) > 1_000_000:
+                    joined = graph.Forest()
+        yield from tell()
 
     dealt = rows.select("group", "line", "sketch", "role", "part", "text").repartition("group").sortWithinPartitions("group")
     return S.stored(dealt.mapInArrow(meet, "a long, b long").distinct(), "near")

@@ -65,6 +65,19 @@ def test_banded_distance(a, b, k):
     assert line_dedup.within(a, b, k) == (distance(a, b) <= k)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.text("abcé🎉", max_size=70), st.lists(st.tuples(st.integers(0, 69), st.sampled_from(["", "a", "xy"])), max_size=6)), min_size=8, max_size=40), st.integers(1, 4))
+def test_many_distances_at_once(cases, k):
+    left, right = [], []
+    for a, edits in cases:
+        b = a
+        for at, c in edits:
+            b = b[:at] + c + b[at + 1 :]
+        left.append(a)
+        right.append(b)
+    assert line_dedup.within_all(left, right, k).tolist() == [distance(a, b) <= k for a, b in zip(left, right)]
+
+
 @settings(max_examples=500, deadline=None)
 @given(st.text("abcé", min_size=4, max_size=16), st.lists(st.tuples(st.integers(0, 15), st.sampled_from(["a", "b", ""]), st.booleans()), max_size=3), st.integers(1, 3))
 def test_segments_meet_and_sketches_are_close(a, edits, k):
