@@ -91,7 +91,7 @@ def chained(a: np.ndarray, b: np.ndarray, key: np.ndarray, most: int = 4) -> np.
 
 
 def links_of(table: pa.Table, most: int = 4, small: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Links among the rows (key, fp, id) of each key: all of small groups, of larger ones a spanning forest. No group makes more links than it has members, but for a few in small ones."""
+    """Links among the rows (key, fp, id) of each key, of those pairs that pass the chain that the key begins and then the full distance: all of small groups, a spanning forest of larger ones. No group makes more links than it has members, but for a few in small ones."""
     key, fp, ids = (table.column(c).to_numpy() for c in ("key", "fp", "id"))
     fp = fp.view(np.uint64)
     starts = graph.runs(key)
@@ -106,10 +106,11 @@ def links_of(table: pa.Table, most: int = 4, small: int = 8) -> tuple[np.ndarray
         a.append(ids[at])
         b.append(ids[at + off])
     for s in np.flatnonzero(sizes > small).tolist():
-        g, gid = fp[starts[s] : starts[s + 1]], ids[starts[s] : starts[s + 1]]
+        span = slice(int(starts[s]), int(starts[s + 1]))
+        g, gid, same = fp[span], ids[span], key[span]
         label = np.arange(len(g))
         for i in range(len(g) - 1):
-            near = np.flatnonzero(np.bitwise_count(g[i + 1 :] ^ g[i]) <= most) + i + 1
+            near = np.flatnonzero(chained(g[i + 1 :], g[i], same[i + 1 :], most)) + i + 1
             others = label[near] != label[i]
             if others.any():
                 near = near[others]
@@ -140,10 +141,10 @@ def grouped(docs: DataFrame, size: int = 4, most: int = 4) -> DataFrame:
 
     Fingerprints link at `most` or fewer differing bits; component_id is the smallest doc_id reachable, the document's own
     included. Documents without words (null, empty or white space) have fingerprint zero and link like any others. Equal
-    fingerprints are one node, so copies make no pairs; a null doc_id gets its group's id, or null if the whole group has none.
+    fingerprints are one node, so copies make no pairs. A row comes out for each row, repeated doc_ids included; a null doc_id gets its group's id, or null if the whole group has none.
     """
     marked = S.stored(fingerprints(docs, size), "fingerprints")
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.xxhash64(F.lit(0)).alias("z")).select("fp", F.col("fp").alias("id"), "doc_id")
+    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).select("fp", F.col("fp").alias("id"), "doc_id")
     nodes = S.stored(nodes, "nodes")
     parts = graph.components(hamming_links(nodes.select("fp", "id"), most))
     labelled = nodes.join(parts, F.col("id") == F.col("node"), "left").select("fp", "doc_id", F.coalesce("component", "id").alias("component"))
