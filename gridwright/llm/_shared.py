@@ -93,6 +93,20 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of the frame has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def sampled(rows: DataFrame, keys: DataFrame) -> list:
+    """The rows (doc_id, text, and any others) of a bounded sample of (doc_id, row), row being a hash of the text; one of equal rows."""
+    picked = rows.withColumn("row", F.xxhash64("text")).join(F.broadcast(keys), ["doc_id", "row"]).dropDuplicates(["doc_id", "row"])
+    return sorted(picked.collect(), key=lambda r: (r.doc_id, r.row))
+
+
 def by_bytes(texts: list, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of a batch that hold about so many characters, one text at least: bounds what is in memory."""
     start = size = 0

@@ -8,6 +8,7 @@ target, selects. Base spans always stay; accepted ones are added where they over
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from hashlib import sha256
@@ -221,18 +222,47 @@ class Detector:
         base = base_spans(text)
         extra: list[Span] = []
         if self.trees:
-            held = sorted((a, b) for _, a, b in base)
-            free = [s for s in proposals(text) if not any(a < s[2] and s[1] < b for a, b in held)]
-            if free:
-                p = self.trees.predict(np.array([describe(text, s) for s in free], float))
-                taken: list[Span] = []
-                for score, s in sorted(((v, s) for v, s in zip(p, free) if v >= self.thresholds[s[0]]), key=lambda t: (-t[0], t[1][1] - t[1][2], t[1])):
-                    if not any(a < s[2] and s[1] < b for _, a, b in taken):
-                        taken.append(s)
-                extra = taken
+            held = Ranges()
+            for _, a, b in sorted(base, key=lambda s: s[1]):
+                held.cover(a, b)
+            free = [s for s in proposals(text) if not held.meets(s[1], s[2])]
+            for k in range(0, len(free), 4096):
+                some = free[k : k + 4096]
+                p = self.trees.predict(np.array([describe(text, s) for s in some], float))
+                extra += [(-float(v), s) for v, s in zip(p, some) if v >= self.thresholds[s[0]]]
+            extra = [s for _, s in sorted(extra, key=lambda t: (t[0], t[1][1] - t[1][2], t[1])) if held.add(s[1], s[2])]
         return base, sorted(base + extra, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
+class Ranges:
+    """Ranges that don't meet, sorted: whether another meets one takes a search, not a pass."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def cover(self, a: int, b: int) -> None:
+        """Add a range that starts no earlier than all before; it may overlap the last."""
+        if self.ends and a < self.ends[-1]:
+            self.ends[-1] = max(self.ends[-1], b)
+        else:
+            self.starts.append(a)
+            self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        k = bisect.bisect_left(self.starts, b)  # those before it start before b
+        return k > 0 and self.ends[k - 1] > a
+
+    def add(self, a: int, b: int) -> bool:
+        """Add a range if it meets none."""
+        if self.meets(a, b):
+            return False
+        k = bisect.bisect_left(self.starts, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+        return True
+
+
 def rewritten(kind: str, s: str, rng: np.random.Generator) -> tuple[str, bool]:
     """A span's text written otherwise, and whether it is still right."""
     good = bool(rng.random() < 0.5)
@@ -251,12 +281,14 @@ def rewritten(kind: str, s: str, rng: np.random.Generator) -> tuple[str, bool]:
     return ["00" + d, "+" + d[0] + "/" + d[1:4] + "/" + d[4:], f"({d[1:4]}) {d[4:7]}-{d[7:]}"][rng.integers(3)], True
 
 
-def train(docs: DataFrame, most: int = 3000) -> Detector:
-    """Fit on at most `most` documents that hold a digit or an @, those whose ids hash lowest; their texts count whole. The bound is the only sample."""
-    rows = docs.where(F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull())
-    ids = [r.doc_id for r in rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
-    found = rows.where(F.col("doc_id").isin(ids)).collect() if ids else []
-    return Detector.fit([r.text for r in sorted(found, key=lambda r: (r.doc_id, r.text))])
+def train(docs: DataFrame, most: int = 3000, longest: int = 200_000) -> Detector:
+    """Fit on at most `most` rows that hold a digit or an @, those whose ids hash lowest, of texts of at most `longest` characters; their texts count whole, and of rows that agree in id and text one counts. These bounds, on rows and on bytes, are the only sample."""
+    rows = docs.where((F.length("text") <= longest) & F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull()).select("doc_id", "text")
+    keys = rows.select("doc_id", F.xxhash64("text").alias("row")).orderBy(F.xxhash64("doc_id"), "doc_id", "row").limit(most).collect()
+    if not keys:
+        return Detector(None, {})
+    known = docs.sparkSession.createDataFrame(list({(r.doc_id, r.row) for r in keys}), "doc_id long, row long")
+    return Detector.fit([r.text for r in S.sampled(rows, known)])
 
 
 def joined(spans: list[Span]) -> str:
@@ -286,16 +318,18 @@ def redacted(docs: DataFrame, detector: Detector, text: str = "text") -> DataFra
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out = []
         for t in b.column(text).to_pylist():
-            end = len(t or "")
-            for kind, a, e in sorted(detector.spans(t or "")[1], key=lambda s: -s[1]):
-                t, end = (t[:a] + f"[{kind}]" + t[min(e, end) :], a) if a < end else (t, end)
-            out.append(t)
+            pieces, end = [], 0
+            for kind, a, e in sorted(detector.spans(t or "")[1], key=lambda s: s[1:]):
+                if e > end:  # overlapping spans of several kinds leave one after the other
+                    pieces += [t[end:a], f"[{kind}]"]
+                    end = e
+            out.append(t if t is None else "".join([*pieces, t[end:]]))
         yield b.set_column(b.schema.get_field_index(text), text, pa.array(out, pa.string()))
 
     return S.map_arrow(docs, run, docs.schema)
 
 
 def detected(docs: DataFrame, most: int = 3000) -> DataFrame:
-    """Train on documents and find personal data in all of them."""
+    """Train on documents and find personal data in all of them: a row for each row, as in `found`. Rows without an id or a text teach nothing; without any that teach, only base spans are found."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return found(rows, train(rows, most))
