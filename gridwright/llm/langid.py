@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,26 +80,30 @@ def held_out(key: str = "doc_id") -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, each: int = 300) -> Model | None:
-    """Fit on at most `each` labelled texts of each language that are not held out: those whose ids hash lowest. This bound is the only sample; it is there because a kernel regression needs few texts. Texts count whole. None if nothing is labelled."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    languages = [r.lang for r in rows.select("lang").distinct().collect()]
-    ids = [r.doc_id for g in sorted(languages) for r in rows.where(F.col("lang") == g).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(each).collect()]
-    found = {}
-    for r in rows.where(F.col("doc_id").isin(ids)).collect() if ids else []:
-        if LETTER.search(r.text):
-            found[r.doc_id] = max((r.lang, r.text), found.get(r.doc_id, ("", "")))  # one of rows that repeat an id
-    if len(found) < 2:
+def train(docs: DataFrame, each: int = 300, longest: int = 200_000) -> Model | None:
+    """Fit on at most `each` labelled texts of each language that are not held out: those whose ids hash lowest, of texts of at most `longest` characters. These bounds, on rows and on bytes, are the only sample; they are there because a kernel regression needs few texts. Texts count whole. None if nothing is labelled.
+
+    Rows without an id, a text or a letter teach nothing; of rows that agree in id and text one counts. One pass picks the
+    rows of all languages (each task keeps no more than `each` of a language), one fetches their texts.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (F.length("text") <= longest) & F.col("text").rlike(r"\p{L}"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "row")
+    keys = rows.select("doc_id", F.xxhash64("text").alias("row"), "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= each)
+    keys = keys.groupBy("doc_id", "row").agg(F.max("lang").alias("lang"), F.min("place").alias("place")).collect()
+    if not keys:
         return None
-    chosen = [found[i] for i in ids if i in found]
-    return Model.fit([t for _, t in chosen], [g for g, _ in chosen])
+    known = docs.sparkSession.createDataFrame([(r.doc_id, r.row) for r in keys], "doc_id long, row long")
+    texts = {(r.doc_id, r.row): r.text for r in S.sampled(rows.select("doc_id", "text"), known)}
+    chosen = [(texts[r.doc_id, r.row], r.lang) for r in sorted(keys, key=lambda r: (r.lang, r.place, r.doc_id, r.row)) if LETTER.search(texts[r.doc_id, r.row])]
+    return Model.fit([t for t, _ in chosen], [g for _, g in chosen]) if len(chosen) > 1 else None
 
 
-def predicted(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """The documents with lang_pred and score (0 to 1): `und` with score 0 where the text is null or has no letter, or nothing was learned. Only the text is looked at; nothing is shuffled."""
-    kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    names = [f.name for f in kept] + ["lang_pred", "score"]
-    out = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+def predicted(docs: DataFrame, model: Model | None, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The documents with two more columns, a language and a score (0 to 1): `und` with score 0 where the text is null or has no letter, or nothing was learned. Only the text is looked at; nothing is shuffled, and a row comes out for each row. Names that a column has already raise ValueError."""
+    if taken := set(names).intersection(docs.columns):
+        raise ValueError(f"there are columns {sorted(taken)} already: name the new ones otherwise")
+    out = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = b.column(text).to_pylist()
@@ -109,12 +113,12 @@ def predicted(docs: DataFrame, model: Model | None, text: str = "text") -> DataF
             s = model.scores([texts[i] for i in some[k : k + 64]])
             for i, row in zip(some[k : k + 64], s):
                 langs[i], scores[i] = model.languages[int(row.argmax())], float(row.max())
-        yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=out.names)
 
-    return S.map_arrow(docs.select(*(F.col(f"`{f.name}`") for f in kept)), run, out)
+    return S.map_arrow(docs, run, out)
 
 
 def identified(docs: DataFrame, each: int = 300) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of documents (doc_id, text, lang); learns from those that are not held out."""
+    """doc_id, held_out, lang_pred, score of documents (doc_id, text, lang), a row for each row; learns from those that are not held out. A null doc_id isn't held out."""
     out = predicted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, each))
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")

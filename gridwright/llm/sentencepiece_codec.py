@@ -238,8 +238,10 @@ def coded(docs: DataFrame, model: str) -> DataFrame:
 
 
 def with_tokens(docs: DataFrame, model: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded_text") -> DataFrame:
-    """The documents with two more columns: the ids (array<int>, begin and end ids included) and their decoded text."""
-    kept = [f for f in docs.schema.fields if f.name not in (ids, decoded)]
+    """The documents with two more columns: the ids (array<int>, begin and end ids included) and their decoded text. A null text is empty; a row comes out for each row. Columns that have these names already are kept as {name}_input."""
+    for c in {ids, decoded}.intersection(docs.columns):
+        docs = docs.withColumnRenamed(c, S.free_name(docs, f"{c}_input"))
+    kept = docs.schema.fields
     out = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -250,4 +252,4 @@ def with_tokens(docs: DataFrame, model: str, text: str = "text", ids: str = "tok
             part = b.slice(i, j - i)
             yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), lists, pa.array(decoded, pa.string())], names=[f.name for f in out.fields])
 
-    return S.map_arrow(docs.select(*(F.col(f"`{f.name}`") for f in kept)), run, out)
+    return S.map_arrow(docs, run, out)

@@ -31,7 +31,7 @@ def test_pieces_equal_the_library(spark):
     empty = sp.coded(rows(spark, []), PIECES)
     assert empty.count() == 0 and empty.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     more = sp.with_tokens(rows(spark, ["a b"]).selectExpr("doc_id", "text", "1 as decoded_text", "2 as other"), PIECES).head()
-    assert (more.token_ids, more.decoded_text, more.other) == (c.library.encode("a b", add_bos=True, add_eos=True), "a b", 2)
+    assert (more.token_ids, more.decoded_text, more.decoded_text_input, more.other) == (c.library.encode("a b", add_bos=True, add_eos=True), "a b", 1, 2)
 
 
 @settings(max_examples=150, deadline=None)
@@ -109,6 +109,8 @@ def test_language(spark):
     assert {r.doc_id: r.lang_pred for r in got if r.doc_id and r.doc_id >= 10**6} == {10**6: "und", 10**6 + 1: "und", 10**6 + 2: "und"}
     held = [r for r in got if r.held_out and r.doc_id in truth]
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held) > 0.97
+    own = langid.predicted(d.limit(3).selectExpr("doc_id", "text", "'x' as lang_pred", "0.5D as score"), None, names=("a", "b")).collect()
+    assert {(r.lang_pred, r.score, r.a, r.b) for r in own} == {("x", 0.5, "und", 0.0)}
     none = langid.identified(d.selectExpr("doc_id", "text", "cast(null as string) as lang"))
     assert {r.lang_pred for r in none.collect()} == {"und"}
 
@@ -221,3 +223,50 @@ def test_items_in_blocks_keep_rows(spark, monkeypatch):
     one = sorted(map(str, decontamination.report(df, benchmark).collect()))
     monkeypatch.setattr(decontamination, "ITEMS_AT_ONCE", 2)
     assert len(one) == len(docs) and sorted(map(str, decontamination.report(df, benchmark).collect())) == one
+
+
+def test_samples_are_bounded_by_rows(spark):
+    """An id that many rows repeat doesn't bring them all to the driver."""
+    many = spark.range(5000).selectExpr("1L as doc_id", "concat('ein Satz mit Zahl ', id) as text", "if(id % 2 = 0, 'de', 'en') as lang")
+    seen = []
+    real, pii.Detector.fit = pii.Detector.fit, classmethod(lambda cls, texts: seen.append(len(texts)) or cls(None, {}))
+    try:
+        pii.train(many, 300)
+    finally:
+        pii.Detector.fit = real
+    assert seen == [300]
+    model = langid.train(many.withColumn("doc_id", many.doc_id + 1), 20)
+    assert model is None or len(model.landmarks) <= 40
+
+
+def test_kernel_ridge_against_a_plain_version():
+    """With every text a landmark, Nystroem is exact: scores are those of kernel ridge regression with the full kernel."""
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list(a), 60)) for a in ("abcd e", "cdef g") for _ in range(12)]
+    langs = ["x"] * 12 + ["y"] * 12
+    model = langid.Model.fit(texts, langs, landmarks=12, ridge=1e-2)
+    grams = [{t.encode()[i : i + n] for n in langid.SIZES for i in range(len(t) - n + 1)} for t in texts]
+    k = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in grams] for a in grams])
+    x = langid.features(texts)
+    assert np.abs(x @ x.T - k).max() < 0.05  # but for n-grams that share a place
+    k = (x @ x.T).astype(float)
+    y = np.where(np.array(langs)[:, None] == np.array(["x", "y"]), 1.0, -1.0)
+    # Weighted ridge with an intercept that is penalised alike: (K + 1 + lambda / w) alpha = y.
+    alpha = np.linalg.solve(k + 1 + 1e-2 / 2 * 12 * np.eye(24), y)
+    s = 4 * (k + 1) @ alpha
+    e = np.exp(s - s.max(1, keepdims=True))
+    assert np.abs(model.scores(texts) - e / e.sum(1, keepdims=True)).max() < 0.02
+
+
+def test_spans_of_many_numbers_and_ranges():
+    text = " ".join(f"call 00{49_000_000_000 + i} or +49 30 {1_000_000 + i}" for i in range(4000))
+    detector = pii.Detector.fit([f"call +1 ({200 + i}) 555-01{i:02d} today" for i in range(60)] + ["none in 2020 or 12345"] * 40)
+    base, every = detector.spans(text)
+    assert len(base) == 4000 and set(base) <= set(every)
+    ends = [s[1:] for s in sorted(every, key=lambda s: s[1])]
+    assert all(b <= c for (_, b), (c, _) in zip(ends, ends[1:]))
+    r = pii.Ranges()
+    for a, b in ((0, 5), (3, 9), (20, 30)):
+        r.cover(a, b)
+    assert [r.meets(*x) for x in ((9, 20), (8, 9), (0, 1), (29, 40), (30, 31))] == [False, True, True, True, False]
+    assert r.add(10, 12) and not r.add(11, 14) and r.add(12, 20) and r.starts == [0, 10, 12, 20]
