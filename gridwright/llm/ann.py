@@ -129,19 +129,19 @@ class Best:
             yield S.batch(PAIRS, list(q), list(ids), list(scores))
 
 
-def _merge(df: DataFrame, keep: int, most: int = 20_000) -> DataFrame:
-    """Fewer rows (query_id, ids, scores) for each query of a partition."""
+def _merge(df: DataFrame, keep: int, most: int = 1000) -> DataFrame:
+    """One row (query_id, ids, scores) for each query; rows come sorted by query, so no more than about `most` queries are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(keep)
         for b in batches:
             for q, ids, scores in zip(b.column("query_id").to_pylist(), b.column("ids"), b.column("scores")):
+                if q not in best.pieces and len(best.pieces) >= most:
+                    yield from best.out()
                 best.add(q, ids.values.to_numpy(), scores.values.to_numpy())
-            if len(best.pieces) > most:
-                yield from best.out()
         yield from best.out()
 
-    return df.mapInArrow(run, "query_id long, ids array<long>, scores array<float>")
+    return df.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(run, "query_id long, ids array<long>, scores array<float>")
 
 
 def search(vectors: DataFrame, every: int = 20, top: int = 20, shortlist: int = 200, probe: float = 0.65) -> DataFrame:
@@ -227,7 +227,7 @@ def search(vectors: DataFrame, every: int = 20, top: int = 20, shortlist: int =
     met = filed.join(asking.toDF("list", "query_ids", "q"), "list")
     S.ship(spark)
     found = met.select("list", "ids", "data", "query_ids", "q")
-    short = _merge(found.mapInArrow(scan, "query_id long, ids array<long>, scores array<float>").repartition("query_id"), shortlist, most=1 << 60)
+    short = _merge(found.mapInArrow(scan, "query_id long, ids array<long>, scores array<float>"), shortlist)
     pairs = short.select("query_id", F.explode("ids").alias("entry"))
 
     def exact(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
