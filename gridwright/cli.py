@@ -16,6 +16,10 @@ def main(argv: list[str] | None = None) -> int:
         if name == "experiment":
             p.add_argument("--families", nargs="*")
             p.add_argument("--allow-stub-8b", action="store_true")
+    p = sub.add_parser("random")
+    p.add_argument("config")
+    p.add_argument("--seed", type=int, required=True)
+    p.add_argument("--probability", type=float, default=0.5)
     p = sub.add_parser("score")
     p.add_argument("run_dir")
     p.add_argument("gold")
@@ -29,7 +33,7 @@ def main(argv: list[str] | None = None) -> int:
 
     from pyspark.sql import SparkSession
 
-    from .plans import drivers
+    from .plans import calibration, drivers
     from .sources import json_tables
 
     spark = SparkSession.builder.appName("gridwright").getOrCreate()
@@ -42,11 +46,15 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(out, indent=2))
         return int(out["any_failed"])
     if a.command == "score":
-        print(json.dumps(drivers.score_run(spark, spark.read.parquet(f"{a.run_dir}/outputs"), json_tables.gold(spark, a.gold), a.out), indent=2))
+        print(json.dumps(drivers.score_run(spark, drivers.run_outputs(spark, a.run_dir), json_tables.gold(spark, a.gold), a.out), indent=2))
+    elif a.command == "random":
+        print(drivers.run_adaptive(spark, a.config, a.seed, a.probability))
+    elif a.command == "calibrate":
+        print(calibration.told(drivers.run_calibration(spark, a.config)))
     elif a.command == "select":
         print(drivers.select_fixture(spark, a.annotations, a.out, a.limit, a.min_non_empty_cells))
     else:
-        run = {"freeze": drivers.run_freeze, "single": drivers.run_single, "adaptive": drivers.run_adaptive, "calibrate": drivers.run_calibration}[a.command]
+        run = {"freeze": drivers.run_freeze, "single": drivers.run_single, "adaptive": drivers.run_adaptive}[a.command]
         print(json.dumps(run(spark, a.config), indent=2, default=str))
     return 0
 

@@ -53,18 +53,20 @@ def scored(outputs: DataFrame, gold: DataFrame) -> DataFrame:
     """Scores of outputs (page_id, raw_text and any others) against gold (page_id, html).
 
     Adds precision, recall, cell_f1, text_similarity, gold_cells, pred_cells, pred_parse_error, gold_missing. A prediction
-    with a bad table counts as having none and keeps the error; a page without gold scores 0; bad gold fails the query. Gold
-    is expanded once and joined by page_id.
+    with a bad table counts as having none and keeps the error; a page without gold scores 0; bad gold fails the query.
+    Texts are joined by page_id before they are expanded, so no cells cross a shuffle and both are expanded in one go.
     """
     none = F.array().cast(f"array<{html.GRID}>")
-    g = gold.select(F.col("page_id").alias("gold_id"), html.grids(html.table_blocks(F.col("html"))).alias("gold_grids"))
+    g = gold.select(F.col("page_id").alias("gold_id"), "html")
+    out = outputs.join(g, outputs["page_id"] == g["gold_id"], "left").withColumn("gold_missing", F.col("gold_id").isNull())
+    out = out.withColumns({"grids": html.grids(html.table_blocks(F.col("raw_text"))), "gold_grids": html.grids(html.table_blocks(F.col("html")))}).drop("html")
     bad = F.filter(F.transform("gold_grids", lambda x: x["error"]), lambda e: e.isNotNull())
-    checked = F.when((F.size("gold_grids") == 0) | (F.size(bad) > 0), F.raise_error(F.concat(F.lit("gold can't be expanded: "), F.col("gold_id"))).cast(f"array<{html.GRID}>")).otherwise(F.col("gold_grids"))
-    g = g.select("gold_id", scoring.cell_set(checked).alias("gold_set"), scoring.flat_text(checked).alias("gold_text"))
-    out = with_grids(outputs).withColumn("pred_parse_error", scoring.page_error(F.col("grids")))
+    checked = F.when(F.col("gold_missing"), F.lit(None).cast(f"array<{html.GRID}>")).when((F.size("gold_grids") == 0) | (F.size(bad) > 0), F.raise_error(F.concat(F.lit("gold can't be expanded: "), F.col("gold_id"))).cast(f"array<{html.GRID}>")).otherwise(F.col("gold_grids"))
+    out = out.withColumn("gold_grids", checked)
+    out = out.withColumns({"gold_set": scoring.cell_set(F.col("gold_grids")), "gold_text": scoring.flat_text(F.col("gold_grids"))}).drop("gold_grids")
+    out = out.withColumn("pred_parse_error", scoring.page_error(F.col("grids")))
     out = out.withColumn("grids", F.when(F.col("pred_parse_error").isNull(), F.col("grids")).otherwise(none))
     out = out.withColumn("pred_set", scoring.cell_set(F.col("grids"))).withColumn("pred_text", scoring.flat_text(F.col("grids"))).drop("grids")
-    out = out.join(g, out["page_id"] == g["gold_id"], "left").withColumn("gold_missing", F.col("gold_id").isNull())
     out = out.withColumn("hits", scoring.hits(F.col("pred_set"), F.col("gold_set")))
     score = scoring.prf(F.col("hits"), F.size("pred_set"), F.size("gold_set"))
     zero = lambda c: F.when(F.col("gold_missing"), F.lit(0.0)).otherwise(c)

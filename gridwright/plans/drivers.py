@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -37,18 +38,22 @@ def _inputs(spark: SparkSession, c: dict, part: str = "inputs") -> DataFrame:
 
 def _store(root: str):
     def store(df: DataFrame) -> DataFrame:
-        path = f"{root}/_first_pass/{datetime.now(UTC).strftime('%H%M%S%f')}"
+        path = f"{root}/_first_pass/{uuid.uuid4().hex}"
         df.write.parquet(path)
         return df.sparkSession.read.parquet(path)
 
     return store
 
 
-def _write(out: DataFrame, folder: str) -> int:
-    """Page outputs as Parquet, then the log beside them from what was written: nothing is inferred twice."""
+def _write(out: DataFrame, folder: str, page_files: bool = True) -> int:
+    """Page outputs as Parquet, then from what was written, so that nothing is inferred twice: the log, its rows numbered in the order of page ids, which is that of manifests; and a text and a sidecar for each page and pass, unless page_files is off."""
     sinks.write_pages(out, f"{folder}/outputs")
     done = out.sparkSession.read.parquet(f"{folder}/outputs")
-    sinks.write_log(done.drop("raw_text"), f"{folder}/logs")
+    log = dataset.dense_places(done.drop(*runners.TEXTS), "page_id").withColumnRenamed("place", "line_no")
+    sinks.write_log(log.orderBy("line_no"), f"{folder}/logs")
+    if page_files:
+        for place, rows in runners.artifacts(done).items():
+            sinks.export_pages(rows, f"{folder}/{place}".rstrip("/"))
     return done.count()
 
 
@@ -57,17 +62,19 @@ def run_single(spark: SparkSession, path: str) -> int:
     model = config.named(config.models(config.get(c, "model.config_path")), config.get(c, "model.name"))
     budget = config.named(config.budgets(config.get(c, "budget.config_path")), config.get(c, "budget.name"))
     out = runners.single_pass(_inputs(spark, c), model, budget, config.prompt(config.get(c, "prompt.config_path")), c["run_id"], config.get(c, "inputs.split_name"))
-    return _write(out, config.get(c, "output.dir"))
+    return _write(out, config.get(c, "output.dir"), config.get(c, "output.page_files", True))
 
 
-def run_adaptive(spark: SparkSession, path: str) -> int:
+def run_adaptive(spark: SparkSession, path: str, seed: int | None = None, probability: float = 0.5) -> int:
+    """A gated run; with a seed, one whose second passes are drawn with that probability."""
     c = config.load("adaptive", path)
     model = config.named(config.models(config.get(c, "model.config_path")), config.get(c, "model.name"))
     table = config.budgets(config.get(c, "budget.config_path"))
     low, high = (config.named(table, config.get(c, f"budget.{k}_name")) for k in ("low", "high"))
     folder = config.get(c, "output.dir")
-    out = runners.adaptive(_inputs(spark, c).select("page_id", "width", "height"), model, low, high, config.prompt(config.get(c, "prompt.config_path")), c["run_id"], config.get(c, "inputs.split_name"), _store(folder))
-    return _write(out, folder)
+    given = (_inputs(spark, c).select("page_id", "width", "height"), model, low, high, config.prompt(config.get(c, "prompt.config_path")), c["run_id"], config.get(c, "inputs.split_name"))
+    out = runners.adaptive(*given, store=_store(folder)) if seed is None else runners.adaptive_random(*given, seed, probability, _store(folder))
+    return _write(out, folder, config.get(c, "output.page_files", True))
 
 
 def run_calibration(spark: SparkSession, path: str) -> dict:
@@ -76,11 +83,15 @@ def run_calibration(spark: SparkSession, path: str) -> dict:
     models, prompt, pages = config.models(c["model_config_path"]), config.prompt(c["prompt_config_path"]), _inputs(spark, c, "split").drop("ord")
     s = config.settings(c)
     small, large = (config.named(models, config.get(c, f"models.{k}")) for k in ("adaptive", "fixed_8b"))
-    pairs = calibration.sweep_adaptive(pages, small, prompt, s).withColumn("kind", F.lit("adaptive"))
-    for m in {small.name: small, large.name: large}.values():
-        pairs = pairs.unionByName(calibration.sweep_fixed(pages, m, prompt, s).withColumns({"kind": F.lit("fixed"), "model_name": F.lit(m.name)}), allowMissingColumns=True)
+    # One sweep of each: its points, as many as there are settings, are both written and chosen from.
+    few = lambda df: spark.createDataFrame(df.collect(), df.schema)
+    adaptive = few(calibration.sweep_adaptive(pages, small, prompt, s, _store(config.get(c, "output.sweep_summaries_path") + "_work")))
+    fixed = {m.name: few(calibration.sweep_fixed(pages, m, prompt, s)) for m in (small, large)}
+    pairs = adaptive.withColumn("kind", F.lit("adaptive"))
+    for name, points in fixed.items():
+        pairs = pairs.unionByName(points.withColumns({"kind": F.lit("fixed"), "model_name": F.lit(name)}), allowMissingColumns=True)
     sinks.write_log(pairs, config.get(c, "output.sweep_summaries_path"))
-    frozen = calibration.calibrate(pages, small, large, prompt, s) | {"run_id": c["run_id"], "generated_at": datetime.now(UTC).isoformat()}
+    frozen = calibration.chosen(adaptive, fixed, small, large, s) | {"run_id": c["run_id"], "generated_at": datetime.now(UTC).isoformat()}
     frozen["pinning"] |= {"calibration_split_manifest": config.get(c, "split.manifest_path"), "calibration_split_sha256": json_tables.sha256(spark, config.get(c, "split.manifest_path")), "calibration_config_path": str(path)}
     calibration.freeze(config.get(c, "output.frozen_budgets_path"), frozen)
     return frozen
@@ -95,7 +106,7 @@ def run_experiment(spark: SparkSession, path: str, families: list[str] | None =
     rate, degenerate = summary.reparse_probability(sel["measured"], sel["low"], sel["high"])
 
     def write(system: str, out: DataFrame) -> str:
-        _write(out, f"{root}/{system}")
+        _write(out, f"{root}/{system}", config.get(c, "output.page_files", True))
         return f"{root}/{system}/logs"
 
     pages = _inputs(spark, c).select("page_id", "width", "height")
@@ -107,22 +118,47 @@ def run_experiment(spark: SparkSession, path: str, families: list[str] | None =
 
 
 def run_manifest(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
-    """A run manifest's header, and its entries as rows with their order (ord); another schema version raises ValueError. Empty output folders are null."""
+    """A run manifest's header, and its entries as rows with their order (ord); another schema version raises ValueError. Values are coerced to the columns' types, nulls kept; empty output folders are null."""
     data = json.loads(Path(path).read_text(encoding="utf-8"))
     if data.get("schema_version") != 1:
         raise ValueError(f"{path}: schema_version must be 1")
-    fields = [f.split()[0] for f in schemas.ENTRY.split(", ")]
-    rows = [[i, *((e.get(f) or ([] if f == "notes" else None)) if f in ("output_dir", "notes") else e.get(f) for f in fields)] for i, e in enumerate(data["entries"])]
+    turn = {"int": int, "double": float, "string": str, "array<string>": lambda v: [str(x) for x in v]}
+    fields = [f.split() for f in schemas.ENTRY.split(", ")]
+
+    def value(entry: dict, name: str, kind: str) -> object:
+        v = entry.get(name)
+        if name == "notes":
+            v = v or []
+        return None if v is None or (name == "output_dir" and v == "") else turn[kind](v)
+
+    rows = [[i, *(value(e, *f) for f in fields)] for i, e in enumerate(data["entries"])]
     return data["header"], spark.createDataFrame(rows, "ord int, " + schemas.ENTRY)
 
 
+SCORE_COLUMNS = ("page_id", "cell_f1", "precision", "recall", "text_similarity", "gold_cells", "pred_cells", "pred_parse_error", "gold_missing")
+
+
+def run_outputs(spark: SparkSession, folder: str) -> DataFrame:
+    """page_id and raw_text of a run: from its sidecars and texts, or where it has no page files from its table of outputs. FileNotFoundError without either."""
+    try:
+        return json_tables.sidecars(spark, folder).select("page_id", "raw_text")
+    except FileNotFoundError:
+        if not Path(folder, "outputs").exists():
+            raise
+        return spark.read.parquet(f"{folder}/outputs").select("page_id", "raw_text")
+
+
 def score_run(spark: SparkSession, outputs: DataFrame, gold: DataFrame, folder: str) -> dict:
-    """Page scores as Parquet, their macro means as JSON and Markdown; returns the means."""
+    """Page scores as Parquet, their macro means as JSON, both as Markdown, by page id; returns the means. A page whose text is missing scores like one without tables."""
     scores = verify.scored(outputs.select("page_id", "raw_text"), gold).drop("raw_text")
     scores.write.mode("overwrite").parquet(f"{folder}/page_scores")
-    m = verify.macros(spark.read.parquet(f"{folder}/page_scores")).head().asDict()
+    done = spark.read.parquet(f"{folder}/page_scores")
+    m = verify.macros(done).head().asDict()
     sinks.write_json(f"{folder}/page_scores.json", {"summary": m})
-    Path(folder, "scores.md").write_text(sinks.markdown_table([m], list(m)), encoding="utf-8")
+    with Path(folder, "scores.md").open("w", encoding="utf-8") as sink:
+        sink.write("# Scores\n\n" + sinks.markdown_table([m], list(m)) + "\n## Pages\n\n" + sinks.markdown_table([], list(SCORE_COLUMNS)))
+        for r in done.select(*SCORE_COLUMNS).orderBy("page_id").toLocalIterator():  # a partition of rows at a time
+            sink.write(sinks.markdown_rows([r.asDict()], list(SCORE_COLUMNS)))
     return m
 
 
@@ -149,13 +185,7 @@ def analyse(spark: SparkSession, path: str) -> dict:
     frozen = calibration.check_frozen(json.loads(Path(i["frozen_budgets_path"]).read_text()))
     held, cal = (json_tables.split_page_ids(spark, i[k]) for k in ("held_out_split_path", "calibration_split_path"))
     folders = [(r.system_id, r.output_dir) for r in entries.where("output_dir is not null").select("system_id", "output_dir").collect()]
-    log = None
-    for system, folder in folders:
-        part = spark.read.schema(schemas.ANY_LOG).json(folder).withColumn("system_id", F.lit(system))
-        log = part if log is None else log.unionByName(part)
-    log = log if log is not None else spark.createDataFrame([], schemas.ANY_LOG + ", system_id string")
-    # Runs write a page once; the order of decisions is that of the page ids.
-    log = log.withColumn("line_no", F.xxhash64("page_id"))
+    log = json_tables.log_rows(spark, dict(folders))
     systems = [r.system_id for r in entries.select("system_id").collect()]
     scores = score_summaries(spark, i["scoring_summaries_root"], systems) if i.get("scoring_summaries_root") else None
     results = analysis.results(entries, log, scores)

@@ -136,31 +136,50 @@ def verify_pages(spark, sf_dir):
     return out.select("k", F.col("verifier_decision").alias("decision"), F.array_join("verifier_failure_codes", ",").alias("codes"), F.col("predicted_table_count").cast("long").alias("tables"), "html_parse_ok", F.col("span_normalization_ok").alias("span_ok"))
 
 
-@query("""select k, r, c, case when r = 0 then case when k % 8 = 7 then ['part', 'qty', 'flag'][c + 1] else ['part qty', '', 'flag'][c + 1] end else [p::varchar, q::varchar, f][c + 1] end as text,
-  case when r = 0 then case when k % 8 = 7 then ['part', 'qty', 'flag'][c + 1] else ['part qty', 'part qty', 'flag'][c + 1] end else [p::varchar, q::varchar, f][c + 1] end as filled
-  from (select k, r, p, q, f from lines where k % 8 in (2, 7) union all select distinct k, 0, null, null, null from lines where k % 8 in (2, 7)), (values (0::bigint), (1), (2)) v(c)""", H)
+@query("""select k, r, c, case when r = 0 then case when k % 8 in (6, 7) then ['part', 'qty', 'flag'][c + 1] else ['part qty', '', 'flag'][c + 1] end else [p::varchar, q::varchar, f][c + 1] end as text,
+  case when r = 0 then case when k % 8 in (6, 7) then ['part', 'qty', 'flag'][c + 1] else ['part qty', 'part qty', 'flag'][c + 1] end else [p::varchar, q::varchar, f][c + 1] end as filled
+  from (select k, r, p, q, f from lines where k % 8 in (2, 6, 7) union all select distinct k, 0, null, null, null from lines where k % 8 in (2, 6, 7)), (values (0::bigint), (1), (2)) v(c)
+  union all select k, r - 1, c, '', '' from lines, (values (0::bigint), (1), (2)) v(c) where k % 8 = 5""", H)
 def table_cells(spark, sf_dir):
-    out = verify.with_grids(fx.order_html(spark, sf_dir).where("k % 8 in (2, 7)"))
+    """Every page; those whose table is in error have no cells."""
+    out = verify.with_grids(fx.order_html(spark, sf_dir))
     return out.select("k", F.explode("grids").alias("g")).select("k", F.inline("g.cells")).select("k", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "text", "filled")
 
 
+@query("""select k, case when codes = '' then 'PASS' else 'REPARSE' end as decision, codes, tables from (
+  select k, cast(case k % 8 when 0 then 0 when 6 then 2 else 1 end + case when k % 3 < 2 then 1 else 0 end as bigint) as tables,
+    case when one = '' and k % 8 = 0 and k % 3 = 2 then 'NO_TABLE_FOUND' when one = '' then two when two = '' or one = two then one else one || ',' || two end as codes
+  from (select k, case k % 8 when 1 then 'RECTANGULAR_INCONSISTENCY' when 3 then 'SPAN_EXPANSION_FAILED' when 4 then 'SPAN_EXPANSION_FAILED' when 5 then 'DEGENERATE_TABLE' when 6 then 'DEGENERATE_TABLE' else '' end as one,
+    case k % 3 when 0 then 'SPAN_EXPANSION_FAILED' when 1 then 'DEGENERATE_TABLE' else '' end as two from order_html))""", H)
+def verify_several(spark, sf_dir):
+    """A second table behind each page's own: codes come once each, in the order of the tables."""
+    more = F.when(F.col("k") % 3 == 0, F.lit(fx.OVERLAP)).when(F.col("k") % 3 == 1, F.lit("<table><tr><td> </td></tr></table>")).otherwise(F.lit(""))
+    pages = fx.order_html(spark, sf_dir).withColumn("raw_text", F.concat("raw_text", F.lit(" then "), more))
+    return verify.verified(pages).select("k", F.col("verifier_decision").alias("decision"), F.array_join("verifier_failure_codes", ",").alias("codes"), F.col("predicted_table_count").cast("long").alias("tables"))
+
+
 def _scores(spark, sf_dir):
-    return verify.scored(fx.order_html(spark, sf_dir), fx.order_html(spark, sf_dir, clean=True).select("page_id", F.col("raw_text").alias("html")))
+    """Gold is missing for one page in sixteen."""
+    return verify.scored(fx.order_html(spark, sf_dir), fx.order_html(spark, sf_dir, clean=True).where("k % 16 <> 7").select("page_id", F.col("raw_text").alias("html")))
 
 
-F1 = "case k % 8 when 2 then (3 * n + 1) / (3 * n + 3) when 6 then 1 when 7 then 1 else 0 end::double"
+F1 = "case when k % 16 = 7 then 0 else case k % 8 when 2 then (3 * n + 1) / (3 * n + 3) when 6 then 1 when 7 then 1 else 0 end end::double"
 FLAT = """flat as (select k, max(n) as n, 'part' || chr(9) || 'qty' || chr(9) || 'flag' || chr(10) || string_agg(p || chr(9) || q || chr(9) || f, chr(10) order by r) as g,
   string_agg(p || chr(9) || q || chr(9) || f, chr(10) order by r) as body from lines group by k)"""
-SIM = """case k % 8 when 2 then 1 - levenshtein('part qty' || chr(9) || 'part qty' || chr(9) || 'flag' || chr(10) || body, g) / greatest(length(g), length(body) + 23)::double when 6 then 1 when 7 then 1 else 0 end::double"""
+SIM = """case when k % 16 = 7 then 0 else case k % 8 when 2 then 1 - levenshtein('part qty' || chr(9) || 'part qty' || chr(9) || 'flag' || chr(10) || body, g) / greatest(length(g), length(body) + 23)::double when 6 then 1 when 7 then 1 else 0 end end::double"""
 
 
-@query(f"""select k, round({F1}, 6) as precision, round({F1}, 6) as recall, round({F1}, 6) as cell_f1, round({SIM}, 6) as text_similarity, 3 * (n + 1) as gold_cells,
+@query(f"""select k, round({F1}, 6) as precision, round({F1}, 6) as recall, round({F1}, 6) as cell_f1, round({SIM}, 6) as text_similarity, cast(case when k % 16 = 7 then 0 else 3 * (n + 1) end as bigint) as gold_cells, k % 16 = 7 as gold_missing,
   cast(case when k % 8 in (0, 1, 3, 4) then 0 when k % 8 = 5 then 3 * n else 3 * (n + 1) end as bigint) as pred_cells, case k % 8 when 0 then 'no_tables' when 1 then 'not_rectangular' when 3 then 'span_expansion_failed' when 4 then 'span_expansion_failed' else '' end as error from flat""", H, FLAT)
 def score_pages(spark, sf_dir):
-    return rounded(_scores(spark, sf_dir).select("k", "precision", "recall", "cell_f1", "text_similarity", "gold_cells", "pred_cells", F.coalesce("pred_parse_error", F.lit("")).alias("error")))
+    return rounded(_scores(spark, sf_dir).select("k", "precision", "recall", "cell_f1", "text_similarity", "gold_cells", "gold_missing", "pred_cells", F.coalesce("pred_parse_error", F.lit("")).alias("error")))
+
 
+GOLDEN = "filter (where k % 16 <> 7)"
 
-@query(f"""select round(avg({F1}), 6) as macro_precision, round(avg({F1}), 6) as macro_recall, round(avg({F1}), 6) as macro_cell_f1, round(avg({SIM}), 6) as macro_text_similarity, count(*) as pages_total, count(*) as pages_with_gold, count(*) filter (where k % 8 in (0, 1, 3, 4)) as pages_with_parse_error from flat""", H, FLAT)
+
+@query(f"""select round(avg({F1}) {GOLDEN}, 6) as macro_precision, round(avg({F1}) {GOLDEN}, 6) as macro_recall, round(avg({F1}) {GOLDEN}, 6) as macro_cell_f1, round(avg({SIM}) {GOLDEN}, 6) as macro_text_similarity,
+  count(*) as pages_total, count(*) {GOLDEN} as pages_with_gold, count(*) filter (where k % 8 in (0, 1, 3, 4)) as pages_with_parse_error from flat""", H, FLAT)
 def score_macro(spark, sf_dir):
     return rounded(verify.macros(_scores(spark, sf_dir)))
 
@@ -233,10 +252,12 @@ def duplicate_ids(spark, sf_dir):
     return dataset.duplicates(fx.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")), "key")
 
 
-@query("select item_id, sha256(text) as sha256, sha256(text) = sha256(text || '') as same from benchmark")
+@query("select a.doc_id, sha256(coalesce(a.text, '')) as sha256, coalesce(a.text, '') = coalesce(b.text, '') as same from documents a join documents b on b.n_chars = a.n_chars and b.source = a.source and b.doc_id < a.doc_id")
 def file_hash_equal(spark, sf_dir):
-    content = F.col("text").cast("binary")
-    return fx.table(spark, sf_dir, "benchmark").select("item_id", F.sha2(content, 256).alias("sha256"), (F.sha2(content, 256) == F.sha2(F.concat(content, F.lit(b"")), 256)).alias("same"))
+    """Contents of one length and source, compared by their hashes; the SQL compares the contents."""
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha256"))
+    other = d.toDF("other_id", "n_chars", "source", "other")
+    return d.join(other, ["n_chars", "source"]).where("other_id < doc_id").select("doc_id", "sha256", (F.col("sha256") == F.col("other")).alias("same"))
 
 
 @query(f"select system_id, page_id, {KEPT} as output_tokens from run_log", L)
@@ -279,7 +300,7 @@ def seeded_split(spark, sf_dir):
 
 @query("select doc_id, lang as language from documents where lang is not null")
 def language_lookup(spark, sf_dir):
-    return fx.annotation_json(spark, sf_dir).select("doc_id", dataset.language(F.col("entry")).alias("language")).where("language is not null")
+    return dataset.with_language(fx.annotation_json(spark, sf_dir)).select("doc_id", "language").where("language is not null")
 
 
 @query(r"""select 'p_' || doc_id || '_v1' as page_id, 'imgs/p ' || doc_id || '.v1.png' as image_filename, 'en' as language, '<table><tr><td>' || n_chars || '</td></tr></table>' as table_html, 1::bigint as row_count, 1::bigint as col_count, false as has_merged_cells, false as has_nested_headers from documents where lang = 'en' order by image_filename limit 100""")
@@ -288,10 +309,16 @@ def annotated_pages(spark, sf_dir):
     return out.withColumns({c: F.col(c).cast("long") for c in ("row_count", "col_count")})
 
 
-@query("select page_id, 'eval_universe' as kind from page_records where is_english_table_page union all select page_id, 'hard_subset' from page_records where is_english_table_page and (coalesce(row_count, 0) >= 20 or coalesce(col_count, 0) >= 6 or has_merged_cells or has_nested_headers)", P)
+@query("""select page_id, 'eval_universe' as kind, 1::bigint as pages from page_records where is_english_table_page
+  union all select page_id, 'hard_subset', 1 from page_records where is_english_table_page and (coalesce(row_count, 0) >= 20 or coalesce(col_count, 0) >= 6 or has_merged_cells or has_nested_headers)
+  union all select '', kind, if(kind = 'calibration', 5, count(*) - 5) from page_records, (values ('calibration'), ('held_out_eval')) v(kind) where is_english_table_page group by kind""", P)
 def frozen_universe(spark, sf_dir):
-    out = freeze.universe(fx.page_records(spark, sf_dir), RULE, 50, None, 1337)
-    return out.where("kind in ('eval_universe', 'hard_subset')").select("page_id", "kind")
+    """The members of the universe and its hard subset; the seeded splits, which SQL can't draw, by their sizes, over members of the universe only."""
+    out = freeze.universe(fx.page_records(spark, sf_dir), RULE, 5, None, 1337)
+    whole = out.where("kind = 'eval_universe'").select("page_id")
+    split = out.where("kind not in ('eval_universe', 'hard_subset')").join(whole, "page_id", "left_semi").distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("pages"))
+    members = out.where("kind in ('eval_universe', 'hard_subset')").select("page_id", "kind", F.lit(1).cast("long").alias("pages"))
+    return members.unionAll(split.select(F.lit(""), "kind", "pages"))
 
 
 @query("select page_id, 'B_low' as budget_name, 9::bigint as output_token_count, 'raw/' || page_id || '.md' as raw_output_path from page_records", P)
@@ -300,28 +327,60 @@ def single_pass_run(spark, sf_dir):
     return out.select("page_id", "budget_name", "output_token_count", "raw_output_path")
 
 
-@query("select page_id, false as reparse_triggered, 'PASS' as verifier_decision, 1::bigint as tables, 9::bigint as first_pass_output_tokens, 'first_pass' as final_output_source from page_records", P)
+UNEVEN_2B = inference.Model("stub_2b", "uneven")
+LOW_HIGH = inference.Budget("B_low", 4), inference.Budget("B_high", 10)
+
+
+def _uneven_run(spark, sf_dir):
+    return runners.adaptive(_stub_pages(spark, sf_dir), UNEVEN_2B, *LOW_HIGH, PROMPT, "run", "held_out_eval")
+
+
+@query("""select page_id, again as reparse_triggered, case when again then 'REPARSE' else 'PASS' end as verifier_decision, case n % 5 when 0 then 'NO_TABLE_FOUND' when 1 then 'DEGENERATE_TABLE' else '' end as codes,
+  cast(case when n % 5 = 0 then 0 else 1 end as bigint) as tables, first::bigint as first_pass_output_tokens, coalesce(case when again then second end, -1)::bigint as reparse_output_tokens,
+  case when again then 14.0 else 4.0 end::double as total_runtime_ms, case when again then 'reparse' else 'first_pass' end as final_output_source from uneven""", P, fx.UNEVEN)
 def adaptive_run(spark, sf_dir):
-    out = runners.adaptive(_stub_pages(spark, sf_dir), STUB_2B, inference.Budget("B_low", 4), inference.Budget("B_high", 10), PROMPT, "run", "held_out_eval")
-    return out.select("page_id", "reparse_triggered", "verifier_decision", F.col("predicted_table_count").cast("long").alias("tables"), "first_pass_output_tokens", "final_output_source")
+    """With an adapter that fails the verifier on known pages."""
+    out = _uneven_run(spark, sf_dir)
+    return out.select("page_id", "reparse_triggered", "verifier_decision", F.array_join("verifier_failure_codes", ",").alias("codes"), F.col("predicted_table_count").cast("long").alias("tables"), "first_pass_output_tokens", F.coalesce("reparse_output_tokens", F.lit(-1)).alias("reparse_output_tokens"), "total_runtime_ms", "final_output_source")
+
+
+HIGH_STUB = STUB.replace("B_low", "B_high")
+
+
+@query(f"""select 'first_pass' as pass, page_id, 'B_low' as budget_name, first::bigint as tokens, case n % 5 when 0 then '{fx.NOTHING}' when 1 then '{fx.HOLLOW}' else {STUB} end as raw_text from uneven
+  union all select 'reparse', page_id, 'B_high', second, case when n % 10 = 0 then '{fx.NOTHING}' else {HIGH_STUB} end from uneven where again
+  union all select 'final', page_id, case when again then 'B_high' else 'B_low' end, case when again then second else first end, case when n % 10 = 0 then '{fx.NOTHING}' when again then {HIGH_STUB} else {STUB} end from uneven""", P, fx.UNEVEN)
+def pass_artifacts(spark, sf_dir):
+    """The texts of each pass and of what is kept."""
+    parts = runners.artifacts(_uneven_run(spark, sf_dir))
+    kept = F.when(F.col("reparse_triggered"), F.struct("budget_high", "reparse_output_tokens")).otherwise(F.struct(F.col("budget_low").alias("budget_high"), F.col("first_pass_output_tokens").alias("reparse_output_tokens")))
+    final = parts["final"].withColumn("kept", kept).select("page_id", "raw_text", F.col("kept.budget_high").alias("budget_name"), F.col("kept.reparse_output_tokens").alias("output_token_count"))
+    rows = [df.select(F.lit(k).alias("pass"), "page_id", "budget_name", F.col("output_token_count").alias("tokens"), "raw_text") for k, df in (parts | {"final": final}).items()]
+    return rows[0].unionAll(rows[1]).unionAll(rows[2])
 
 
 @query()
 def random_run(spark, sf_dir):
-    out = runners.adaptive_random(_stub_pages(spark, sf_dir), STUB_2B, inference.Budget("B_low", 4), inference.Budget("B_high", 10), PROMPT, "run", "held_out_eval", 0, 0.55)
+    out = runners.adaptive_random(_stub_pages(spark, sf_dir), UNEVEN_2B, *LOW_HIGH, PROMPT, "run", "held_out_eval", 0, 0.55)
     return out.select("page_id", "reparse_triggered", "reparse_output_tokens", "final_output_source", "random_seed", "policy")
 
 
-@query("select low, high, (select count(*) from page_records) as sample_size, 9::double as mean_output_tokens, 0::double as reparse_rate, low::double as cost_tiles from (values (2), (4), (6)) a(low), (values (8), (12), (16)) b(high)", P)
+SWEEP = """sweep as (select low, high, count(*) as sample_size, avg(case when again then second else first end) as tokens, avg(again::int) as rate, avg(low + case when again then high else 0 end) as cost
+  from uneven, (values (2), (4), (6)) a(low), (values (8), (12), (16)) b(high) group by 1, 2)"""
+
+
+@query("select low, high, sample_size, round(tokens, 6) as mean_output_tokens, round(rate, 6) as reparse_rate, round(cost, 6) as cost_tiles from sweep", P, fx.UNEVEN, SWEEP)
 def sweep_adaptive(spark, sf_dir):
-    return calibration.sweep_adaptive(_stub_pages(spark, sf_dir), STUB_2B, PROMPT, SETTINGS)
+    return rounded(calibration.sweep_adaptive(_stub_pages(spark, sf_dir), UNEVEN_2B, PROMPT, SETTINGS))
 
 
-@query("select 6 as low, 8 as high, 6 as fixed_2b, 6 as fixed_8b, 6::double as measured")
+@query("""select low, high, t as fixed_2b, t as fixed_8b, round(cost, 6) as measured, abs(t - cost) / cost <= 0.1 as within from (select * from sweep order by abs(cost - 6.0), low, high limit 1), (values (4), (6), (8), (10)) v(t)
+  order by abs(t - cost) / cost > 0.1, abs(t - cost), t limit 1""", P, fx.UNEVEN, SWEEP)
 def stub_calibration(spark, sf_dir):
-    f = calibration.calibrate(_stub_pages(spark, sf_dir), STUB_2B, STUB_8B, PROMPT, SETTINGS)
+    f = calibration.calibrate(_stub_pages(spark, sf_dir), UNEVEN_2B, inference.Model("stub_8b", "uneven"), PROMPT, SETTINGS)
     s = f["selection"]
-    return spark.createDataFrame([(s["adaptive"]["low"], s["adaptive"]["high"], s["fixed_2b"]["max_tiles"], s["fixed_8b"]["max_tiles"], s["adaptive"]["measured"])], "low int, high int, fixed_2b int, fixed_8b int, measured double")
+    row = (s["adaptive"]["low"], s["adaptive"]["high"], s["fixed_2b"]["max_tiles"], s["fixed_8b"]["max_tiles"], s["adaptive"]["measured"], s["fixed_2b"]["within_tolerance"])
+    return rounded(spark.createDataFrame([row], "low int, high int, fixed_2b int, fixed_8b int, measured double, within boolean"))
 
 
 @query("select o as ord, s as system_id, f as family, r as runner, d::double as seed from (values (0, 'adaptive_2b', 'adaptive_2b', 'adaptive', null), (1, 'fixed_2b_low', 'fixed_2b_low', 'single_pass', null), (2, 'fixed_2b_matched', 'fixed_2b_matched', 'single_pass', null), (3, 'random_2b_seed0', 'random_2b', 'adaptive_random', 0), (4, 'random_2b_seed1', 'random_2b', 'adaptive_random', 1), (5, 'fixed_8b_matched', 'fixed_8b_matched', 'single_pass', null)) t(o, s, f, r, d)")
@@ -341,6 +400,28 @@ def system_results(spark, sf_dir):
     return rounded(out.select("system_id", F.col("pages_processed").cast("long").alias("pages_processed"), "sample_size", "mean_runtime_ms", "mean_output_tokens", F.col("verifier_failure_codes")["NO_TABLE_FOUND"].cast("double").alias("no_table"), F.col("predicted_table_count_hist")[1].cast("double").alias("one_table")))
 
 
+@query(f"""select s.system_id, case s.ord when 1 then 'failed' when 6 then 'skipped_stub_8b' else 'ok' end as status, cast(case when s.ord in (1, 6) then 0 else l.n end as bigint) as pages_processed, cast(case when s.ord in (1, 6) then 0 else l.n end as bigint) as sample_size,
+  case when s.ord in (1, 6) then 0 else round(l.tok, 6) end::double as mean_output_tokens, case when s.ord in (1, 6) then 0 else round(l.cost, 6) end::double as cost_tiles, case s.ord when 1 then 'broken' when 6 then 'a stub' else '-' end as note, case when s.ord = 0 then 0.5 else -1 end::double as macro_cell_f1
+  from systems s join (select system_id, count(*) as n, avg({KEPT}) as tok, case when any_value(adaptive) then avg(low + case when hit then high else 0 end) else any_value(tiles)::double end as cost from run_log group by 1) l using (system_id)""", L)
+def results_with_failures(spark, sf_dir):
+    """One system failed, one was skipped, one has scores."""
+    broken, skipped = F.col("ord") == 1, F.col("ord") == 6
+    e = _entries(spark, sf_dir).withColumns({"status": F.when(broken, F.lit("failed")).when(skipped, F.lit(experiment.SKIPPED)).otherwise(F.lit("ok")), "error": F.when(broken, F.lit("broken")), "reason": F.when(skipped, F.lit("a stub"))})
+    scores = spark.createDataFrame([("adaptive_2b", 0.5)], "system_id string, macro_cell_f1 double")
+    out = analysis.results(e, fx.run_log(spark, sf_dir), scores)
+    return rounded(out.select("system_id", "status", F.col("pages_processed").cast("long").alias("pages_processed"), F.col("sample_size").cast("long").alias("sample_size"), "mean_output_tokens", "cost_tiles", F.coalesce("note", F.lit("-")).alias("note"), F.coalesce("macro_cell_f1", F.lit(-1.0)).alias("macro_cell_f1")))
+
+
+@query(f"""select page_id, max_by({KEPT}, event_id) as output_tokens, count(*) as rows from (select *, page_no * 7 + ord as event_id, case when ord < 4 then 'a' else 'b' end as half from run_log) group by page_id""", L)
+def last_row_wins(spark, sf_dir):
+    """A log that repeats each page: the matrix shows its last line."""
+    log = fx.run_log(spark, sf_dir).join(F.broadcast(fx.systems(spark).select("system_id", "ord")), "system_id")
+    one = log.withColumns({"system_id": F.lit("all"), "line_no": F.col("line_no") * 7 + F.col("ord")}).drop("ord")
+    counts = one.groupBy("page_id").agg(F.count(F.lit(1)).alias("rows"))
+    out = summary.page_matrix(one.select("page_id").distinct(), one, spark.createDataFrame([("all", 0)], "system_id string, ord int"))
+    return out.select("page_id", F.inline("systems")).join(counts, "page_id").select("page_id", "output_tokens", "rows")
+
+
 @query("select system_id, count(*) filter (where hit) as reparse_count, round(avg(hit::int), 6) as reparse_rate, count(*) filter (where not hit) as passed, count(*) filter (where event_type = 'purchase') as degenerate from run_log where adaptive group by 1", L)
 def reparse_slices(spark, sf_dir):
     out = analysis.reparse_slices(_entries(spark, sf_dir), fx.run_log(spark, sf_dir))
@@ -354,7 +435,14 @@ def manifest_cost(spark, sf_dir):
     return rounded(counts.select("system_id", (4 + F.try_divide("again", "pages") * 10).alias("cost_tiles")))
 
 
-@query()
+@query("""select * from (values
+  (0, 'phase1_splits_disjoint', case when exists (select 1 from run_log where page_id = 'calibration_page') then 'fail' else 'ok' end, 'calibration and held-out pages are disjoint'),
+  (1, 'phase6_manifest_sha_matches_held_out', 'ok', 'held-out manifest unchanged'), (2, 'phase6_manifest_sha_matches_frozen', 'ok', 'frozen budgets match'),
+  (3, 'phase6_entries_complete', case when (select count(distinct regexp_replace(system_id, '_seed[0-9]+$', '')) from run_log) = 5 and (select count(distinct system_id) from run_log where system_id like 'random_2b_seed%') = 3 then 'ok' else 'fail' end, 'all families and seeds are there'),
+  (4, 'phase6_entries_match_disk', 'ok', 'entries match their logs'), (5, 'phase6_log_pages_match_held_out', 'ok', 'logged pages are held out'), (6, 'frozen_artifact_unchanged_by_phase6', 'ok', 'frozen budgets unchanged'),
+  (7, 'verifier_decision_codes_known', 'ok', 'codes are known'), (8, 'prompt_id_pinned', 'ok', 'the prompt is pinned'),
+  (9, 'random_baseline_seeds_distinct', case when (select count(distinct d) from seqs) > 1 then 'ok' else 'warn' end, (select count(distinct d) || ' different sequences of decisions' from seqs)),
+  (10, 'accuracy_status', 'warn', 'not_applicable_stub_adapters')) t(ord, name, status, detail)""", L, "seqs as (select system_id, string_agg(hit::varchar, '' order by page_no) as d from run_log where system_id like 'random%' group by 1)")
 def audit_report(spark, sf_dir):
     log, pages = fx.run_log(spark, sf_dir), fx.run_log(spark, sf_dir).select("page_id").distinct()
     same = {"held_out_sha256": "a", "frozen_sha256": "b"}

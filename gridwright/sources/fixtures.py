@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import token_count
+from ..plans import inference
+
 SYSTEMS = (
     # ord, system_id, runner, adaptive, low, high, budget_name, tiles
     (0, "adaptive_2b", "adaptive", True, 4, 10, None, None),
@@ -17,7 +20,7 @@ SYSTEMS = (
 )
 SYSTEM_SCHEMA = "ord int, system_id string, runner string, adaptive boolean, low int, high int, budget_name string, tiles int"
 TARGETS = {"B_fix_2B": 9.5, "B_fix_8B": 9.5}
-OVERLAP = '<table><tr><td>A</td><td rowspan="3">B</td></tr><tr><td colspan="3">C</td></tr></table>'
+OVERLAP = '<table><tr><td>north</td><td>south</td><td rowspan="2">east</td></tr><tr><td>up</td><td colspan="2">down</td></tr></table>'
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,6 +112,24 @@ order_html as (select k, max(n) as n, case when k % 8 = 0 then '# order ' || k w
   || '</table>' || case when k % 8 = 6 then ' and <table></table>' else '' end end as raw_text from lines group by k)"""
 
 
+NOTHING, HOLLOW = "no table here", "<table></table>"  # three words, and one
+
+
+def uneven(pages: DataFrame, model: inference.Model, budget: inference.Budget, prompt: inference.Prompt) -> DataFrame:
+    """An adapter that fails the verifier on known pages: of page numbers n, n % 5 = 0 has no table and n % 5 = 1 an empty one; with 8 tiles or more only n % 10 = 0 fails."""
+    n, rich = F.substring("page_id", 6, 20).cast("long"), budget.max_tiles >= 8
+    out = inference.stub(pages, model, budget, prompt)
+    nothing = n % (10 if rich else 5) == 0
+    text = F.when(nothing, F.lit(NOTHING)).when((n % 5 == 1) & F.lit(not rich), F.lit(HOLLOW)).otherwise(F.col("raw_text"))
+    return out.withColumn("raw_text", text).withColumn("output_tokens", token_count(F.col("raw_text"))).withColumn("runtime_ms", F.lit(float(budget.max_tiles)))
+
+
+inference.register("uneven", uneven)
+# Page numbers and what `uneven` makes of them: whether the first pass fails, and the tokens of both passes.
+UNEVEN = """uneven as (select page_id, n, n % 5 < 2 as again, case n % 5 when 0 then 3 when 1 then 1 else 9 end as first, case when n % 10 = 0 then 3 else 9 end as second
+  from (select page_id, cast(substr(page_id, 6) as bigint) as n from page_records))"""
+
+
 def annotation_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and entry (VARIANT): the place of the language and the HTML key vary by doc_id."""
     parts = table(spark, sf_dir, "documents").selectExpr("doc_id", "lang", "concat('imgs/p ', cast(doc_id as string), '.v1.png') as img", "concat('<table><tr><td>', cast(n_chars as string), '</td></tr></table>') as h")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from .. import schemas
@@ -24,16 +24,48 @@ def _kind(value: str | None) -> str:
     return (value or "").lstrip()[:1]
 
 
+def _kind_of(v: Column) -> Column:
+    """BOOLEAN, STRING, BIGINT, DECIMAL..., VOID, OBJECT... of a value, without what follows in brackets; null if there is none."""
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+
+
+def as_text(v: Column) -> Column:
+    """A value as a string; null stays null."""
+    return F.when(_kind_of(v) != "VOID", v.cast("string"))
+
+
+def as_number(v: Column) -> Column:
+    """A value as a whole number: numbers lose what follows the point, strings of digits are read, true is 1; null stays null, and any other fails the query."""
+    kind, text = _kind_of(v), F.try_variant_get(v, "$", "string")
+    written = F.when(F.trim(text).rlike(r"^[+-]?[0-9]+(_[0-9]+)*$"), F.replace(F.trim(text), F.lit("_"), F.lit("")).cast("int"))
+    value = F.when(kind == "STRING", written).when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int")).otherwise(F.try_variant_get(v, "$", "double").cast("int"))
+    bad = F.raise_error(F.concat(F.lit("no whole number: "), F.to_json(v))).cast("int")
+    return F.when(kind.isNotNull() & (kind != "VOID"), F.coalesce(value, bad))
+
+
+def as_flag(v: Column) -> Column:
+    """Whether a value counts as true: not false, 0, empty or null."""
+    kind, text = _kind_of(v), F.to_json(v)
+    return F.when(kind.isNull() | (kind == "VOID"), F.lit(False)).when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean")).when(kind.isin("STRING", "OBJECT", "ARRAY"), ~text.isin('""', "{}", "[]")).otherwise(F.try_variant_get(v, "$", "double") != 0)
+
+
 def page_records(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of page records. Unknown keys are passed over, flags default to false; a file that is no list, a missing key and a repeated page_id raise ValueError."""
+    """A JSON array of page records. Unknown keys are passed over, values are coerced (counts given as strings, flags of any kind), flags default to false; a file that is no list, a missing key, a count that is no number and a repeated page_id raise ValueError."""
     if _kind(_whole(spark, path).head()[0]) != "[":
         raise ValueError(f"{path}: not a list of page records")
-    schema = T.StructType.fromDDL(schemas.PAGE_RECORD)
-    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path, multiLine=True)
-    rows = rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("has_merged_cells", "has_nested_headers")})
-    found = rows.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in REQUIRED)).head()
+    entry = _whole(spark, path).select(F.explode(F.try_variant_get(F.parse_json("value"), "$", "array<variant>")).alias("e"))
+    get = lambda c: F.try_variant_get("e", f"$.{c}", "variant")
+    kinds = dict(f.split() for f in schemas.PAGE_RECORD.split(", "))
+    turn = {"string": as_text, "int": as_number, "boolean": as_flag}
+    rows = entry.select(*(turn[kind](get(c)).alias(c) for c, kind in kinds.items()), *(get(c).isNull().alias(f"no_{c}") for c in REQUIRED))
+    found = rows.agg(*(F.count_if(F.col(f"no_{c}")).alias(c) for c in REQUIRED)).head()
     if missing := [c for c in REQUIRED if found[c]]:
         raise ValueError(f"{path}: page records lack {missing}")
+    rows = rows.select(*kinds)
+    try:
+        rows.agg(*(F.count(c) for c in kinds)).collect()
+    except PySparkException as e:
+        raise ValueError(f"{path}: {e}") from e
     if again := duplicates(rows, "page_id").take(5):
         raise ValueError(f"{path}: repeated page ids {[r.page_id for r in again]}")
     return rows
@@ -48,24 +80,34 @@ def split_page_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def log_rows(spark: SparkSession, paths: dict[str, str], schema: str = schemas.ANY_LOG) -> DataFrame:
-    """The rows of several systems' JSONL logs: system_id, line_no and the log's columns. Blank lines are skipped; a line that is no object raises ValueError.
+    """The rows of several systems' JSONL logs (files or folders): system_id, line_no and the log's columns. Blank lines are skipped; a line that is no object raises ValueError, a path that isn't there FileNotFoundError.
 
-    Line numbers follow the file: a log is read as whole lines in file order by one task, and is as long as a run has pages.
+    A log that its rows number (a key line_no) keeps these numbers. Otherwise lines are numbered in the order of files and
+    lines: files are read as lines, in splits; each split's lines are counted, and a line's number is its place in its split
+    and the lines of the splits before.
     """
-    out = None
+    if not paths:
+        return spark.createDataFrame([], f"system_id string, line_no long, {schema}")
+    own = {}
     for system, path in paths.items():
         try:
-            lines = spark.read.text(path, wholetext=True)
+            own[system] = spark.read.text(path).inputFiles()
         except AnalysisException as e:
             raise FileNotFoundError(path) from e
-        part = lines.select(F.lit(system).alias("system_id"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
-        out = part if out is None else out.unionAll(part)
-    if out is None:
-        return spark.createDataFrame([], f"system_id string, line_no int, {schema}")
-    out = out.where(F.trim("line") != "").withColumn("row", F.from_json("line", schema, {"mode": "PERMISSIVE"}))
-    if bad := out.where(~F.trim("line").startswith("{")).select("system_id", "line_no").take(1):
+    listed = spark.createDataFrame([(f, s) for s, files in own.items() for f in files], "file string, system_id string")
+    if len({f for files in own.values() for f in files}) < listed.count():
+        raise ValueError("two systems share a log")
+    name = lambda c: F.regexp_replace(c, "^file:/*", "/")
+    lines = spark.read.text([f for files in own.values() for f in files]).select("value", name("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    splits = lines.groupBy("file", "block").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).join(F.broadcast(listed.withColumn("file", name("file"))), "file")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("system_id").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = lines.join(F.broadcast(splits.select("system_id", "file", "block", "low", before.alias("before"))), ["file", "block"])
+    rows = rows.select("system_id", (F.col("before") + F.col("id") - F.col("low")).alias("line_no"), "value").where(F.trim("value") != "")
+    kind = F.schema_of_variant(F.try_parse_json("value"))
+    if bad := rows.where(~F.coalesce(kind.startswith("OBJECT"), F.lit(False))).orderBy("system_id", "line_no").take(1):
         raise ValueError(f"{bad[0].system_id}: line {bad[0].line_no} is no object")
-    return out.select("system_id", "line_no", "row.*")
+    rows = rows.withColumn("row", F.from_json("value", schema)).withColumn("line_no", F.coalesce(F.get_json_object("value", "$.line_no").cast("long"), "line_no"))
+    return rows.select("system_id", "line_no", "row.*")
 
 
 def gold(spark: SparkSession, path: str) -> DataFrame:
@@ -99,14 +141,17 @@ def images(spark: SparkSession, records: DataFrame, root: str) -> DataFrame:
 
 
 def sidecars(spark: SparkSession, run_dir: str) -> DataFrame:
-    """A run's page sidecars and their raw text, by page_id: from pages/, else final/pages/."""
-    for place in ("pages", "final/pages"):
+    """A run's page sidecars and their raw text, by page_id: from pages/, else final/pages/; FileNotFoundError without either. The text stands at the sidecar's raw_output_path, from the run's folder or from the one that holds pages/; a page whose text is missing has a null."""
+    for place in ("", "final/"):
         try:
-            rows = spark.read.json(f"{run_dir}/{place}/*.json", multiLine=True)
+            rows = spark.read.json(f"{run_dir}/{place}pages/*.json", multiLine=True)
         except AnalysisException:
             continue
-        raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(run_dir, wholetext=True).select(F.col("value").alias("raw_text"), F.regexp_replace("_metadata.file_path", "^.*?" + run_dir.rstrip("/").split("/")[-1] + "/", "").alias("raw_output_path"))
-        return rows.join(raw, "raw_output_path", "left").orderBy("page_id")
+        at = lambda c: F.regexp_replace(c, f"^.*/{run_dir.rstrip('/').split('/')[-1]}/", "")
+        raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(f"{run_dir}/{place}", wholetext=True).select(F.col("value").alias("raw_text"), at("_metadata.file_path").alias("file"))
+        rows = rows.drop("raw_text")
+        named = rows.withColumn("file", F.when(F.col("raw_output_path").startswith(place), F.col("raw_output_path")).otherwise(F.concat(F.lit(place), "raw_output_path")))
+        return named.join(raw, "file", "left").drop("file").orderBy("page_id")
     raise FileNotFoundError(f"{run_dir}: neither pages nor final/pages")
 
 

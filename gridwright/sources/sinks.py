@@ -26,19 +26,26 @@ def write_pages(pages: DataFrame, path: str, *by: str) -> None:
 
 
 def export_pages(pages: DataFrame, folder: str) -> None:
-    """raw/{page_id}.md and pages/{page_id}.json of each row, written by the tasks into a folder they share."""
+    """raw/{page_id}.md and pages/{page_id}.json of each row (raw_text and the sidecar's columns) below a folder that the tasks share, a path or a URI. A task that is run again writes the same files."""
+    from pyarrow import fs as pafs
+
+    uri = folder if "://" in folder else f"file://{Path(folder).absolute()}"
+    where, base = pafs.FileSystem.from_uri(uri)
+    for d in ("raw", "pages"):
+        where.create_dir(f"{base}/{d}", recursive=True)
 
     def write(rows) -> None:
         import json as j
-        from pathlib import Path as P
 
+        from pyarrow import fs
+
+        there, root = fs.FileSystem.from_uri(uri)
         for r in rows:
             row = r.asDict(recursive=True)
             text = row.pop("raw_text")
-            for d in ("raw", "pages"):
-                P(folder, d).mkdir(parents=True, exist_ok=True)
-            P(folder, "raw", f"{r.page_id}.md").write_text(text, encoding="utf-8")
-            P(folder, "pages", f"{r.page_id}.json").write_text(j.dumps(row | {"raw_output_path": f"raw/{r.page_id}.md"}, indent=2, sort_keys=True) + "\n", encoding="utf-8")
+            for path, data in ((f"raw/{r.page_id}.md", text or ""), (f"pages/{r.page_id}.json", j.dumps(row | {"raw_output_path": f"raw/{r.page_id}.md"}, indent=2, sort_keys=True) + "\n")):
+                with there.open_output_stream(f"{root}/{path}", compression=None) as sink:
+                    sink.write(data.encode())
 
     pages.foreachPartition(write)
 
@@ -48,5 +55,9 @@ def manifest(kind: str, page_ids: list[str], pinning: dict, seed: int | None = N
 
 
 def markdown_table(rows: list[dict], columns: list[str]) -> str:
-    body = [" | ".join("" if r.get(c) is None else f"{r[c]:.4f}" if isinstance(r[c], float) else str(r[c]) for c in columns) for r in rows]
-    return "\n".join(f"| {x} |" for x in [" | ".join(columns), " | ".join("---" for _ in columns), *body]) + "\n"
+    return "".join(f"| {x} |\n" for x in (" | ".join(columns), " | ".join("---" for _ in columns))) + markdown_rows(rows, columns)
+
+
+def markdown_rows(rows: list[dict], columns: list[str]) -> str:
+    shown = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
+    return "".join("| " + " | ".join(shown(r.get(c)) for c in columns) + " |\n" for r in rows)

@@ -47,7 +47,10 @@ def test_all_phases(spark, project, capsys):
     assert cli.main(["single", f"{project}/single.yaml"]) == cli.main(["adaptive", f"{project}/adaptive.yaml"]) == 0
     rows = spark.read.parquet(f"{project}/single/outputs").collect()
     assert len(rows) == 5 and {r.output_token_count for r in rows} == {9} and "<td>640</td>" in rows[0].raw_text
+    assert cli.main(["random", f"{project}/adaptive.yaml", "--seed", "3", "--probability", "1"]) == 0
+    assert {(r.reparse_triggered, r.random_seed) for r in spark.read.parquet(f"{project}/adaptive/outputs").collect()} == {(True, 3)}
     assert cli.main(["calibrate", f"{project}/calibration.yaml"]) == 0
+    assert "adaptive: low 6, high 8 tiles; 6.0000" in capsys.readouterr().out
     frozen = json.loads((project / "frozen.json").read_text())
     assert [frozen["budgets"][k]["max_tiles"] for k in ("B_low", "B_high", "B_fix_2B", "B_fix_8B")] == [6, 8, 6, 6]
     assert spark.read.json(f"{project}/sweep").groupBy("kind").count().count() == 2
@@ -81,6 +84,9 @@ def test_bad_configurations(tmp_path, spark):
     (tmp_path / "m.json").write_text('{"schema_version": 2}')
     with pytest.raises(ValueError):
         drivers.run_manifest(spark, str(tmp_path / "m.json"))
+    (tmp_path / "m.json").write_text(json.dumps({"schema_version": 1, "header": {}, "entries": [{"system_id": "s", "family": "f", "runner": "adaptive", "status": "ok", "output_dir": "", "seed": "4", "random_probability": 1, "notes": None}, {"system_id": "t", "seed": None}]}))
+    first, second = drivers.run_manifest(spark, str(tmp_path / "m.json"))[1].orderBy("ord").collect()
+    assert (first.output_dir, first.seed, first.random_probability, first.notes) == (None, 4, 1.0, []) and (second.seed, second.family) == (None, None)
     (tmp_path / "score_phase6_s").mkdir()
     (tmp_path / "score_phase6_s" / "page_scores.json").write_text("{}")
     with pytest.raises(ValueError):

@@ -177,11 +177,100 @@ def test_readers(spark, tmp_path):
     tree = {"data": [{"page_info": {"image_path": "a/b c.x.png", "language": " EN "}, "layout_dets": [{"category_type": "Table", "html": " ", "html_str": " <table><tr><td>1</td></tr></table> "}]}, {"image_path": "z.png", "layout_dets": [], "deep": {"language": "eng"}}, {"image_path": "y.png"}]}
     got = dataset.select_annotations(json_tables.annotations(spark, at("a.json", tree)), 5).collect()
     assert [(x.page_id, x.language, x.table_html, x.row_count) for x in got] == [("b_c_x", "en", "<table><tr><td>1</td></tr></table>", 1)]
-    assert dataset.describe({"a": ["x" * 90], "b": []}) == {"a": {"_list_len": 1, "_first": "x" * 79 + "…"}, "b": {"_list_len": 0, "_first": None}}
     sinks.write_json(tmp_path / "x.json", {"b": 1, "a": 2})
     assert (tmp_path / "x.json").read_text() == '{\n  "a": 2,\n  "b": 1\n}\n'
 
 
+def test_values_are_coerced(spark, tmp_path):
+    at = lambda data: (tmp_path / "r.json").write_text(json.dumps(data)) and str(tmp_path / "r.json")
+    base = {"page_id": 7, "image_path": "i.png", "language": "en", "contains_table": "no", "is_english_table_page": 0}
+    r = json_tables.page_records(spark, at([base | {"row_count": " 12 ", "col_count": 3.9, "has_merged_cells": [], "has_nested_headers": 2}])).head()
+    assert (r.page_id, r.contains_table, r.is_english_table_page, r.row_count, r.col_count, r.has_merged_cells, r.has_nested_headers) == ("7", True, False, 12, 3, False, True)
+    assert json_tables.page_records(spark, at([base | {"row_count": None}])).head().row_count is None
+    with pytest.raises(ValueError):
+        json_tables.page_records(spark, at([base | {"row_count": "twelve"}]))
+
+
+def test_lines_of_logs_are_numbered(spark, tmp_path):
+    """In the order of files and lines, however they are split; a number that the rows carry counts instead."""
+    for part in range(3):
+        (tmp_path / "a").mkdir(exist_ok=True)
+        (tmp_path / "a" / f"part-{part}.json").write_text("".join("\n" if i == 3 else json.dumps({"page_id": f"p{part}_{i}", "pad": "x" * 200}) + "\n" for i in range(50)))
+    (tmp_path / "b.jsonl").write_text("".join(json.dumps({"page_id": f"q{i}", "line_no": 100 - i}) + "\n" for i in range(5)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = json_tables.log_rows(spark, {"a": str(tmp_path / "a"), "b": str(tmp_path / "b.jsonl")}).select("system_id", "line_no", "page_id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    want = [("a", part * 50 + i, f"p{part}_{i}") for part in range(3) for i in range(50) if i != 3] + [("b", 100 - i, f"q{i}") for i in range(5)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    for bad in ("not json", "[1]", "3", '{"page_id": '):
+        (tmp_path / "bad.jsonl").write_text('{"page_id": "x"}\n' + bad + "\n")
+        with pytest.raises(ValueError, match="line 1"):
+            json_tables.log_rows(spark, {"s": str(tmp_path / "bad.jsonl")})
+    assert json_tables.log_rows(spark, {}).count() == 0
+
+
+def test_languages_deep_in_trees(spark):
+    nest = lambda v, n: {"language": v} if not n else [nest(v, n - 1)] if n % 2 else {"k": nest(v, n - 1)}
+    trees = [{"a": {"language": ""}, "b": [{"language": None}, {"c": 1, "language": " Eng "}]}, nest("en", 8), nest("en", 9), {"z": {"language": "de"}, "language": "fr"}, {"page_info": {"language": "EN"}, "x": {"language": "no"}}, [], {"language": 0}]
+    df = spark.createDataFrame([(i, json.dumps(t)) for i, t in enumerate(trees)], "i int, t string").select("i", F.parse_json("t").alias("entry"))
+    out = dataset.with_language(df)
+    assert [r.language for r in out.orderBy("i").collect()] == ["eng", "en", None, "fr", "en", None, "0"]
+
+
+def test_page_files_and_sidecars(spark, tmp_path):
+    from gridwright.plans import drivers, runners
+
+    pages = spark.createDataFrame([(f"page_{i:07d}", 8, 8) for i in range(11)], "page_id string, width int, height int")
+    out = runners.adaptive(pages, Q.UNEVEN_2B, *Q.LOW_HIGH, Q.PROMPT, "r", "s")
+    run = tmp_path / "run"
+    assert drivers._write(out, str(run)) == 11
+    n = lambda d: sorted(p.stem for p in (run / d).iterdir() if not p.name.startswith("."))
+    again = [f"page_{i:07d}" for i in (0, 1, 5, 6, 10)]
+    assert n("reparse/raw") == again and len(n("first_pass/raw")) == len(n("final/pages")) == 11
+    log = [json.loads(x) for p in sorted((run / "logs").glob("part-*")) for x in p.read_text().splitlines()]
+    assert [r["line_no"] for r in log] == list(range(11)) and [r["page_id"] for r in log] == sorted(r["page_id"] for r in log)
+    for r in log:
+        assert all((run / r[k]).exists() for k in ("first_pass_raw_path", "final_raw_path")) and (r["reparse_raw_path"] is None) == (r["page_id"] not in again)
+        assert (run / r["final_raw_path"]).read_text() == (run / (r["reparse_raw_path"] or r["first_pass_raw_path"])).read_text()
+    assert (run / "first_pass/raw/page_0000001.md").read_text() == Q.fx.HOLLOW and "column_a" in (run / "final/raw/page_0000001.md").read_text()
+    side = json.loads((run / "final/pages/page_0000001.json").read_text())
+    assert side["tables"][0]["failure_codes"] == ["DEGENERATE_TABLE"] and side["verifier_decision"] == "REPARSE"
+    texts = {r.page_id: r.raw_text for r in drivers.run_outputs(spark, str(run)).collect()}
+    assert len(texts) == 11 and texts["page_0000000"] == Q.fx.NOTHING and "B_high" in texts["page_0000001"]
+    single = runners.single_pass(pages, Q.STUB_2B, inference.Budget("B_low", 4), Q.PROMPT, "r", "s")
+    drivers._write(single, str(tmp_path / "single"))
+    assert json_tables.sidecars(spark, str(tmp_path / "single")).where("raw_text like '%column_a%'").count() == 11
+    with pytest.raises(FileNotFoundError):
+        drivers.run_outputs(spark, str(tmp_path / "none"))
+    gold = spark.createDataFrame([(p, t) for p, t in texts.items() if "<table>" in t], "page_id string, html string")
+    m = drivers.score_run(spark, drivers.run_outputs(spark, str(run)), gold, str(tmp_path / "scores"))
+    shown = (tmp_path / "scores" / "scores.md").read_text()
+    assert m["macro_cell_f1"] == 1 and m["pages_with_gold"] == 9 and shown.count("page_00000") == 11
+
+
+def test_entry_without_the_training_data_package(tmp_path):
+    """With the subpackage and the pipeline deleted everything else still imports."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
+    for name in ("gridwright", "corpus_pipeline.py", "__spark_entry__.py", "bench.py"):
+        (shutil.copytree if os.path.isdir(f"{root}/{name}") else shutil.copy)(f"{root}/{name}", tmp_path / name)
+    shutil.rmtree(tmp_path / "gridwright" / "llm", ignore_errors=True)
+    say = "import __spark_entry__ as e; print(len(e.queries()), any(q.startswith('op') or q == 'pipeline' for q in e.queries()))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    for drop in ((), ("corpus_pipeline.py",)):
+        for name in drop:
+            (tmp_path / name).unlink()
+        got = subprocess.run([sys.executable, "-c", say], cwd=tmp_path, env=env, capture_output=True, text=True)
+        assert got.returncode == 0 and got.stdout.split() == [str(len(Q.QUERIES)), "False"], got.stderr
+
+
 def test_freeze(spark, tmp_path):
     members = freeze.universe(Q.fx.page_records(spark, SF), Q.RULE, 5, 10, 1337)
     n = freeze.write_manifests(members, str(tmp_path), {}, 1337)
