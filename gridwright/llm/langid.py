@@ -88,8 +88,12 @@ def train(docs: DataFrame, each: int = 300, longest: int = 200_000) -> Model | N
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (F.length("text") <= longest) & F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "row")
-    keys = rows.select("doc_id", F.xxhash64("text").alias("row"), "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= each)
+    by = ["doc_id", "row"]
+    order = lambda *cols: Window.partitionBy("lang", *cols).orderBy(F.xxhash64("doc_id"), *by)
+    keys = rows.select("doc_id", F.xxhash64("text").alias("row"), "lang").withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(64)))
+    # The first of a language are among the first of its parts, so no task reads more than these of all tasks' rows.
+    for cols in (["salt"], []):
+        keys = keys.withColumn("place", F.row_number().over(order(*cols))).where(F.col("place") <= each)
     keys = keys.groupBy("doc_id", "row").agg(F.max("lang").alias("lang"), F.min("place").alias("place")).collect()
     if not keys:
         return None
