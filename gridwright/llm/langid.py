@@ -90,7 +90,7 @@ def train(docs: DataFrame, each: int = 300, longest: int = 200_000) -> Model | N
     rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (F.length("text") <= longest) & F.col("text").rlike(r"\p{L}"))
     by = ["doc_id", "row"]
     order = lambda *cols: Window.partitionBy("lang", *cols).orderBy(F.xxhash64("doc_id"), *by)
-    keys = rows.select("doc_id", F.xxhash64("text").alias("row"), "lang").withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(64)))
+    keys = rows.select("doc_id", F.xxhash64("text").alias("row"), "lang").withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(8)))
     # The first of a language are among the first of its parts, so no task reads more than these of all tasks' rows.
     for cols in (["salt"], []):
         keys = keys.withColumn("place", F.row_number().over(order(*cols))).where(F.col("place") <= each)
