@@ -328,7 +328,7 @@ def id_spots(key: Column) -> list[Column]:
 
 def many_lines(docs: DataFrame) -> int:
     """No fewer than there are lines: newlines, and one for each text."""
-    n = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).head()[0]
+    n = docs.agg(F.sum(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1)).head()[0]
     return int(n or 0)
 
 
