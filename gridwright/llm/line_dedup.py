@@ -395,11 +395,8 @@ def texts_of(lines: DataFrame, docs: DataFrame, least: int) -> DataFrame | None:
     return S.stored(texts.groupBy("line").agg(F.min("text").alias("text")), "texts")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, most: int, least: int) -> DataFrame:
-    """Those of pairs (a, b) of line hashes, a table, whose lines are within the distance."""
-    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct(), docs, least)
-    if texts is None:
-        return pairs
+def verified(pairs: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """Those of pairs (a, b) of line hashes, a table, whose lines (line, text) are within the distance."""
     both = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b").select("a", "b", "left", "right")
 
     def verify(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -408,15 +405,14 @@ def verified(pairs: DataFrame, docs: DataFrame, most: int, least: int) -> DataFr
     return S.stored(S.map_arrow(both, verify, "a long, b long"), "near")
 
 
-def rest_of(found: DataFrame, parts: DataFrame, docs: DataFrame, most: int, least: int) -> DataFrame | None:
+def rest_of(found: DataFrame, parts: DataFrame, texts: DataFrame, most: int) -> DataFrame | None:
     """Links (a, b) between lines within the distance that the forest left out and whose lines aren't in one component yet; None if it left nothing out.
 
     A group of up to BLOCK lines is one task's. A larger one is cut into blocks by the lines' hashes and each two blocks meet
     in a group of their own, so no task holds more than two.
     """
     rows = found.where("key is not null").select("key", "line", "sketch", "role")
-    texts = texts_of(rows.select("line").distinct(), docs, least)
-    if texts is None:
+    if not rows.take(1):
         return None
     blocks = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(blocks.hint("merge"), "key").withColumn("own", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int"))
@@ -472,9 +468,12 @@ def rest_of(found: DataFrame, parts: DataFrame, docs: DataFrame, most: int, leas
 def classes(docs: DataFrame, most: int, least: int) -> DataFrame:
     """node, component of the hashes of lines that are within the distance of another line, or linked to one by such steps."""
     found = candidates(docs, most, least)
-    near = verified(S.stored(found.where("a is not null").select("a", "b").distinct(), "pairs"), docs, most, least)
+    pairs = S.stored(found.where("a is not null").select("a", "b").distinct(), "pairs")
+    # One pass over the documents fetches the texts of all lines that met.
+    texts = texts_of(found.select(F.explode(F.array_compact(F.array("a", "b", "line"))).alias("line")).distinct(), docs, least)
+    near = verified(pairs, texts, most) if texts is not None else pairs
     parts = graph.components(near)
-    more = rest_of(found, parts, docs, most, least)
+    more = rest_of(found, parts, texts, most) if texts is not None else None
     return graph.components(near.unionAll(more)) if more is not None and more.take(1) else parts
 
 
