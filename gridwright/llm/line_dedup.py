@@ -537,7 +537,8 @@ def deduplicated(docs: DataFrame, most: int = 1, least: int = 20, drop_emptied:
     return S.map_arrow(rows, cut, kept)
 
 
-DIGEST = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_lines", pa.int64()), ("kept_sha256", pa.string())])
+DIGEST = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_lines", pa.int64()), ("kept_sha256", pa.string()), ("held", pa.string())])
+RESULT = "doc_id long, n_lines long, n_removed long, n_near long, kept_sha256 string, stays_in string"
 
 
 def digest(docs: DataFrame, most: int = 1, least: int = 20, short: bool = False) -> DataFrame:
@@ -545,29 +546,27 @@ def digest(docs: DataFrame, most: int = 1, least: int = 20, short: bool = False)
     rows = with_rows(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("row"))
     gone = S.stored(later_lines(rows, most, least, short), "later")
+    bits = filter_of(gone, *id_spots(F.col("line_doc_id")))
+    held = docs.sparkSession.sparkContext.broadcast(bits)
 
     def count(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = b.column("text").to_pylist()
-        yield S.batch(DIGEST, b.column("doc_id"), b.column("row"), [0 if t is None else t.count("\n") + 1 for t in texts], [sha256((t or "").encode()).hexdigest() for t in texts])
+        texts, some = b.column("text").to_pylist(), [False] * b.num_rows
+        if held.value is not None:
+            some = held.value.passes(b.column("p").to_numpy(), b.column("q").to_numpy()).tolist()
+        lines = [0 if t is None else t.count("\n") + 1 for t in texts]
+        yield S.batch(DIGEST, b.column("doc_id"), b.column("row"), lines, [sha256((t or "").encode()).hexdigest() for t in texts], [t if x else None for t, x in zip(texts, some)])
 
-    every = S.map_arrow(docs, count, "doc_id long, row long, n_lines long, kept_sha256 string")
-    bits = filter_of(gone, *id_spots(F.col("line_doc_id")))
+    spots = [c.alias(n) for c, n in zip(id_spots(F.col("doc_id")), "pq")]
+    every = S.map_arrow(docs.select("doc_id", "text", "row", *spots), count, "doc_id long, row long, n_lines long, kept_sha256 string, held string")
     if bits is None:
         return every.select("doc_id", "n_lines", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_near"), "kept_sha256", F.lit("").alias("stays_in"))
-    held = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def changing(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        yield b.filter(pa.array(held.value.passes(b.column("p").to_numpy(), b.column("q").to_numpy()))).select(["doc_id", "text", "row"])
+    met_ = every.join(gone.hint("merge"), (F.col("doc_id") == F.col("line_doc_id")) & (F.col("row") == F.col("line_row")), "left")
 
     def cut(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        out = [sha256(without(t, set(g)).encode()).hexdigest() for t, g in zip(b.column("text").to_pylist(), b.column("gone").to_pylist())]
-        less, stays = [len(g) for g in b.column("gone").to_pylist()], [",".join(map(str, x)) for x in b.column("stays_in").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("line_doc_id"), b.column("line_row"), pa.array(less, pa.int64()), b.column("near"), pa.array(out, pa.string()), pa.array(stays, pa.string())], names=["changed_id", "changed_row", "less", "near", "new_sha256", "stays_in"])
+        gone, prints = b.column("gone").to_pylist(), b.column("kept_sha256").to_pylist()
+        prints = [p if g is None else sha256(without(t, set(g)).encode()).hexdigest() for t, g, p in zip(b.column("held").to_pylist(), gone, prints)]
+        less, stays = [len(g or ()) for g in gone], [",".join(map(str, x or ())) for x in b.column("stays_in").to_pylist()]
+        near = b.column("near").fill_null(0)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_lines"), pa.array(less, pa.int64()), near, pa.array(prints, pa.string()), pa.array(stays, pa.string())], names=["doc_id", "n_lines", "n_removed", "n_near", "kept_sha256", "stays_in"])
 
-    spots = [c.alias(n) for c, n in zip(id_spots(F.col("doc_id")), "pq")]
-    some = S.map_arrow(rows.select("doc_id", "text", "row", *spots), changing, "doc_id long, text string, row long")
-    met_ = some.join(gone.hint("merge"), (F.col("doc_id") == F.col("line_doc_id")) & (F.col("row") == F.col("line_row")))
-    changed = S.map_arrow(met_.select("line_doc_id", "line_row", "text", "gone", "near", "stays_in"), cut, "changed_id long, changed_row long, less long, near long, new_sha256 string, stays_in string")
-    changed = changed.dropDuplicates(["changed_id", "changed_row"])
-    out = every.join(changed, (F.col("doc_id") == F.col("changed_id")) & (F.col("row") == F.col("changed_row")), "left")
-    return out.select("doc_id", "n_lines", F.coalesce("less", F.lit(0)).alias("n_removed"), F.coalesce("near", F.lit(0)).alias("n_near"), F.coalesce("new_sha256", "kept_sha256").alias("kept_sha256"), F.coalesce("stays_in", F.lit("")).alias("stays_in"))
+    return S.map_arrow(met_.select("doc_id", "n_lines", "kept_sha256", "held", "gone", "near", "stays_in"), cut, RESULT)
