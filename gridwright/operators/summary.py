@@ -1,14 +1,15 @@
 """Aggregations over run logs, and the minima that calibration picks.
 
 Logs are one table for all systems (schemas.ANY_LOG and system_id): adaptive runs fill reparse columns, single passes leave
-them null. Every figure of a system comes from one grouped pass; systems without rows keep a row by a left join.
+them null. The figures of a system come from one grouped pass, its quantile from two more; systems without rows keep a row
+by a left join.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,9 +27,38 @@ def mean(c: Column) -> Column:
     return F.coalesce(F.avg(c), F.lit(0.0))
 
 
-def p95(c: Column) -> Column:
-    """Exact, interpolated at 0.95 * (n - 1); 0 of nothing."""
-    return F.coalesce(F.percentile(c, F.lit(0.95)), F.lit(0.0))
+PARTS = 1 << 14  # buckets of values that differ by a factor of e
+
+
+def quantiles(rows: DataFrame, key: str, value: Column, q: float) -> DataFrame:
+    """key and quantile of the values that aren't null, exact and interpolated at q * (n - 1); null keys and keys without values have no row.
+
+    Values are counted in buckets by their logarithm first: their number hangs on the values' range alone, not on how many
+    there are. Only values of the buckets that hold the two ranks are looked at one by one, counted before they are dealt.
+    So no task holds a key's values, however many there are.
+    """
+    v = rows.select(key, value.cast("double").alias("v")).where("v is not null").withColumn("at", bucket_of(F.col("v")))
+    order = Window.partitionBy(key).orderBy("at")
+    counts = v.groupBy(key, "at").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("upto", F.sum("n").over(order)).withColumn("all", F.sum("n").over(Window.partitionBy(key)))
+    place = F.lit(float(q)) * (F.col("all") - 1)
+    ranks = F.array_distinct(F.array(F.floor(place), F.ceil(place)))
+    wanted = counts.withColumn("place", place).withColumn("rank", F.explode(ranks))
+    wanted = wanted.where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+    wanted = wanted.select(key, "at", "place", "rank", (F.col("upto") - F.col("n")).alias("before"))
+    # At most two rows a key.
+    inside = v.join(F.broadcast(wanted), [key, "at"]).groupBy(key, "rank", "place", "before", "v").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy(key, "rank").orderBy("v"))
+    found = inside.withColumn("upto", upto).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+    ends = found.groupBy(key, "place").agg(F.min_by("v", "rank").alias("a"), F.max_by("v", "rank").alias("b"))
+    low, high = F.floor("place"), F.ceil("place")
+    mixed = (high - F.col("place")) * F.col("a") + (F.col("place") - low) * F.col("b")
+    return ends.select(key, F.when((low == high) | (F.col("a") == F.col("b")), F.col("a")).otherwise(mixed).alias("quantile"))
+
+
+def bucket_of(v: Column) -> Column:
+    """A whole number that never falls as the value rises; NaN is above all others."""
+    return F.when(F.isnan(v), F.lit((1 << 63) - 1)).otherwise(F.floor(F.signum(v) * F.log1p(F.abs(v)) * PARTS))
 
 
 def adaptive_cost(low: Column, high: Column) -> Column:
@@ -42,15 +72,37 @@ def positive(n: float) -> float:
     return float(n)
 
 
-def summaries(log: DataFrame, systems: DataFrame) -> DataFrame:
-    """A row for each of systems (system_id, adaptive, low, high, tiles): sample_size, mean_runtime_ms, p95_runtime_ms, mean_output_tokens, reparse_count, reparse_rate, cost_tiles. Reparse figures are null for single passes; their cost is their tiles even without rows. The systems are few and broadcast."""
+def summaries(log: DataFrame, systems: DataFrame, p95: bool = True) -> DataFrame:
+    """A row for each of systems (system_id, adaptive, low, high, tiles): sample_size, mean_runtime_ms, p95_runtime_ms, mean_output_tokens, reparse_count, reparse_rate, cost_tiles.
+
+    Reparse figures are null for single passes; their cost is their tiles even without rows. The systems are few and
+    broadcast. Without p95 that column is left out, and so are the two further passes over the log that it takes.
+    """
     own = log.join(F.broadcast(systems.select("system_id", "low", "high")), "system_id")
     flag = F.coalesce(F.col("reparse_triggered"), F.lit(False))
-    grouped = own.groupBy("system_id").agg(F.count(F.lit(1)).alias("n"), F.avg(kept_runtime()).alias("rt"), F.percentile(kept_runtime(), F.lit(0.95)).alias("p"), F.avg(kept_tokens()).alias("tok"), F.count_if(flag).alias("rp"), F.avg(F.col("low") + F.when(flag, F.col("high")).otherwise(F.lit(0))).alias("cost"))
+    tiles = F.col("low") + F.when(flag, F.col("high")).otherwise(F.lit(0))
+    grouped = own.groupBy("system_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(kept_runtime()).alias("rt"),
+        F.avg(kept_tokens()).alias("tok"),
+        F.count_if(flag).alias("rp"),
+        F.avg(tiles).alias("cost"),
+    )
     out = systems.join(grouped, "system_id", "left")
+    if p95:
+        out = out.join(quantiles(own, "system_id", kept_runtime(), 0.95).withColumnRenamed("quantile", "p"), "system_id", "left")
     n = F.coalesce("n", F.lit(0)).cast("long")
     zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    return out.select(*systems.columns, n.alias("sample_size"), zero("rt").alias("mean_runtime_ms"), zero("p").alias("p95_runtime_ms"), zero("tok").alias("mean_output_tokens"), F.when(F.col("adaptive"), F.coalesce("rp", F.lit(0)).cast("long")).alias("reparse_count"), F.when(F.col("adaptive"), F.coalesce(F.try_divide("rp", "n"), F.lit(0.0))).alias("reparse_rate"), F.when(F.col("adaptive"), zero("cost")).otherwise(F.col("tiles").cast("double")).alias("cost_tiles"))
+    return out.select(
+        *systems.columns,
+        n.alias("sample_size"),
+        zero("rt").alias("mean_runtime_ms"),
+        *([zero("p").alias("p95_runtime_ms")] if p95 else []),
+        zero("tok").alias("mean_output_tokens"),
+        F.when(F.col("adaptive"), F.coalesce("rp", F.lit(0)).cast("long")).alias("reparse_count"),
+        F.when(F.col("adaptive"), F.coalesce(F.try_divide("rp", "n"), F.lit(0.0))).alias("reparse_rate"),
+        F.when(F.col("adaptive"), zero("cost")).otherwise(F.col("tiles").cast("double")).alias("cost_tiles"),
+    )
 
 
 def histogram(log: DataFrame, value: Column, name: str) -> DataFrame:

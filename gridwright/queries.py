@@ -72,7 +72,7 @@ def results_table(spark, sf_dir):
   from systems s join (select system_id, case when any_value(adaptive) then avg(low + case when hit then high else 0 end) else any_value(tiles)::double end as measured from run_log group by 1) m using (system_id)
   left join (values ('B_fix_2B', 9.5::double), ('B_fix_8B', 9.5::double)) t(budget_name, target) on t.budget_name = s.budget_name""", L)
 def cost_summary(spark, sf_dir):
-    out = summary.summaries(fx.run_log(spark, sf_dir), fx.systems(spark).drop("ord", "runner"))
+    out = summary.summaries(fx.run_log(spark, sf_dir), fx.systems(spark).drop("ord", "runner"), p95=False)
     return rounded(summary.cost_summary(out, summary.Targets(fx.TARGETS)))
 
 

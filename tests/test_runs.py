@@ -63,6 +63,27 @@ def test_p95_and_costs(spark):
     assert (got["d"].cost_tiles, got["d"].reparse_rate, got["d"].p95_runtime_ms) == (0.0, 0.0, 0.0)
 
 
+def test_quantiles_are_those_of_all_values(spark):
+    rng = random.Random(3)
+    groups = {
+        "ties": [5.0] * 400 + [7.0] * 21,
+        "wide": [rng.choice((-1, 1)) * 10 ** rng.uniform(-9, 12) for _ in range(700)],
+        "close": [1000 + rng.random() * 1e-6 for _ in range(333)],
+        "one": [3.25],
+        "two": [-1.0, 4.0],
+        "odd": [float("inf"), float("-inf"), 0.0, -0.0, 1.0, None],
+        "nan": [1.0] * 3 + [float("nan")] * 30,
+        "none": [None, None],
+    }
+    rows = [(k, v) for k, some in groups.items() for v in some]
+    df = spark.createDataFrame(rows, "key string, x double").repartition(6).cache()
+    for q in (0.0, 0.31, 0.5, 0.95, 1.0):
+        got = {r.key: repr(r["quantile"]) for r in summary.quantiles(df, "key", F.col("x"), q).collect()}
+        want = {r.key: repr(r.p) for r in df.groupBy("key").agg(F.percentile("x", F.lit(q)).alias("p")).where("p is not null").collect()}
+        assert {k: v.replace("-0.0", "0.0") for k, v in got.items()} == {k: v.replace("-0.0", "0.0") for k, v in want.items()}
+    assert summary.quantiles(df.limit(0), "key", F.col("x"), 0.5).count() == 0
+
+
 def test_selection(spark):
     pairs = lambda *p: spark.createDataFrame(p, "low int, high int, cost_tiles double")
     assert summary.select_pair(pairs((4, 12, 4.0), (4, 8, 4.0), (6, 8, 9.0)), 4.0).head()[:2] == (4, 8)
