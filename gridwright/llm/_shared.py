@@ -36,10 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or the checkpoint directory that the session was given.
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or the checkpoint directory that the
+    session was given.
 
-    Where neither is set, a local master (tests) gets a temporary folder of its own; on a cluster that is a ValueError, as
-    no machine's own folder is seen by the others.
+    Where neither is set, a local master (tests) gets a temporary folder of its own; on a cluster that is a ValueError,
+    as no machine's own folder is seen by the others.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
@@ -70,8 +71,9 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
     """Join rows with groups, one for each of their keys, whose column `size` counts the group's rows.
 
-    A key of a large group would send all its rows to one task. Groups of over a ten-thousandth of all rows are broadcast:
-    there are fewer than 10,000 of them whatever the data. The rest is dealt by key, never broadcast. Rows without a group go.
+    A key of a large group would send all its rows to one task. Groups of over a ten-thousandth of all rows are
+    broadcast: there are fewer than 10,000 of them whatever the data. The rest is dealt by key, never broadcast. Rows
+    without a group go.
     """
     least = max(1000, rows.count() // 10_000)
     held = groups.where(F.col(size) > least).drop(size)
@@ -102,7 +104,9 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def sampled(rows: DataFrame, keys: DataFrame) -> list:
-    """The rows (doc_id, text, and any others) of a bounded sample of (doc_id, row), row being a hash of the text; one of equal rows."""
+    """The rows (doc_id, text, and any others) of a bounded sample of (doc_id, row), row being a hash of the text; one
+    of equal rows.
+    """
     picked = rows.withColumn("row", F.xxhash64("text")).join(F.broadcast(keys), ["doc_id", "row"]).dropDuplicates(["doc_id", "row"])
     return sorted(picked.collect(), key=lambda r: (r.doc_id, r.row))
 
@@ -170,8 +174,8 @@ LONG = 64  # longer ranges of bytes are hashed one by one
 def spans_hash(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each range of bytes, 128 bits that tell ranges apart.
 
-    Each 8 bytes of a range are mixed into its two states before the next are added, so unlike in a polynomial no pattern of
-    letters cancels out. Ranges of more than LONG bytes get XXH3's 128 bits.
+    Each 8 bytes of a range are mixed into its two states before the next are added, so unlike in a polynomial no
+    pattern of letters cancels out. Ranges of more than LONG bytes get XXH3's 128 bits.
     """
     size = ends - starts
     n = size.astype(np.uint64)
@@ -202,7 +206,9 @@ def distinct(h: np.ndarray, g: np.ndarray) -> np.ndarray:
 
 
 def hashed_words(text: str | None, lower: bool = False, piece: int = 1 << 19) -> np.ndarray:
-    """The two hashes of each of a text's words (a row of each), from its bytes at once; lower: of a text with A-Z in lower case."""
+    """The two hashes of each of a text's words (a row of each), from its bytes at once; lower: of a text with A-Z in
+    lower case.
+    """
     raw = text.encode() if text else b""
     raw = raw.lower() if lower else raw
     out, begin = [np.empty((2, 0), np.uint64)], 0
@@ -240,7 +246,9 @@ def hashed_texts(texts: list, lower: bool = False, group: int = 1 << 17) -> Iter
 
 
 class Parts:
-    """Ids of text parts, found by 128-bit hashes in an open table of arrays; the ids stand in one pool, so those of a batch are gathered at once. Far smaller than a dictionary of objects."""
+    """Ids of text parts, found by 128-bit hashes in an open table of arrays; the ids stand in one pool, so those of a
+    batch are gathered at once. Far smaller than a dictionary of objects.
+    """
 
     def __init__(self, kind: str, most: int):
         self.kind, self.most = np.dtype(kind), most

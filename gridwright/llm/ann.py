@@ -1,13 +1,15 @@
-"""Approximate nearest neighbours by inner product: an inverted file of coarse centroids with product-quantised residuals.
+"""Approximate nearest neighbours by inner product: an inverted file of coarse centroids with product-quantised
+residuals.
 
 Every different vector is filed in the list of its nearest centroid as the codes of its residual: one of at most 256
-centroids for each part of the vector. A query looks into the lists whose centroids have the largest inner product with it;
-its inner products with the centroids of all parts make a table from which a filed vector's score is a sum of look-ups. The
-best by that score are scored again with the original vectors in double precision.
-
-Equal vectors are one entry with its smallest ids, as many as a result can show, so a vector that many rows share makes no
-long list and ties come out by id. Centroids are learned from at most SAMPLE vectors, those whose ids hash lowest; every
-vector is filed. Lists are dealt in blocks of bounded size, so a large list is many rows of one join, not one task's.
+centroids for each part of the vector. A query looks into the lists whose centroids have the largest inner product with
+it; its inner products with the centroids of all parts make a table from which a filed vector's score is a sum of
+look-ups. The best by that score are scored again with the original vectors in double precision.
+
+Equal vectors are one entry with its smallest ids, as many as a result can show, so a vector that many rows share makes
+no long list and ties come out by id. Centroids are learned from at most SAMPLE vectors, those whose ids hash lowest;
+every vector is filed. Lists are dealt in blocks of bounded size, so a large list is many rows of one join, not one
+task's.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ PAIRS = pa.schema([("query_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("sc
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, vec (its doubles as bytes), dim of the vectors that take part: not null, not zero, only finite components, a vec_id."""
+    """vec_id, vec (its doubles as bytes), dim of the vectors that take part: not null, not zero, only finite
+    components, a vec_id.
+    """
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = []
@@ -130,7 +134,9 @@ class Best:
 
 
 def _merge(df: DataFrame, keep: int, most: int = 1000) -> DataFrame:
-    """One row (query_id, ids, scores) for each query; rows come sorted by query, so no more than about `most` queries are held."""
+    """One row (query_id, ids, scores) for each query; rows come sorted by query, so no more than about `most` queries
+    are held.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(keep)
@@ -145,12 +151,13 @@ def _merge(df: DataFrame, keep: int, most: int = 1000) -> DataFrame:
 
 
 def search(vectors: DataFrame, every: int = 20, top: int = 20, shortlist: int = 200, probe: float = 0.65) -> DataFrame:
-    """query_id, rank, vec_id, score: for each vec_id divisible by `every` its `top` nearest other rows by inner product, ties to the smaller id.
+    """query_id, rank, vec_id, score: for each vec_id divisible by `every` its `top` nearest other rows by inner
+    product, ties to the smaller id.
 
-    `vectors` has vec_id and embedding. Vectors that are null, zero, or hold null or non-finite components take no part, nor
-    do ones of another length than most. A share `probe` of the lists is looked into, `shortlist` entries are scored
-    exactly; with few vectors there is one list and all of them are looked at. Rows that repeat a vec_id count one by one;
-    none is a neighbour of its own id.
+    `vectors` has vec_id and embedding. Vectors that are null, zero, or hold null or non-finite components take no part,
+    nor do ones of another length than most. A share `probe` of the lists is looked into, `shortlist` entries are scored
+    exactly; with few vectors there is one list and all of them are looked at. Rows that repeat a vec_id count one by
+    one; none is a neighbour of its own id.
     """
     spark = vectors.sparkSession
     rows = S.stored(usable(vectors), "vectors")
@@ -159,7 +166,8 @@ def search(vectors: DataFrame, every: int = 20, top: int = 20, shortlist: int =
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = dims[0]["dim"]
     rows = rows.where(F.col("dim") == dim).select("vec_id", "vec")
-    # Equal vectors: the smallest ids of each, one more than a result shows, as a query may be among them. Spark keeps that many before it deals them.
+    # Equal vectors: the smallest ids of each, one more than a result shows, as a query may be among them. Spark keeps
+    # that many before it deals them.
     order = Window.partitionBy("vec").orderBy("vec_id")
     members = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top + 1)
     members = S.stored(members, "members")

@@ -1,15 +1,15 @@
 """Benchmark decontamination: documents that hold a passage close to a benchmark item.
 
 Every window of a document as long as an item (in words) is compared by a 64-bit SimHash of its word shingles. Items'
-fingerprints are filed by four blocks of 16 bits; a fingerprint within the radius agrees with an item's in some block up to
-radius / 4 bits, so looking up all values that close in each block finds every item within the radius. Pairs found are
-verified by the exact weighted similarity of their shingle counts: sum of minima over sum of maxima.
+fingerprints are filed by four blocks of 16 bits; a fingerprint within the radius agrees with an item's in some block up
+to radius / 4 bits, so looking up all values that close in each block finds every item within the radius. Pairs found
+are verified by the exact weighted similarity of their shingle counts: sum of minima over sum of maxima.
 
 A window that is similar enough to an item shares a shingle with it, so only windows that hold a shingle of an item of
 their length get a fingerprint: nothing is lost by that, and most documents have none.
 
-Items are held by every task. Their number is checked first; beyond ITEMS_AT_ONCE they are taken in blocks, one pass over
-the documents for each.
+Items are held by every task. Their number is checked first; beyond ITEMS_AT_ONCE they are taken in blocks, one pass
+over the documents for each.
 """
 
 from __future__ import annotations
@@ -85,8 +85,8 @@ class Items:
     def lookup(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) of all pairs whose fingerprints are within the radius.
 
-        In each block the filed values close to the window's are found by trying all close values, or by going through the
-        filed ones where those are fewer.
+        In each block the filed values close to the window's are found by trying all close values, or by going through
+        the filed ones where those are fewer.
         """
         pairs = []
         for k, (order, known, start) in enumerate(self.filed):
@@ -139,7 +139,9 @@ class Items:
 
 
 def prepared(benchmark: DataFrame, size: int, radius: int) -> Iterator[list[Items]]:
-    """The items (item_id, text), by blocks that a task may hold. Items without words match nothing; ones of fewer words than a shingle are one shingle."""
+    """The items (item_id, text), by blocks that a task may hold. Items without words match nothing; ones of fewer words
+    than a shingle are one shingle.
+    """
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
     blocks = -(-rows.count() // ITEMS_AT_ONCE)
     for k in range(blocks):
@@ -154,7 +156,10 @@ def prepared(benchmark: DataFrame, size: int, radius: int) -> Iterator[list[Item
 
 
 def searched(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: float = 0.8, radius: int = RADIUS) -> DataFrame:
-    """doc_id, item_ids (ascending, of the items it holds a passage close to), similarity (largest, or null), n_words of each document (doc_id, text). A null text has no words. One row comes out for each row; nothing is shuffled: where items come in several blocks, the same rows go through one after the other."""
+    """doc_id, item_ids (ascending, of the items it holds a passage close to), similarity (largest, or null), n_words of
+    each document (doc_id, text). A null text has no words. One row comes out for each row; nothing is shuffled: where
+    items come in several blocks, the same rows go through one after the other.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_ids array<long>, similarity double, n_words long"
 
@@ -196,6 +201,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, least:
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, contaminated, n_items, item_ids (comma-joined, ascending), similarity (rounded to 6 places; 0 if clean) of each document."""
+    """doc_id, contaminated, n_items, item_ids (comma-joined, ascending), similarity (rounded to 6 places; 0 if clean)
+    of each document.
+    """
     out = searched(docs, benchmark)
     return out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), F.array_join(F.transform("item_ids", lambda x: x.cast("string")), ",").alias("item_ids"), F.coalesce(F.round("similarity", 6), F.lit(0.0)).alias("similarity"))

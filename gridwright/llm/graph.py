@@ -35,7 +35,9 @@ class Forest:
 
 
 def _contract(df: DataFrame, most: int = 200_000) -> DataFrame:
-    """Replace the links of each part of a partition by links to the smallest member that the part knows: at most one a member."""
+    """Replace the links of each part of a partition by links to the smallest member that the part knows: at most one a
+    member.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
@@ -59,9 +61,10 @@ def _contract(df: DataFrame, most: int = 200_000) -> DataFrame:
 def components(links: DataFrame, stop: int = 60) -> DataFrame:
     """node, component (smallest node reachable) of every node in links (a, b); nodes without links don't occur.
 
-    Each round hangs every node below the smallest node among its neighbours (large star: its larger neighbours too; small
-    star: its smaller ones), so chains shrink by half and stars stay. Groups are summed by min, never gathered, and joins
-    of hot centres can be split. Rounds are written to the shared folder; it ends when a round changes nothing.
+    Each round hangs every node below the smallest node among its neighbours (large star: its larger neighbours too;
+    small star: its smaller ones), so chains shrink by half and stars stay. Groups are summed by min, never gathered,
+    and joins of hot centres can be split. Rounds are written to the shared folder; it ends when a round changes
+    nothing.
     """
     pairs = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     # Links are told apart before they are contracted: a stage then has one Python step, and one worker for each task.

@@ -1,10 +1,10 @@
 """Language identification by a string kernel.
 
-A text's features are which of its n-grams of UTF-8 bytes occur (blended spectrum: several n together), whole text, lower
-case, filed by a hash among DIMS places. The kernel of two texts is the number of places they share over the root of
-the product of their numbers of places. Nyström: a text is described by its kernel values with landmark texts, times the
-inverse root of the landmarks' own kernel matrix; kernel ridge regression of one language against the rest is then linear
-in these, and a batch is scored by two matrix products.
+A text's features are which of its n-grams of UTF-8 bytes occur (blended spectrum: several n together), whole text,
+lower case, filed by a hash among DIMS places. The kernel of two texts is the number of places they share over the root
+of the product of their numbers of places. Nyström: a text is described by its kernel values with landmark texts, times
+the inverse root of the landmarks' own kernel matrix; kernel ridge regression of one language against the rest is then
+linear in these, and a batch is scored by two matrix products.
 """
 
 from __future__ import annotations
@@ -81,10 +81,12 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, each: int = 300, longest: int = 200_000) -> Model | None:
-    """Fit on at most `each` labelled texts of each language that are not held out: those whose ids hash lowest, of texts of at most `longest` characters. These bounds, on rows and on bytes, are the only sample; they are there because a kernel regression needs few texts. Texts count whole. None if nothing is labelled.
+    """Fit on at most `each` labelled texts of each language that are not held out: those whose ids hash lowest, of
+    texts of at most `longest` characters. These bounds, on rows and on bytes, are the only sample; they are there
+    because a kernel regression needs few texts. Texts count whole. None if nothing is labelled.
 
-    Rows without an id, a text or a letter teach nothing; of rows that agree in id and text one counts. One pass picks the
-    rows of all languages (each task keeps no more than `each` of a language), one fetches their texts.
+    Rows without an id, a text or a letter teach nothing; of rows that agree in id and text one counts. One pass picks
+    the rows of all languages (each task keeps no more than `each` of a language), one fetches their texts.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (F.length("text") <= longest) & F.col("text").rlike(r"\p{L}"))
@@ -104,7 +106,10 @@ def train(docs: DataFrame, each: int = 300, longest: int = 200_000) -> Model | N
 
 
 def predicted(docs: DataFrame, model: Model | None, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The documents with two more columns, a language and a score (0 to 1): `und` with score 0 where the text is null or has no letter, or nothing was learned. Only the text is looked at; nothing is shuffled, and a row comes out for each row. Names that a column has already raise ValueError."""
+    """The documents with two more columns, a language and a score (0 to 1): `und` with score 0 where the text is null
+    or has no letter, or nothing was learned. Only the text is looked at; nothing is shuffled, and a row comes out for
+    each row. Names that a column has already raise ValueError.
+    """
     if taken := set(names).intersection(docs.columns):
         raise ValueError(f"there are columns {sorted(taken)} already: name the new ones otherwise")
     out = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
@@ -123,6 +128,8 @@ def predicted(docs: DataFrame, model: Model | None, text: str = "text", names: t
 
 
 def identified(docs: DataFrame, each: int = 300) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of documents (doc_id, text, lang), a row for each row; learns from those that are not held out. A null doc_id isn't held out."""
+    """doc_id, held_out, lang_pred, score of documents (doc_id, text, lang), a row for each row; learns from those that
+    are not held out. A null doc_id isn't held out.
+    """
     out = predicted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, each))
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")

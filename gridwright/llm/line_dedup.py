@@ -1,22 +1,23 @@
 """Near-duplicate lines by a segment-partition edit join.
 
-Two lines within t edits: cut the shorter or equally long one into t + 1 segments; at least one segment stands unchanged in
-the other, and only a few places of it need be tried (those that leave enough edits for either side). So each line is filed
-under its own segments, with its length and the segment's number, and asks, for every length from its own down to t less,
-for the substrings at those places. Lines that meet are first held against each other by a parity sketch of their
-character pairs (an edit changes at most four of its bits), then by a banded bit-parallel edit distance over their texts.
-
-A line files and asks for thirty entries at three edits, so these are what costs: keys are hashed for a whole batch of lines
-at once, and entries (a key, a line's hash, its sketch: 18 bytes) travel packed, many for each row, by buckets of keys. The
-number of buckets follows from the number of lines, so that a bucket is small enough to be sorted in memory.
-
-Under a key that many lines share, first only a spanning forest of the close ones is verified, each line to the closest. The
-members of all other close pairs are kept; once components are known, their texts are brought to the key's group and pairs
-that aren't joined yet are verified where they meet, large groups by pairs of blocks. So large groups of near copies make no
-more rows than they have members, and no link between different lines is lost.
-
-Lines are known by hashes until texts are compared: texts of lines that met are fetched by a filter over the hashes. Links
-make classes; of each class the first line of the corpus stays.
+Two lines within t edits: cut the shorter or equally long one into t + 1 segments; at least one segment stands unchanged
+in the other, and only a few places of it need be tried (those that leave enough edits for either side). So each line is
+filed under its own segments, with its length and the segment's number, and asks, for every length from its own down to
+t less, for the substrings at those places. Lines that meet are first held against each other by a parity sketch of
+their character pairs (an edit changes at most four of its bits), then by a banded bit-parallel edit distance over their
+texts.
+
+A line files and asks for thirty entries at three edits, so these are what costs: keys are hashed for a whole batch of
+lines at once, and entries (a key, a line's hash, its sketch: 18 bytes) travel packed, many for each row, by buckets of
+keys. The number of buckets follows from the number of lines, so that a bucket is small enough to be sorted in memory.
+
+Under a key that many lines share, first only a spanning forest of the close ones is verified, each line to the closest.
+The members of all other close pairs are kept; once components are known, their texts are brought to the key's group and
+pairs that aren't joined yet are verified where they meet, large groups by pairs of blocks. So large groups of near
+copies make no more rows than they have members, and no link between different lines is lost.
+
+Lines are known by hashes until texts are compared: texts of lines that met are fetched by a filter over the hashes.
+Links make classes; of each class the first line of the corpus stays.
 """
 
 from __future__ import annotations
@@ -47,7 +48,9 @@ BLOCK = 2048  # members of a block of a large group
 
 
 def within(a: str, b: str, most: int) -> bool:
-    """Whether the edit distance is at most so large: bit-parallel over a band of diagonals, after equal ends are cut off."""
+    """Whether the edit distance is at most so large: bit-parallel over a band of diagonals, after equal ends are cut
+    off.
+    """
     if abs(len(a) - len(b)) > most:
         return False
     k = len(os.path.commonprefix((a, b)))
@@ -81,7 +84,9 @@ def within(a: str, b: str, most: int) -> bool:
 
 
 def within_all(left: list[str], right: list[str], most: int, chunk: int = 1 << 20) -> np.ndarray:
-    """`within` for many pairs at once: the same bands, a column of every pair in each step. Pairs that can't come back go early."""
+    """`within` for many pairs at once: the same bands, a column of every pair in each step. Pairs that can't come back
+    go early.
+    """
     swap = [(y, x) if len(x) < len(y) else (x, y) for x, y in zip(left, right)]
     la, lb = (np.array([len(p[k]) for p in swap], np.int64) for k in (0, 1))
     out = la <= most
@@ -146,7 +151,9 @@ _PLANS: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
 
 
 def plan(own: int, most: int) -> tuple[np.ndarray, ...]:
-    """What a line of a length files and asks for: begins, ends, and numbers that stand for the filed line's length and the segment; the first most + 1 are filed."""
+    """What a line of a length files and asks for: begins, ends, and numbers that stand for the filed line's length and
+    the segment; the first most + 1 are filed.
+    """
     if (own, most) not in _PLANS:
         if len(_PLANS) > 20_000:
             _PLANS.clear()
@@ -172,7 +179,9 @@ def sketches(c: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def counts_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """How often each line has characters of 32 kinds, and pairs of them of 64 kinds. An edit changes two of the first counts by one, or four of the second."""
+    """How often each line has characters of 32 kinds, and pairs of them of 64 kinds. An edit changes two of the first
+    counts by one, or four of the second.
+    """
     c, sizes = points(lines)
     own = np.repeat(np.arange(len(sizes)), sizes)
     inside = own[1:] == own[:-1]
@@ -183,7 +192,9 @@ def counts_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def entries(lines: list[str], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, line hashes, sketches and roles of all that lines file and ask for. Keys are polynomials of a substring's characters modulo 2**64, mixed with its length and place: a collision only proposes a pair."""
+    """Keys, line hashes, sketches and roles of all that lines file and ask for. Keys are polynomials of a substring's
+    characters modulo 2**64, mixed with its length and place: a collision only proposes a pair.
+    """
     c, sizes = points(lines)
     up, down = S._powers(S.CHARACTERS, len(c) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((c + np.uint64(1)) * up[:-1], dtype=np.uint64)])
@@ -198,7 +209,8 @@ def entries(lines: list[str], most: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def packed(key: np.ndarray, line: np.ndarray, sketch: np.ndarray, role: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """A row for each bucket: 32 bits of the keys, the last of which tells the role, then the hashes, then the sketches."""
+    """A row for each bucket: 32 bits of the keys, the last of which tells the role, then the hashes, then the sketches.
+    """
     bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
     short = ((key & np.uint64(0xFFFFFFFE)) | (role == ASKS).astype(np.uint64)).astype("<u4")[order]
@@ -209,7 +221,9 @@ def packed(key: np.ndarray, line: np.ndarray, sketch: np.ndarray, role: np.ndarr
 
 
 def unpacked(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of 31 bits, line hashes, sketches and roles of a bucket's rows, sorted by key and line; each line once in a role under a key."""
+    """Keys of 31 bits, line hashes, sketches and roles of a bucket's rows, sorted by key and line; each line once in a
+    role under a key.
+    """
     parts: list[list[np.ndarray]] = [[], [], [], []]
     for r in rows:
         n, at = len(r) // 18, 0
@@ -236,7 +250,9 @@ def names(lines: list[str], seed: int = 0) -> np.ndarray:
 
 
 def forest(line: np.ndarray, sketch: np.ndarray, asks: np.ndarray, files: np.ndarray, most: int) -> tuple[list, list, np.ndarray]:
-    """Of a group's lines: links (a, b) between close ones that a spanning forest needs, each to the closest of another tree, and which lines have close pairs that it leaves out."""
+    """Of a group's lines: links (a, b) between close ones that a spanning forest needs, each to the closest of another
+    tree, and which lines have close pairs that it leaves out.
+    """
     a, b, left, label = [], [], np.zeros(len(line), bool), np.arange(len(line))
     right = np.flatnonzero(files)
     for q in np.flatnonzero(asks).tolist():
@@ -258,7 +274,9 @@ def forest(line: np.ndarray, sketch: np.ndarray, asks: np.ndarray, files: np.nda
 
 
 def met(key: np.ndarray, line: np.ndarray, sketch: np.ndarray, role: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links (a, b) between lines that meet under a key and whose sketches are close, and which entries belong to pairs that were left out."""
+    """Links (a, b) between lines that meet under a key and whose sketches are close, and which entries belong to pairs
+    that were left out.
+    """
     starts = graph.runs(key)
     sizes = np.diff(starts)
     left = np.zeros(len(key), bool)
@@ -280,7 +298,9 @@ def met(key: np.ndarray, line: np.ndarray, sketch: np.ndarray, role: np.ndarray,
 
 
 class Filter:
-    """A filter of bits over rows, some 16 bits a row, at least 128 KB and at most 32 MB. It never misses a row; where there are too many rows for its size it lets more others through."""
+    """A filter of bits over rows, some 16 bits a row, at least 128 KB and at most 32 MB. It never misses a row; where
+    there are too many rows for its size it lets more others through.
+    """
 
     def __init__(self, bits: bytes):
         self.held = np.frombuffer(bits, np.uint8)
@@ -333,7 +353,9 @@ def many_lines(docs: DataFrame) -> int:
 
 
 def candidates(docs: DataFrame, most: int, least: int) -> DataFrame:
-    """What lines that meet have to say, as a table: links (a, b) of a forest; and, with null a, the entries (key, line, sketch, role) of pairs that it left out."""
+    """What lines that meet have to say, as a table: links (a, b) of a forest; and, with null a, the entries (key, line,
+    sketch, role) of pairs that it left out.
+    """
     counted = most + 1 + sum(len(places(1000, 1000 - d, most)) for d in range(most + 1))
     buckets = max(1, -(-many_lines(docs) * counted // BUCKET))
 
@@ -377,7 +399,9 @@ def candidates(docs: DataFrame, most: int, least: int) -> DataFrame:
 
 
 def texts_of(lines: DataFrame, docs: DataFrame, least: int) -> DataFrame | None:
-    """line, text of line hashes (a column `line`, different ones), a table; None if there are none. Only texts of these lines are moved, but for a few that pass the filter."""
+    """line, text of line hashes (a column `line`, different ones), a table; None if there are none. Only texts of these
+    lines are moved, but for a few that pass the filter.
+    """
     bits = filter_of(lines, *line_spots(F.col("line")))
     if bits is None:
         return None
@@ -406,10 +430,11 @@ def verified(pairs: DataFrame, texts: DataFrame, most: int) -> DataFrame:
 
 
 def rest_of(found: DataFrame, parts: DataFrame, texts: DataFrame, most: int) -> DataFrame | None:
-    """Links (a, b) between lines within the distance that the forest left out and whose lines aren't in one component yet; None if it left nothing out.
+    """Links (a, b) between lines within the distance that the forest left out and whose lines aren't in one component
+    yet; None if it left nothing out.
 
-    A group of up to BLOCK lines is one task's. A larger one is cut into blocks by the lines' hashes and each two blocks meet
-    in a group of their own, so no task holds more than two.
+    A group of up to BLOCK lines is one task's. A larger one is cut into blocks by the lines' hashes and each two blocks
+    meet in a group of their own, so no task holds more than two.
     """
     rows = found.where("key is not null").select("key", "line", "sketch", "role")
     if not rows.take(1):
@@ -466,7 +491,9 @@ def rest_of(found: DataFrame, parts: DataFrame, texts: DataFrame, most: int) ->
 
 
 def classes(docs: DataFrame, most: int, least: int) -> DataFrame:
-    """node, component of the hashes of lines that are within the distance of another line, or linked to one by such steps."""
+    """node, component of the hashes of lines that are within the distance of another line, or linked to one by such
+    steps.
+    """
     found = candidates(docs, most, least)
     pairs = S.stored(found.where("a is not null").select("a", "b").distinct(), "pairs")
     # One pass over the documents fetches the texts of all lines that met.
@@ -478,7 +505,9 @@ def classes(docs: DataFrame, most: int, least: int) -> DataFrame:
 
 
 def later_lines(docs: DataFrame, most: int = 1, least: int = 20, short: bool = False) -> DataFrame:
-    """line_doc_id and line_row (of a document: doc_id, text, row), gone (places of its lines that go), near (how many of them are no exact copies of their class's first line), stays_in (the documents that hold those first lines)."""
+    """line_doc_id and line_row (of a document: doc_id, text, row), gone (places of its lines that go), near (how many
+    of them are no exact copies of their class's first line), stays_in (the documents that hold those first lines).
+    """
 
     def number(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i, j in S.by_bytes(texts := b.column("text").to_pylist(), 1_000_000):
@@ -500,7 +529,8 @@ def later_lines(docs: DataFrame, most: int = 1, least: int = 20, short: bool = F
 
 
 def with_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, text and row, a hash of the text that tells rows of one doc_id apart; rows without a doc_id or a text go."""
+    """doc_id, text and row, a hash of the text that tells rows of one doc_id apart; rows without a doc_id or a text go.
+    """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return own.where("doc_id is not null and text is not null").withColumn("row", F.xxhash64("text"))
 
@@ -510,15 +540,17 @@ def without(text: str, gone: set[int]) -> str:
 
 
 def deduplicated(docs: DataFrame, most: int = 1, least: int = 20, drop_emptied: bool = False, drop_blank: bool = False, short: bool = False) -> DataFrame:
-    """The documents (doc_id, text and any others) without the lines that are within `most` edits of a line that stands earlier in the corpus, or linked to one by such steps.
-
-    Lines end at newlines. Lines of fewer than `least` characters stay and aren't compared: small edits make other lines of
-    them. With short, those that aren't blank go where they exactly repeat an earlier line. Earlier means by doc_id and then
-    by place. Null texts and rows with a null doc_id stay as they are, and their lines count for no others. Rows that repeat
-    a doc_id come out as often as they came in: such with the same text are one document, others are documents of their own
-    whose order is fixed by a hash of their texts. A document whose lines all go keeps an empty text. With drop_blank,
-    documents that lose lines and have no line left but blank ones go. With drop_emptied, documents that lose all of their
-    compared lines go, whatever short lines they have left, though no earlier one may have those.
+    """The documents (doc_id, text and any others) without the lines that are within `most` edits of a line that stands
+    earlier in the corpus, or linked to one by such steps.
+
+    Lines end at newlines. Lines of fewer than `least` characters stay and aren't compared: small edits make other lines
+    of them. With short, those that aren't blank go where they exactly repeat an earlier line. Earlier means by doc_id
+    and then by place. Null texts and rows with a null doc_id stay as they are, and their lines count for no others.
+    Rows that repeat a doc_id come out as often as they came in: such with the same text are one document, others are
+    documents of their own whose order is fixed by a hash of their texts. A document whose lines all go keeps an empty
+    text. With drop_blank, documents that lose lines and have no line left but blank ones go. With drop_emptied,
+    documents that lose all of their compared lines go, whatever short lines they have left, though no earlier one may
+    have those.
     """
     gone = later_lines(with_rows(docs), most, least, short).select("line_doc_id", "line_row", "gone")
     kept = docs.schema
@@ -542,7 +574,11 @@ RESULT = "doc_id long, n_lines long, n_removed long, n_near long, kept_sha256 st
 
 
 def digest(docs: DataFrame, most: int = 1, least: int = 20, short: bool = False) -> DataFrame:
-    """doc_id, n_lines, n_removed, n_near (removed lines that are no exact copies of the line that stays), kept_sha256 of each document's text without the removed lines, stays_in (doc_ids of the lines that stay for the removed ones, ascending, comma-joined). A row for each row, as in deduplicated; a null text has no lines. Only texts that lose lines are dealt."""
+    """doc_id, n_lines, n_removed, n_near (removed lines that are no exact copies of the line that stays), kept_sha256
+    of each document's text without the removed lines, stays_in (doc_ids of the lines that stay for the removed ones,
+    ascending, comma-joined). A row for each row, as in deduplicated; a null text has no lines. Only texts that lose
+    lines are dealt.
+    """
     rows = with_rows(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("row"))
     gone = S.stored(later_lines(rows, most, least, short), "later")

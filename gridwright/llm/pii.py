@@ -1,9 +1,9 @@
 """Personal data: spans that fixed patterns find and check, and further ones that boosted trees accept.
 
 Generators propose spans that may overlap: the base patterns' matches, and looser shapes (spelled-out or bracketed @ and
-dots, other separators between digits, telephone numbers without a plus). Gradient boosted trees score each by its format
-and its context; a threshold for each kind, set on spans that training did not see so that their precision reaches a
-target, selects. Base spans always stay; accepted ones are added where they overlap no base span.
+dots, other separators between digits, telephone numbers without a plus). Gradient boosted trees score each by its
+format and its context; a threshold for each kind, set on spans that training did not see so that their precision
+reaches a target, selects. Base spans always stay; accepted ones are added where they overlap no base span.
 """
 
 from __future__ import annotations
@@ -51,7 +51,9 @@ def valid(kind: str, s: str) -> bool:
 
 
 def emails(text: str) -> Iterator[Span]:
-    """Leftmost matches: from each @ back over the local part's characters, up to the match before, and forward over the domain."""
+    """Leftmost matches: from each @ back over the local part's characters, up to the match before, and forward over the
+    domain.
+    """
     free = at = 0
     while (at := text.find("@", at)) >= 0:
         start = at
@@ -179,9 +181,9 @@ class Detector:
     def fit(cls, texts: list[str], seed: int = 7, precision: float = 0.995) -> Detector:
         """From texts without labels.
 
-        Right spans: base spans, and rewritings of them in their place (other separators, spelled-out signs). Wrong ones:
-        matches that fail their check, rewritings with a digit changed so that they fail, and proposals in texts without
-        base spans. Every fifth example sets the thresholds and is not trained on.
+        Right spans: base spans, and rewritings of them in their place (other separators, spelled-out signs). Wrong
+        ones: matches that fail their check, rewritings with a digit changed so that they fail, and proposals in texts
+        without base spans. Every fifth example sets the thresholds and is not trained on.
         """
         rng = np.random.default_rng(seed)
         x, y, kinds = [], [], []
@@ -282,7 +284,10 @@ def rewritten(kind: str, s: str, rng: np.random.Generator) -> tuple[str, bool]:
 
 
 def train(docs: DataFrame, most: int = 3000, longest: int = 200_000) -> Detector:
-    """Fit on at most `most` rows that hold a digit or an @, those whose ids hash lowest, of texts of at most `longest` characters; their texts count whole, and of rows that agree in id and text one counts. These bounds, on rows and on bytes, are the only sample."""
+    """Fit on at most `most` rows that hold a digit or an @, those whose ids hash lowest, of texts of at most `longest`
+    characters; their texts count whole, and of rows that agree in id and text one counts. These bounds, on rows and on
+    bytes, are the only sample.
+    """
     rows = docs.where((F.length("text") <= longest) & F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull()).select("doc_id", "text")
     keys = rows.select("doc_id", F.xxhash64("text").alias("row")).orderBy(F.xxhash64("doc_id"), "doc_id", "row").limit(most).collect()
     if not keys:
@@ -299,7 +304,9 @@ FOUND = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KIN
 
 
 def found(docs: DataFrame, detector: Detector) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all) of each document (doc_id, text). Offsets are code points. A null text is empty. Nothing is shuffled."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all) of each document (doc_id, text).
+    Offsets are code points. A null text is empty. Nothing is shuffled.
+    """
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = []
@@ -330,6 +337,8 @@ def redacted(docs: DataFrame, detector: Detector, text: str = "text") -> DataFra
 
 
 def detected(docs: DataFrame, most: int = 3000) -> DataFrame:
-    """Train on documents and find personal data in all of them: a row for each row, as in `found`. Rows without an id or a text teach nothing; without any that teach, only base spans are found."""
+    """Train on documents and find personal data in all of them: a row for each row, as in `found`. Rows without an id
+    or a text teach nothing; without any that teach, only base spans are found.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return found(rows, train(rows, most))

@@ -6,10 +6,10 @@ same ids: `merge_one` keeps a heap, for long segments; `merge_all` holds the age
 arrays and takes the best pair of each segment at once.
 
 No piece of such a vocabulary holds the space mark after another character (checked when a model is read), so no merge
-crosses from a character to a space mark: a text is a row of segments, each a run of space marks and what follows it, and a
-segment is merged once however often it appears. New segments, or with check="texts" whole texts, are held against the
-sentencepiece library, and every text is decoded: where a segment's ids differ, or a text doesn't come back, the library's
-own ids are taken.
+crosses from a character to a space mark: a text is a row of segments, each a run of space marks and what follows it,
+and a segment is merged once however often it appears. New segments, or with check="texts" whole texts, are held against
+the sentencepiece library, and every text is decoded: where a segment's ids differ, or a text doesn't come back, the
+library's own ids are taken.
 """
 
 from __future__ import annotations
@@ -52,7 +52,8 @@ class Codec:
         if sp.encode("", add_bos=True, add_eos=True) != [sp.bos_id(), sp.eos_id()] or sp.normalize("  ﬁ") != SPACE * 3 + "ﬁ":
             raise ValueError("only models with a leading space mark and no other normalization are supported")
         self.ids = {self.pieces[i]: i for i in normal}
-        # A symbol is a piece's id; characters that pieces hold but that are none themselves follow; any other is -1 - its code point.
+        # A symbol is a piece's id; characters that pieces hold but that are none themselves follow; any other is -1 -
+        # its code point.
         self.rare = sorted({c for t in self.ids for c in t}.difference(self.ids))
         self.symbol = self.ids | {c: len(self.pieces) + k for k, c in enumerate(self.rare)}
         self.table = -1 - np.arange(0x110000, dtype=np.int64)
@@ -97,7 +98,8 @@ class Codec:
         return [s for s, g in zip(sym, gone) if not g]
 
     def merge_all(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The agendas of many segments in flat arrays; returns all symbols that are left and how many each segment has."""
+        """The agendas of many segments in flat arrays; returns all symbols that are left and how many each segment has.
+        """
         lengths = np.fromiter(map(len, segments), np.int64, len(segments))
         sym = self.table[np.frombuffer("".join(segments).encode("utf-32-le"), "<u4")]
         seg = np.repeat(np.arange(len(segments)), lengths)
@@ -204,7 +206,9 @@ class Codec:
         return self.library.decode([x.tolist() for x in ids], num_threads=1)
 
     def both(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
-        """Ids and the texts they decode to. A text that doesn't come back, but for space marks, which come back as spaces, gets the library's ids and what these decode to."""
+        """Ids and the texts they decode to. A text that doesn't come back, but for space marks, which come back as
+        spaces, gets the library's ids and what these decode to.
+        """
         ids = self.encode(texts)
         decoded = self.decode(ids)
         lost = [i for i, (t, d) in enumerate(zip(texts, decoded)) if t != d and t.replace(SPACE, " ") != d]
@@ -238,7 +242,9 @@ def coded(docs: DataFrame, model: str) -> DataFrame:
 
 
 def with_tokens(docs: DataFrame, model: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded_text") -> DataFrame:
-    """The documents with two more columns: the ids (array<int>, begin and end ids included) and their decoded text. A null text is empty; a row comes out for each row. Columns that have these names already are kept as {name}_input."""
+    """The documents with two more columns: the ids (array<int>, begin and end ids included) and their decoded text. A
+    null text is empty; a row comes out for each row. Columns that have these names already are kept as {name}_input.
+    """
     for c in {ids, decoded}.intersection(docs.columns):
         docs = docs.withColumnRenamed(c, S.free_name(docs, f"{c}_input"))
     kept = docs.schema.fields

@@ -2,9 +2,10 @@
 
 The 64 bits stand on a ring of five segments. If two fingerprints differ in at most t bits, some segment starts a chain
 whose first l segments differ together in at most l * t / 5 bits, for every l (the pigeonring principle). For t = 4 that
-is 0, 1, 2, 3, 4: the first segment is equal, the second differs in at most one bit. So each fingerprint is filed once for
-every bit of a second segment, under both segments with that bit cleared: 64 keys of about 25 bits, and any two that begin
-such a chain meet. Where they meet the chain is followed to its third and fourth segment before the full distance is taken.
+is 0, 1, 2, 3, 4: the first segment is equal, the second differs in at most one bit. So each fingerprint is filed once
+for every bit of a second segment, under both segments with that bit cleared: 64 keys of about 25 bits, and any two that
+begin such a chain meet. Where they meet the chain is followed to its third and fourth segment before the full distance
+is taken.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ MARKED = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
 
 def shingle_hashes(text: str | None, size: int, seed: int = 42) -> np.ndarray:
-    """XXH64 of each run of so many words, lower-cased in A-Z and joined by a space; of all words, if there are fewer."""
+    """XXH64 of each run of so many words, lower-cased in A-Z and joined by a space; of all words, if there are fewer.
+    """
     ws = words = text.encode().lower().split() if text else []
     if not words:
         return np.empty(0, np.uint64)
@@ -91,7 +93,10 @@ def chained(a: np.ndarray, b: np.ndarray, key: np.ndarray, most: int = 4) -> np.
 
 
 def links_of(table: pa.Table, most: int = 4, small: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Links among the rows (key, fp, id) of each key, of those pairs that pass the chain that the key begins and then the full distance: all of small groups, a spanning forest of larger ones. No group makes more links than it has members, but for a few in small ones."""
+    """Links among the rows (key, fp, id) of each key, of those pairs that pass the chain that the key begins and then
+    the full distance: all of small groups, a spanning forest of larger ones. No group makes more links than it has
+    members, but for a few in small ones.
+    """
     key, fp, ids = (table.column(c).to_numpy() for c in ("key", "fp", "id"))
     fp = fp.view(np.uint64)
     starts = graph.runs(key)
@@ -122,7 +127,9 @@ def links_of(table: pa.Table, most: int = 4, small: int = 8) -> tuple[np.ndarray
 
 
 def hamming_links(fps: DataFrame, most: int = 4) -> DataFrame:
-    """Links (a, b) that join all ids of fps (fp, id), one row for each different fp, that a chain of fingerprints at distances of at most 4 joins."""
+    """Links (a, b) that join all ids of fps (fp, id), one row for each different fp, that a chain of fingerprints at
+    distances of at most 4 joins.
+    """
     if not 0 <= most <= 4:
         raise ValueError("the segments hold for distances of at most 4")
     rows = fps.select(F.explode(ring_keys(F.col("fp"))).alias("key"), "fp", "id").repartition("key").sortWithinPartitions("key")
@@ -139,9 +146,10 @@ def hamming_links(fps: DataFrame, most: int = 4) -> DataFrame:
 def grouped(docs: DataFrame, size: int = 4, most: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of each document (doc_id, text).
 
-    Fingerprints link at `most` or fewer differing bits; component_id is the smallest doc_id reachable, the document's own
-    included. Documents without words (null, empty or white space) have fingerprint zero and link like any others. Equal
-    fingerprints are one node, so copies make no pairs. A row comes out for each row, repeated doc_ids included; a null doc_id gets its group's id, or null if the whole group has none.
+    Fingerprints link at `most` or fewer differing bits; component_id is the smallest doc_id reachable, the document's
+    own included. Documents without words (null, empty or white space) have fingerprint zero and link like any others.
+    Equal fingerprints are one node, so copies make no pairs. A row comes out for each row, repeated doc_ids included; a
+    null doc_id gets its group's id, or null if the whole group has none.
     """
     marked = S.stored(fingerprints(docs, size), "fingerprints")
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).select("fp", F.col("fp").alias("id"), "doc_id")
@@ -154,6 +162,8 @@ def grouped(docs: DataFrame, size: int = 4, most: int = 4) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, size: int = 4, most: int = 4) -> DataFrame:
-    """The documents, one of each group: the one with the smallest doc_id. All rows with that id stay, and so do rows whose doc_id is null."""
+    """The documents, one of each group: the one with the smallest doc_id. All rows with that id stay, and so do rows
+    whose doc_id is null.
+    """
     keep = grouped(docs, size, most).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(keep, docs["doc_id"] == keep["kept_id"], "left_semi").unionByName(docs.where(docs["doc_id"].isNull()))

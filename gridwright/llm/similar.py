@@ -1,10 +1,10 @@
 """Near-duplicate documents by exact similarity of their shingle sets, found by prefixes of the sets.
 
-Two sets of similarity s or more share a shingle among the first n - ceil(s * n) + 1 of each, in any order that is the same
-for all. The order is rare shingles first, so shingles that many documents hold seldom stand in a prefix. How often one
-occurs is counted in a table of fixed size: shingles that fall on one count only make the order worse. Where sets meet their
-sizes and places must allow the overlap; then the sets themselves are compared. SimHash links, verified in the same way,
-come first: sets that they join already make no pairs, so large groups of near copies stay small.
+Two sets of similarity s or more share a shingle among the first n - ceil(s * n) + 1 of each, in any order that is the
+same for all. The order is rare shingles first, so shingles that many documents hold seldom stand in a prefix. How often
+one occurs is counted in a table of fixed size: shingles that fall on one count only make the order worse. Where sets
+meet their sizes and places must allow the overlap; then the sets themselves are compared. SimHash links, verified in
+the same way, come first: sets that they join already make no pairs, so large groups of near copies stay small.
 """
 
 from __future__ import annotations
@@ -28,7 +28,9 @@ SET = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
 
 
 def sets(texts: list, size: int) -> Iterator[np.ndarray]:
-    """The different hashes of each text's runs of so many words, lower-cased in A-Z, ascending; of all words, if there are fewer."""
+    """The different hashes of each text's runs of so many words, lower-cased in A-Z, ascending; of all words, if there
+    are fewer.
+    """
     for i, j in S.by_bytes(texts):
         for h, _ in S.hashed_texts(texts[i:j], lower=True):
             yield np.unique(S.windows(h, min(size, len(h)))) if len(h) else np.empty(0, np.uint64)
@@ -52,7 +54,9 @@ def prefix(shingles: np.ndarray, counts: np.ndarray, least: Fraction) -> np.ndar
 
 
 def met(t: pa.Table, least: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets that meet under a key and whose sizes and places allow the similarity; none of sets that are joined already."""
+    """Pairs of sets that meet under a key and whose sizes and places allow the similarity; none of sets that are joined
+    already.
+    """
     key, ids, n, at, part = (t.column(c).to_numpy() for c in ("key", "id", "n", "at", "part"))
     p, q = least.numerator, least.denominator
     starts = graph.runs(key)
@@ -118,7 +122,9 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, least: Fraction) -> D
 
 
 def grouped(docs: DataFrame, size: int = 5, least: str = "0.8") -> DataFrame:
-    """doc_id and component_id (the smallest doc_id reachable by pairs of that similarity, its own included) of each document (doc_id, text). Documents without words are one group."""
+    """doc_id and component_id (the smallest doc_id reachable by pairs of that similarity, its own included) of each
+    document (doc_id, text). Documents without words are one group.
+    """
     least = Fraction(least)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     S.ship(docs.sparkSession)
@@ -165,6 +171,8 @@ def grouped(docs: DataFrame, size: int = 5, least: str = "0.8") -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, size: int = 5, least: str = "0.8") -> DataFrame:
-    """The documents, one of each group: the one with the smallest doc_id. All rows with that id stay, and so do rows whose doc_id is null."""
+    """The documents, one of each group: the one with the smallest doc_id. All rows with that id stay, and so do rows
+    whose doc_id is null.
+    """
     keep = grouped(docs, size, least).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(keep, docs["doc_id"] == keep["kept_id"], "left_semi").unionByName(docs.where(docs["doc_id"].isNull()))

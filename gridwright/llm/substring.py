@@ -1,13 +1,13 @@
 """Passages that repeat across documents, found by level-wise doubling of windows.
 
-The first level looks at short windows, the next at windows up to twice as long, and only where both halves are repeated: a
-window can't occur twice unless its parts do. Levels go on to the length asked for, or, to measure the longest repeats,
-until no candidates survive.
+The first level looks at short windows, the next at windows up to twice as long, and only where both halves are
+repeated: a window can't occur twice unless its parts do. Levels go on to the length asked for, or, to measure the
+longest repeats, until no candidates survive.
 
 The first level needn't file every position. Of the short windows in a full-length one, the one with the smallest hash
 stands for it; two equal full-length windows have the same. Filing only those keeps a quarter of the positions and loses
-no repeat. Words have two hashes of 64 bits, windows one from each: by both together, 128 bits, a window decides a removal.
-A text is dealt once to meet its repeated short windows; only documents that have some go further.
+no repeat. Words have two hashes of 64 bits, windows one from each: by both together, 128 bits, a window decides a
+removal. A text is dealt once to meet its repeated short windows; only documents that have some go further.
 """
 
 from __future__ import annotations
@@ -52,7 +52,9 @@ def filed(h: np.ndarray, short: int, length: int) -> tuple[np.ndarray, np.ndarra
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """The rows (h, doc_id) whose h occurs in several documents: a pass over rows sorted by h and doc_id that holds one row."""
+    """The rows (h, doc_id) whose h occurs in several documents: a pass over rows sorted by h and doc_id that holds one
+    row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, int] | None = None  # the row before
@@ -101,7 +103,11 @@ def found_pairs(h: np.ndarray, g: np.ndarray, a: np.ndarray, b: np.ndarray) -> n
 
 
 def candidates(docs: DataFrame, length: int, short: int, gone: DataFrame | None = None, once: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The first level and the step to full length: the documents (doc_id, text, marks) that have repeated short windows, but for those in gone (gone_id), and their windows (h, g, doc_id, at) that contain one: two hashes, and the first word's place. once: each different window of a document once, so that no window has more rows than there are documents."""
+    """The first level and the step to full length: the documents (doc_id, text, marks) that have repeated short
+    windows, but for those in gone (gone_id), and their windows (h, g, doc_id, at) that contain one: two hashes, and the
+    first word's place. once: each different window of a document once, so that no window has more rows than there are
+    documents.
+    """
 
     def file(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i, j in S.by_bytes(texts := b.column("text").to_pylist()):
@@ -136,10 +142,11 @@ def candidates(docs: DataFrame, length: int, short: int, gone: DataFrame | None
 
 
 def repeats(docs: DataFrame, length: int = 13) -> DataFrame:
-    """doc_id and longest: the longest of length, 2 * length, 4 * length, ... at which a window of the document stands in another document too; documents without any don't occur.
+    """doc_id and longest: the longest of length, 2 * length, 4 * length, ... at which a window of the document stands
+    in another document too; documents without any don't occur.
 
-    A window of twice the length is named by the names of its halves, so no level but the first reads a text. Only windows
-    that repeat go to the next level; it ends when none are left.
+    A window of twice the length is named by the names of its halves, so no level but the first reads a text. Only
+    windows that repeat go to the next level; it ends when none are left.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     _, rows = candidates(docs, length, (length + 1) // 2)
@@ -162,10 +169,10 @@ def repeats(docs: DataFrame, length: int = 13) -> DataFrame:
 def deduplicated(docs: DataFrame, length: int = 13, short: int | None = None, text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text, if asked for) of each document (doc_id, text).
 
-    A word is removed if a window of `length` words covers it whose words also start in a document with a smaller doc_id.
-    Windows are judged on the input. Null texts have no words; null ids are left as they are and make nothing else go. Rows
-    that repeat a doc_id are one document for what is earlier, but each is cut by its own text and comes out once; nothing
-    of them goes because of another row of that id.
+    A word is removed if a window of `length` words covers it whose words also start in a document with a smaller
+    doc_id. Windows are judged on the input. Null texts have no words; null ids are left as they are and make nothing
+    else go. Rows that repeat a doc_id are one document for what is earlier, but each is cut by its own text and comes
+    out once; nothing of them goes because of another row of that id.
     """
     short = short or (length + 1) // 2
     if not 0 < short <= length <= 2 * short:
@@ -218,7 +225,8 @@ def deduplicated(docs: DataFrame, length: int = 13, short: int | None = None, te
             ws = S.words(t.as_py())
             wide = named(S.hashed_words(t.as_py()), length)
             h, g = (going.values.field(c).to_numpy().view(np.uint64) for c in ("h", "g"))
-            # The pairs that go are different, so a window's place among them by its first hash is checked by its second.
+            # The pairs that go are different, so a window's place among them by its first hash is checked by its
+            # second.
             order = np.lexsort((g, h))
             starts = np.flatnonzero(np.isin(wide[0], h))
             starts = starts[found_pairs(h[order], g[order], wide[0][starts], wide[1][starts])]

@@ -47,7 +47,8 @@ class EliasFano:
         top = int(values[-1]) if n else 0
         width = max(0, (top // n).bit_length() - 1) if n else 0
         places = np.arange(width, dtype=np.uint64)
-        # Bits are spread out for a few thousand numbers at a time, a multiple of 8, so each piece ends with a whole byte.
+        # Bits are spread out for a few thousand numbers at a time, a multiple of 8, so each piece ends with a whole
+        # byte.
         pieces = [np.packbits(((values[i : i + PIECE, None] >> places) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little") for i in range(0, n, PIECE)]
         low = np.concatenate(pieces) if pieces else np.empty(0, np.uint8)
         ones = (values >> np.uint64(width)).astype(np.int64) + np.arange(n)
@@ -78,7 +79,9 @@ class EliasFano:
 
 
 def write_shard(sink, documents: Iterator[tuple[int | None, bytes]], item: int, roll: int = ROLL, most: int = MOST) -> dict:
-    """Write documents (key, ids as bytes) in the order given, until the shard is full; returns how many documents and ids it has. Ids are streamed; of a document only its key and its count are held, 16 bytes."""
+    """Write documents (key, ids as bytes) in the order given, until the shard is full; returns how many documents and
+    ids it has. Ids are streamed; of a document only its key and its count are held, 16 bytes.
+    """
     keys, counts, nulls, size = array("q"), array("q"), 0, 0
     for key, ids in documents:
         sink.write(ids)
@@ -143,10 +146,9 @@ class WordTokens:
     """Ids of a byte-level BPE file of the tokenizers library.
 
     Its pre-tokenizer never joins what stands before a single space with what follows: a text is its first part and then
-    parts that begin with a space, each encoded by itself, and the library need encode each different part only once (parts are
-    told apart by 128-bit hashes). Where
-    white space stands on both sides of a space, or two spaces together, its rule looks across them; such texts go to the
-    library whole, and so do texts that hold an added token.
+    parts that begin with a space, each encoded by itself, and the library need encode each different part only once
+    (parts are told apart by 128-bit hashes). Where white space stands on both sides of a space, or two spaces together,
+    its rule looks across them; such texts go to the library whole, and so do texts that hold an added token.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
@@ -165,7 +167,9 @@ class WordTokens:
         return [np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, h: np.ndarray, g: np.ndarray, parts: list[str]) -> None:
-        """Encode new parts, each given without its space. Those that begin with no white space go to the library many in a text: each begins at an id that begins with a space. The rest go one by one."""
+        """Encode new parts, each given without its space. Those that begin with no white space go to the library many
+        in a text: each begins at an id that begins with a space. The rest go one by one.
+        """
         plain = [i for i, p in enumerate(parts) if p and not p[0].isspace()]
         rest = [i for i, p in enumerate(parts) if not p or p[0].isspace()]
         for k in range(0, len(plain), 1000):
@@ -203,7 +207,8 @@ class WordTokens:
             self.learn(h[at], g[at], [raw[i:j].decode() for i, j in zip(starts[at].tolist(), ends[at].tolist())])
             entry[lost] = table.find(h[lost], g[lost])
         kept = table.entries, table.used
-        # First parts have no space before them, and texts that stand alone are all first part: entries for this batch only.
+        # First parts have no space before them, and texts that stand alone are all first part: entries for this batch
+        # only.
         lists = self.whole([t if x else t.partition(" ")[0] for t, x in zip(texts, alone)])
         entry[firsts] = table.add(np.concatenate(lists), np.array([len(x) for x in lists], np.int32))
         ids, ends = table.gather(entry)
@@ -228,11 +233,12 @@ READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, key: str = "doc_id", text: str = "text", roll: int = ROLL) -> list:
     """Encode every text and write the ids, each document's followed by end_id, as shards in ascending order of the key.
 
-    Null texts are empty; null keys come first; rows of one key keep no particular order; added tokens in a text are found
-    as the library finds them. Texts are dealt by ranges of the key and sorted before they are encoded; a task writes shards
-    of bounded size one after the other, so what a worker holds doesn't grow with its range. It writes under names of its
-    own, and only the names that successful tasks return count, so a lost or repeated task leaves nothing behind that is
-    read. Returns the shards in order, one small row for each: path, n_docs, n_ids, base (ids before it).
+    Null texts are empty; null keys come first; rows of one key keep no particular order; added tokens in a text are
+    found as the library finds them. Texts are dealt by ranges of the key and sorted before they are encoded; a task
+    writes shards of bounded size one after the other, so what a worker holds doesn't grow with its range. It writes
+    under names of its own, and only the names that successful tasks return count, so a lost or repeated task leaves
+    nothing behind that is read. Returns the shards in order, one small row for each: path, n_docs, n_ids, base (ids
+    before it).
     """
     spark = docs.sparkSession
     S.ship(spark)
@@ -272,7 +278,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
 
 
 def read_tokens(spark, folder: str, shards: list) -> DataFrame:
-    """Every document of the shards: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of its ids as little-endian unsigned 32-bit integers). A task for each shard; ids are read in pieces."""
+    """Every document of the shards: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of its ids as
+    little-endian unsigned 32-bit integers). A task for each shard; ids are read in pieces.
+    """
     S.ship(spark)
     listed = spark.createDataFrame(shards, "path string, n_docs long, n_ids long, base long").repartition(max(1, len(shards)))
 
@@ -294,6 +302,8 @@ def read_tokens(spark, folder: str, shards: list) -> DataFrame:
 
 
 def token_store(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
-    """Write documents (doc_id, text) as token shards in the shared folder and read them back; no rows for an empty table."""
+    """Write documents (doc_id, text) as token shards in the shared folder and read them back; no rows for an empty
+    table.
+    """
     folder = S.fresh(docs.sparkSession, "tokens")
     return read_tokens(docs.sparkSession, folder, write_tokens(docs, folder, tokenizer, end_id))

@@ -1,8 +1,8 @@
 """WARC archives: a writer that stores each payload once, and a Python data source that reads them.
 
 An archive is a row of gzip members, one for each record, as WARC readers expect. Each member's gzip header carries its
-compressed length in an extra field (subfield "sl"), so a reader can inflate a record's first bytes, read its headers and,
-where the record isn't wanted, go to the next member without inflating the payload. Members without that field are
+compressed length in an extra field (subfield "sl"), so a reader can inflate a record's first bytes, read its headers
+and, where the record isn't wanted, go to the next member without inflating the payload. Members without that field are
 inflated to their end.
 
 The data source plans one partition for each file, or several small files; it takes equality and IN filters on
@@ -67,7 +67,9 @@ def _clean(value: str) -> str:
 
 
 def record(kind: str, ident: str, uri: str | None, payload: bytes, payload_digest: str, size: int, date: str, refers_to: str | None = None) -> bytes:
-    """A response or revisit record. Both hold the HTTP head with the full payload's length; only a response holds the payload."""
+    """A response or revisit record. Both hold the HTTP head with the full payload's length; only a response holds the
+    payload.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{ident}>", f"WARC-Date: {date}"]
@@ -81,11 +83,11 @@ def record(kind: str, ident: str, uri: str | None, payload: bytes, payload_diges
 def deduplicated(pages: DataFrame, smallest: int = 0) -> DataFrame:
     """key, url, payload, digest, refers_to of pages (page_id, url, html).
 
-    Of the rows whose payloads are equal and of at least so many bytes, the one with the largest page_id is the response and
-    the others refer to it. A null html is an empty payload; rows that repeat a page_id with the same payload are all
-    responses; a null page_id is smaller than any other, and rows that have only null ids are all responses. Payloads are
-    compared by SHA-1 and length. Only digests are grouped and joined; the payloads are dealt once, by page_id, which no
-    group of copies makes uneven.
+    Of the rows whose payloads are equal and of at least so many bytes, the one with the largest page_id is the response
+    and the others refer to it. A null html is an empty payload; rows that repeat a page_id with the same payload are
+    all responses; a null page_id is smaller than any other, and rows that have only null ids are all responses.
+    Payloads are compared by SHA-1 and length. Only digests are grouped and joined; the payloads are dealt once, by
+    page_id, which no group of copies makes uneven.
     """
     # The digest as a column of Spark; base 32 follows where records are written.
     marked = pages.select(F.col("page_id").cast("long").alias("key"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
@@ -104,7 +106,10 @@ def ident(key: int | None) -> str:
 
 
 def write_archives(pages: DataFrame, folder: str, smallest: int = 0, roll: int = 256 << 20, date: str = "2024-01-01T00:00:00Z") -> list[str]:
-    """Write pages as archives in the folder; returns the files. A task rolls to a new file at so many bytes. Files of lost or repeated tasks may be left in the folder; a list beside the archives names those that count, and the reader takes no others."""
+    """Write pages as archives in the folder; returns the files. A task rolls to a new file at so many bytes. Files of
+    lost or repeated tasks may be left in the folder; a list beside the archives names those that count, and the reader
+    takes no others.
+    """
     S.ship(pages.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +162,9 @@ class _Source:
 
 
 def records(file, size: int, wanted, payloads: bool) -> Iterator[tuple[dict[str, str], dict[str, str], bytes | None, int]]:
-    """(record headers, HTTP headers, payload or None, bytes of payload decoded) of the records for which wanted(headers) holds."""
+    """(record headers, HTTP headers, payload or None, bytes of payload decoded) of the records for which
+    wanted(headers) holds.
+    """
     source, offset = _Source(file, size), 0
     while offset < size:
         raw = source.at(offset, 4096)
@@ -186,7 +193,8 @@ def records(file, size: int, wanted, payloads: bool) -> Iterator[tuple[dict[str,
         ok = wanted(h)
         body = None
         if ok or (z and length is None):
-            # The HTTP head stands at the block's start; the payload is inflated only if asked for, or to find the member's end.
+            # The HTTP head stands at the block's start; the payload is inflated only if asked for, or to find the
+            # member's end.
             need = total if payloads and ok or length is None else min(total, cut + 4 + 1024)
             while len(head) < need and z:
                 part = z.decompress(z.unconsumed_tail, need - len(head)) if z.unconsumed_tail else b""
@@ -298,7 +306,9 @@ def read_archives(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 
 def archived(pages: DataFrame, smallest: int = 0) -> DataFrame:
-    """Write pages (page_id, url, html) to archives and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to. No rows for an empty table."""
+    """Write pages (page_id, url, html) to archives and read them back: page_id, payload_bytes, payload_digest,
+    record_type, refers_to. No rows for an empty table.
+    """
     spark = pages.sparkSession
     folder = S.fresh(spark, "warc")
     write_archives(pages, folder, smallest)

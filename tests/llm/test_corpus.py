@@ -1,4 +1,6 @@
-"""Operators over the whole corpus: line dedup, SimHash, substring dedup, neighbours, token shards, archives, the pipeline."""
+"""Operators over the whole corpus: line dedup, SimHash, substring dedup, neighbours, token shards, archives, the
+pipeline.
+"""
 
 import base64
 import collections
@@ -185,7 +187,9 @@ def test_simhash(spark):
 
 
 def test_similar_documents(spark):
-    """All pairs of five-word shingle sets at 0.8 or more link, those far apart in SimHash too; the pipeline's stage takes them."""
+    """All pairs of five-word shingle sets at 0.8 or more link, those far apart in SimHash too; the pipeline's stage
+    takes them.
+    """
     rng = random.Random(8)
     texts = corpus(60)
     for _ in range(40):

@@ -124,7 +124,8 @@ def test_words_and_hashes():
 
 
 def thue_morse(bits):
-    """A word and its complement, whose letters' polynomials agree modulo 2**64 for every odd base once they are long."""
+    """A word and its complement, whose letters' polynomials agree modulo 2**64 for every odd base once they are long.
+    """
     word = "".join("ab"[k.bit_count() & 1] for k in range(1 << bits))
     return word, word.translate(str.maketrans("ab", "ba"))
 
@@ -240,7 +241,8 @@ def test_samples_are_bounded_by_rows(spark):
 
 
 def test_kernel_ridge_against_a_plain_version():
-    """With every text a landmark, Nystroem is exact: scores are those of kernel ridge regression with the full kernel."""
+    """With every text a landmark, Nystroem is exact: scores are those of kernel ridge regression with the full kernel.
+    """
     rng = np.random.default_rng(4)
     texts = ["".join(rng.choice(list(a), 60)) for a in ("abcd e", "cdef g") for _ in range(12)]
     langs = ["x"] * 12 + ["y"] * 12
