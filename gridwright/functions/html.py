@@ -1,9 +1,9 @@
 """HTML tables: block extraction and cheap metadata as native expressions, and the one grid UDF.
 
-The grid UDF gives, for a block, everything that later steps need: an error or the shape and every cell with its place, its
-text at the anchor and the text repeated over spans. Parsing is by the standard library's tolerant tokenizer: unclosed cells
-and rows end where the next begins, stray end tags are passed over, nested tables are text of their cell, comments are left
-out, entities are decoded. Cells outside any row are left out.
+The grid UDF gives, for a block, everything that later steps need: an error or the shape and every cell with its place,
+its text at the anchor and the text repeated over spans. Parsing is by the standard library's tolerant tokenizer:
+unclosed cells and rows end where the next begins, stray end tags are passed over, nested tables are text of their cell,
+comments are left out, entities are decoded. Cells outside any row are left out.
 """
 
 from __future__ import annotations

@@ -40,7 +40,8 @@ def hits(pred: Column, gold: Column) -> Column:
 
 
 def prf(hits: Column, n: Column, m: Column) -> Column:
-    """precision, recall, f1 of n predicted and m gold cells that share `hits`: all 1 if both are none, all 0 if one is."""
+    """precision, recall, f1 of n predicted and m gold cells that share `hits`: all 1 if both are none, all 0 if one is.
+    """
 
     def ladder(x: Column) -> Column:
         return F.when((n == 0) & (m == 0), F.lit(1.0)).when((n == 0) | (m == 0) | (hits == 0), F.lit(0.0)).otherwise(x)

@@ -33,6 +33,8 @@ def non_blank(text: Column) -> Column:
 
 
 def page_id_from_path(path: Column) -> Column:
-    """Last part of a path without its extension, other characters than [A-Za-z0-9_-] as underscores; "page" if nothing is left."""
+    """Last part of a path without its extension, other characters than [A-Za-z0-9_-] as underscores; "page" if nothing
+    is left.
+    """
     name = F.element_at(F.split(path, "/"), -1)
     return F.coalesce(present(F.regexp_replace(F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), "[^A-Za-z0-9_-]", "_")), F.lit("page"))

@@ -1,8 +1,8 @@
 """Aggregations over run logs, and the minima that calibration picks.
 
-Logs are one table for all systems (schemas.ANY_LOG and system_id): adaptive runs fill reparse columns, single passes leave
-them null. The figures of a system come from one grouped pass, its quantile from two more; systems without rows keep a row
-by a left join.
+Logs are one table for all systems (schemas.ANY_LOG and system_id): adaptive runs fill reparse columns, single passes
+leave them null. The figures of a system come from one grouped pass, its quantile from two more; systems without rows
+keep a row by a left join.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 
 def kept_tokens() -> Column:
-    """Tokens of the output that is kept: the second pass's if there was one and it has a count, else the first's; a single pass's own."""
+    """Tokens of the output that is kept: the second pass's if there was one and it has a count, else the first's; a
+    single pass's own.
+    """
     second = F.col("reparse_triggered") & F.col("reparse_output_tokens").isNotNull()
     return F.when(second, F.col("reparse_output_tokens")).otherwise(F.coalesce("first_pass_output_tokens", "output_token_count"))
 
@@ -31,11 +33,12 @@ PARTS = 1 << 14  # buckets of values that differ by a factor of e
 
 
 def quantiles(rows: DataFrame, key: str, value: Column, q: float) -> DataFrame:
-    """key and quantile of the values that aren't null, exact and interpolated at q * (n - 1); null keys and keys without values have no row.
+    """key and quantile of the values that aren't null, exact and interpolated at q * (n - 1); null keys and keys
+    without values have no row.
 
-    Values are counted in buckets by their logarithm first: their number hangs on the values' range alone, not on how many
-    there are. Only values of the buckets that hold the two ranks are looked at one by one, counted before they are dealt.
-    So no task holds a key's values, however many there are.
+    Values are counted in buckets by their logarithm first: their number hangs on the values' range alone, not on how
+    many there are. Only values of the buckets that hold the two ranks are looked at one by one, counted before they are
+    dealt. So no task holds a key's values, however many there are.
     """
     v = rows.select(key, value.cast("double").alias("v")).where("v is not null").withColumn("at", bucket_of(F.col("v")))
     order = Window.partitionBy(key).orderBy("at")
@@ -73,7 +76,8 @@ def positive(n: float) -> float:
 
 
 def summaries(log: DataFrame, systems: DataFrame, p95: bool = True) -> DataFrame:
-    """A row for each of systems (system_id, adaptive, low, high, tiles): sample_size, mean_runtime_ms, p95_runtime_ms, mean_output_tokens, reparse_count, reparse_rate, cost_tiles.
+    """A row for each of systems (system_id, adaptive, low, high, tiles): sample_size, mean_runtime_ms, p95_runtime_ms,
+    mean_output_tokens, reparse_count, reparse_rate, cost_tiles.
 
     Reparse figures are null for single passes; their cost is their tiles even without rows. The systems are few and
     broadcast. Without p95 that column is left out, and so are the two further passes over the log that it takes.
@@ -135,7 +139,9 @@ class Targets:
 
 
 def cost_summary(results: DataFrame, targets: Targets) -> DataFrame:
-    """measured, target, delta, relative_delta and label of each system; adaptive ones have budgets low and high, others one name."""
+    """measured, target, delta, relative_delta and label of each system; adaptive ones have budgets low and high, others
+    one name.
+    """
     target = F.when(F.col("adaptive"), F.lit(None).cast("double")).otherwise(targets.column(F.col("budget_name")))
     label = F.when(F.col("adaptive"), F.concat(F.lit("low="), F.col("low").cast("string"), F.lit(" / high="), F.col("high").cast("string"))).otherwise(F.coalesce(F.concat("budget_name", F.lit("="), F.col("tiles").cast("string")), F.lit("(no budget)")))
     out = results.withColumn("target", target)
@@ -149,13 +155,17 @@ def budget_grid(lows: DataFrame, highs: DataFrame) -> DataFrame:
 
 
 def select_pair(points: DataFrame, target: float) -> DataFrame:
-    """The point (low, high, cost_tiles) with the least distance from the target, then the least low, then high. No rows if there are none."""
+    """The point (low, high, cost_tiles) with the least distance from the target, then the least low, then high. No rows
+    if there are none.
+    """
     best = points.agg(F.min(F.struct(F.abs(F.col("cost_tiles") - target).alias("distance"), "low", "high", "cost_tiles")).alias("b")).where("b is not null")
     return best.select("b.low", "b.high", F.lit(float(target)).alias("target"), F.col("b.cost_tiles").alias("measured"))
 
 
 def select_fixed(points: DataFrame, target: float, tolerance: float) -> DataFrame:
-    """The point (max_tiles, cost_tiles) nearest the target, those within the relative tolerance before all others, then the least tiles."""
+    """The point (max_tiles, cost_tiles) nearest the target, those within the relative tolerance before all others, then
+    the least tiles.
+    """
     positive(target)
     outside = F.abs(F.col("cost_tiles") - target) / target > tolerance
     best = points.agg(F.min(F.struct(outside.alias("outside"), F.abs(F.col("cost_tiles") - target).alias("distance"), "max_tiles", "cost_tiles")).alias("b")).where("b is not null")
@@ -170,7 +180,9 @@ def one_row(df: DataFrame, what: str):
 
 
 def reparse_probability(measured: float, low: float, high: float) -> tuple[float, bool]:
-    """What share of pages a second pass must have had for the measured cost, and whether that is none; ValueError outside 0 to 1."""
+    """What share of pages a second pass must have had for the measured cost, and whether that is none; ValueError
+    outside 0 to 1.
+    """
     positive(high)
     p = (measured - low) / high
     if not 0 <= p <= 1:
@@ -179,7 +191,9 @@ def reparse_probability(measured: float, low: float, high: float) -> tuple[float
 
 
 def tile_choice(sizes: DataFrame, most: int) -> DataFrame:
-    """cols and rows of the tiling of each size (width, height): up to `most` tiles, ratio nearest the image's, then fewest tiles, then fewest columns."""
+    """cols and rows of the tiling of each size (width, height): up to `most` tiles, ratio nearest the image's, then
+    fewest tiles, then fewest columns.
+    """
     grid = F.expr(f"filter(flatten(transform(sequence(1, {most}), n -> transform(filter(sequence(1, n), c -> n % c = 0), c -> struct(c as cols, n div c as rows)))), x -> true)")
     keyed = F.transform(grid, lambda g: F.struct(F.abs(g["cols"] / g["rows"] - F.col("width") / F.col("height")).alias("off"), (g["cols"] * g["rows"]).alias("tiles"), g["cols"].cast("long").alias("cols"), g["rows"].cast("long").alias("rows")))
     return sizes.withColumn("best", F.array_min(keyed)).select(*sizes.columns, "best.cols", "best.rows")
@@ -192,7 +206,9 @@ def last_rows(log: DataFrame, order: str, *keys: str) -> DataFrame:
 
 
 def page_matrix(pages: DataFrame, log: DataFrame, systems: DataFrame) -> DataFrame:
-    """page_id and systems, an array of each system's view of the page in the systems' order (ord). Of rows that repeat a page in a log the last (line_no) counts; pages without rows keep an empty array."""
+    """page_id and systems, an array of each system's view of the page in the systems' order (ord). Of rows that repeat
+    a page in a log the last (line_no) counts; pages without rows keep an empty array.
+    """
     views = last_rows(log, "line_no", "system_id", "page_id").join(F.broadcast(systems.select("system_id", "ord")), "system_id")
     view = F.struct("ord", "system_id", kept_tokens().alias("output_tokens"), kept_runtime().alias("runtime_ms"), "reparse_triggered", "verifier_decision", "verifier_failure_codes")
     nested = views.groupBy("page_id").agg(F.sort_array(F.collect_list(view)).alias("systems"))
@@ -200,6 +216,8 @@ def page_matrix(pages: DataFrame, log: DataFrame, systems: DataFrame) -> DataFra
 
 
 def decision_sequences(log: DataFrame) -> DataFrame:
-    """A hash of each seed's reparse decisions in the order of its log: counted and summed by place, so no sequence is gathered."""
+    """A hash of each seed's reparse decisions in the order of its log: counted and summed by place, so no sequence is
+    gathered.
+    """
     flag = F.coalesce(F.col("reparse_triggered"), F.lit(False))
     return log.groupBy("random_seed").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("line_no", flag)).alias("decisions"))

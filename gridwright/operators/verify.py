@@ -12,7 +12,9 @@ from ..functions import html, scoring
 
 
 def with_grids(pages: DataFrame, text: str = "raw_text") -> DataFrame:
-    """Adds `grids`, a grid for each table block. Blocks stay in their page's row: nothing is shuffled; pages without a block don't differ for Python but by an empty list."""
+    """Adds `grids`, a grid for each table block. Blocks stay in their page's row: nothing is shuffled; pages without a
+    block don't differ for Python but by an empty list.
+    """
     return pages.withColumn("grids", html.grids(html.table_blocks(F.col(text))))
 
 
@@ -23,7 +25,9 @@ def table_code(grid: Column) -> Column:
 
 
 def verified(pages: DataFrame, text: str = "raw_text") -> DataFrame:
-    """Adds verifier_decision, verifier_failure_codes (distinct, first seen first), predicted_table_count, html_parse_ok, span_normalization_ok and tables (index, rows, cols, failure_codes)."""
+    """Adds verifier_decision, verifier_failure_codes (distinct, first seen first), predicted_table_count,
+    html_parse_ok, span_normalization_ok and tables (index, rows, cols, failure_codes).
+    """
     out = with_grids(pages, text) if "grids" not in pages.columns else pages
     grids = F.col("grids")
     tables = F.transform(grids, lambda g, i: F.struct(i.alias("index"), g["n_rows"].alias("rows"), g["n_cols"].alias("cols"), F.filter(F.array(table_code(g)), lambda c: c.isNotNull()).alias("failure_codes")))
@@ -38,7 +42,9 @@ def should_reparse() -> Column:
 
 
 def random_reparse(page_id: Column, seed: int, probability: float) -> Column:
-    """A draw for each page, from a generator seeded by the seed and the page's id, so it doesn't depend on order. No draw is made for probabilities of 0 or 1."""
+    """A draw for each page, from a generator seeded by the seed and the page's id, so it doesn't depend on order. No
+    draw is made for probabilities of 0 or 1.
+    """
     if probability <= 0 or probability >= 1:
         return F.lit(probability >= 1)
 
@@ -52,9 +58,10 @@ def random_reparse(page_id: Column, seed: int, probability: float) -> Column:
 def scored(outputs: DataFrame, gold: DataFrame) -> DataFrame:
     """Scores of outputs (page_id, raw_text and any others) against gold (page_id, html).
 
-    Adds precision, recall, cell_f1, text_similarity, gold_cells, pred_cells, pred_parse_error, gold_missing. A prediction
-    with a bad table counts as having none and keeps the error; a page without gold scores 0; bad gold fails the query.
-    Texts are joined by page_id before they are expanded, so no cells cross a shuffle and both are expanded in one go.
+    Adds precision, recall, cell_f1, text_similarity, gold_cells, pred_cells, pred_parse_error, gold_missing. A
+    prediction with a bad table counts as having none and keeps the error; a page without gold scores 0; bad gold fails
+    the query. Texts are joined by page_id before they are expanded, so no cells cross a shuffle and both are expanded
+    in one go.
     """
     none = F.array().cast(f"array<{html.GRID}>")
     g = gold.select(F.col("page_id").alias("gold_id"), "html")

@@ -17,7 +17,9 @@ CHECKS = ("phase1_splits_disjoint", "phase6_manifest_sha_matches_held_out", "pha
 
 
 def results(entries: DataFrame, log: DataFrame, scores: DataFrame | None = None) -> DataFrame:
-    """A row for each manifest entry: the log's figures for ok systems, zeros and nulls for others; scores join by system_id."""
+    """A row for each manifest entry: the log's figures for ok systems, zeros and nulls for others; scores join by
+    system_id.
+    """
     known = (*schemas.ADAPTIVE_RUNNERS, schemas.SINGLE_PASS_RUNNER)
     if bad := entries.where(~F.col("runner").isin(*known)).select("runner").take(1):
         raise ValueError(f"unknown runner {bad[0].runner!r}")
@@ -40,7 +42,9 @@ def results(entries: DataFrame, log: DataFrame, scores: DataFrame | None = None)
 
 
 def reparse_slices(entries: DataFrame, log: DataFrame) -> DataFrame:
-    """system_id, reparse_count, reparse_rate and histograms of decisions and codes of each gated system, whatever its status."""
+    """system_id, reparse_count, reparse_rate and histograms of decisions and codes of each gated system, whatever its
+    status.
+    """
     own = entries.where(F.col("runner").isin(*schemas.ADAPTIVE_RUNNERS)).select("system_id")
     rows = log.join(F.broadcast(own), "system_id")
     flag = F.coalesce("reparse_triggered", F.lit(False))
@@ -65,8 +69,8 @@ def audit(entries: DataFrame, log: DataFrame, calibration: DataFrame, held_out:
     """name, status, detail of the checks, in their order.
 
     entries has system_id, ord and the manifest's columns; log has system_id, line_no; header holds seeds, prompt_id,
-    held_out_sha256, frozen_sha256; shas the files' present ones. Each check is one small aggregate; only offenders' names
-    come back, at most ten of each.
+    held_out_sha256, frozen_sha256; shas the files' present ones. Each check is one small aggregate; only offenders'
+    names come back, at most ten of each.
     """
     some = lambda df, *cols: [tuple(r) for r in df.select(*cols).orderBy(*cols).take(10)]
     out: list[tuple[str, str]] = []

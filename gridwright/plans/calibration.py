@@ -33,9 +33,9 @@ def sweep_adaptive(pages: DataFrame, model: Model, prompt: Prompt, s: Settings,
     """low, high, sample_size, mean_output_tokens, reparse_rate, cost_tiles of every pair with high not below low.
 
     The first pass depends on low alone and the second on high, so each is inferred once for each setting and pairs are
-    joined: at most |low| + |high| inferences for a page, not twice |low| * |high|. The second passes run only on pages that
-    some first pass sends on. That holds for deterministic adapters. store(df) writes and rereads the first passes, which
-    are used twice.
+    joined: at most |low| + |high| inferences for a page, not twice |low| * |high|. The second passes run only on pages
+    that some first pass sends on. That holds for deterministic adapters. store(df) writes and rereads the first passes,
+    which are used twice.
     """
     spark = pages.sparkSession
     firsts = [verify.verified(infer(pages, model, Budget(f"low_{n}", n), prompt)).select(F.lit(n).alias("low"), "page_id", F.col("output_tokens").alias("first"), (F.col("verifier_decision") == "REPARSE").alias("reparse")) for n in s.lows]
@@ -66,7 +66,9 @@ def calibrate(pages: DataFrame, small: Model, large: Model, prompt: Prompt, s: S
 
 
 def chosen(adaptive: DataFrame, fixed_points: dict[str, DataFrame], small: Model, large: Model, s: Settings) -> dict:
-    """The frozen budgets from the sweeps' points. Fixed budgets are matched to the pair's measured cost, not to the target."""
+    """The frozen budgets from the sweeps' points. Fixed budgets are matched to the pair's measured cost, not to the
+    target.
+    """
     pair = summary.one_row(summary.select_pair(adaptive, s.target), "budget pair")
     pick = {k: summary.one_row(summary.select_fixed(fixed_points[m.name], pair.measured, s.tolerance), "fixed budget") for k, m in (("2b", small), ("8b", large))}
     budget = lambda name, n, m: {"name": name, "max_tiles": int(n), "model_name": m.name, "adapter_kind": m.adapter_kind}

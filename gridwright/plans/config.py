@@ -1,4 +1,6 @@
-"""YAML configurations: plain mappings with the keys that a run needs. A missing or odd key raises ValueError, an unknown name KeyError."""
+"""YAML configurations: plain mappings with the keys that a run needs. A missing or odd key raises ValueError, an
+unknown name KeyError.
+"""
 
 from __future__ import annotations
 

@@ -20,7 +20,9 @@ NO_IMAGE = (8, 8)  # the size pages get that come without an image root
 
 
 def pages_for(spark: SparkSession, manifest: str, records: str, image_root: str | None) -> DataFrame:
-    """page_id, width, height, ord of a manifest's pages. Ids without a record raise KeyError, records without an image FileNotFoundError. Sizes come from the PNG header."""
+    """page_id, width, height, ord of a manifest's pages. Ids without a record raise KeyError, records without an image
+    FileNotFoundError. Sizes come from the PNG header.
+    """
     ids = json_tables.split_page_ids(spark, manifest)
     rows = json_tables.page_records(spark, records)
     if lost := [r.page_id for r in ids.join(rows, "page_id", "left_anti").select("page_id").take(20)]:
@@ -46,7 +48,10 @@ def _store(root: str):
 
 
 def _write(out: DataFrame, folder: str, page_files: bool = True) -> int:
-    """Page outputs as Parquet, then from what was written, so that nothing is inferred twice: the log, its rows numbered in the order of page ids, which is that of manifests; and a text and a sidecar for each page and pass, unless page_files is off."""
+    """Page outputs as Parquet, then from what was written, so that nothing is inferred twice: the log, its rows
+    numbered in the order of page ids, which is that of manifests; and a text and a sidecar for each page and pass,
+    unless page_files is off.
+    """
     sinks.write_pages(out, f"{folder}/outputs")
     done = out.sparkSession.read.parquet(f"{folder}/outputs")
     log = dataset.dense_places(done.drop(*runners.TEXTS), "page_id").withColumnRenamed("place", "line_no")
@@ -118,7 +123,9 @@ def run_experiment(spark: SparkSession, path: str, families: list[str] | None =
 
 
 def run_manifest(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
-    """A run manifest's header, and its entries as rows with their order (ord); another schema version raises ValueError. Values are coerced to the columns' types, nulls kept; empty output folders are null."""
+    """A run manifest's header, and its entries as rows with their order (ord); another schema version raises
+    ValueError. Values are coerced to the columns' types, nulls kept; empty output folders are null.
+    """
     data = json.loads(Path(path).read_text(encoding="utf-8"))
     if data.get("schema_version") != 1:
         raise ValueError(f"{path}: schema_version must be 1")
@@ -139,7 +146,9 @@ SCORE_COLUMNS = ("page_id", "cell_f1", "precision", "recall", "text_similarity",
 
 
 def run_outputs(spark: SparkSession, folder: str) -> DataFrame:
-    """page_id and raw_text of a run: from its sidecars and texts, or where it has no page files from its table of outputs. FileNotFoundError without either."""
+    """page_id and raw_text of a run: from its sidecars and texts, or where it has no page files from its table of
+    outputs. FileNotFoundError without either.
+    """
     try:
         return json_tables.sidecars(spark, folder).select("page_id", "raw_text")
     except FileNotFoundError:
@@ -149,7 +158,9 @@ def run_outputs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def score_run(spark: SparkSession, outputs: DataFrame, gold: DataFrame, folder: str) -> dict:
-    """Page scores as Parquet, their macro means as JSON, both as Markdown, by page id; returns the means. A page whose text is missing scores like one without tables."""
+    """Page scores as Parquet, their macro means as JSON, both as Markdown, by page id; returns the means. A page whose
+    text is missing scores like one without tables.
+    """
     scores = verify.scored(outputs.select("page_id", "raw_text"), gold).drop("raw_text")
     scores.write.mode("overwrite").parquet(f"{folder}/page_scores")
     done = spark.read.parquet(f"{folder}/page_scores")
@@ -163,7 +174,8 @@ def score_run(spark: SparkSession, outputs: DataFrame, gold: DataFrame, folder:
 
 
 def score_summaries(spark: SparkSession, root: str, systems: list[str]) -> DataFrame:
-    """system_id and macro figures of the systems whose score file is there; one without its figures raises ValueError."""
+    """system_id and macro figures of the systems whose score file is there; one without its figures raises ValueError.
+    """
     rows = []
     for s in systems:
         at = Path(root, f"score_phase6_{s}", "page_scores.json")
@@ -178,7 +190,9 @@ def score_summaries(spark: SparkSession, root: str, systems: list[str]) -> DataF
 
 
 def analyse(spark: SparkSession, path: str) -> dict:
-    """Results, costs, escalations, the page matrix and the audit, as artifacts; returns the audit's checks and the statuses."""
+    """Results, costs, escalations, the page matrix and the audit, as artifacts; returns the audit's checks and the
+    statuses.
+    """
     c = config.load("analysis", path)
     i, root = c["inputs"], config.get(c, "output.root")
     header, entries = run_manifest(spark, i["phase6_manifest_path"])

@@ -73,7 +73,10 @@ def git_head(folder: str) -> str | None:
 
 
 def run_all(pages: DataFrame, frozen: dict, registry: dict[str, Model], prompt: Prompt, seeds: Iterable[int], write: Callable[[str, DataFrame], str], run_id: str = "run", split: str = "held_out_eval", families: Iterable[str] | None = None, allow_stub_8b: bool = False, store=None) -> list[dict]:
-    """Run the systems and return the manifest's entries in order. write(system_id, log) stores a log and returns its place; an error in one system makes a failed entry and goes on. The large system on a stub adapter is skipped unless allowed."""
+    """Run the systems and return the manifest's entries in order. write(system_id, log) stores a log and returns its
+    place; an error in one system makes a failed entry and goes on. The large system on a stub adapter is skipped unless
+    allowed.
+    """
     sel = frozen["selection"]["adaptive"]
     entries = []
     for s in filtered(specs(seeds), families):

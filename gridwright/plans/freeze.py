@@ -18,7 +18,9 @@ def universe(records: DataFrame, rule: HardTableRule, calibration_size: int, eva
 
 
 def write_manifests(members: DataFrame, folder: str, pinning: dict, seed: int) -> dict[str, int]:
-    """The manifests as byte-stable JSON; returns how many pages each has. Manifests name every page by contract, so their ids come to the driver."""
+    """The manifests as byte-stable JSON; returns how many pages each has. Manifests name every page by contract, so
+    their ids come to the driver.
+    """
     found: dict[str, list[str]] = {"eval_universe": [], "hard_subset": [], "calibration": [], "held_out_eval": []}
     for r in members.toLocalIterator():
         found[r.kind].append(r.page_id)

@@ -48,7 +48,9 @@ Adapter = Callable[[DataFrame, Model, Budget, Prompt], DataFrame]
 
 
 def stub(pages: DataFrame, model: Model, budget: Budget, prompt: Prompt) -> DataFrame:
-    """Adds raw_text, output_tokens, runtime_ms, started_at, finished_at to pages (page_id, width, height). No model runs and no row leaves Spark."""
+    """Adds raw_text, output_tokens, runtime_ms, started_at, finished_at to pages (page_id, width, height). No model
+    runs and no row leaves Spark.
+    """
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     out = pages.withColumn("raw_text", stub_text(F.col("page_id"), model.name, budget.name, prompt.id, F.col("width"), F.col("height")))
     return out.withColumn("output_tokens", token_count(F.col("raw_text"))).withColumn("runtime_ms", F.lit(0.0)).withColumn("started_at", now).withColumn("finished_at", now)
@@ -58,7 +60,9 @@ ADAPTERS: dict[str, Adapter] = {"stub": stub}
 
 
 def register(kind: str, adapter: Adapter) -> None:
-    """Add an adapter: a function from pages to pages with outputs, such as a mapInArrow that keeps its model in the worker."""
+    """Add an adapter: a function from pages to pages with outputs, such as a mapInArrow that keeps its model in the
+    worker.
+    """
     ADAPTERS[kind] = adapter
 
 

@@ -1,8 +1,8 @@
 """Runs of one system over pages: single pass, and two passes gated by the verifier or by seeded draws.
 
-A page is inferred at most twice. The second pass is a filter, an inference over what is left, and a left join back: in a
-conditional expression Spark would call a model for every row. First passes are written before they branch, so they aren't
-computed again.
+A page is inferred at most twice. The second pass is a filter, an inference over what is left, and a left join back: in
+a conditional expression Spark would call a model for every row. First passes are written before they branch, so they
+aren't computed again.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ PASSES = ("first_pass", "reparse", "final")
 
 
 def stored_once(df: DataFrame, store=None) -> DataFrame:
-    """The rows written and reread, so that what uses them twice doesn't infer twice: by store, or as a checkpoint where the session has a folder for these; else as they are."""
+    """The rows written and reread, so that what uses them twice doesn't infer twice: by store, or as a checkpoint where
+    the session has a folder for these; else as they are.
+    """
     if store:
         return store(df)
     sc = df.sparkSession.sparkContext
@@ -36,7 +38,10 @@ def single_pass(pages: DataFrame, model: Model, budget: Budget, prompt: Prompt,
 
 
 def two_pass(pages: DataFrame, model: Model, low: Budget, high: Budget, prompt: Prompt, run_id: str, split: str, route: Column | None = None, extra: dict[str, object] | None = None, store=None) -> DataFrame:
-    """A log row for each page, with raw_text: the second pass's where it ran, even if it is worse; and first_pass_text, reparse_text (null without a second pass) and tables, what the verifier found in the first pass. `route` decides the second pass, by default the verifier; store(df) writes and rereads the first pass."""
+    """A log row for each page, with raw_text: the second pass's where it ran, even if it is worse; and first_pass_text,
+    reparse_text (null without a second pass) and tables, what the verifier found in the first pass. `route` decides the
+    second pass, by default the verifier; store(df) writes and rereads the first pass.
+    """
     first = verify.verified(infer(pages, model, low, prompt)).drop("grids")
     first = first.withColumn("reparse_triggered", verify.should_reparse() if route is None else route)
     first = stored_once(first, store)
@@ -57,7 +62,9 @@ TEXTS = ("raw_text", "first_pass_text", "reparse_text", "tables")  # of a run's
 
 
 def artifacts(out: DataFrame) -> dict[str, DataFrame]:
-    """Of a run's rows, those of each folder of page files: page_id, raw_text and the sidecar's columns. A single pass has one folder, a gated run one for each pass and one for what is kept, which has the verifier's findings too."""
+    """Of a run's rows, those of each folder of page files: page_id, raw_text and the sidecar's columns. A single pass
+    has one folder, a gated run one for each pass and one for what is kept, which has the verifier's findings too.
+    """
     if "first_pass_text" not in out.columns:
         return {"": out}
     meta = [c for c in ("run_id", "split", "page_id", "model_name", "prompt_id") if c in out.columns]

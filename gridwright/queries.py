@@ -313,7 +313,9 @@ def annotated_pages(spark, sf_dir):
   union all select page_id, 'hard_subset', 1 from page_records where is_english_table_page and (coalesce(row_count, 0) >= 20 or coalesce(col_count, 0) >= 6 or has_merged_cells or has_nested_headers)
   union all select '', kind, if(kind = 'calibration', 5, count(*) - 5) from page_records, (values ('calibration'), ('held_out_eval')) v(kind) where is_english_table_page group by kind""", P)
 def frozen_universe(spark, sf_dir):
-    """The members of the universe and its hard subset; the seeded splits, which SQL can't draw, by their sizes, over members of the universe only."""
+    """The members of the universe and its hard subset; the seeded splits, which SQL can't draw, by their sizes, over
+    members of the universe only.
+    """
     out = freeze.universe(fx.page_records(spark, sf_dir), RULE, 5, None, 1337)
     whole = out.where("kind = 'eval_universe'").select("page_id")
     split = out.where("kind not in ('eval_universe', 'hard_subset')").join(whole, "page_id", "left_semi").distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("pages"))

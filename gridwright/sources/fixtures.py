@@ -116,7 +116,9 @@ NOTHING, HOLLOW = "no table here", "<table></table>"  # three words, and one
 
 
 def uneven(pages: DataFrame, model: inference.Model, budget: inference.Budget, prompt: inference.Prompt) -> DataFrame:
-    """An adapter that fails the verifier on known pages: of page numbers n, n % 5 = 0 has no table and n % 5 = 1 an empty one; with 8 tiles or more only n % 10 = 0 fails."""
+    """An adapter that fails the verifier on known pages: of page numbers n, n % 5 = 0 has no table and n % 5 = 1 an
+    empty one; with 8 tiles or more only n % 10 = 0 fails.
+    """
     n, rich = F.substring("page_id", 6, 20).cast("long"), budget.max_tiles >= 8
     out = inference.stub(pages, model, budget, prompt)
     nothing = n % (10 if rich else 5) == 0

@@ -1,4 +1,6 @@
-"""Readers of records, manifests, logs and artifacts. Each checks its contract when it is called and raises ValueError, KeyError or FileNotFoundError."""
+"""Readers of records, manifests, logs and artifacts. Each checks its contract when it is called and raises ValueError,
+KeyError or FileNotFoundError.
+"""
 
 from __future__ import annotations
 
@@ -25,7 +27,9 @@ def _kind(value: str | None) -> str:
 
 
 def _kind_of(v: Column) -> Column:
-    """BOOLEAN, STRING, BIGINT, DECIMAL..., VOID, OBJECT... of a value, without what follows in brackets; null if there is none."""
+    """BOOLEAN, STRING, BIGINT, DECIMAL..., VOID, OBJECT... of a value, without what follows in brackets; null if there
+    is none.
+    """
     return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
 
 
@@ -35,7 +39,9 @@ def as_text(v: Column) -> Column:
 
 
 def as_number(v: Column) -> Column:
-    """A value as a whole number: numbers lose what follows the point, strings of digits are read, true is 1; null stays null, and any other fails the query."""
+    """A value as a whole number: numbers lose what follows the point, strings of digits are read, true is 1; null stays
+    null, and any other fails the query.
+    """
     kind, text = _kind_of(v), F.try_variant_get(v, "$", "string")
     written = F.when(F.trim(text).rlike(r"^[+-]?[0-9]+(_[0-9]+)*$"), F.replace(F.trim(text), F.lit("_"), F.lit("")).cast("int"))
     value = F.when(kind == "STRING", written).when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int")).otherwise(F.try_variant_get(v, "$", "double").cast("int"))
@@ -50,7 +56,10 @@ def as_flag(v: Column) -> Column:
 
 
 def page_records(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of page records. Unknown keys are passed over, values are coerced (counts given as strings, flags of any kind), flags default to false; a file that is no list, a missing key, a count that is no number and a repeated page_id raise ValueError."""
+    """A JSON array of page records. Unknown keys are passed over, values are coerced (counts given as strings, flags of
+    any kind), flags default to false; a file that is no list, a missing key, a count that is no number and a repeated
+    page_id raise ValueError.
+    """
     if _kind(_whole(spark, path).head()[0]) != "[":
         raise ValueError(f"{path}: not a list of page records")
     entry = _whole(spark, path).select(F.explode(F.try_variant_get(F.parse_json("value"), "$", "array<variant>")).alias("e"))
@@ -80,11 +89,12 @@ def split_page_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def log_rows(spark: SparkSession, paths: dict[str, str], schema: str = schemas.ANY_LOG) -> DataFrame:
-    """The rows of several systems' JSONL logs (files or folders): system_id, line_no and the log's columns. Blank lines are skipped; a line that is no object raises ValueError, a path that isn't there FileNotFoundError.
+    """The rows of several systems' JSONL logs (files or folders): system_id, line_no and the log's columns. Blank lines
+    are skipped; a line that is no object raises ValueError, a path that isn't there FileNotFoundError.
 
-    A log that its rows number (a key line_no) keeps these numbers. Otherwise lines are numbered in the order of files and
-    lines: files are read as lines, in splits; each split's lines are counted, and a line's number is its place in its split
-    and the lines of the splits before.
+    A log that its rows number (a key line_no) keeps these numbers. Otherwise lines are numbered in the order of files
+    and lines: files are read as lines, in splits; each split's lines are counted, and a line's number is its place in
+    its split and the lines of the splits before.
     """
     if not paths:
         return spark.createDataFrame([], f"system_id string, line_no long, {schema}")
@@ -141,7 +151,10 @@ def images(spark: SparkSession, records: DataFrame, root: str) -> DataFrame:
 
 
 def sidecars(spark: SparkSession, run_dir: str) -> DataFrame:
-    """A run's page sidecars and their raw text, by page_id: from pages/, else final/pages/; FileNotFoundError without either. The text stands at the sidecar's raw_output_path, from the run's folder or from the one that holds pages/; a page whose text is missing has a null."""
+    """A run's page sidecars and their raw text, by page_id: from pages/, else final/pages/; FileNotFoundError without
+    either. The text stands at the sidecar's raw_output_path, from the run's folder or from the one that holds pages/; a
+    page whose text is missing has a null.
+    """
     for place in ("", "final/"):
         try:
             rows = spark.read.json(f"{run_dir}/{place}pages/*.json", multiLine=True)

@@ -26,7 +26,9 @@ def write_pages(pages: DataFrame, path: str, *by: str) -> None:
 
 
 def export_pages(pages: DataFrame, folder: str) -> None:
-    """raw/{page_id}.md and pages/{page_id}.json of each row (raw_text and the sidecar's columns) below a folder that the tasks share, a path or a URI. A task that is run again writes the same files."""
+    """raw/{page_id}.md and pages/{page_id}.json of each row (raw_text and the sidecar's columns) below a folder that
+    the tasks share, a path or a URI. A task that is run again writes the same files.
+    """
     from pyarrow import fs as pafs
 
     uri = folder if "://" in folder else f"file://{Path(folder).absolute()}"

@@ -10,11 +10,15 @@ from ..operators.summary import kept_runtime, kept_tokens
 
 
 def follow(spark: SparkSession, folder: str) -> DataFrame:
-    """Log rows of files as they arrive below folder/system_id=.../; one file a trigger and system is enough for local use, more on a cluster."""
+    """Log rows of files as they arrive below folder/system_id=.../; one file a trigger and system is enough for local
+    use, more on a cluster.
+    """
     return spark.readStream.schema(schemas.ANY_LOG + ", system_id string").json(folder)
 
 
 def running_results(rows: DataFrame) -> DataFrame:
-    """sample_size, mean_runtime_ms, mean_output_tokens, reparse_rate by system so far; for complete or update mode. State is a row for each system."""
+    """sample_size, mean_runtime_ms, mean_output_tokens, reparse_rate by system so far; for complete or update mode.
+    State is a row for each system.
+    """
     flag = F.when(F.col("reparse_triggered").isNotNull(), F.col("reparse_triggered").cast("int"))
     return rows.groupBy("system_id").agg(F.count(F.lit(1)).alias("sample_size"), F.avg(kept_runtime()).alias("mean_runtime_ms"), F.avg(kept_tokens()).alias("mean_output_tokens"), F.avg(flag).alias("reparse_rate"))
