@@ -10,6 +10,7 @@ share sends one row a task. Vectors of counts by mask are merged by part of the
 from __future__ import annotations
 
 import itertools
+import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -22,7 +23,7 @@ from . import _shared as S
 
 CAPITALS, MARKS = bytes(range(65, 91)), b"#$%&*|"
 DUPLICATE = "E"
-HELD = 32_000_000  # bytes of texts that a task compares before the shuffle at once
+HELD = 32_000_000  # bytes of texts that a task compares at once: before the shuffle, and about as many behind it
 
 
 def short(text: str, raw: bytes, words: list[bytes]) -> bool:
@@ -83,6 +84,7 @@ def masks(docs: DataFrame, filters: dict[str, Filter] = FILTERS) -> DataFrame:
     never a copy; rows of one doc_id aren't copies of each other.
     """
     S.ship(docs.sparkSession)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit(""))).rdd
     tests, copy = list(filters.values()), 1 << len(filters)
 
@@ -121,8 +123,8 @@ def masks(docs: DataFrame, filters: dict[str, Filter] = FILTERS) -> DataFrame:
             for part, n in parts.items():
                 yield doc_id, mask, part, n
 
-    # A task of the second step holds the different texts that reach it: four times as many tasks as the table has parts.
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * rows.getNumPartitions())
+    # A task of the second step holds the different texts that reach it, so their number follows the bytes of all texts.
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / HELD))
     found = rows.mapPartitions(routed).partitionBy(tasks, lambda key: key).mapPartitions(judged)
     return docs.sparkSession.createDataFrame(found, "doc_id long, mask int, part string, n long", verifySchema=False)
 
