@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import uuid
 from datetime import UTC, datetime
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..operators import dataset, summary, verify
 from ..sources import json_tables, sinks
+from ..sources.shared import exists, literal, located, read_text
 from . import analysis, calibration, config, experiment, freeze, runners
 from .inference import Prompt
 
@@ -42,7 +42,7 @@ def _store(root: str):
     def store(df: DataFrame) -> DataFrame:
         path = f"{root}/_first_pass/{uuid.uuid4().hex}"
         df.write.parquet(path)
-        return df.sparkSession.read.parquet(path)
+        return df.sparkSession.read.parquet(literal(path))
 
     return store
 
@@ -53,7 +53,7 @@ def _write(out: DataFrame, folder: str, page_files: bool = True) -> int:
     unless page_files is off.
     """
     sinks.write_pages(out, f"{folder}/outputs")
-    done = out.sparkSession.read.parquet(f"{folder}/outputs")
+    done = out.sparkSession.read.parquet(literal(f"{folder}/outputs"))
     log = dataset.dense_places(done.drop(*runners.TEXTS), "page_id").withColumnRenamed("place", "line_no")
     sinks.write_log(log.orderBy("line_no"), f"{folder}/logs")
     if page_files:
@@ -105,7 +105,7 @@ def run_calibration(spark: SparkSession, path: str) -> dict:
 def run_experiment(spark: SparkSession, path: str, families: list[str] | None = None, allow_stub_8b: bool = False) -> list[dict]:
     """All systems and the run manifest; a system's failure is a row of it."""
     c = config.load("experiment", path)
-    root, frozen = config.get(c, "output.root"), calibration.check_frozen(json.loads(Path(c["frozen_budgets_path"]).read_text()))
+    root, frozen = config.get(c, "output.root"), calibration.check_frozen(json.loads(read_text(c["frozen_budgets_path"])))
     prompt: Prompt = config.prompt(config.get(c, "prompt.config_path"))
     sel = frozen["selection"]["adaptive"]
     rate, degenerate = summary.reparse_probability(sel["measured"], sel["low"], sel["high"])
@@ -126,7 +126,7 @@ def run_manifest(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
     """A run manifest's header, and its entries as rows with their order (ord); another schema version raises
     ValueError. Values are coerced to the columns' types, nulls kept; empty output folders are null.
     """
-    data = json.loads(Path(path).read_text(encoding="utf-8"))
+    data = json.loads(read_text(path))
     if data.get("schema_version") != 1:
         raise ValueError(f"{path}: schema_version must be 1")
     turn = {"int": int, "double": float, "string": str, "array<string>": lambda v: [str(x) for x in v]}
@@ -152,9 +152,9 @@ def run_outputs(spark: SparkSession, folder: str) -> DataFrame:
     try:
         return json_tables.sidecars(spark, folder).select("page_id", "raw_text")
     except FileNotFoundError:
-        if not Path(folder, "outputs").exists():
+        if not exists(f"{folder}/outputs"):
             raise
-        return spark.read.parquet(f"{folder}/outputs").select("page_id", "raw_text")
+        return spark.read.parquet(literal(f"{folder}/outputs")).select("page_id", "raw_text")
 
 
 def score_run(spark: SparkSession, outputs: DataFrame, gold: DataFrame, folder: str) -> dict:
@@ -163,13 +163,14 @@ def score_run(spark: SparkSession, outputs: DataFrame, gold: DataFrame, folder:
     """
     scores = verify.scored(outputs.select("page_id", "raw_text"), gold).drop("raw_text")
     scores.write.mode("overwrite").parquet(f"{folder}/page_scores")
-    done = spark.read.parquet(f"{folder}/page_scores")
+    done = spark.read.parquet(literal(f"{folder}/page_scores"))
     m = verify.macros(done).head().asDict()
     sinks.write_json(f"{folder}/page_scores.json", {"summary": m})
-    with Path(folder, "scores.md").open("w", encoding="utf-8") as sink:
-        sink.write("# Scores\n\n" + sinks.markdown_table([m], list(m)) + "\n## Pages\n\n" + sinks.markdown_table([], list(SCORE_COLUMNS)))
+    where, path = located(f"{folder}/scores.md")
+    with where.open_output_stream(path, compression=None) as sink:
+        sink.write(("# Scores\n\n" + sinks.markdown_table([m], list(m)) + "\n## Pages\n\n" + sinks.markdown_table([], list(SCORE_COLUMNS))).encode())
         for r in done.select(*SCORE_COLUMNS).orderBy("page_id").toLocalIterator():  # a partition of rows at a time
-            sink.write(sinks.markdown_rows([r.asDict()], list(SCORE_COLUMNS)))
+            sink.write(sinks.markdown_rows([r.asDict()], list(SCORE_COLUMNS)).encode())
     return m
 
 
@@ -178,9 +179,9 @@ def score_summaries(spark: SparkSession, root: str, systems: list[str]) -> DataF
     """
     rows = []
     for s in systems:
-        at = Path(root, f"score_phase6_{s}", "page_scores.json")
-        if at.exists():
-            data = json.loads(at.read_text(encoding="utf-8"))
+        at = f"{root}/score_phase6_{s}/page_scores.json"
+        if exists(at):
+            data = json.loads(read_text(at))
             m = data.get("summary") if isinstance(data, dict) else None
             try:
                 rows.append((s, float(m["macro_cell_f1"]), float(m["macro_text_similarity"]), int(m["pages_with_parse_error"]), int(m["pages_with_gold"])))
@@ -196,7 +197,7 @@ def analyse(spark: SparkSession, path: str) -> dict:
     c = config.load("analysis", path)
     i, root = c["inputs"], config.get(c, "output.root")
     header, entries = run_manifest(spark, i["phase6_manifest_path"])
-    frozen = calibration.check_frozen(json.loads(Path(i["frozen_budgets_path"]).read_text()))
+    frozen = calibration.check_frozen(json.loads(read_text(i["frozen_budgets_path"])))
     held, cal = (json_tables.split_page_ids(spark, i[k]) for k in ("held_out_split_path", "calibration_split_path"))
     folders = [(r.system_id, r.output_dir) for r in entries.where("output_dir is not null").select("system_id", "output_dir").collect()]
     log = json_tables.log_rows(spark, dict(folders))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import schemas
 from ..operators.summary import reparse_probability
+from ..sources.shared import literal
 from . import runners
 from .inference import Budget, Model, Prompt
 
@@ -101,7 +102,7 @@ def run_all(pages: DataFrame, frozen: dict, registry: dict[str, Model], prompt:
                     entry["notes"] = ["probability is 0: every seed decides alike"] if degenerate else []
                     log = runners.adaptive_random(pages, model, low, high, prompt, run_id, split, s.seed, p, store)
             entry["output_dir"] = write(s.system_id, log)
-            done = pages.sparkSession.read.schema(schemas.ANY_LOG).json(entry["output_dir"]).selectExpr("count(1) n", "count_if(reparse_triggered) r").head()
+            done = pages.sparkSession.read.schema(schemas.ANY_LOG).json(literal(entry["output_dir"])).selectExpr("count(1) n", "count_if(reparse_triggered) r").head()
             entry |= {"pages_processed": done.n, "reparse_count": done.r if s.runner != "single_pass" else None}
         except Exception:  # a system's failure is a row of the manifest
             entry |= {"status": "failed", "error": traceback.format_exc()}

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.dataset import HardTableRule, english_table_pages, hard_table_pages, seeded_split
-from ..sources.sinks import manifest, write_json
+from ..sources.shared import stored
+from ..sources.sinks import write_manifest
 
 
 def universe(records: DataFrame, rule: HardTableRule, calibration_size: int, eval_size: int | None, seed: int) -> DataFrame:
@@ -18,13 +19,12 @@ def universe(records: DataFrame, rule: HardTableRule, calibration_size: int, eva
 
 
 def write_manifests(members: DataFrame, folder: str, pinning: dict, seed: int) -> dict[str, int]:
-    """The manifests as byte-stable JSON; returns how many pages each has. Manifests name every page by contract, so
-    their ids come to the driver.
+    """The manifests as byte-stable JSON; returns how many pages each has. Members are computed once, and sorted and
+    written by Spark.
     """
-    found: dict[str, list[str]] = {"eval_universe": [], "hard_subset": [], "calibration": [], "held_out_eval": []}
-    for r in members.toLocalIterator():
-        found[r.kind].append(r.page_id)
-    for kind, ids in found.items():
+    rows, out = stored(members, "members"), {}
+    for kind in ("eval_universe", "hard_subset", "calibration", "held_out_eval"):
         name = kind if kind in ("eval_universe", "hard_subset") else f"{kind}_split"
-        write_json(f"{folder}/{name}.json", manifest(name, ids, pinning, seed if name.endswith("split") else None))
-    return {k: len(v) for k, v in found.items()}
+        ids = rows.where(F.col("kind") == kind).select("page_id")
+        out[kind] = write_manifest(ids, f"{folder}/{name}.json", name, pinning, seed if name.endswith("split") else None)
+    return out

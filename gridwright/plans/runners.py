@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import verify
+from ..sources.shared import stored
 from .inference import Budget, Model, Prompt, infer
 
 OUT = ("raw_text", "output_tokens", "runtime_ms", "started_at", "finished_at")
@@ -20,15 +21,10 @@ PASSES = ("first_pass", "reparse", "final")
 
 
 def stored_once(df: DataFrame, store=None) -> DataFrame:
-    """The rows written and reread, so that what uses them twice doesn't infer twice: by store, or as a checkpoint where
-    the session has a folder for these; else as they are.
+    """The rows written and reread, so that what uses them twice doesn't infer twice: by store, else as a table in the
+    session's shared folder. The session's settings stay as they are.
     """
-    if store:
-        return store(df)
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir() and (folder := sc.getConf().get("spark.checkpoint.dir")):
-        sc.setCheckpointDir(folder)
-    return df.checkpoint() if sc.getCheckpointDir() else df
+    return store(df) if store else stored(df, "first-pass")
 
 
 def single_pass(pages: DataFrame, model: Model, budget: Budget, prompt: Prompt, run_id: str, split: str) -> DataFrame:

@@ -16,6 +16,7 @@ from .functions.text import page_id_from_path, token_count
 from .operators import dataset, summary, verify
 from .plans import analysis, calibration, experiment, freeze, inference, runners
 from .sources import fixtures as fx
+from .sources import json_tables, shared, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -209,6 +210,25 @@ def split_overlap(spark, sf_dir):
     return r.where("has_merged_cells").select("page_id").intersect(r.where("has_nested_headers").select("page_id"))
 
 
+@query("select page_id, image_path, coalesce(language, '') as language, contains_table, is_english_table_page, coalesce(row_count, -1)::bigint as row_count, coalesce(col_count, -1)::bigint as col_count, has_merged_cells, has_nested_headers from page_records", P)
+def json_records(spark, sf_dir):
+    """Records written as one JSON array by many tasks, and read back in byte ranges."""
+    rows = fx.page_records(spark, sf_dir).withColumn("language", F.coalesce("language", F.lit("")))
+    folder = shared.fresh(spark, "records")
+    sinks.write_list(rows.select("page_id", F.to_json(F.struct("*")).alias("element")), folder, "element", "page_id")
+    out = json_tables.page_records(spark, folder)
+    return out.withColumns({c: F.coalesce(F.col(c).cast("long"), F.lit(-1)) for c in ("row_count", "col_count")})
+
+
+@query("select page_id, row_number() over (order by page_id) - 1 as place, count(*) over () as n from page_records where is_english_table_page", P)
+def manifest_ids(spark, sf_dir):
+    """A split manifest written and read back: its ids in order."""
+    path = f"{shared.fresh(spark, 'manifests')}/eval_universe.json"
+    n = sinks.write_manifest(dataset.english_table_pages(fx.page_records(spark, sf_dir)), path, "eval_universe", {})
+    ids = json_tables.split_page_ids(spark, path)
+    return ids.select("page_id", F.col("ord").cast("long").alias("place"), F.lit(n).cast("long").alias("n"))
+
+
 def _grid(spark):
     return summary.budget_grid(spark.createDataFrame([(n,) for n in (2, 4, 6)], "low int"), spark.createDataFrame([(n,) for n in (4, 8, 12)], "high int"))
 

@@ -10,22 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from .. import schemas
-from ..operators.dataset import duplicates
+from ..operators.dataset import dense_places, duplicates
+from .json_arrays import elements
+from .shared import literal, plain, qualified, stored
 
 REQUIRED = ("page_id", "image_path", "language", "contains_table", "is_english_table_page")
 
 
-def _whole(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.text(path, wholetext=True)
-    except AnalysisException as e:
-        raise FileNotFoundError(path) from e
-
-
-def _kind(value: str | None) -> str:
-    return (value or "").lstrip()[:1]
-
-
 def _kind_of(v: Column) -> Column:
     """BOOLEAN, STRING, BIGINT, DECIMAL..., VOID, OBJECT... of a value, without what follows in brackets; null if there
     is none.
@@ -59,33 +50,32 @@ def page_records(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of page records. Unknown keys are passed over, values are coerced (counts given as strings, flags of
     any kind), flags default to false; a file that is no list, a missing key, a count that is no number and a repeated
     page_id raise ValueError.
+
+    The array is read in byte ranges, and each element is parsed once: checks and later uses read the table that the
+    parsed rows are kept in.
     """
-    if _kind(_whole(spark, path).head()[0]) != "[":
-        raise ValueError(f"{path}: not a list of page records")
-    entry = _whole(spark, path).select(F.explode(F.try_variant_get(F.parse_json("value"), "$", "array<variant>")).alias("e"))
+    entry = elements(spark, path).select(F.parse_json("element").alias("e"))
     get = lambda c: F.try_variant_get("e", f"$.{c}", "variant")
     kinds = dict(f.split() for f in schemas.PAGE_RECORD.split(", "))
     turn = {"string": as_text, "int": as_number, "boolean": as_flag}
-    rows = entry.select(*(turn[kind](get(c)).alias(c) for c, kind in kinds.items()), *(get(c).isNull().alias(f"no_{c}") for c in REQUIRED))
-    found = rows.agg(*(F.count_if(F.col(f"no_{c}")).alias(c) for c in REQUIRED)).head()
-    if missing := [c for c in REQUIRED if found[c]]:
-        raise ValueError(f"{path}: page records lack {missing}")
-    rows = rows.select(*kinds)
+    lack = F.array_compact(F.array(*(F.when(get(c).isNull(), F.lit(c)) for c in REQUIRED)))
     try:
-        rows.agg(*(F.count(c) for c in kinds)).collect()
+        rows = stored(entry.select(*(turn[kind](get(c)).alias(c) for c, kind in kinds.items()), lack.alias("lack")), "records")
     except PySparkException as e:
         raise ValueError(f"{path}: {e}") from e
+    if missing := rows.where(F.size("lack") > 0).select(F.explode("lack").alias("c")).distinct().collect():
+        raise ValueError(f"{path}: page records lack {[c for c in REQUIRED if c in {r.c for r in missing}]}")
+    rows = rows.select(*kinds)
     if again := duplicates(rows, "page_id").take(5):
         raise ValueError(f"{path}: repeated page ids {[r.page_id for r in again]}")
     return rows
 
 
 def split_page_ids(spark: SparkSession, path: str) -> DataFrame:
-    """ord and page_id of a split manifest, in its order."""
-    rows = _whole(spark, path).select(F.from_json("value", "struct<page_ids:array<string>>").alias("m"))
-    if rows.where("m.page_ids is null").take(1):
-        raise ValueError(f"{path}: no list of page_ids")
-    return rows.select(F.posexplode("m.page_ids").alias("ord", "page_id"))
+    """ord (from 0) and page_id of a split manifest, in its order. Ids that are no strings are taken as they are written.
+    """
+    rows = stored(elements(spark, path, kinds="", keys=("page_ids",)), "page-ids")
+    return dense_places(rows, "offset").select(F.col("place").alias("ord"), as_text(F.parse_json("element")).alias("page_id"))
 
 
 def log_rows(spark: SparkSession, paths: dict[str, str], schema: str = schemas.ANY_LOG) -> DataFrame:
@@ -101,15 +91,14 @@ def log_rows(spark: SparkSession, paths: dict[str, str], schema: str = schemas.A
     own = {}
     for system, path in paths.items():
         try:
-            own[system] = spark.read.text(path).inputFiles()
+            own[system] = [plain(f) for f in spark.read.text(literal(path)).inputFiles()]
         except AnalysisException as e:
             raise FileNotFoundError(path) from e
     listed = spark.createDataFrame([(f, s) for s, files in own.items() for f in files], "file string, system_id string")
     if len({f for files in own.values() for f in files}) < listed.count():
         raise ValueError("two systems share a log")
-    name = lambda c: F.regexp_replace(c, "^file:/*", "/")
-    lines = spark.read.text([f for files in own.values() for f in files]).select("value", name("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-    splits = lines.groupBy("file", "block").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).join(F.broadcast(listed.withColumn("file", name("file"))), "file")
+    lines = spark.read.text([literal(f) for files in own.values() for f in files]).select("value", plain(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    splits = lines.groupBy("file", "block").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).join(F.broadcast(listed), "file")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("system_id").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = lines.join(F.broadcast(splits.select("system_id", "file", "block", "low", before.alias("before"))), ["file", "block"])
     rows = rows.select("system_id", (F.col("before") + F.col("id") - F.col("low")).alias("line_no"), "value").where(F.trim("value") != "")
@@ -121,30 +110,31 @@ def log_rows(spark: SparkSession, paths: dict[str, str], schema: str = schemas.A
 
 
 def gold(spark: SparkSession, path: str) -> DataFrame:
-    """page_id and html of a flat JSON object; values that are no strings raise ValueError."""
-    rows = _whole(spark, path)
-    tree = F.try_parse_json("value")
-    if rows.where(tree.isNull() | ~F.startswith(F.schema_of_variant(tree), F.lit("OBJECT"))).take(1):
-        raise ValueError(f"{path}: not an object of page ids and HTML")
-    pairs = rows.select(F.explode(F.from_json("value", "map<string,variant>")).alias("page_id", "v"))
-    if bad := pairs.where(F.coalesce(F.schema_of_variant("v"), F.lit("VOID")) != "STRING").take(1):
+    """page_id and html of a flat JSON object, of which a repeated key's last value counts; values that are no strings
+    raise ValueError.
+    """
+    member = elements(spark, path, kinds="{").select("offset", F.concat(F.lit("{"), "element", F.lit("}")).alias("m"))
+    pair = member.select("offset", F.explode(F.from_json("m", "map<string,variant>", {"mode": "FAILFAST"})).alias("page_id", "v"))
+    html = F.when(_kind_of(F.col("v")) == "STRING", F.col("v").cast("string"))
+    try:
+        rows = stored(pair.select("offset", "page_id", html.alias("html")), "gold")
+    except PySparkException as e:
+        raise ValueError(f"{path}: {e}") from e
+    if bad := rows.where("html is null").take(1):
         raise ValueError(f"{path}: the HTML of {bad[0].page_id} is no string")
-    return pairs.select("page_id", F.col("v").cast("string").alias("html"))
+    return rows.groupBy("page_id").agg(F.max_by("html", "offset").alias("html"))
 
 
 def annotations(spark: SparkSession, path: str) -> DataFrame:
     """A column `entry` (VARIANT) of a JSON list, or of the list under data or annotations."""
-    tree = _whole(spark, path).select(F.parse_json("value").alias("v"))
-    parts = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.try_variant_get("v", "$.data", "array<variant>"), F.try_variant_get("v", "$.annotations", "array<variant>"))
-    if tree.where(parts.isNull()).take(1):
-        raise ValueError(f"{path}: no list of annotations")
-    return tree.select(F.explode(parts).alias("entry"))
+    return elements(spark, path, keys=("data", "annotations")).select(F.parse_json("element").alias("entry"))
 
 
 def images(spark: SparkSession, records: DataFrame, root: str) -> DataFrame:
     """Records with their image's bytes; FileNotFoundError names images that aren't there."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.regexp_replace("path", "^file:/*", "/").alias("file"), "content")
-    wanted = records.withColumn("file", F.concat(F.lit(root.rstrip("/") + "/"), "image_path"))
+    base = qualified(spark, root.rstrip("/"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(literal(base)).select(F.regexp_replace("path", r"^(\w+):/+", "$1:/").alias("file"), "content")
+    wanted = records.withColumn("file", F.concat(F.lit(f"{base}/"), "image_path"))
     if lost := wanted.join(files.select("file"), "file", "left_anti").take(5):
         raise FileNotFoundError(", ".join(r.image_path for r in lost))
     return wanted.join(files, "file").drop("file")
@@ -154,14 +144,17 @@ def sidecars(spark: SparkSession, run_dir: str) -> DataFrame:
     """A run's page sidecars and their raw text, by page_id: from pages/, else final/pages/; FileNotFoundError without
     either. The text stands at the sidecar's raw_output_path, from the run's folder or from the one that holds pages/; a
     page whose text is missing has a null.
+
+    The folder's name may hold any letters: where a file stands in the run is what follows the folder's length.
     """
+    base = qualified(spark, run_dir.rstrip("/"))
     for place in ("", "final/"):
         try:
-            rows = spark.read.json(f"{run_dir}/{place}pages/*.json", multiLine=True)
+            rows = spark.read.option("pathGlobFilter", "*.json").json(literal(f"{base}/{place}pages"), multiLine=True)
         except AnalysisException:
             continue
-        at = lambda c: F.regexp_replace(c, f"^.*/{run_dir.rstrip('/').split('/')[-1]}/", "")
-        raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(f"{run_dir}/{place}", wholetext=True).select(F.col("value").alias("raw_text"), at("_metadata.file_path").alias("file"))
+        texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(literal(f"{base}/{place}".rstrip("/")), wholetext=True)
+        raw = texts.select(F.col("value").alias("raw_text"), F.substr(plain(F.col("_metadata.file_path")), F.lit(len(base) + 2)).alias("file"))
         rows = rows.drop("raw_text")
         named = rows.withColumn("file", F.when(F.col("raw_output_path").startswith(place), F.col("raw_output_path")).otherwise(F.concat(F.lit(place), "raw_output_path")))
         return named.join(raw, "file", "left").drop("file").orderBy("page_id")
@@ -169,7 +162,7 @@ def sidecars(spark: SparkSession, run_dir: str) -> DataFrame:
 
 
 def sha256(spark: SparkSession, path: str) -> str:
-    rows = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).take(1)
+    rows = spark.read.format("binaryFile").load(literal(path)).select(F.sha2("content", 256)).take(1)
     if not rows:
         raise FileNotFoundError(path)
     return rows[0][0]
