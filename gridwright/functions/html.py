@@ -1,9 +1,10 @@
 """HTML tables: block extraction and cheap metadata as native expressions, and the one grid UDF.
 
 The grid UDF gives, for a block, everything that later steps need: an error or the shape and every cell with its place,
-its text at the anchor and the text repeated over spans. Parsing is by the standard library's tolerant tokenizer:
-unclosed cells and rows end where the next begins, stray end tags are passed over, nested tables are text of their cell,
-comments are left out, entities are decoded. Cells outside any row are left out.
+its text at the anchor and the text repeated over spans. Tags come from the standard library's tolerant tokenizer; a
+stack of open elements follows the rules of HTML 4 parsers: start tags end what they imply, end tags that match nothing
+are passed over and don't reach beyond elements of a higher rank, nested tables are text of their cell, comments are left
+out, entities are decoded. Cells outside any row, and those that an element between parts from their row, are left out.
 """
 
 from __future__ import annotations
@@ -65,49 +66,92 @@ class TableError(Exception):
     """Carries a failure code."""
 
 
-class _Rows(HTMLParser):
-    """The rows of the first table: lists of (rowspan, colspan, text pieces)."""
+# Fixed values, those of HTML 4 parsers with implied end tags: the open elements that a start tag ends if they are the
+# innermost; elements without content; and ranks, over which an end tag doesn't look for its element.
+ENDED_BY = {
+    "table": "p head h1 h2 h3 h4 h5 h6 pre listing xmp a",
+    "caption": "p",
+    "colgroup": "caption colgroup col p",
+    "col": "caption col p",
+    "thead": "caption col colgroup",
+    "tfoot": "th td tr caption col colgroup thead tbody p",
+    "tbody": "th td tr caption col colgroup thead tfoot tbody p",
+    "tr": "th td tr caption col colgroup p",
+    "td": "th td p span font a b u",
+    "th": "th td p span font a b u",
+    "p": "p head h1 h2 h3 h4 h5 h6",
+    "div": "p head",
+    "ul": "p head ol menu dir address pre listing",
+    "ol": "p head ul",
+    "li": "p h1 h2 h3 h4 h5 h6 dl address pre listing xmp head li",
+    "center": "font b i p head",
+    "a": "a head",
+    "option": "option",
+    "hr": "p head",
+}
+EMPTY = "area base basefont br col frame hr img input isindex link meta param embed".split()
+RANK = {"div": 150, "td": 160, "th": 160, "tr": 170, "thead": 180, "tbody": 180, "tfoot": 180, "table": 190}
+OTHER = 100  # the rank of all others
+_ENDED = {k: frozenset(v.split()) for k, v in ENDED_BY.items()}
+_OUTSIDE = frozenset(("html", "head", "body"))  # their tags don't count inside a table
+
+
+class _Tree(HTMLParser):
+    """The rows of the first table: lists of (rowspan, colspan, text pieces).
+
+    A stack of open elements. A row counts where its nearest table is the first one, in whatever it stands; a cell
+    counts right below a row that counts; a cell's text is all that stands in it, however deep.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.rows: list[list[tuple[str | None, str | None, list[str]]]] = []
-        self.depth, self.in_row, self.done, self.seen = 0, False, False, False
-        self.cell: list[str] | None = None
+        self.open: list[tuple[str, list | None, list[str] | None]] = []  # tag, cells of a row that counts, a cell's text
+        self.cells: list[list[str]] = []  # texts of the open cells
+        self.tables = 0  # open ones
+        self.seen = False
 
     def handle_starttag(self, tag, attrs):
-        if self.done:
+        if tag in _OUTSIDE or not (self.open or tag == "table" and not self.seen):
             return
+        ended = _ENDED.get(tag, ())
+        while self.open and self.open[-1][0] in ended:
+            self.end()
+        row, cell = None, None
         if tag == "table":
-            self.depth += 1
-            self.seen = True
-        elif self.depth == 1:
-            if tag == "tr":
-                self.rows.append([])
-                self.in_row, self.cell = True, None
-            elif tag in ("td", "th") and self.in_row:
-                named = {}
-                for k, v in attrs:
-                    named.setdefault(k, "" if v is None else v)
-                self.cell = []
-                self.rows[-1].append((named.get("rowspan"), named.get("colspan"), self.cell))
-            elif tag in ("thead", "tbody", "tfoot"):
-                self.in_row, self.cell = False, None
+            self.tables, self.seen = self.tables + 1, True
+        elif tag == "tr" and self.tables == 1:
+            row = []
+            self.rows.append(row)
+        elif tag in ("td", "th") and self.open[-1][1] is not None:
+            named = {}
+            for k, v in attrs:
+                named.setdefault(k, "" if v is None else v)
+            cell = []
+            self.open[-1][1].append((named.get("rowspan"), named.get("colspan"), cell))
+            self.cells.append(cell)
+        if tag not in EMPTY:
+            self.open.append((tag, row, cell))
+
+    def end(self):
+        tag, _, cell = self.open.pop()
+        self.tables -= tag == "table"
+        if cell is not None:
+            self.cells.pop()
 
     def handle_endtag(self, tag):
-        if self.done or not self.depth:
-            return
-        if tag == "table":
-            self.depth -= 1
-            self.done = not self.depth
-        elif self.depth == 1:
-            if tag in ("td", "th"):
-                self.cell = None
-            elif tag in ("tr", "thead", "tbody", "tfoot"):
-                self.in_row, self.cell = False, None
+        rank = RANK.get(tag, OTHER)
+        for k in reversed(range(len(self.open))):
+            if self.open[k][0] == tag:
+                while len(self.open) > k:
+                    self.end()
+                return
+            if RANK.get(self.open[k][0], OTHER) > rank:
+                return
 
     def handle_data(self, data):
-        if self.cell is not None and self.depth and not self.done:
-            self.cell.append(data)
+        for cell in self.cells:
+            cell.append(data)
 
 
 def span(raw: str | None) -> int:
@@ -130,7 +174,7 @@ def expand(html: str | None) -> tuple[int, int, list[tuple[int, int, str, str]]]
     """
     if not html or not html.strip():
         raise TableError(HTML_PARSE_ERROR)
-    parser = _Rows()
+    parser = _Tree()
     try:
         parser.feed(html)
         parser.close()

@@ -60,27 +60,20 @@ def scored(outputs: DataFrame, gold: DataFrame) -> DataFrame:
 
     Adds precision, recall, cell_f1, text_similarity, gold_cells, pred_cells, pred_parse_error, gold_missing. A
     prediction with a bad table counts as having none and keeps the error; a page without gold scores 0; bad gold fails
-    the query. Texts are joined by page_id before they are expanded, so no cells cross a shuffle and both are expanded
-    in one go.
+    the query. Texts are joined by page_id before they are expanded, both are expanded and compared in one go, and only
+    counts come back.
     """
-    none = F.array().cast(f"array<{html.GRID}>")
     g = gold.select(F.col("page_id").alias("gold_id"), "html")
     out = outputs.join(g, outputs["page_id"] == g["gold_id"], "left").withColumn("gold_missing", F.col("gold_id").isNull())
-    out = out.withColumns({"grids": html.grids(html.table_blocks(F.col("raw_text"))), "gold_grids": html.grids(html.table_blocks(F.col("html")))}).drop("html")
-    bad = F.filter(F.transform("gold_grids", lambda x: x["error"]), lambda e: e.isNotNull())
-    checked = F.when(F.col("gold_missing"), F.lit(None).cast(f"array<{html.GRID}>")).when((F.size("gold_grids") == 0) | (F.size(bad) > 0), F.raise_error(F.concat(F.lit("gold can't be expanded: "), F.col("gold_id"))).cast(f"array<{html.GRID}>")).otherwise(F.col("gold_grids"))
-    out = out.withColumn("gold_grids", checked)
-    out = out.withColumns({"gold_set": scoring.cell_set(F.col("gold_grids")), "gold_text": scoring.flat_text(F.col("gold_grids"))}).drop("gold_grids")
-    out = out.withColumn("pred_parse_error", scoring.page_error(F.col("grids")))
-    out = out.withColumn("grids", F.when(F.col("pred_parse_error").isNull(), F.col("grids")).otherwise(none))
-    out = out.withColumn("pred_set", scoring.cell_set(F.col("grids"))).withColumn("pred_text", scoring.flat_text(F.col("grids"))).drop("grids")
-    out = out.withColumn("hits", scoring.hits(F.col("pred_set"), F.col("gold_set")))
-    score = scoring.prf(F.col("hits"), F.size("pred_set"), F.size("gold_set"))
-    zero = lambda c: F.when(F.col("gold_missing"), F.lit(0.0)).otherwise(c)
-    out = out.withColumn("s", score).withColumn("precision", zero(F.col("s.precision"))).withColumn("recall", zero(F.col("s.recall"))).withColumn("cell_f1", zero(F.col("s.f1")))
-    out = out.withColumn("text_similarity", zero(scoring.similarity(F.col("pred_text"), F.col("gold_text")))).withColumn("gold_cells", F.coalesce(F.size("gold_set"), F.lit(0)).cast("long")).withColumn("pred_cells", F.size("pred_set").cast("long"))
-    out = out.withColumn("gold_cells", F.when(F.col("gold_missing"), 0).otherwise(F.col("gold_cells"))).withColumn("pred_parse_error", F.when(~F.col("gold_missing"), F.col("pred_parse_error")))
-    return out.drop("s", "hits", "gold_set", "pred_set", "gold_text", "pred_text", "gold_id")
+    wanted = F.when(~F.col("gold_missing"), html.table_blocks(F.col("html")))
+    out = out.withColumn("found", scoring.compared(html.table_blocks(F.col("raw_text")), wanted))
+    c = F.col("found")
+    bad = F.raise_error(F.concat(F.lit("gold can't be expanded: "), F.col("gold_id"))).cast("struct<precision:double,recall:double,f1:double>")
+    out = out.withColumn("s", F.when(c["gold_ok"] == F.lit(False), bad).otherwise(scoring.prf(c["hits"], c["pred_cells"], c["gold_cells"])))
+    zero = lambda x: F.when(F.col("gold_missing"), F.lit(0.0)).otherwise(x)
+    out = out.withColumns({"precision": zero(F.col("s.precision")), "recall": zero(F.col("s.recall")), "cell_f1": zero(F.col("s.f1")), "text_similarity": zero(scoring.similarity(c))})
+    out = out.withColumns({"gold_cells": c["gold_cells"], "pred_cells": c["pred_cells"], "pred_parse_error": F.when(~F.col("gold_missing"), c["error"])})
+    return out.drop("s", "found", "gold_id", "html")
 
 
 def macros(scores: DataFrame, *by: str) -> DataFrame:

@@ -159,6 +159,14 @@ def verify_several(spark, sf_dir):
     return verify.verified(pages).select("k", F.col("verifier_decision").alias("decision"), F.array_join("verifier_failure_codes", ",").alias("codes"), F.col("predicted_table_count").cast("long").alias("tables"))
 
 
+@query("select k, case when n = 0 then result else '' end as error, n::bigint as n_rows, m::bigint as n_cols, case when n = 0 then '' else result end as cells from lenient", fx.LENIENT_HTML)
+def lenient_tables(spark, sf_dir):
+    """Unclosed, nested and misnested markup; the last column has the texts in the order of the cells."""
+    out = verify.with_grids(fx.lenient_html(spark, sf_dir)).select("k", F.get("grids", F.lit(0)).alias("g"))
+    texts = F.array_join(F.transform("g.cells", lambda c: c["text"]), "|")
+    return out.select("k", F.coalesce("g.error", F.lit("")).alias("error"), F.col("g.n_rows").cast("long").alias("n_rows"), F.col("g.n_cols").cast("long").alias("n_cols"), texts.alias("cells"))
+
+
 def _scores(spark, sf_dir):
     """Gold is missing for one page in sixteen."""
     return verify.scored(fx.order_html(spark, sf_dir), fx.order_html(spark, sf_dir, clean=True).where("k % 16 <> 7").select("page_id", F.col("raw_text").alias("html")))

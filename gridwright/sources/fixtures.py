@@ -112,6 +112,41 @@ order_html as (select k, max(n) as n, case when k % 8 = 0 then '# order ' || k w
   || '</table>' || case when k % 8 = 6 then ' and <table></table>' else '' end end as raw_text from lines group by k)"""
 
 
+# Markup that doesn't close or nest as it should, by o_orderkey // 32 % 14: A and B stand for two values. With it what comes
+# out: rows and columns (0 for an error), and the cells' texts or the error's code.
+LENIENT = (
+    ("<table><tr><td>A<td>B<tr><td>C<th>D</table>", 2, 2, "A|B|C|D"),
+    ("<table><tr><b><td>A</td></b><td>B</td></tr></table>", 1, 2, "A|B"),
+    ("<table><tr><i><td>A</td></i><td>B</td></tr></table>", 1, 1, "B"),
+    ("<table><tr><td>A<table><tr><td>B</td></tr></table>", 1, 1, "AB"),
+    ("<table-x><tr><td>A</td></tr></table>", 0, 0, "HTML_PARSE_ERROR"),
+    ("<table>stray<tr>loose<td>A</td>tail</tr><td>B</td></table>", 1, 1, "A"),
+    ("<table><tr><td>A</b></p></i> B</td></tr></table>", 1, 1, "A B"),
+    ("<table><tr><td>A<thead><tr><th>B</th></tr></thead></table>", 2, 1, "AB|B"),
+    ("<table><tr><td>A<div><td>B</td></div></td></tr></table>", 1, 1, "AB"),
+    ("<table><tr><td>A</tr><tr><td>B</table>", 2, 1, "A|B"),
+    ("<table><tbody><tr><td>A<tbody><tr><td>B</table>", 2, 1, "A|B"),
+    ("<table><tr/><tr><td>A</td></tr></table>", 0, 0, "RECTANGULAR_INCONSISTENCY"),
+    ("<table><tr><td>A<div><tr><td>B</td></tr></div></td><td>C</td></tr></table>", 0, 0, "RECTANGULAR_INCONSISTENCY"),
+    ("<table><caption>no<tr><td>A<br>B</td></table>", 1, 1, "AB"),
+)
+
+
+def lenient_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k and raw_text: one of LENIENT with an order's customer and status for A and B."""
+    text = F.get(F.array(*(F.lit(x[0]) for x in LENIENT)), (F.col("o_orderkey") / 32).cast("int") % len(LENIENT))
+    filled = F.replace(F.replace(text, F.lit("A"), F.concat(F.lit("a"), F.col("o_custkey").cast("string"))), F.lit("B"), F.concat(F.lit("b"), F.col("o_orderstatus")))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), filled.alias("raw_text"))
+
+
+def _lenient(column: int) -> str:
+    shown = [x[column] for x in LENIENT]
+    return f"list_extract([{', '.join(repr(x) for x in shown)}], cast(o_orderkey // 32 % {len(LENIENT)} + 1 as int))"
+
+
+LENIENT_HTML = f"""lenient as (select o_orderkey as k, {_lenient(1)} as n, {_lenient(2)} as m, {_lenient(3)} as told,
+  case when {_lenient(1)} = 0 then {_lenient(3)} else replace(replace({_lenient(3)}, 'A', 'a' || o_custkey), 'B', 'b' || o_orderstatus) end as result from orders)"""
+
 NOTHING, HOLLOW = "no table here", "<table></table>"  # three words, and one
 
 

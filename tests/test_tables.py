@@ -2,13 +2,15 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.errors import PySparkException
 
-from gridwright.functions import html
+from gridwright.functions import distance, html, scoring
 from gridwright.operators import verify
+from gridwright.sources import fixtures
 
 
 def tiling(rng, rows, columns):
@@ -159,3 +161,54 @@ def test_python_runs_only_for_grids(spark):
     pages = spark.createDataFrame([("p", WELL)], "page_id string, raw_text string")
     plan = verify.verified(pages)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text("abé🎉", max_size=40), st.text("abé🎉", max_size=40), st.sampled_from([1, 2, 5, 64]))
+def test_edit_distance(a, b, least):
+    was, distance.LEAST = distance.LEAST, least
+    try:
+        assert distance.distance(a, b) == plain_distance(a, b) == distance.distance(b, a)
+        assert distance.distance(a + b, a + a + b) == plain_distance(a + b, a + a + b)
+    finally:
+        distance.LEAST = was
+
+
+def test_long_pages_compare(spark, monkeypatch):
+    """Both ways to a distance agree, and a page of 100,000 cells is no matter."""
+    rng = random.Random(6)
+    show = lambda rows: "<table>" + "".join("<tr>" + "".join(f"<td>{x}</td>" for x in r) + "</tr>" for r in rows) + "</table>"
+    rows = [[f"{rng.randrange(10**4)}" for _ in range(100)] for _ in range(1000)]
+    other = [[x if rng.random() > 0.002 else "zz" for x in r] for r in rows]
+    cells = sum(x != y for r, o in zip(rows, other) for x, y in zip(r, o))
+    r = scores(spark, [(show(other), show(rows)), (show(rows), show(rows))])
+    assert r[0].gold_cells == 100_000 and r[0].precision == pytest.approx(1 - cells / 100_000) and 0.99 < r[0].text_similarity < 1 and r[1].text_similarity == 1
+    pairs = [(show([[rng.choice(["a b", "cé", ""]) for _ in range(5)] for _ in range(rng.randrange(1, 30))]), show([[rng.choice(["a b", "cé", ""]) for _ in range(5)] for _ in range(rng.randrange(1, 30))])) for _ in range(60)]
+    found = []
+    for at in (0, 10**9):
+        found.append(scoring._compare(pa.array([[p] for p, _ in pairs]), pa.array([[g] for _, g in pairs])).to_pylist())
+        monkeypatch.setattr(scoring, "LONG", at)
+    by_python = scoring._compare(pa.array([[p] for p, _ in pairs]), pa.array([[g] for _, g in pairs])).to_pylist()
+    for x, y in zip(found[1], by_python):
+        if y["distance"] is None:
+            assert x["distance"] == plain_distance(y["pred_text"], y["gold_text"])
+
+
+@pytest.mark.parametrize("text,rows,columns,told", fixtures.LENIENT)
+def test_lenient_markup(text, rows, columns, told):
+    if not rows:
+        with pytest.raises(html.TableError, match=told):
+            html.expand(text)
+    else:
+        n, m, cells = html.expand(text)
+        assert (n, m, "|".join(c[2] for c in cells)) == (rows, columns, told)
