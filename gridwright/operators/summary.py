@@ -215,9 +215,9 @@ def page_matrix(pages: DataFrame, log: DataFrame, systems: DataFrame) -> DataFra
     return pages.select("page_id").join(nested, "page_id", "left").withColumn("systems", F.coalesce("systems", F.array().cast(nested.schema["systems"].dataType)))
 
 
-def decision_sequences(log: DataFrame) -> DataFrame:
-    """A hash of each seed's reparse decisions in the order of its log: counted and summed by place, so no sequence is
-    gathered.
+def decision_hash() -> list[Column]:
+    """n and decisions of a log's reparse decisions in their order: counted, and hashes by place put together, so no
+    sequence is gathered.
     """
     flag = F.coalesce(F.col("reparse_triggered"), F.lit(False))
-    return log.groupBy("random_seed").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("line_no", flag)).alias("decisions"))
+    return [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("line_no", flag)).alias("decisions")]

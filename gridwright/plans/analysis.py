@@ -65,44 +65,65 @@ def accuracy_status(frozen: dict) -> str:
     return "not_applicable_stub_adapters" if any(b["adapter_kind"] == "stub" for b in frozen["budgets"].values()) else "scorer_not_bundled"
 
 
+def evidence(log: DataFrame, held_out: DataFrame, prompt_id: str) -> DataFrame:
+    """What the audit needs of each system's log, from one pass over it: rows; leak, the first logged page that isn't
+    held out; strange, how many rows have an unknown code; drift, the first page in the log's order under another prompt;
+    and n and decisions, a count and a hash that tell sequences of decisions apart.
+    """
+    held = held_out.select("page_id").distinct().withColumn("held", F.lit(True))
+    rows = log.join(held, "page_id", "left")
+    known = F.array(*map(F.lit, html.CODES))
+    codes = F.coalesce("verifier_failure_codes", F.array().cast("array<string>"))
+    other = ~F.col("prompt_id").eqNullSafe(F.lit(prompt_id))
+    return rows.groupBy("system_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.min(F.when(F.col("held").isNull(), F.col("page_id"))).alias("leak"), F.count_if(F.size(F.array_except(codes, known)) > 0).alias("strange"),
+        F.min(F.when(other, F.struct("line_no", "page_id")))["page_id"].alias("drift"), F.count_if(other).alias("drifts"), *summary.decision_hash())
+
+
 def audit(entries: DataFrame, log: DataFrame, calibration: DataFrame, held_out: DataFrame, header: dict, shas: dict, frozen: dict, identical_acknowledged: bool = False) -> list[dict]:
     """name, status, detail of the checks, in their order.
 
     entries has system_id, ord and the manifest's columns; log has system_id, line_no; header holds seeds, prompt_id,
-    held_out_sha256, frozen_sha256; shas the files' present ones. Each check is one small aggregate; only offenders'
-    names come back, at most ten of each.
+    held_out_sha256, frozen_sha256; shas the files' present ones. The log is read once, for a row a system, and the splits
+    once; names of offenders are looked up only where a check fails, at most ten of each.
     """
     some = lambda df, *cols: [tuple(r) for r in df.select(*cols).orderBy(*cols).take(10)]
     out: list[tuple[str, str]] = []
-    both = some(calibration.select("page_id").intersect(held_out.select("page_id")), "page_id")
-    if not both:
+    side = lambda df, c, h: df.select("page_id", F.lit(c).alias("c"), F.lit(h).alias("h"))
+    pages = side(calibration, 1, 0).unionAll(side(held_out, 0, 1)).groupBy("page_id").agg(F.sum("c").alias("c"), F.sum("h").alias("h"))
+    split = pages.agg(F.count_if((F.col("c") > 0) & (F.col("h") > 0)).alias("both"), F.count_if(F.col("c") != F.col("h")).alias("differ")).head()
+    if not split.both:
         out.append((OK, "calibration and held-out pages are disjoint"))
+    elif identical_acknowledged and not split.differ:
+        out.append((WARN, "the splits are identical, as acknowledged"))
     else:
-        differ = calibration.select("page_id").exceptAll(held_out.select("page_id")).take(1) or held_out.select("page_id").exceptAll(calibration.select("page_id")).take(1)
-        out.append((WARN, "the splits are identical, as acknowledged") if identical_acknowledged and not differ else (FAIL, f"pages in both splits: {[p for p, in both]}"))
+        out.append((FAIL, f"pages in both splits: {[p for p, in some(pages.where('c > 0 and h > 0'), 'page_id')]}"))
     same = {k: header[f"{k}_sha256"] == shas[k] for k in ("held_out", "frozen")}
     out.append((OK, "held-out manifest unchanged") if same["held_out"] else (FAIL, "the held-out manifest has changed since the run"))
     out.append((OK, "frozen budgets match") if same["frozen"] else (FAIL, "the frozen budgets aren't those of the run"))
-    found = entries.select("family", "seed").distinct().collect()
-    missing = [f for f in FAMILIES if f not in {r.family for r in found}] + [f"seed {s}" for s in header["seeds"] if s not in {r.seed for r in found}]
+    listed = sorted(entries.select("ord", "system_id", "family", "runner", "status", "seed", "output_dir", "pages_processed").collect(), key=lambda r: r.ord)
+    found = {r.system_id: r for r in evidence(log, held_out, header["prompt_id"]).collect()}
+    missing = [f for f in FAMILIES if f not in {r.family for r in listed}] + [f"seed {s}" for s in header["seeds"] if s not in {r.seed for r in listed}]
     out.append((FAIL, f"missing: {missing}") if missing else (OK, "all families and seeds are there"))
-    counts = log.groupBy("system_id").agg(F.count(F.lit(1)).alias("rows"))
-    wrong = some(entries.where("status = 'ok'").join(counts, "system_id", "left").where("output_dir is null or (pages_processed is not null and pages_processed <> coalesce(rows, 0))"), "system_id")
-    out.append((FAIL, f"entries and logs differ: {[s for s, in wrong]}") if wrong else (OK, "entries match their logs"))
-    ok_log = log.join(F.broadcast(entries.where("status = 'ok'").select("system_id", "ord")), "system_id")
-    lost = leaks(ok_log, held_out).join(entries.select("system_id", "ord"), "system_id")
-    first = lost.orderBy("ord", "page_id").select("system_id", "page_id").take(1)
-    out.append((FAIL, f"{first[0].system_id}: {first[0].page_id} isn't held out") if first else (OK, "logged pages are held out"))
+    ok = [r for r in listed if r.status == "ok"]
+    rows = lambda r: found[r.system_id].rows if r.system_id in found else 0
+    wrong = sorted(r.system_id for r in ok if r.output_dir is None or (r.pages_processed is not None and r.pages_processed != rows(r)))[:10]
+    out.append((FAIL, f"entries and logs differ: {wrong}") if wrong else (OK, "entries match their logs"))
+    logged = [found[r.system_id] for r in ok if r.system_id in found]
+    lost = next((r for r in logged if r.leak is not None), None)
+    out.append((FAIL, f"{lost.system_id}: {lost.leak} isn't held out") if lost else (OK, "logged pages are held out"))
     out.append((OK, "frozen budgets unchanged") if same["frozen"] else (FAIL, "the frozen budgets were changed"))
-    gated = log.join(F.broadcast(entries.where(F.col("runner").isin(*schemas.ADAPTIVE_RUNNERS)).select("system_id")), "system_id")
-    strange = some(gated.select(F.explode("verifier_failure_codes").alias("code")).where(~F.col("code").isin(*html.CODES)).distinct(), "code")
-    out.append((FAIL, f"unknown codes: {[c for c, in strange]}") if strange else (OK, "codes are known"))
-    drift = some(ok_log.where(~F.col("prompt_id").eqNullSafe(header["prompt_id"])).groupBy("system_id").agg(F.min_by("page_id", "line_no").alias("page_id")), "system_id", "page_id")
+    gated = [r.system_id for r in listed if r.runner in schemas.ADAPTIVE_RUNNERS]
+    if any(found[s].strange for s in gated if s in found):
+        strange = some(log.where(F.col("system_id").isin(gated)).select(F.explode("verifier_failure_codes").alias("code")).where(~F.col("code").isin(*html.CODES)).distinct(), "code")
+        out.append((FAIL, f"unknown codes: {[c for c, in strange]}"))
+    else:
+        out.append((OK, "codes are known"))
+    drift = sorted((r.system_id, r.drift) for r in logged if r.drifts)[:10]
     out.append((FAIL, f"other prompts: {drift}") if drift else (OK, "the prompt is pinned"))
-    seeds = entries.where("status = 'ok' and family = 'random_2b'").select("system_id", "seed")
-    n = seeds.count()
-    sequences = summary.decision_sequences(log.drop("random_seed").join(F.broadcast(seeds.withColumnRenamed("seed", "random_seed")), "system_id"))
-    distinct = sequences.select("n", "decisions").distinct().count() if n > 1 else 0
+    seeds = [r for r in ok if r.family == "random_2b"]
+    distinct = len({(found[r.system_id].n, found[r.system_id].decisions) for r in seeds if r.system_id in found})
+    n = len(seeds)
     out.append((WARN, f"{n} random seeds can't differ") if n < 2 else (WARN, "all random seeds decide alike") if distinct <= 1 else (OK, f"{distinct} different sequences of decisions"))
     status = accuracy_status(frozen)
     out.append((WARN if status.startswith("not") else OK, status))

@@ -280,12 +280,28 @@ def duplicate_ids(spark, sf_dir):
     return dataset.duplicates(fx.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")), "key")
 
 
-@query("select a.doc_id, sha256(coalesce(a.text, '')) as sha256, coalesce(a.text, '') = coalesce(b.text, '') as same from documents a join documents b on b.n_chars = a.n_chars and b.source = a.source and b.doc_id < a.doc_id")
+@query("select doc_id, sha256(coalesce(text, '')) as sha256, min(doc_id) over (partition by coalesce(text, '')) as first, count(*) over (partition by coalesce(text, '')) as copies from documents")
 def file_hash_equal(spark, sf_dir):
-    """Contents of one length and source, compared by their hashes; the SQL compares the contents."""
-    d = fx.table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha256"))
-    other = d.toDF("other_id", "n_chars", "source", "other")
-    return d.join(other, ["n_chars", "source"]).where("other_id < doc_id").select("doc_id", "sha256", (F.col("sha256") == F.col("other")).alias("same"))
+    """Equal contents found by their hashes; the SQL compares the contents. Counts join the rows, so a content that many
+    share is a row of counts, not a group of rows.
+    """
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha256"))
+    return d.join(d.groupBy("sha256").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "sha256").select("doc_id", "sha256", "first", "copies")
+
+
+@query(r"""with trees as (select case doc_id % 4 when 0 then '{"page_info":{"image_path":"' || img || '","page_attribute":{"language":"' || upper(lang) || '"}}' when 1 then '{"page_info":{"image_path":"' || img || '","language":"' || lang || ' "}'
+    when 2 then '{"image_path":"' || img || '","page_attribute":{"language":"' || lang || '"}' else '{"image_path":"' || img || '","x":[{"y":{"language":"' || lang || '"}}]' end
+    || ',"layout_dets":[{"category_type":"text"},{"category_type":"table","' || (['html', 'html_str', 'table_html', 'html_seq'])[cast(doc_id % 4 as int) + 1] || '":"<table><tr><td>' || n_chars || '</td></tr></table>"}]}' as j
+    from (select *, 'imgs/p ' || doc_id || '.v1.png' as img from documents))
+  select regexp_replace(replace(t.fullkey, '"', ''), '\[[0-9]+\]', '[]', 'g') as path, case t.type when 'VARCHAR' then 'STRING' else t.type end as kind, count(*) as n, coalesce(min(case when t.type = 'ARRAY' then json_array_length(t.value)::bigint when t.type = 'OBJECT' then len(json_keys(t.value)) end), -1)::bigint as least_length,
+    coalesce(max(case when t.type = 'ARRAY' then json_array_length(t.value)::bigint when t.type = 'OBJECT' then len(json_keys(t.value)) end), -1)::bigint as most_length,
+    coalesce(min(case when t.type not in ('ARRAY', 'OBJECT') then case when length(t.value::varchar) > 20 then substr(t.value::varchar, 1, 19) || '…' else t.value::varchar end end), '') as example
+  from trees, json_tree(j::json) as t group by 1, 2""")
+def tree_shapes(spark, sf_dir):
+    """The shapes of all annotation trees."""
+    out = dataset.described(fx.annotation_json(spark, sf_dir).select("entry"), 20)
+    lengths = {c: F.coalesce(F.col(c).cast("long"), F.lit(-1)) for c in ("least_length", "most_length")}
+    return out.withColumns(lengths | {"example": F.coalesce("example", F.lit(""))})
 
 
 @query(f"select system_id, page_id, {KEPT} as output_tokens from run_log", L)
@@ -478,3 +494,40 @@ def audit_report(spark, sf_dir):
     same = {"held_out_sha256": "a", "frozen_sha256": "b"}
     checks = analysis.audit(_entries(spark, sf_dir), log, spark.createDataFrame([("calibration_page",)], "page_id string"), pages, same | {"seeds": [0, 1, 2], "prompt_id": "table_parse_v2"}, {"held_out": "a", "frozen": "b"}, FROZEN)
     return spark.createDataFrame([(i, c["name"], c["status"], c["detail"]) for i, c in enumerate(checks)], "ord int, name string, status string, detail string")
+
+
+TAMPERED = """cases(c) as (select unnest(range(9))),
+  bad_log as (select c, system_id, ord, adaptive, page_no, case when c = 1 and page_no % 97 = 5 then 'page_elsewhere' else page_id end as page_id, case when c = 2 and k % 50 = 1 then 'other' else 'table_parse_v2' end as prompt_id,
+    case when not adaptive then null when c = 3 and hit and k % 40 = 2 then 'ODD' when event_type = 'error' then 'NO_TABLE_FOUND' when event_type = 'purchase' then 'DEGENERATE_TABLE' end as code, case when c = 5 then page_no % 2 = 0 else hit end as hit
+    from run_log, cases where not (c = 4 and system_id = 'fixed_2b_low' and page_no % 2 = 0)),
+  bad_entries as (select c, system_id, regexp_replace(system_id, '_seed[0-9]+$', '') as family, ord, n from cases, (select system_id, ord, count(*) as n from run_log group by 1, 2) where not (c = 6 and ord = 6)),
+  held as (select distinct page_id from run_log), cal as (select c, case when c = 7 then 'page_0000003' else 'calibration_page' end as page_id from cases),
+  sent as (select c, 'a' as header, case when c = 8 then 'x' else 'a' end as present from cases),
+  fail(c, ord, bad) as (select c, 0, count(*) from cal semi join held using (page_id) group by c
+    union all select c, 1, 1 from sent where header <> present union all select c, 3, 1 from bad_entries group by c having count(distinct family) < 5
+    union all select c, 4, count(*) from bad_entries e left join (select c, system_id, count(*) as m from bad_log group by 1, 2) using (c, system_id) where n <> coalesce(m, 0) group by c
+    union all select c, 5, count(*) from bad_log semi join bad_entries using (c, system_id) anti join held using (page_id) group by c
+    union all select c, 7, count(*) from bad_log where code not in ('NO_TABLE_FOUND', 'HTML_PARSE_ERROR', 'SPAN_EXPANSION_FAILED', 'RECTANGULAR_INCONSISTENCY', 'DEGENERATE_TABLE') group by c
+    union all select c, 8, count(*) from bad_log semi join bad_entries using (c, system_id) where prompt_id <> 'table_parse_v2' group by c),
+  warn(c, ord) as (select c, 9 from (select c, system_id, string_agg(hit::varchar, '' order by page_no) as d from bad_log where system_id like 'random%' group by 1, 2) group by c having count(distinct d) < 2 union all select c, 10 from cases)"""
+
+
+@query("select c::int as c, o::int as ord, case when exists (select 1 from fail f where f.c = t.c and f.ord = o and bad > 0) then 'fail' when exists (select 1 from warn w where w.c = t.c and w.ord = o) then 'warn' else 'ok' end as status from cases t, (select unnest(range(11)) as o)", L, TAMPERED)
+def audit_tampered(spark, sf_dir):
+    """The audit over a sound run (0) and eight that were tampered with, each in one place."""
+    log, entries = fx.run_log(spark, sf_dir), shared.stored(_entries(spark, sf_dir), "entries")
+    held, k = shared.stored(log.select("page_id").distinct(), "held"), F.coalesce("first_pass_output_tokens", "output_token_count")
+    odd = (k % 40 == 2) & F.col("reparse_triggered")
+    logs = {
+        1: log.withColumn("page_id", F.when(F.col("line_no") % 97 == 5, F.lit("page_elsewhere")).otherwise(F.col("page_id"))),
+        2: log.withColumn("prompt_id", F.when(k % 50 == 1, F.lit("other")).otherwise(F.col("prompt_id"))),
+        3: log.withColumn("verifier_failure_codes", F.when(odd, F.array(F.lit("ODD"))).otherwise(F.col("verifier_failure_codes"))),
+        4: log.where("not (system_id = 'fixed_2b_low' and line_no % 2 = 0)"),
+        5: log.withColumn("reparse_triggered", F.when(F.col("reparse_triggered").isNotNull(), F.col("line_no") % 2 == 0)),
+    }
+    header, out = {"held_out_sha256": "a", "frozen_sha256": "b", "seeds": [0, 1, 2], "prompt_id": "table_parse_v2"}, []
+    for c in range(9):
+        cal = spark.createDataFrame([("page_0000003" if c == 7 else "calibration_page",)], "page_id string")
+        checks = analysis.audit(entries.where("ord <> 6") if c == 6 else entries, logs.get(c, log), cal, held, header, {"held_out": "x" if c == 8 else "a", "frozen": "b"}, FROZEN)
+        out += [(c, i, x["status"]) for i, x in enumerate(checks)]
+    return spark.createDataFrame(out, "c int, ord int, status string")

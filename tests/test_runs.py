@@ -4,6 +4,9 @@ import json
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark import InheritableThread
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -328,3 +331,65 @@ def test_against_sql(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 7
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_systems_run_side_by_side(spark, tmp_path):
+    """Two systems wait for each other; a third fails, and what it left running is cancelled."""
+    import threading
+    import time
+
+    pages = spark.createDataFrame([(f"page_{i}", 8, 8) for i in range(5)], "page_id string, width int, height int")
+    frozen = calibration.calibrate(pages, Q.STUB_2B, Q.STUB_8B, Q.PROMPT, Q.SETTINGS)
+    meet, left, ended = threading.Barrier(2, timeout=120), [], []
+
+    def sleep(rows):
+        time.sleep(60)
+        return rows
+
+    def linger():
+        began = time.time()
+        try:
+            spark.sparkContext.parallelize([1], 1).mapPartitions(sleep).collect()
+        except Exception:  # noqa: BLE001  cancelled
+            ended.append(time.time() - began)
+
+    def write(system, log):
+        if system == "fixed_2b_low":
+            left.append(InheritableThread(target=linger))
+            left[0].start()
+            time.sleep(2)
+            raise OSError("disk full")
+        if system in ("adaptive_2b", "fixed_2b_matched"):
+            meet.wait()
+        sinks.write_log(log.drop("raw_text"), str(tmp_path / system))
+        return str(tmp_path / system)
+
+    entries = experiment.run_all(pages, frozen, {m.name: m for m in (Q.STUB_2B, Q.STUB_8B)}, Q.PROMPT, [0], write, at_once=4)
+    assert [(e["system_id"], e["status"]) for e in entries] == [("adaptive_2b", "ok"), ("fixed_2b_low", "failed"), ("fixed_2b_matched", "ok"), ("random_2b_seed0", "ok"), ("fixed_8b_matched", "skipped_stub_8b")]
+    assert "disk full" in entries[1]["error"] and entries[2]["pages_processed"] == 5
+    left[0].join(50)
+    assert ended and ended[0] < 45 and spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 80), st.integers(0, 10**6), st.integers(1, 30), st.data())
+def test_places_are_traced_back(n, seed, block, data):
+    c = data.draw(st.integers(0, n))
+    e = data.draw(st.none() | st.integers(0, n - c))
+    want = dataset.seeded_places(n, c, e, seed)
+    found = dataset.traced(n, range(c + (e or 0)), seed, block)
+    got = ["unused" if e is not None else "held_out_eval"] * n
+    for k, place in found.items():
+        got[place] = "calibration" if k < c else "held_out_eval"
+    assert got == want
+
+
+def test_shapes_of_trees(spark):
+    trees = ['{"a": [1, {"b": null}], "c": "xxxxxxxxxxxx"}', '{"a": [], "c": 2.5}', '"s"', None, '{"a": {"b": true}}']
+    df = spark.createDataFrame([(t,) for t in trees], "t string").select(F.parse_json("t").alias("entry"))
+    got = {(r.path, r.kind): (r.n, r.least_length, r.most_length, r.example) for r in dataset.described(df, 5).collect()}
+    assert got == {
+        ("$", "OBJECT"): (3, 1, 2, None), ("$", "STRING"): (1, None, None, '"s"'), ("$.a", "ARRAY"): (2, 0, 2, None), ("$.a", "OBJECT"): (1, 1, 1, None), ("$.c", "STRING"): (1, None, None, '"xxx…'), ("$.c", "DECIMAL"): (1, None, None, "2.5"),
+        ("$.a[]", "BIGINT"): (1, None, None, "1"), ("$.a[]", "OBJECT"): (1, 1, 1, None), ("$.a[].b", "VOID"): (1, None, None, "null"), ("$.a.b", "BOOLEAN"): (1, None, None, "true"),
+    }
+    assert dataset.described(df.limit(0)).count() == 0
