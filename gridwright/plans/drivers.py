@@ -19,8 +19,8 @@ from .inference import Prompt
 NO_IMAGE = (8, 8)  # the size pages get that come without an image root
 
 
-def pages_for(spark: SparkSession, manifest: str, records: str, image_root: str | None) -> DataFrame:
-    """page_id, width, height, ord of a manifest's pages. Ids without a record raise KeyError, records without an image
+def pages_for(spark: SparkSession, manifest: str, records: str, image_root: str | None, content: bool = False) -> DataFrame:
+    """page_id, width, height, ord of a manifest's pages, and with `content` the images' bytes. Ids without a record raise KeyError, records without an image
     FileNotFoundError. Sizes come from the PNG header.
     """
     ids = json_tables.split_page_ids(spark, manifest)
@@ -31,11 +31,11 @@ def pages_for(spark: SparkSession, manifest: str, records: str, image_root: str
     if not image_root:
         return pages.select("page_id", F.lit(NO_IMAGE[0]).alias("width"), F.lit(NO_IMAGE[1]).alias("height"), "ord")
     side = lambda at: F.conv(F.hex(F.substring("content", at, 4)), 16, 10).cast("int")
-    return json_tables.images(spark, pages, image_root).select("page_id", side(17).alias("width"), side(21).alias("height"), "ord")
+    return json_tables.images(spark, pages, image_root).select("page_id", side(17).alias("width"), side(21).alias("height"), "ord", *["content"] * content)
 
 
 def _inputs(spark: SparkSession, c: dict, part: str = "inputs") -> DataFrame:
-    return pages_for(spark, config.get(c, f"{part}.manifest_path"), config.get(c, f"{part}.records_path"), config.get(c, f"{part}.image_root"))
+    return pages_for(spark, config.get(c, f"{part}.manifest_path"), config.get(c, f"{part}.records_path"), config.get(c, f"{part}.image_root"), bool(config.get(c, f"{part}.image_content", False)))
 
 
 def _store(root: str):
@@ -77,7 +77,7 @@ def run_adaptive(spark: SparkSession, path: str, seed: int | None = None, probab
     table = config.budgets(config.get(c, "budget.config_path"))
     low, high = (config.named(table, config.get(c, f"budget.{k}_name")) for k in ("low", "high"))
     folder = config.get(c, "output.dir")
-    given = (_inputs(spark, c).select("page_id", "width", "height"), model, low, high, config.prompt(config.get(c, "prompt.config_path")), c["run_id"], config.get(c, "inputs.split_name"))
+    given = (_inputs(spark, c).drop("ord"), model, low, high, config.prompt(config.get(c, "prompt.config_path")), c["run_id"], config.get(c, "inputs.split_name"))
     out = runners.adaptive(*given, store=_store(folder)) if seed is None else runners.adaptive_random(*given, seed, probability, _store(folder))
     return _write(out, folder, config.get(c, "output.page_files", True))
 
@@ -114,7 +114,7 @@ def run_experiment(spark: SparkSession, path: str, families: list[str] | None =
         _write(out, f"{root}/{system}", config.get(c, "output.page_files", True))
         return f"{root}/{system}/logs"
 
-    pages = _inputs(spark, c).select("page_id", "width", "height")
+    pages = _inputs(spark, c).drop("ord")
     entries = experiment.run_all(pages, frozen, config.models(config.get(c, "model.config_path")), prompt, config.seeds(c), write, c["run_set_id"], config.get(c, "inputs.split_name"), families, allow_stub_8b, _store(root))
     held = config.get(c, "inputs.manifest_path")
     header = {"run_set_id": c["run_set_id"], "generated_at": datetime.now(UTC).isoformat(), "held_out_manifest_path": held, "held_out_manifest_sha256": json_tables.sha256(spark, held), "frozen_budgets_path": c["frozen_budgets_path"], "frozen_budgets_sha256": json_tables.sha256(spark, c["frozen_budgets_path"]), "prompt_id": prompt.id, "prompt_version": prompt.version, "git_head": experiment.git_head("."), "calibration_reparse_rate": rate, "calibration_reparse_rate_degenerate": degenerate, "random_seeds": config.seeds(c)}

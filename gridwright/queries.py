@@ -17,6 +17,7 @@ from .operators import dataset, summary, verify
 from .plans import analysis, calibration, experiment, freeze, inference, runners
 from .sources import fixtures as fx
 from .sources import json_tables, shared, sinks
+from .streaming import logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -245,9 +246,11 @@ GRID = "grid as (select low, high from (values (2), (4), (6)) a(low) cross join
 POINTS = "points as (select g.low, g.high, avg(g.low + case when hit then g.high else 0 end) as cost_tiles from run_log, grid g where system_id = 'adaptive_2b' group by 1, 2)"
 
 
-@query("select low, high from grid", GRID)
+@query("select low, high from (select distinct l_linenumber::int as low from lineitem), (select distinct cast(l_quantity as int) as high from lineitem) where high >= low")
 def budget_grid(spark, sf_dir):
-    return _grid(spark)
+    """Settings that a table holds: line numbers as low budgets, quantities as high ones."""
+    lines = fx.table(spark, sf_dir, "lineitem")
+    return summary.budget_grid(lines.select(F.col("l_linenumber").cast("int").alias("low")).distinct(), lines.select(F.col("l_quantity").cast("int").alias("high")).distinct())
 
 
 def _points(spark, sf_dir):
@@ -326,10 +329,30 @@ def q_token_count(spark, sf_dir):
     return fx.table(spark, sf_dir, "documents").select("doc_id", token_count(F.col("text")).alias("n"))
 
 
-@query("""select w as width, h as height, cols, rows from (select w, h, cols::bigint as cols, (n // cols)::bigint as rows, row_number() over (partition by w, h order by abs(cols / (n // cols) - w / h), n, cols) as i
-  from (values (640, 480), (1000, 1000), (300, 1200), (2000, 500), (1600, 900)) s(w, h), range(1, 13) a(n), range(1, 13) b(cols) where n % cols = 0) where i = 1""")
+@query("select page_id, w as width, h as height, cols::bigint as cols, rows::bigint as rows from page_images join tilings using (w, h)", fx.PAGE_IMAGES)
 def tile_choice(spark, sf_dir):
-    return summary.tile_choice(spark.createDataFrame([(640, 480), (1000, 1000), (300, 1200), (2000, 500), (1600, 900)], "width int, height int"), 12)
+    """The tiles of every page's image by its size."""
+    return summary.tile_choice(fx.page_images(spark, sf_dir).select("page_id", "width", "height"), 12)
+
+
+@query("select page_id, rows::bigint as n_rows, cols::bigint as n_cols, grey::varchar as least, grey::varchar as most from page_images join tilings using (w, h)", fx.PAGE_IMAGES)
+def tile_brightness(spark, sf_dir):
+    """A model in the workers: images decoded, resampled and cut into tiles, and a table of the tiles' brightness."""
+    out = inference.infer(fx.page_images(spark, sf_dir), inference.Model("m", "brightness"), inference.Budget("B", 12), PROMPT)
+    g = verify.with_grids(out).select("page_id", F.get("grids", F.lit(0)).alias("g"))
+    texts = F.transform("g.cells", lambda c: c["text"])
+    return g.select("page_id", F.col("g.n_rows").cast("long").alias("n_rows"), F.col("g.n_cols").cast("long").alias("n_cols"), F.array_min(texts).alias("least"), F.array_max(texts).alias("most"))
+
+
+@query(f"""select page_id, max_by({KEPT}, page_no * 7 + ord) as output_tokens, max(page_no * 7 + ord) as line_no from run_log group by page_id""", L)
+def streamed_last_rows(spark, sf_dir):
+    """A log that repeats each page, streamed a few files at a time in no order: the last line of each page counts."""
+    log = fx.run_log(spark, sf_dir).join(F.broadcast(fx.systems(spark).select("system_id", "ord")), "system_id")
+    rows = log.withColumns({"line_no": F.col("line_no").cast("long") * 7 + F.col("ord"), "system_id": F.lit("all")}).drop("ord")
+    place = shared.fresh(spark, "growing")
+    rows.repartition(6, F.xxhash64("line_no")).write.partitionBy("system_id").json(f"{place}/log")
+    logs.keep_latest(logs.follow(spark, f"{place}/log", 2), f"{place}/latest", f"{place}/state", availableNow=True).awaitTermination()
+    return logs.latest(spark, f"{place}/latest").select("page_id", summary.kept_tokens().alias("output_tokens"), "line_no")
 
 
 @query()
@@ -429,9 +452,12 @@ def stub_calibration(spark, sf_dir):
     return rounded(spark.createDataFrame([row], "low int, high int, fixed_2b int, fixed_8b int, measured double, within boolean"))
 
 
-@query("select o as ord, s as system_id, f as family, r as runner, d::double as seed from (values (0, 'adaptive_2b', 'adaptive_2b', 'adaptive', null), (1, 'fixed_2b_low', 'fixed_2b_low', 'single_pass', null), (2, 'fixed_2b_matched', 'fixed_2b_matched', 'single_pass', null), (3, 'random_2b_seed0', 'random_2b', 'adaptive_random', 0), (4, 'random_2b_seed1', 'random_2b', 'adaptive_random', 1), (5, 'fixed_8b_matched', 'fixed_8b_matched', 'single_pass', null)) t(o, s, f, r, d)")
+@query("""select (row_number() over (order by g, seed) - 1)::int as ord, case when g = 3 then f || '_seed' || seed else f end as system_id, f as family, case g when 0 then 'adaptive' when 3 then 'adaptive_random' else 'single_pass' end as runner, seed::double as seed
+  from (select g, f, seed from (values (0, 'adaptive_2b'), (1, 'fixed_2b_low'), (2, 'fixed_2b_matched'), (4, 'fixed_8b_matched')) t(g, f), (select null::bigint as seed) union all select distinct 3, 'random_2b', c_nationkey::bigint from customer)""")
 def system_specs(spark, sf_dir):
-    return experiment.specs_frame(spark, experiment.specs([0, 1])).withColumn("seed", F.col("seed").cast("double"))
+    """The systems of seeds that a table holds."""
+    seeds = sorted(r[0] for r in fx.table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("int")).distinct().collect())
+    return experiment.specs_frame(spark, experiment.specs(seeds)).withColumn("seed", F.col("seed").cast("double"))
 
 
 def _entries(spark, sf_dir):

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import pixels
 from ..functions.text import token_count
 from ..plans import inference
 
@@ -147,6 +150,21 @@ def _lenient(column: int) -> str:
 LENIENT_HTML = f"""lenient as (select o_orderkey as k, {_lenient(1)} as n, {_lenient(2)} as m, {_lenient(3)} as told,
   case when {_lenient(1)} = 0 then {_lenient(3)} else replace(replace({_lenient(3)}, 'A', 'a' || o_custkey), 'B', 'b' || o_orderstatus) end as result from orders)"""
 
+def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, width, height and content of the documents' pages: PNG files of one colour each."""
+
+    @F.arrow_udf("binary")
+    def image(width: pa.Array, height: pa.Array, grey: pa.Array) -> pa.Array:
+        return pa.array([pixels.encode(np.full((h, w, 3), g, np.uint8)) for w, h, g in zip(width.to_pylist(), height.to_pylist(), grey.to_pylist())], pa.binary())
+
+    sizes = table(spark, sf_dir, "documents").selectExpr("concat('page_', lpad(cast(doc_id as string), 7, '0')) as page_id", "cast(8 + doc_id % 23 as int) as width", "cast(8 + n_chars % 31 as int) as height", "cast(doc_id % 256 as int) as grey")
+    return sizes.select("page_id", "width", "height", image("width", "height", "grey").alias("content"))
+
+
+PAGE_IMAGES = """page_images as (select 'page_' || lpad(cast(doc_id as varchar), 7, '0') as page_id, cast(8 + doc_id % 23 as int) as w, cast(8 + n_chars % 31 as int) as h, doc_id % 256 as grey from documents),
+tilings as (select w, h, cols, (n // cols) as rows from (select w, h, n, cols, row_number() over (partition by w, h order by abs(cols / (n // cols) - w / h), n, cols) as i
+  from (select distinct w, h from page_images), range(1, 13) a(n), range(1, 13) b(cols) where n % cols = 0) where i = 1)"""
+
 NOTHING, HOLLOW = "no table here", "<table></table>"  # three words, and one
 
 
