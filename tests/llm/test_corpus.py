@@ -9,6 +9,7 @@ import io
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -16,6 +17,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridwright.llm import ann, graph, line_dedup, queries, similar, simhash, substring, token_store, warc
@@ -186,10 +188,35 @@ def test_simhash(spark):
     assert simhash.grouped(frame(spark, [])).count() == 0
 
 
-def test_similar_documents(spark):
+def test_large_groups_of_sets_make_no_pairs(spark):
+    """A key of many sets gives links that join them, not all pairs, whichever sets are alike."""
+    rng = np.random.default_rng(0)
+    base, n, least = np.arange(100, dtype=np.uint64), 700, Fraction(4, 5)
+    sets = {i: np.sort(np.concatenate([base, np.array([1000 + i], np.uint64)])) if i % 7 else np.unique(rng.integers(0, 2**60, 101).astype(np.uint64)) for i in range(n)}
+    held = spark.createDataFrame([(i, x.tobytes()) for i, x in sets.items()], "id long, shingles binary")
+    rows = spark.createDataFrame([(5, i, 101, 0, i) for i in [*sets, *range(0, n, 3)]], "key long, id long, n int, at int, part long").repartition(5)
+    often = rows.withColumn("often", F.lit(False))
+    found = similar.meetings(often, least).collect()
+    assert len(found) == rows.count() and {r.id for r in found} == set(sets) and all(r.a is None for r in found)
+    assert similar.meetings(rows.withColumn("often", F.lit(True)), least).count() == rows.count()
+    few = similar.meetings(often.where("id < 40").withColumn("key", F.col("id") % 2), least).collect()
+    assert {(r.a, r.b) for r in few} == {(a, b) for b in range(40) for a in range(b) if a % 2 == b % 2}
+    links = [tuple(r) for r in similar.in_blocks(rows, lambda ids: held, least).collect()]
+    forest = graph.Forest()
+    for a, b in links:
+        assert similar.similarity(sets[a], sets[b]) >= least
+        forest.link(a, b)
+    assert len(links) < 4 * n and len({forest.find(i) for i in sets if i % 7}) == 1 and len({forest.find(i) for i in sets}) == 1 + n // 7
+    assert similar.in_blocks(rows.withColumn("part", F.lit(1).cast("long")), lambda ids: held, least) is None
+
+
+@pytest.mark.parametrize("few,block,often", [(64, 256, 4096), (2, 3, 4096), (2, 3, 1)])
+def test_similar_documents(spark, monkeypatch, few, block, often):
     """All pairs of five-word shingle sets at 0.8 or more link, those far apart in SimHash too; the pipeline's stage
     takes them.
     """
+    for name, value in (("FEW", few), ("BLOCK", block), ("OFTEN", often)):
+        monkeypatch.setattr(similar, name, value)
     rng = random.Random(8)
     texts = corpus(60)
     for _ in range(40):
@@ -213,6 +240,9 @@ def test_similar_documents(spark):
                 far += (plain_print(texts[i]) ^ plain_print(texts[j])).bit_count() > 4
     df = frame(spark, texts)
     assert far > 10 and {r.doc_id: r.component_id for r in similar.grouped(df.repartition(3)).collect()} == {i: forest.find(i) for i in range(len(texts))}
+    again = frame(spark, texts).unionByName(spark.createDataFrame([(3, texts[10]), (5, None), (None, texts[10]), (None, "only here"), (10, texts[10])], DOC))
+    labels = collections.Counter((r.doc_id, r.component_id) for r in similar.grouped(again).collect())
+    assert sum(labels.values()) == len(texts) + 5 and labels[None, None] == 1 and labels[10, forest.find(min(3, forest.find(10)))] >= 1
     docs = df.selectExpr("*", "'en' as lang", "'s' as source", "length(text) as n_chars")
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted({forest.find(i) for i in range(len(texts))})
     assert similar.grouped(frame(spark, [])).count() == 0
