@@ -26,7 +26,7 @@ FEW = 64  # sets under one key whose pairs are listed; more meet in blocks
 BLOCK = 256
 OFTEN = 4096  # documents on a count, and 16 times the mean count, over which its shingles go to blocks at once
 MARKED = pa.schema([("doc_id", pa.int64()), ("id", pa.int64()), ("fp", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
-ROW = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("often", pa.bool_())])
+ROW = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("at", pa.int32())])
 MEETING = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("part", pa.int64())])
 SET = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
 
@@ -152,7 +152,8 @@ def verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
 
 def meetings(rows: DataFrame, least: Fraction) -> DataFrame:
     """A table: pairs (a, b) of sets that meet under a key of few sets; and, with null a, the rows of keys of more than
-    FEW, which aren't gathered here, and those that are marked as of such keys (often), which aren't even dealt by key.
+    FEW, which aren't gathered here, and those that are marked as of such keys (at is -1 less the place), which aren't
+    even dealt by key.
     """
 
     names = ("key", "id", "n", "at", "part")
@@ -183,9 +184,9 @@ def meetings(rows: DataFrame, least: Fraction) -> DataFrame:
             yield from over([x[many] for x in rows])
 
         for b in batches:
-            often = b.column("often").to_numpy(zero_copy_only=False)
             every = [b.column(c).to_numpy() for c in names]
-            yield from over([x[often] for x in every])
+            often = every[3] < 0
+            yield from over([np.where(often, -1 - x, x)[often] if k == 3 else x[often] for k, x in enumerate(every)])
             rows = [np.concatenate([x, y[~often]]) for x, y in zip(open_, every)]
             if not len(rows[0]):
                 continue
@@ -205,8 +206,8 @@ def meetings(rows: DataFrame, least: Fraction) -> DataFrame:
                 open_, many = [x[:0] for x in open_], int(open_[0][0])
         yield from tell(open_)
 
-    dealt = rows.withColumn("deal", F.when(F.col("often"), F.xxhash64("id")).otherwise(F.col("key"))).repartition("deal").sortWithinPartitions("deal")
-    return S.stored(dealt.select(*names, "often").mapInArrow(meet, "a long, b long, key long, id long, n int, at int, part long"), "met")
+    dealt = rows.select(*names).repartition(F.when(F.col("at") < 0, F.xxhash64("id")).otherwise(F.col("key"))).sortWithinPartitions("key")
+    return S.stored(dealt.mapInArrow(meet, "a long, b long, key long, id long, n int, at int, part long"), "met")
 
 
 def in_blocks(rows: DataFrame, fetch, least: Fraction) -> DataFrame | None:
@@ -296,10 +297,11 @@ def grouped(docs: DataFrame, size: int = 5, least: str = "0.8") -> DataFrame:
                 if keys:
                     key = np.concatenate(keys)
                     often = counts.value[(key & np.uint64(CELLS - 1)).astype(np.int64)] > most
-                    yield S.batch(ROW, S.signed(key), S.signed(np.concatenate(ids)), np.concatenate(sizes), np.concatenate(at), often)
+                    place = np.concatenate(at)
+                    yield S.batch(ROW, S.signed(key), S.signed(np.concatenate(ids)), np.concatenate(sizes), np.where(often, -1 - place, place))
 
-    filed = docs.select("text").mapInArrow(file, "key long, id long, n int, at int, often boolean")
-    rows = meetings(filed.join(labels.hint("merge"), "id").select("key", "id", "n", "at", "part", "often"), least)
+    filed = docs.select("text").mapInArrow(file, "key long, id long, n int, at int")
+    rows = meetings(filed.join(labels.hint("merge"), "id"), least)
     far = checked(rows.where("a is not null").select("a", "b"))
     more = in_blocks(rows.where("a is null").select("key", "id", "n", "at", "part"), fetch, least)
     links = near.unionAll(far) if more is None else near.unionAll(far).unionAll(more)
