@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from . import _shared as S
 
-ITEMS_AT_ONCE = 50_000
+ITEMS_AT_ONCE, BYTES_AT_ONCE = 50_000, 32_000_000  # of items that a task holds
 RADIUS = 20
 BLOCKS = 4
 HIT = pa.schema([("doc_id", pa.int64()), ("item_ids", pa.list_(pa.int64())), ("similarity", pa.float64()), ("n_words", pa.int64())])
@@ -139,13 +139,14 @@ class Items:
 
 
 def prepared(benchmark: DataFrame, size: int, radius: int) -> Iterator[list[Items]]:
-    """The items (item_id, text), by blocks that a task may hold. Items without words match nothing; ones of fewer words
-    than a shingle are one shingle.
+    """The items (item_id, text), by blocks that a task may hold, in number and in bytes. Items without an id or words
+    match nothing; ones of fewer words than a shingle are one shingle; rows that repeat an id are items of that id.
     """
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
-    blocks = -(-rows.count() // ITEMS_AT_ONCE)
+    n, size_ = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()
+    blocks = max(-(-n // ITEMS_AT_ONCE), -(-size_ // BYTES_AT_ONCE)) if n else 0
     for k in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect() if blocks > 1 else rows.collect()
+        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect() if blocks > 1 else rows.collect()
         by: dict[int, tuple[list, list]] = {}
         for r in sorted(part, key=lambda r: (r.item_id, r.text)):
             if len(w := lowered(r.text)):
@@ -186,7 +187,9 @@ def searched(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: float
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: float = 0.8, radius: int = RADIUS) -> DataFrame:
-    """The documents that hold no passage close to an item; columns as they come."""
+    """The documents that hold no passage close to an item; columns as they come. Null and empty texts stay, each row is
+    judged by itself, and all stay if there are no items.
+    """
     schema = docs.schema
     parts = list(prepared(benchmark, size, radius))
     for blocks in parts:
@@ -202,7 +205,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, least:
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, n_items, item_ids (comma-joined, ascending), similarity (rounded to 6 places; 0 if clean)
-    of each document.
+    of each document, a row for each row; a null text is clean, and so are all if there are no items.
     """
     out = searched(docs, benchmark)
     return out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), F.array_join(F.transform("item_ids", lambda x: x.cast("string")), ",").alias("item_ids"), F.coalesce(F.round("similarity", 6), F.lit(0.0)).alias("similarity"))

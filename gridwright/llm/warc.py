@@ -92,8 +92,9 @@ def deduplicated(pages: DataFrame, smallest: int = 0) -> DataFrame:
     # The digest as a column of Spark; base 32 follows where records are written.
     marked = pages.select(F.col("page_id").cast("long").alias("key"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     small = marked.select("key", F.sha1("payload").alias("sha1"), F.length("payload").alias("size"))
-    groups = small.where(F.col("size") >= smallest).groupBy("sha1", "size").agg(F.max("key").alias("top"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and top is not null").drop("copies")
-    later = small.where(F.col("size") >= smallest).join(groups, ["sha1", "size"]).where("key < top").select("key", "sha1", "top").distinct()
+    groups = small.where(F.col("size") >= smallest).groupBy("sha1", "size").agg(F.max("key").alias("top"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and top is not null")
+    # A payload that many pages share, the empty one say, is no task's alone.
+    later = S.join_groups(small.where(F.col("size") >= smallest), groups, ["sha1", "size"], "copies").where("key < top").select("key", "sha1", "top").distinct()
     later = later.withColumnsRenamed({"key": "later_key", "sha1": "later_sha1"})
     rows = marked.withColumn("sha1", F.sha1("payload"))
     joined = rows.where("key is not null").join(later, (F.col("key") == F.col("later_key")) & (F.col("sha1") == F.col("later_sha1")), "left")
