@@ -17,6 +17,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,10 @@ from . import _shared as S
 
 FILED = pa.schema([("h", pa.int64()), ("doc_id", pa.int64())])
 AT = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32())])
+STATED = pa.schema([*FILED, ("state", pa.int8())])
+AT_ONCE = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("doc_id", pa.int64()), ("state", pa.int8())])
+OPEN, KNOWN = 0, 1
+NOBODY = -(1 << 63)  # stands for documents of another task; no document has this id
 LATER = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("g", pa.int64())])
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("copy", pa.binary()), ("own_text", pa.string())])
 KEPT = pa.schema([("doc_id", pa.int64()), ("copy", pa.binary()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
@@ -51,18 +56,50 @@ def filed(h: np.ndarray, short: int, length: int) -> tuple[np.ndarray, np.ndarra
     return marks, np.unique(marks)
 
 
+def gathered(parts: Iterator[tuple[np.ndarray, ...]], most: int = 1 << 20) -> Iterator[tuple[np.ndarray, ...]]:
+    """Rows of a task, as columns, some at a time."""
+    held, n = [], 0
+    for p in parts:
+        held.append(p)
+        n += len(p[0])
+        if n >= most:
+            yield tuple(np.concatenate(c) for c in zip(*held))
+            held, n = [], 0
+    if n:
+        yield tuple(np.concatenate(c) for c in zip(*held))
+
+
+def settled(h: np.ndarray, d: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (h, document) and what a task knows of them: KNOWN, if h stands in several of its documents and texts. For
+    other tasks' documents one row of such an h goes on as OPEN, under NOBODY; all other rows are OPEN.
+    """
+    order = np.lexsort((d, h))
+    h, d, text = h[order], d[order], text[order]
+    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    several = np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)
+    several &= np.minimum.reduceat(text, starts) != np.maximum.reduceat(text, starts)
+    known = np.repeat(several, np.diff(np.append(starts, len(h))))
+    again = h[starts[several]]
+    return np.concatenate([h, again]), np.concatenate([d, np.full(len(again), NOBODY)]), np.concatenate([np.where(known, KNOWN, OPEN), np.full(len(again), OPEN)]).astype(np.int8)
+
+
 def repeated(rows: DataFrame) -> DataFrame:
-    """The rows (h, doc_id) whose h occurs in several documents: a pass over rows sorted by h and doc_id that holds one
-    row.
+    """The rows (h, doc_id) whose h occurs in several documents: a pass over rows (h, doc_id, state) sorted by h and
+    doc_id that holds one row. Rows that are KNOWN to repeat pass through and are dealt by document, so an h that a
+    third of all documents share is a row from each task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, int] | None = None  # the row before
         told = True  # whether it has been given out
         for b in batches:
-            if not b.num_rows:
+            h, d, state = (b.column(c).to_numpy() for c in ("h", "doc_id", "state"))
+            known = state == KNOWN
+            if known.any():
+                yield S.batch(FILED, h[known], d[known])
+            h, d = h[~known], d[~known]
+            if not len(h):
                 continue
-            h, d = b.column("h").to_numpy(), b.column("doc_id").to_numpy()
             if last is not None:
                 h, d = np.concatenate([[last[0]], h]), np.concatenate([[last[1]], d])
             same = (h[1:] == h[:-1]) & (d[1:] != d[:-1])
@@ -74,10 +111,12 @@ def repeated(rows: DataFrame) -> DataFrame:
             told = bool(keep[-1])
             # The last row waits for its follower unless it is already known to repeat.
             last = int(h[-1]), int(d[-1])
+            keep &= d != NOBODY
             if keep.any():
                 yield S.batch(FILED, h[keep], d[keep])
 
-    return rows.repartition("h").sortWithinPartitions("h", "doc_id").mapInArrow(run, "h long, doc_id long")
+    dealt = rows.repartition(F.when(F.col("state") == KNOWN, F.xxhash64("doc_id")).otherwise(F.col("h"))).sortWithinPartitions("h", "doc_id")
+    return dealt.mapInArrow(run, "h long, doc_id long")
 
 
 def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
@@ -105,40 +144,51 @@ def found_pairs(h: np.ndarray, g: np.ndarray, a: np.ndarray, b: np.ndarray) -> n
 def candidates(docs: DataFrame, length: int, short: int, gone: DataFrame | None = None, once: bool = False) -> tuple[DataFrame, DataFrame]:
     """The first level and the step to full length: the documents (doc_id, text, marks) that have repeated short
     windows, but for those in gone (gone_id), and their windows (h, g, doc_id, at) that contain one: two hashes, and the
-    first word's place. once: each different window of a document once, so that no window has more rows than there are
-    documents.
+    first word's place. once: each different window of a document once, and in place of the place a state: KNOWN, if a
+    smaller document of the same task has the window, so that of a window one row a task remains to be looked at.
     """
 
-    def file(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for i, j in S.by_bytes(texts := b.column("text").to_pylist()):
-            hs, ids = [], []
-            for k, (h, _) in zip(b.column("doc_id")[i:j].to_pylist(), S.hashed_texts(texts[i:j])):
-                if k is not None and len(h) >= length:
-                    hs.append(filed(h, short, length)[1])
-                    ids.append(np.full(len(hs[-1]), k, np.int64))
-            if hs:
-                yield S.batch(FILED, S.signed(np.concatenate(hs)), np.concatenate(ids))
-
-    levels = S.map_arrow(docs, file, "h long, doc_id long")
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def marks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for b in batches:
+                for i, j in S.by_bytes(texts := b.column("text").to_pylist()):
+                    for k, (h, _) in zip(b.column("doc_id")[i:j].to_pylist(), S.hashed_texts(texts[i:j])):
+                        if k is not None and len(h) >= length:
+                            own = filed(h, short, length)[1]
+                            yield S.signed(own), np.full(len(own), k, np.int64), np.full(len(own), xxhash.xxh3_64_intdigest(h.tobytes()), np.uint64)
+
+        for columns in gathered(marks()):
+            yield S.batch(STATED, *settled(*columns))
+
+    S.ship(docs.sparkSession)
+    levels = docs.mapInArrow(file, "h long, doc_id long, state byte")
     if gone is not None:
         levels = levels.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
     marks = repeated(levels).groupBy("doc_id").agg(F.collect_set("h").alias("marks")).withColumnRenamed("doc_id", "marked_id")
     near = S.stored(docs.join(marks, F.col("doc_id") == F.col("marked_id")).select("doc_id", "text", "marks"), "candidates")
 
-    def extend(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for i, j in S.by_bytes(texts := b.column("text").to_pylist(), 1_000_000):
-            parts = []
-            for k, hg, m in zip(b.column("doc_id")[i:j].to_pylist(), S.hashed_texts(texts[i:j]), b.column("marks")[i:j]):
-                at = np.flatnonzero(np.isin(filed(hg[0], short, length)[0], m.values.to_numpy().view(np.uint64)))
-                wide = named(hg, length)
-                if once:
-                    at = at[S.distinct(wide[0][at], wide[1][at])]
-                parts.append((wide[0][at], wide[1][at], np.full(len(at), k, np.int64), at.astype(np.int32)))
-            h, g, ids, at = (np.concatenate(x) for x in zip(*parts))
-            if len(h):
-                yield S.batch(AT, S.signed(h), S.signed(g), ids, at)
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def windows() -> Iterator[tuple[np.ndarray, ...]]:
+            for b in batches:
+                for i, j in S.by_bytes(texts := b.column("text").to_pylist(), 1_000_000):
+                    for k, hg, m in zip(b.column("doc_id")[i:j].to_pylist(), S.hashed_texts(texts[i:j]), b.column("marks")[i:j]):
+                        at = np.flatnonzero(np.isin(filed(hg[0], short, length)[0], m.values.to_numpy().view(np.uint64)))
+                        wide = named(hg, length)
+                        if once:
+                            at = at[S.distinct(wide[0][at], wide[1][at])]
+                        yield S.signed(wide[0][at]), S.signed(wide[1][at]), np.full(len(at), k, np.int64), at.astype(np.int32)
+
+        for h, g, d, at in gathered(windows(), 1 << 19):
+            if not once:
+                yield S.batch(AT, h, g, d, at)
+                continue
+            order = np.lexsort((d, g, h))
+            h, g, d = h[order], g[order], d[order]
+            starts = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]))
+            late = d > np.repeat(d[starts], np.diff(np.append(starts, len(h))))
+            yield S.batch(AT_ONCE, h, g, d, np.where(late, KNOWN, OPEN).astype(np.int8))
 
-    return near, S.map_arrow(near, extend, "h long, g long, doc_id long, at int")
+    return near, near.mapInArrow(extend, "h long, g long, doc_id long, " + ("state byte" if once else "at int"))
 
 
 def repeats(docs: DataFrame, length: int = 13) -> DataFrame:
@@ -202,12 +252,16 @@ def deduplicated(docs: DataFrame, length: int = 13, short: int | None = None, te
     near, rows = candidates(docs, length, short, only, once=True)
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows sorted by window and document, those after the window's first document."""
+        """Of rows sorted by window and document, those after the window's first document; and those known to be."""
         h0 = g0 = d0 = None
         for b in batches:
-            if not b.num_rows:
+            h, g, d, state = (b.column(c).to_numpy() for c in ("h", "g", "doc_id", "state"))
+            known = state == KNOWN
+            if known.any():
+                yield S.batch(LATER, d[known], h[known], g[known])
+            h, g, d = h[~known], g[~known], d[~known]
+            if not len(h):
                 continue
-            h, g, d = (b.column(c).to_numpy() for c in ("h", "g", "doc_id"))
             new = np.concatenate([[h[0] != h0 or g[0] != g0], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
             run = np.cumsum(new)
             firsts = np.concatenate([[d0 if d0 is not None else 0], d[new]])[run]
@@ -216,7 +270,7 @@ def deduplicated(docs: DataFrame, length: int = 13, short: int | None = None, te
             if keep.any():
                 yield S.batch(LATER, d[keep], h[keep], g[keep])
 
-    dealt = rows.drop("at").repartition("h", "g").sortWithinPartitions("h", "g", "doc_id")
+    dealt = rows.repartition(F.when(F.col("state") == KNOWN, F.xxhash64("doc_id")).otherwise(F.xxhash64("h", "g"))).sortWithinPartitions("h", "g", "doc_id")
     hits = dealt.mapInArrow(later, "doc_id long, h long, g long").groupBy("doc_id").agg(F.collect_set(F.struct("h", "g")).alias("windows")).withColumnRenamed("doc_id", "hit_id")
 
     def cut(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

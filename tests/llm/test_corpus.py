@@ -543,3 +543,27 @@ def test_large_groups_of_near_lines(spark, monkeypatch):
             got.setdefault(r.component, set()).add(names[r.node])
         assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
         assert max(map(len, got.values())) > 10
+
+
+def test_hot_windows_are_a_row_from_each_task():
+    """Windows that many of a task's documents share go on once, and none that another task needs is lost."""
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        tasks = [[(int(d), int(d) % 5 if rng.random() < 0.3 else 100 + int(d), rng.integers(0, 6, rng.integers(1, 6))) for d in rng.integers(0, 12, rng.integers(1, 8))] for _ in range(3)]
+        shuffled, known = [], set()
+        for t in tasks:
+            h, d, text = (np.concatenate(x) for x in zip(*((np.unique(w), np.full(len(np.unique(w)), d), np.full(len(np.unique(w)), name, np.uint64)) for d, name, w in t)))
+            h, d, state = substring.settled(h, d, text)
+            known |= set(zip(h[state == substring.KNOWN].tolist(), d[state == substring.KNOWN].tolist()))
+            shuffled += zip(h[state == substring.OPEN].tolist(), d[state == substring.OPEN].tolist())
+        owners = collections.defaultdict(set)
+        for t in tasks:
+            for d, _, w in t:
+                for x in w.tolist():
+                    owners[x].add(d)
+        assert all(len(owners[x]) > 1 for x, _ in known)
+        seen = collections.defaultdict(set)
+        for x, d in shuffled:
+            seen[x].add(d)
+        open_ = {(x, d) for x, d in shuffled if d != substring.NOBODY and len(seen[x]) > 1}
+        assert known | open_ == {(x, d) for x, ds in owners.items() for d in ds if len(ds) > 1}
