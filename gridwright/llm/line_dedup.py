@@ -45,6 +45,8 @@ SKETCH = 48
 MASK = (1 << SKETCH) - 1
 FILES, ASKS = 1, 2
 BLOCK = 2048  # members of a block of a large group
+CROWD = 4096  # lines under a key up to which one task makes their forest
+MOST_HELD = 96 << 20  # bytes of a bucket that a task holds; a bucket has some 18 MB on average
 
 
 def within(a: str, b: str, most: int) -> bool:
@@ -273,9 +275,9 @@ def forest(line: np.ndarray, sketch: np.ndarray, asks: np.ndarray, files: np.nda
     return a, b, left
 
 
-def met(key: np.ndarray, line: np.ndarray, sketch: np.ndarray, role: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def met(key: np.ndarray, line: np.ndarray, sketch: np.ndarray, role: np.ndarray, most: int, crowd: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links (a, b) between lines that meet under a key and whose sketches are close, and which entries belong to pairs
-    that were left out.
+    that were left out: all of a key that more than `crowd` lines share.
     """
     starts = graph.runs(key)
     sizes = np.diff(starts)
@@ -289,6 +291,9 @@ def met(key: np.ndarray, line: np.ndarray, sketch: np.ndarray, role: np.ndarray,
         one, at, back = np.unique(line[i:j], return_index=True, return_inverse=True)
         if len(one) < 2:
             continue
+        if len(one) > crowd:
+            left[i:j] = True
+            continue
         asks, files = (np.bincount(back, role[i:j] == r, len(one)) > 0 for r in (ASKS, FILES))
         x, y, more = forest(one, sketch[i:j][at], asks, files, most)
         a.append(np.array(x, np.uint64))
@@ -373,25 +378,32 @@ def candidates(docs: DataFrame, most: int, least: int) -> DataFrame:
         if held:
             yield packed(*(np.concatenate(x) for x in zip(*held)), buckets)
 
-    def told(bucket: int, rows: list[bytes]) -> pa.RecordBatch:
+    def told(bucket: int, rows: list[bytes], whole: bool) -> pa.RecordBatch:
+        """Of a bucket, or of a part of one, whose pairs are all left to blocks."""
         key, line, sketch, role = unpacked(rows)
-        a, b, left = met(key, line, sketch, role, most)
+        none = np.empty(0, np.uint64)
+        a, b, left = met(key, line, sketch, role, most, CROWD) if whole else (none, none, np.ones(len(key), bool))
         pairs = [*S.signed(np.minimum(a, b)).tolist(), *[None] * int(left.sum())], [*S.signed(np.maximum(a, b)).tolist(), *[None] * int(left.sum())]
         none = [None] * len(a)
         rest = ((np.int64(bucket) << 31 | key[left].astype(np.int64)), S.signed(line[left]), sketch[left].astype(np.int64), role[left])
         return S.batch(MET, *pairs, *(none + x.tolist() for x in rest))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        which, rows = None, []
+        which, rows, size, whole = None, [], 0, True
         for b in batches:
             for bucket, row in zip(b.column("bucket").to_pylist(), b.column("entries")):
-                if bucket != which and rows:
-                    yield told(which, rows)
-                    rows = []
-                which = bucket
+                if bucket != which:
+                    if rows:
+                        yield told(which, rows, whole)
+                    which, rows, size, whole = bucket, [], 0, True
                 rows.append(row.as_py())
+                size += len(rows[-1])
+                if size > MOST_HELD:  # a key that very many lines share: nothing of this bucket is looked at here
+                    whole = False
+                    yield told(which, rows, whole)
+                    rows, size = [], 0
         if rows:
-            yield told(which, rows)
+            yield told(which, rows, whole)
 
     S.ship(docs.sparkSession)
     rows = docs.select("text").mapInArrow(file, "bucket int, entries binary").repartition("bucket").sortWithinPartitions("bucket")
@@ -439,7 +451,7 @@ def rest_of(found: DataFrame, parts: DataFrame, texts: DataFrame, most: int) ->
     rows = found.where("key is not null").select("key", "line", "sketch", "role")
     if not rows.take(1):
         return None
-    blocks = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    blocks = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     rows = rows.join(blocks.hint("merge"), "key").withColumn("own", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("group", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).select("group", "line", "sketch", "role")

@@ -20,6 +20,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from gridwright.functions.distance import distance as edit_distance
 from gridwright.llm import ann, graph, line_dedup, queries, similar, simhash, substring, token_store, warc
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -98,8 +99,10 @@ def test_segments_meet_and_sketches_are_close(a, edits, k):
         assert a == b or {*key[(role == line_dedup.FILES) & (line == own)].tolist()} & {*key[(role == line_dedup.ASKS) & (line == other)].tolist()}
 
 
-@pytest.mark.parametrize("most", [1, 2, 3])
-def test_line_dedup(spark, most):
+@pytest.mark.parametrize("most,crowd,held", [(1, 4096, 96 << 20), (2, 1, 96 << 20), (3, 4096, 96 << 20), (3, 4096, 3000)])
+def test_line_dedup(spark, monkeypatch, most, crowd, held):
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
+    monkeypatch.setattr(line_dedup, "MOST_HELD", held)
     texts = corpus()
     at = collections.OrderedDict()
     for i, t in enumerate(texts):
@@ -110,7 +113,7 @@ def test_line_dedup(spark, most):
     lines = list(at)
     for i, a in enumerate(lines):
         for j in range(i):
-            if abs(len(a) - len(lines[j])) <= most and line_dedup.within(a, lines[j], most):
+            if abs(len(a) - len(lines[j])) <= most and edit_distance(a, lines[j]) <= most:
                 forest.link(i, j)
     first = {x: at[lines[forest.find(i)]] for i, x in enumerate(lines)}
     want = [None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if len(x) < 20 or first[x] == (i, k)) for i, t in enumerate(texts)]
