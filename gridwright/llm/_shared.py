@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -56,16 +57,43 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_MADE: list[list[str]] = []  # paths that were given out, for each kept_for that is open
+
+
 def fresh(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    for made in _MADE:
+        made.append(path)
+    return path
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """The rows as a table in the shared folder: cuts the lineage, and what follows doesn't compute them again."""
+def stored_at(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """The rows as a table in the shared folder, and its path."""
     path = fresh(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """The rows as a table in the shared folder: cuts the lineage, and what follows doesn't compute them again."""
+    return stored_at(df, what)[0]
+
+
+@contextmanager
+def kept_for(spark: SparkSession) -> Iterator[list[str]]:
+    """Gives a list of the tables and folders that are made inside; what it holds at the end is deleted. Results that are
+    read later must be written and taken from the list.
+    """
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        yield made
+    finally:
+        _MADE.remove(made)
+        for path in made:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
