@@ -29,10 +29,13 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("out")
     p.add_argument("--limit", type=int, default=20)
     p.add_argument("--min-non-empty-cells", type=int, default=0)
+    p = sub.add_parser("describe")
+    p.add_argument("annotations")
     a = parser.parse_args(argv)
 
     from pyspark.sql import SparkSession
 
+    from .operators import dataset
     from .plans import calibration, drivers
     from .sources import json_tables
 
@@ -53,6 +56,9 @@ def main(argv: list[str] | None = None) -> int:
         print(calibration.told(drivers.run_calibration(spark, a.config)))
     elif a.command == "select":
         print(drivers.select_fixture(spark, a.annotations, a.out, a.limit, a.min_non_empty_cells))
+    elif a.command == "describe":
+        for r in dataset.described(json_tables.annotations(spark, a.annotations)).orderBy("path", "kind").collect():  # as many as shapes
+            print(json.dumps(r.asDict(), ensure_ascii=False))
     else:
         run = {"freeze": drivers.run_freeze, "single": drivers.run_single, "adaptive": drivers.run_adaptive}[a.command]
         print(json.dumps(run(spark, a.config), indent=2, default=str))

@@ -238,6 +238,15 @@ def manifest_ids(spark, sf_dir):
     return ids.select("page_id", F.col("ord").cast("long").alias("place"), F.lit(n).cast("long").alias("n"))
 
 
+@query("""select count(*) as n, sha256('{' || chr(10) || '  "generated_with_seed": null,' || chr(10) || '  "manifest_kind": "eval_universe",' || chr(10) || '  "page_ids": [' || chr(10) || string_agg('    "' || page_id || '"', ',' || chr(10) order by page_id) || chr(10) || '  ],' || chr(10)
+  || '  "pinning": {},' || chr(10) || '  "schema_version": 1' || chr(10) || '}' || chr(10)) as sha256 from page_records where is_english_table_page""", P)
+def manifest_sha(spark, sf_dir):
+    """The hash of a manifest's file, whose bytes are fixed: many tasks write it, and the file's reader takes its hash."""
+    path = f"{shared.fresh(spark, 'manifests')}/eval_universe.json"
+    n = sinks.write_manifest(dataset.english_table_pages(fx.page_records(spark, sf_dir)), path, "eval_universe", {})
+    return spark.createDataFrame([(n, json_tables.sha256(spark, path))], "n long, sha256 string")
+
+
 def _grid(spark):
     return summary.budget_grid(spark.createDataFrame([(n,) for n in (2, 4, 6)], "low int"), spark.createDataFrame([(n,) for n in (4, 8, 12)], "high int"))
 

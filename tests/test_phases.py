@@ -106,6 +106,14 @@ def test_missing_pages_and_images(spark, tmp_path):
         drivers.pages_for(spark, str(tmp_path / "m.json"), str(tmp_path / "r.json"), str(tmp_path / "img"))
 
 
+def test_describe(spark, tmp_path, capsys):
+    (tmp_path / "a.json").write_text(json.dumps({"data": [{"page": {"no": 3}}, {"page": {"no": 1}, "boxes": [[1], []]}]}))
+    assert cli.main(["describe", str(tmp_path / "a.json")]) == 0
+    told = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    assert [(r["path"], r["kind"], r["n"]) for r in told] == [("$", "OBJECT", 2), ("$.boxes", "ARRAY", 1), ("$.boxes[]", "ARRAY", 2), ("$.boxes[][]", "BIGINT", 1), ("$.page", "OBJECT", 2), ("$.page.no", "BIGINT", 2)]
+    assert told[-1]["example"] == "1" and told[1]["most_length"] == 2
+
+
 def test_select_fixture(spark, tmp_path):
     entry = {"page_info": {"image_path": "x/a.png", "language": "english"}, "layout_dets": [{"category_type": "table", "html": "<table><tr><td>1</td></tr></table>"}]}
     (tmp_path / "a.json").write_text(json.dumps([entry, entry | {"page_info": {"image_path": "b.png", "language": "zh"}}]))
