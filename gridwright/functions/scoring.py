@@ -16,7 +16,12 @@ ERRORS = {html.HTML_PARSE_ERROR: "html_parse_error", html.SPAN_EXPANSION_FAILED:
 LONG = 1500  # characters of the longer text up to which the built-in edit distance is as fast
 
 COMPARED = "struct<error:string,gold_ok:boolean,pred_cells:long,gold_cells:long,hits:long,pred_text:string,gold_text:string,distance:long,longest:long>"
-_COMPARED = pa.struct([("error", pa.string()), ("gold_ok", pa.bool_()), *((c, pa.int64()) for c in ("pred_cells", "gold_cells", "hits")), ("pred_text", pa.string()), ("gold_text", pa.string()), ("distance", pa.int64()), ("longest", pa.int64())])
+_COMPARED = pa.struct(
+    [
+        ("error", pa.string()), ("gold_ok", pa.bool_()), *((c, pa.int64()) for c in ("pred_cells", "gold_cells", "hits")), ("pred_text", pa.string()),
+        ("gold_text", pa.string()), ("distance", pa.int64()), ("longest", pa.int64())
+    ]
+)
 
 
 def page(blocks: list[str]) -> tuple[str | None, set[tuple[int, int, int, str]], str]:

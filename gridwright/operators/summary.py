@@ -143,7 +143,9 @@ def cost_summary(results: DataFrame, targets: Targets) -> DataFrame:
     one name.
     """
     target = F.when(F.col("adaptive"), F.lit(None).cast("double")).otherwise(targets.column(F.col("budget_name")))
-    label = F.when(F.col("adaptive"), F.concat(F.lit("low="), F.col("low").cast("string"), F.lit(" / high="), F.col("high").cast("string"))).otherwise(F.coalesce(F.concat("budget_name", F.lit("="), F.col("tiles").cast("string")), F.lit("(no budget)")))
+    label = F.when(
+        F.col("adaptive"), F.concat(F.lit("low="), F.col("low").cast("string"), F.lit(" / high="), F.col("high").cast("string"))
+    ).otherwise(F.coalesce(F.concat("budget_name", F.lit("="), F.col("tiles").cast("string")), F.lit("(no budget)")))
     out = results.withColumn("target", target)
     d, r = deltas(F.col("cost_tiles"), F.col("target"))
     return out.select("system_id", F.col("cost_tiles").alias("measured"), "target", d.alias("delta"), r.alias("relative_delta"), label.alias("label"))
@@ -195,7 +197,13 @@ def tile_choice(sizes: DataFrame, most: int) -> DataFrame:
     fewest tiles, then fewest columns.
     """
     grid = F.expr(f"filter(flatten(transform(sequence(1, {most}), n -> transform(filter(sequence(1, n), c -> n % c = 0), c -> struct(c as cols, n div c as rows)))), x -> true)")
-    keyed = F.transform(grid, lambda g: F.struct(F.abs(g["cols"] / g["rows"] - F.col("width") / F.col("height")).alias("off"), (g["cols"] * g["rows"]).alias("tiles"), g["cols"].cast("long").alias("cols"), g["rows"].cast("long").alias("rows")))
+    keyed = F.transform(
+        grid,
+        lambda g: F.struct(
+            F.abs(g["cols"] / g["rows"] - F.col("width") / F.col("height")).alias("off"), (g["cols"] * g["rows"]).alias("tiles"),
+            g["cols"].cast("long").alias("cols"), g["rows"].cast("long").alias("rows")
+        )
+    )
     return sizes.withColumn("best", F.array_min(keyed)).select(*sizes.columns, "best.cols", "best.rows")
 
 

@@ -30,11 +30,20 @@ def verified(pages: DataFrame, text: str = "raw_text") -> DataFrame:
     """
     out = with_grids(pages, text) if "grids" not in pages.columns else pages
     grids = F.col("grids")
-    tables = F.transform(grids, lambda g, i: F.struct(i.alias("index"), g["n_rows"].alias("rows"), g["n_cols"].alias("cols"), F.filter(F.array(table_code(g)), lambda c: c.isNotNull()).alias("failure_codes")))
+    tables = F.transform(
+        grids,
+        lambda g, i: F.struct(
+            i.alias("index"), g["n_rows"].alias("rows"), g["n_cols"].alias("cols"),
+            F.filter(F.array(table_code(g)), lambda c: c.isNotNull()).alias("failure_codes")
+        )
+    )
     codes = F.when(F.size(grids) == 0, F.array(F.lit(html.NO_TABLE_FOUND))).otherwise(F.array_distinct(F.flatten(F.transform(F.col("tables"), lambda t: t["failure_codes"]))))
     out = out.withColumn("tables", tables).withColumn("verifier_failure_codes", codes).withColumn("predicted_table_count", F.size(grids))
     out = out.withColumn("verifier_decision", F.when(F.size("verifier_failure_codes") == 0, F.lit(html.PASS)).otherwise(F.lit(html.REPARSE)))
-    return out.withColumn("html_parse_ok", ~F.array_contains("verifier_failure_codes", html.HTML_PARSE_ERROR)).withColumn("span_normalization_ok", ~F.arrays_overlap("verifier_failure_codes", F.array(F.lit(html.SPAN_EXPANSION_FAILED), F.lit(html.RECTANGULAR_INCONSISTENCY))))
+    return out.withColumn("html_parse_ok", ~F.array_contains("verifier_failure_codes", html.HTML_PARSE_ERROR)).withColumn(
+        "span_normalization_ok",
+        ~F.arrays_overlap("verifier_failure_codes", F.array(F.lit(html.SPAN_EXPANSION_FAILED), F.lit(html.RECTANGULAR_INCONSISTENCY)))
+    )
 
 
 def should_reparse() -> Column:
@@ -80,4 +89,8 @@ def macros(scores: DataFrame, *by: str) -> DataFrame:
     """Means over the pages that have gold (0 if there are none) and counts of pages, with gold, with a parse error."""
     has = F.col("gold_missing") == F.lit(False)
     mean = lambda c: F.coalesce(F.avg(F.when(has, F.col(c))), F.lit(0.0))
-    return scores.groupBy(*by).agg(mean("precision").alias("macro_precision"), mean("recall").alias("macro_recall"), mean("cell_f1").alias("macro_cell_f1"), mean("text_similarity").alias("macro_text_similarity"), F.count(F.lit(1)).alias("pages_total"), F.count_if(has).alias("pages_with_gold"), F.count_if(F.col("pred_parse_error").isNotNull()).alias("pages_with_parse_error"))
+    return scores.groupBy(*by).agg(
+        mean("precision").alias("macro_precision"), mean("recall").alias("macro_recall"), mean("cell_f1").alias("macro_cell_f1"),
+        mean("text_similarity").alias("macro_text_similarity"), F.count(F.lit(1)).alias("pages_total"), F.count_if(has).alias("pages_with_gold"),
+        F.count_if(F.col("pred_parse_error").isNotNull()).alias("pages_with_parse_error")
+    )

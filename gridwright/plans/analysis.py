@@ -13,7 +13,11 @@ from ..operators import summary
 from .experiment import FAMILIES
 
 OK, WARN, FAIL = "ok", "warn", "fail"
-CHECKS = ("phase1_splits_disjoint", "phase6_manifest_sha_matches_held_out", "phase6_manifest_sha_matches_frozen", "phase6_entries_complete", "phase6_entries_match_disk", "phase6_log_pages_match_held_out", "frozen_artifact_unchanged_by_phase6", "verifier_decision_codes_known", "prompt_id_pinned", "random_baseline_seeds_distinct", "accuracy_status")
+CHECKS = (
+    "phase1_splits_disjoint", "phase6_manifest_sha_matches_held_out", "phase6_manifest_sha_matches_frozen", "phase6_entries_complete",
+    "phase6_entries_match_disk", "phase6_log_pages_match_held_out", "frozen_artifact_unchanged_by_phase6", "verifier_decision_codes_known",
+    "prompt_id_pinned", "random_baseline_seeds_distinct", "accuracy_status"
+)
 
 
 def results(entries: DataFrame, log: DataFrame, scores: DataFrame | None = None) -> DataFrame:
@@ -24,17 +28,28 @@ def results(entries: DataFrame, log: DataFrame, scores: DataFrame | None = None)
     if bad := entries.where(~F.col("runner").isin(*known)).select("runner").take(1):
         raise ValueError(f"unknown runner {bad[0].runner!r}")
     adaptive = F.col("runner").isin(*schemas.ADAPTIVE_RUNNERS)
-    systems = entries.where("status = 'ok'").select("system_id", adaptive.alias("adaptive"), F.col("budget_low_max_tiles").alias("low"), F.col("budget_high_max_tiles").alias("high"), F.col("budget_max_tiles").alias("tiles"))
+    systems = entries.where("status = 'ok'").select(
+        "system_id", adaptive.alias("adaptive"), F.col("budget_low_max_tiles").alias("low"), F.col("budget_high_max_tiles").alias("high"),
+        F.col("budget_max_tiles").alias("tiles")
+    )
     found = summary.summaries(log, systems).drop("adaptive", "low", "high", "tiles")
     codes = summary.as_maps(summary.code_histogram(log), "code", "verifier_failure_codes")
     tables = summary.as_maps(summary.histogram(log, F.col("predicted_table_count"), "predicted_table_count"), "predicted_table_count", "predicted_table_count_hist")
-    out = entries.select("system_id", "family", "runner", "status", "pages_processed", "seed", "random_probability", F.array_join("notes", "; ").alias("note"), F.coalesce("error", "reason").alias("why"))
+    out = entries.select(
+        "system_id", "family", "runner", "status", "pages_processed", "seed", "random_probability", F.array_join("notes", "; ").alias("note"),
+        F.coalesce("error", "reason").alias("why")
+    )
     for part in (found, codes, tables, *([scores] if scores is not None else [])):
         out = out.join(part, "system_id", "left")
     ok, gated = F.col("status") == "ok", F.col("runner").isin(*schemas.ADAPTIVE_RUNNERS)
     zero = lambda c, v: F.coalesce(c, F.lit(v))
     # A count of 0 pages gives way to the log's own number of rows.
-    out = out.withColumns({"sample_size": zero("sample_size", 0), "mean_runtime_ms": zero("mean_runtime_ms", 0.0), "p95_runtime_ms": zero("p95_runtime_ms", 0.0), "mean_output_tokens": zero("mean_output_tokens", 0.0), "cost_tiles": zero("cost_tiles", 0.0)})
+    out = out.withColumns(
+        {
+            "sample_size": zero("sample_size", 0), "mean_runtime_ms": zero("mean_runtime_ms", 0.0), "p95_runtime_ms": zero("p95_runtime_ms", 0.0),
+            "mean_output_tokens": zero("mean_output_tokens", 0.0), "cost_tiles": zero("cost_tiles", 0.0)
+        }
+    )
     out = out.withColumn("pages_processed", F.when(ok, F.coalesce(F.nullif("pages_processed", F.lit(0)), "sample_size")).otherwise(0))
     for c, kind in (("verifier_failure_codes", "map<string,bigint>"), ("predicted_table_count_hist", "map<int,bigint>")):
         out = out.withColumn(c, F.when(ok & gated, F.coalesce(c, F.create_map().cast(kind))))
@@ -53,7 +68,10 @@ def reparse_slices(entries: DataFrame, log: DataFrame) -> DataFrame:
     codes = summary.as_maps(summary.code_histogram(rows), "code", "code_histogram")
     out = own.join(counts, "system_id", "left").join(decisions, "system_id", "left").join(codes, "system_id", "left")
     none = F.create_map().cast("map<string,bigint>")
-    return out.select("system_id", F.coalesce("reparse_count", F.lit(0)).alias("reparse_count"), F.coalesce("reparse_rate", F.lit(0.0)).alias("reparse_rate"), F.coalesce("decision_histogram", none).alias("decision_histogram"), F.coalesce("code_histogram", none).alias("code_histogram"))
+    return out.select(
+        "system_id", F.coalesce("reparse_count", F.lit(0)).alias("reparse_count"), F.coalesce("reparse_rate", F.lit(0.0)).alias("reparse_rate"),
+        F.coalesce("decision_histogram", none).alias("decision_histogram"), F.coalesce("code_histogram", none).alias("code_histogram")
+    )
 
 
 def leaks(log: DataFrame, held_out: DataFrame) -> DataFrame:

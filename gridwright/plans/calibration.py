@@ -38,7 +38,11 @@ def sweep_adaptive(pages: DataFrame, model: Model, prompt: Prompt, s: Settings,
     which are used twice.
     """
     spark = pages.sparkSession
-    firsts = [verify.verified(infer(pages, model, Budget(f"low_{n}", n), prompt)).select(F.lit(n).alias("low"), "page_id", F.col("output_tokens").alias("first"), (F.col("verifier_decision") == "REPARSE").alias("reparse")) for n in s.lows]
+    firsts = [
+        verify.verified(infer(pages, model, Budget(f"low_{n}", n), prompt)).select(
+            F.lit(n).alias("low"), "page_id", F.col("output_tokens").alias("first"), (F.col("verifier_decision") == "REPARSE").alias("reparse")
+        ) for n in s.lows
+    ]
     every = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionAll(every(parts[1:]))
     first = stored_once(every(firsts), store)
     again = pages.join(first.where("reparse").select("page_id").distinct(), "page_id", "left_semi")
@@ -46,16 +50,24 @@ def sweep_adaptive(pages: DataFrame, model: Model, prompt: Prompt, s: Settings,
     grid = summary.budget_grid(spark.createDataFrame([(n,) for n in s.lows], "low int"), spark.createDataFrame([(n,) for n in s.highs], "high int"))
     rows = first.join(F.broadcast(grid), "low").join(every(seconds), ["high", "page_id"], "left")
     kept = F.when(F.col("reparse") & F.col("second").isNotNull(), F.col("second")).otherwise(F.col("first"))
-    counted = rows.groupBy("low", "high").agg(F.count(F.lit(1)).alias("n"), summary.mean(kept).alias("tok"), summary.mean(F.col("reparse").cast("int")).alias("rate"), summary.mean(F.col("low") + F.when(F.col("reparse"), F.col("high")).otherwise(0)).alias("cost"))
+    counted = rows.groupBy("low", "high").agg(
+        F.count(F.lit(1)).alias("n"), summary.mean(kept).alias("tok"), summary.mean(F.col("reparse").cast("int")).alias("rate"),
+        summary.mean(F.col("low") + F.when(F.col("reparse"), F.col("high")).otherwise(0)).alias("cost")
+    )
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return grid.join(counted, ["low", "high"], "left").select("low", "high", F.coalesce("n", F.lit(0)).cast("long").alias("sample_size"), zero("tok").alias("mean_output_tokens"), zero("rate").alias("reparse_rate"), zero("cost").alias("cost_tiles"))
+    return grid.join(counted, ["low", "high"], "left").select(
+        "low", "high", F.coalesce("n", F.lit(0)).cast("long").alias("sample_size"), zero("tok").alias("mean_output_tokens"),
+        zero("rate").alias("reparse_rate"), zero("cost").alias("cost_tiles")
+    )
 
 
 def sweep_fixed(pages: DataFrame, model: Model, prompt: Prompt, s: Settings) -> DataFrame:
     """max_tiles, sample_size, mean_output_tokens, cost_tiles of every candidate."""
     out = None
     for n in s.fixed:
-        part = infer(pages, model, Budget(f"fixed_{n}", n), prompt).agg(F.count(F.lit(1)).alias("sample_size"), summary.mean(F.col("output_tokens")).alias("mean_output_tokens")).select(F.lit(n).alias("max_tiles"), "sample_size", "mean_output_tokens", F.lit(summary.positive(n)).alias("cost_tiles"))
+        part = infer(pages, model, Budget(f"fixed_{n}", n), prompt).agg(F.count(F.lit(1)).alias("sample_size"), summary.mean(F.col("output_tokens")).alias("mean_output_tokens")).select(
+            F.lit(n).alias("max_tiles"), "sample_size", "mean_output_tokens", F.lit(summary.positive(n)).alias("cost_tiles")
+        )
         out = part if out is None else out.unionAll(part)
     return out
 
@@ -76,7 +88,10 @@ def chosen(adaptive: DataFrame, fixed_points: dict[str, DataFrame], small: Model
     return {
         "schema_version": 1,
         "pinning": {"cost_unit": s.cost_unit, "matched_cost_tolerance": s.tolerance},
-        "budgets": {"B_low": budget("B_low", pair.low, small), "B_high": budget("B_high", pair.high, small), "B_fix_2B": budget("B_fix_2B", pick["2b"].max_tiles, small), "B_fix_8B": budget("B_fix_8B", pick["8b"].max_tiles, large)},
+        "budgets": {
+            "B_low": budget("B_low", pair.low, small), "B_high": budget("B_high", pair.high, small),
+            "B_fix_2B": budget("B_fix_2B", pick["2b"].max_tiles, small), "B_fix_8B": budget("B_fix_8B", pick["8b"].max_tiles, large)
+        },
         "selection": {"adaptive": {"target": pair.target, "measured": pair.measured, "low": int(pair.low), "high": int(pair.high)}, "fixed_2b": fixed(pick["2b"]), "fixed_8b": fixed(pick["8b"])},
     }
 

@@ -18,7 +18,11 @@ INPUTS = ("inputs.split_name", "inputs.manifest_path", "inputs.records_path", "i
 KINDS = {
     "single": ("run_id", *INPUTS, "model.config_path", "model.name", "budget.config_path", "budget.name", "prompt.config_path", "output.dir"),
     "adaptive": ("run_id", *INPUTS, "model.config_path", "model.name", "budget.config_path", "budget.low_name", "budget.high_name", "prompt.config_path", "output.dir"),
-    "calibration": ("run_id", "split.manifest_path", "split.records_path", "split.image_root", "prompt_config_path", "model_config_path", "candidates.low_max_tiles", "candidates.high_max_tiles", "candidates.fixed_2b_max_tiles", "target_adaptive_cost_tiles", "matched_cost_tolerance", "models.adaptive", "models.fixed_2b", "models.fixed_8b", "output.sweep_summaries_path", "output.frozen_budgets_path"),
+    "calibration": (
+        "run_id", "split.manifest_path", "split.records_path", "split.image_root", "prompt_config_path", "model_config_path",
+        "candidates.low_max_tiles", "candidates.high_max_tiles", "candidates.fixed_2b_max_tiles", "target_adaptive_cost_tiles",
+        "matched_cost_tolerance", "models.adaptive", "models.fixed_2b", "models.fixed_8b", "output.sweep_summaries_path", "output.frozen_budgets_path"
+    ),
     "experiment": ("run_set_id", "frozen_budgets_path", *INPUTS, "model.config_path", "prompt.config_path", "output.root", "random_escalation.seeds"),
     "analysis": ("inputs.phase6_manifest_path", "inputs.frozen_budgets_path", "inputs.held_out_split_path", "inputs.calibration_split_path", "output.root"),
     "freeze": ("pinning", "input.records_path", "subsets.hard_table_rule", "split.seed", "split.calibration_size", "output.manifests_dir"),
@@ -89,7 +93,10 @@ def _tiles(data: dict, key: str) -> tuple[int, ...]:
 
 
 def settings(data: dict, fixed: str = "candidates.fixed_2b_max_tiles") -> Settings:
-    return Settings(_tiles(data, "candidates.low_max_tiles"), _tiles(data, "candidates.high_max_tiles"), _tiles(data, fixed), float(get(data, "target_adaptive_cost_tiles")), float(get(data, "matched_cost_tolerance")))
+    return Settings(
+        _tiles(data, "candidates.low_max_tiles"), _tiles(data, "candidates.high_max_tiles"), _tiles(data, fixed),
+        float(get(data, "target_adaptive_cost_tiles")), float(get(data, "matched_cost_tolerance"))
+    )
 
 
 def rule(data: dict) -> HardTableRule:

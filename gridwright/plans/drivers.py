@@ -97,7 +97,10 @@ def run_calibration(spark: SparkSession, path: str) -> dict:
         pairs = pairs.unionByName(points.withColumns({"kind": F.lit("fixed"), "model_name": F.lit(name)}), allowMissingColumns=True)
     sinks.write_log(pairs, config.get(c, "output.sweep_summaries_path"))
     frozen = calibration.chosen(adaptive, fixed, small, large, s) | {"run_id": c["run_id"], "generated_at": datetime.now(UTC).isoformat()}
-    frozen["pinning"] |= {"calibration_split_manifest": config.get(c, "split.manifest_path"), "calibration_split_sha256": json_tables.sha256(spark, config.get(c, "split.manifest_path")), "calibration_config_path": str(path)}
+    frozen["pinning"] |= {
+        "calibration_split_manifest": config.get(c, "split.manifest_path"),
+        "calibration_split_sha256": json_tables.sha256(spark, config.get(c, "split.manifest_path")), "calibration_config_path": str(path)
+    }
     calibration.freeze(config.get(c, "output.frozen_budgets_path"), frozen)
     return frozen
 
@@ -115,9 +118,18 @@ def run_experiment(spark: SparkSession, path: str, families: list[str] | None =
         return f"{root}/{system}/logs"
 
     pages = _inputs(spark, c).drop("ord")
-    entries = experiment.run_all(pages, frozen, config.models(config.get(c, "model.config_path")), prompt, config.seeds(c), write, c["run_set_id"], config.get(c, "inputs.split_name"), families, allow_stub_8b, _store(root))
+    entries = experiment.run_all(
+        pages, frozen, config.models(config.get(c, "model.config_path")), prompt, config.seeds(c), write, c["run_set_id"],
+        config.get(c, "inputs.split_name"), families, allow_stub_8b, _store(root)
+    )
     held = config.get(c, "inputs.manifest_path")
-    header = {"run_set_id": c["run_set_id"], "generated_at": datetime.now(UTC).isoformat(), "held_out_manifest_path": held, "held_out_manifest_sha256": json_tables.sha256(spark, held), "frozen_budgets_path": c["frozen_budgets_path"], "frozen_budgets_sha256": json_tables.sha256(spark, c["frozen_budgets_path"]), "prompt_id": prompt.id, "prompt_version": prompt.version, "git_head": experiment.git_head("."), "calibration_reparse_rate": rate, "calibration_reparse_rate_degenerate": degenerate, "random_seeds": config.seeds(c)}
+    header = {
+        "run_set_id": c["run_set_id"], "generated_at": datetime.now(UTC).isoformat(), "held_out_manifest_path": held,
+        "held_out_manifest_sha256": json_tables.sha256(spark, held), "frozen_budgets_path": c["frozen_budgets_path"],
+        "frozen_budgets_sha256": json_tables.sha256(spark, c["frozen_budgets_path"]), "prompt_id": prompt.id, "prompt_version": prompt.version,
+        "git_head": experiment.git_head("."), "calibration_reparse_rate": rate, "calibration_reparse_rate_degenerate": degenerate,
+        "random_seeds": config.seeds(c)
+    }
     sinks.write_json(f"{root}/manifest.json", {"schema_version": 1, "header": header, "entries": entries})
     return entries
 
@@ -204,7 +216,10 @@ def analyse(spark: SparkSession, path: str) -> dict:
     systems = [r.system_id for r in entries.select("system_id").collect()]
     scores = score_summaries(spark, i["scoring_summaries_root"], systems) if i.get("scoring_summaries_root") else None
     results = analysis.results(entries, log, scores)
-    named = entries.select("system_id", "budget_name", F.col("budget_low_max_tiles").alias("low"), F.col("budget_high_max_tiles").alias("high"), F.col("budget_max_tiles").alias("tiles"), F.col("runner").isin(*schemas.ADAPTIVE_RUNNERS).alias("adaptive"))
+    named = entries.select(
+        "system_id", "budget_name", F.col("budget_low_max_tiles").alias("low"), F.col("budget_high_max_tiles").alias("high"),
+        F.col("budget_max_tiles").alias("tiles"), F.col("runner").isin(*schemas.ADAPTIVE_RUNNERS).alias("adaptive")
+    )
     targets = summary.Targets({"B_fix_2B": frozen["selection"]["fixed_2b"]["target"], "B_fix_8B": frozen["selection"]["fixed_8b"]["target"]})
     costs = summary.cost_summary(results.select("system_id", "cost_tiles").join(named, "system_id"), targets)
     small = {"results": results, "cost_summary": costs, "reparse_summary": analysis.reparse_slices(entries, log)}
@@ -212,7 +227,14 @@ def analyse(spark: SparkSession, path: str) -> dict:
         sinks.write_json(f"{root}/{name}.json", [r.asDict(recursive=True) for r in df.orderBy("system_id").collect()])
     summary.page_matrix(held, log, entries).write.mode("overwrite").json(f"{root}/page_matrix")
     shas = {"held_out": json_tables.sha256(spark, i["held_out_split_path"]), "frozen": json_tables.sha256(spark, i["frozen_budgets_path"])}
-    checks = analysis.audit(entries, log, cal, held, {"held_out_sha256": header["held_out_manifest_sha256"], "frozen_sha256": header["frozen_budgets_sha256"], "seeds": header["random_seeds"], "prompt_id": header["prompt_id"]}, shas, frozen, bool(i.get("splits_are_identical_acknowledged", False)))
+    checks = analysis.audit(
+        entries, log, cal, held,
+        {
+            "held_out_sha256": header["held_out_manifest_sha256"], "frozen_sha256": header["frozen_budgets_sha256"], "seeds": header["random_seeds"],
+            "prompt_id": header["prompt_id"]
+        },
+        shas, frozen, bool(i.get("splits_are_identical_acknowledged", False))
+    )
     out = {"any_failed": analysis.any_failed(checks), "any_warned": any(x["status"] == analysis.WARN for x in checks), "checks": checks}
     sinks.write_json(f"{root}/audit.json", out)
     sinks.write_json(f"{root}/analysis_manifest.json", {"accuracy_status": analysis.accuracy_status(frozen), "frozen_budgets_sha256": shas["frozen"], "systems": systems})
@@ -230,7 +252,10 @@ def run_freeze(spark: SparkSession, path: str) -> dict[str, int]:
 def select_fixture(spark: SparkSession, annotations: str, folder: str, limit: int, min_non_empty_cells: int = 0) -> int:
     """Page records and gold of selected annotation pages, as JSON."""
     pages = dataset.select_annotations(json_tables.annotations(spark, annotations), limit, min_non_empty_cells).collect()
-    record = lambda r: {"page_id": r.page_id, "image_path": r.image_filename, "language": "en", "contains_table": True, "is_english_table_page": True, "row_count": r.row_count, "col_count": r.col_count, "has_merged_cells": r.has_merged_cells, "has_nested_headers": r.has_nested_headers}
+    record = lambda r: {
+        "page_id": r.page_id, "image_path": r.image_filename, "language": "en", "contains_table": True, "is_english_table_page": True,
+        "row_count": r.row_count, "col_count": r.col_count, "has_merged_cells": r.has_merged_cells, "has_nested_headers": r.has_nested_headers
+    }
     sinks.write_json(f"{folder}/page_records.json", [record(r) for r in pages])
     sinks.write_json(f"{folder}/ground_truth.json", {r.page_id: r.table_html for r in pages})
     return len(pages)

@@ -76,7 +76,10 @@ def git_head(folder: str) -> str | None:
         return None
 
 
-def run_system(spec: Spec, pages: DataFrame, frozen: dict, registry: dict[str, Model], prompt: Prompt, write: Callable[[str, DataFrame], str], run_id: str, split: str, allow_stub_8b: bool = False, store=None) -> dict:
+def run_system(
+    spec: Spec, pages: DataFrame, frozen: dict, registry: dict[str, Model], prompt: Prompt, write: Callable[[str, DataFrame], str], run_id: str,
+    split: str, allow_stub_8b: bool = False, store=None
+) -> dict:
     """One system's entry of the manifest: run, written and counted. An error makes a failed entry, with its traceback."""
     sel = frozen["selection"]["adaptive"]
     entry = {"system_id": spec.system_id, "family": spec.family, "runner": spec.runner, "status": "ok", "seed": spec.seed, "notes": []}
@@ -90,7 +93,10 @@ def run_system(spec: Spec, pages: DataFrame, frozen: dict, registry: dict[str, M
             log = runners.single_pass(pages, model, budget, prompt, run_id, split)
         else:
             model, low, high = frozen_model(frozen, "B_low", registry), frozen_budget(frozen, "B_low"), frozen_budget(frozen, "B_high")
-            entry |= {"model_name": model.name, "adapter_kind": model.adapter_kind, "budget_low_name": low.name, "budget_low_max_tiles": low.max_tiles, "budget_high_name": high.name, "budget_high_max_tiles": high.max_tiles}
+            entry |= {
+                "model_name": model.name, "adapter_kind": model.adapter_kind, "budget_low_name": low.name, "budget_low_max_tiles": low.max_tiles,
+                "budget_high_name": high.name, "budget_high_max_tiles": high.max_tiles
+            }
             if spec.runner == "adaptive":
                 log = runners.adaptive(pages, model, low, high, prompt, run_id, split, store)
             else:
@@ -105,7 +111,11 @@ def run_system(spec: Spec, pages: DataFrame, frozen: dict, registry: dict[str, M
         return entry | {"status": "failed", "error": traceback.format_exc()}
 
 
-def run_all(pages: DataFrame, frozen: dict, registry: dict[str, Model], prompt: Prompt, seeds: Iterable[int], write: Callable[[str, DataFrame], str], run_id: str = "run", split: str = "held_out_eval", families: Iterable[str] | None = None, allow_stub_8b: bool = False, store=None, at_once: int = 3) -> list[dict]:
+def run_all(
+    pages: DataFrame, frozen: dict, registry: dict[str, Model], prompt: Prompt, seeds: Iterable[int], write: Callable[[str, DataFrame], str],
+    run_id: str = "run", split: str = "held_out_eval", families: Iterable[str] | None = None, allow_stub_8b: bool = False, store=None,
+    at_once: int = 3
+) -> list[dict]:
     """Run the systems, `at_once` of them side by side, and return the manifest's entries in the systems' order.
 
     write(system_id, log) stores a log and returns its place. Each system has a thread whose jobs carry a tag and run in

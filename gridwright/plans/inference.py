@@ -49,7 +49,10 @@ def stub_text(page_id: Column, model: str, budget: str, prompt: str, width: Colu
     """A heading and one table of five rows and two columns."""
     row = lambda a, b: F.concat(F.lit("  <tr><td>"), a, F.lit("</td><td>"), b, F.lit("</td></tr>\n"))
     head = F.lit("\n\n<table>\n  <tr><th>column_a</th><th>column_b</th></tr>\n")
-    return F.concat(F.lit("# "), page_id, head, row(page_id, F.lit(model)), row(F.lit(budget), F.lit(prompt)), row(F.lit("image_w"), width.cast("string")), row(F.lit("image_h"), height.cast("string")), F.lit("</table>\n"))
+    return F.concat(
+        F.lit("# "), page_id, head, row(page_id, F.lit(model)), row(F.lit(budget), F.lit(prompt)), row(F.lit("image_w"), width.cast("string")),
+        row(F.lit("image_h"), height.cast("string")), F.lit("</table>\n")
+    )
 
 
 Adapter = Callable[[DataFrame, Model, Budget, Prompt], DataFrame]
@@ -95,7 +98,12 @@ class InWorkers:
 
     def __call__(self, pages: DataFrame, model: Model, budget: Budget, prompt: Prompt) -> DataFrame:
         load, most = self.load, self.most_tiles
-        schema = T.StructType([*pages.schema.fields, T.StructField("raw_text", T.StringType()), T.StructField("runtime_ms", T.DoubleType()), T.StructField("started_at", T.StringType()), T.StructField("finished_at", T.StringType())])
+        schema = T.StructType(
+            [
+                *pages.schema.fields, T.StructField("raw_text", T.StringType()), T.StructField("runtime_ms", T.DoubleType()),
+                T.StructField("started_at", T.StringType()), T.StructField("finished_at", T.StringType())
+            ]
+        )
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = (model.name, model.adapter_kind, model.model_id)

@@ -30,10 +30,18 @@ def stored_once(df: DataFrame, store=None) -> DataFrame:
 def single_pass(pages: DataFrame, model: Model, budget: Budget, prompt: Prompt, run_id: str, split: str) -> DataFrame:
     """A log row for each page, with raw_text."""
     out = infer(pages, model, budget, prompt)
-    return out.select(F.lit(run_id).alias("run_id"), "page_id", F.lit(split).alias("split"), F.lit(model.name).alias("model_name"), F.lit(budget.name).alias("budget_name"), F.lit(prompt.id).alias("prompt_id"), "runtime_ms", F.col("output_tokens").alias("output_token_count"), F.concat(F.lit("raw/"), "page_id", F.lit(".md")).alias("raw_output_path"), "started_at", "finished_at", F.lit("ok").alias("status"), "raw_text")
+    return out.select(
+        F.lit(run_id).alias("run_id"), "page_id", F.lit(split).alias("split"), F.lit(model.name).alias("model_name"),
+        F.lit(budget.name).alias("budget_name"), F.lit(prompt.id).alias("prompt_id"), "runtime_ms",
+        F.col("output_tokens").alias("output_token_count"), F.concat(F.lit("raw/"), "page_id", F.lit(".md")).alias("raw_output_path"), "started_at",
+        "finished_at", F.lit("ok").alias("status"), "raw_text"
+    )
 
 
-def two_pass(pages: DataFrame, model: Model, low: Budget, high: Budget, prompt: Prompt, run_id: str, split: str, route: Column | None = None, extra: dict[str, object] | None = None, store=None) -> DataFrame:
+def two_pass(
+    pages: DataFrame, model: Model, low: Budget, high: Budget, prompt: Prompt, run_id: str, split: str, route: Column | None = None,
+    extra: dict[str, object] | None = None, store=None
+) -> DataFrame:
     """A log row for each page, with raw_text: the second pass's where it ran, even if it is worse; and first_pass_text,
     reparse_text (null without a second pass) and tables, what the verifier found in the first pass. `route` decides the
     second pass, by default the verifier; store(df) writes and rereads the first pass.
@@ -48,9 +56,13 @@ def two_pass(pages: DataFrame, model: Model, low: Budget, high: Budget, prompt:
     return out.select(
         F.lit(run_id).alias("run_id"), F.lit(split).alias("split"), "page_id", F.lit(model.name).alias("model_name"), F.lit(prompt.id).alias("prompt_id"), F.lit(low.name).alias("budget_low"), F.lit(high.name).alias("budget_high"),
         "reparse_triggered", "verifier_decision", "verifier_failure_codes", "predicted_table_count", F.col("output_tokens").alias("first_pass_output_tokens"), F.col("again_output_tokens").alias("reparse_output_tokens"),
-        F.col("runtime_ms").alias("first_pass_runtime_ms"), F.lit(0.0).alias("verifier_runtime_ms"), F.col("again_runtime_ms").alias("reparse_runtime_ms"), (F.col("runtime_ms") + F.coalesce("again_runtime_ms", F.lit(0.0))).alias("total_runtime_ms"),
+        F.col("runtime_ms").alias("first_pass_runtime_ms"), F.lit(0.0).alias("verifier_runtime_ms"), F.col("again_runtime_ms").alias("reparse_runtime_ms"), (
+            F.col("runtime_ms") + F.coalesce("again_runtime_ms", F.lit(0.0))
+        ).alias("total_runtime_ms"),
         place("first_pass").alias("first_pass_raw_path"), F.when(second, place("reparse")).alias("reparse_raw_path"), place("final").alias("final_raw_path"), F.when(second, "reparse").otherwise("first_pass").alias("final_output_source"), F.lit("ok").alias("status"),
-        F.coalesce("again_raw_text", "raw_text").alias("raw_text"), F.col("raw_text").alias("first_pass_text"), F.col("again_raw_text").alias("reparse_text"), "tables", *(F.lit(v).alias(k) for k, v in (extra or {}).items()),
+        F.coalesce("again_raw_text", "raw_text").alias("raw_text"), F.col("raw_text").alias("first_pass_text"), F.col("again_raw_text").alias("reparse_text"), "tables", *(
+            F.lit(v).alias(k) for k, v in (extra or {}).items()
+        ),
     )
 
 
@@ -65,8 +77,14 @@ def artifacts(out: DataFrame) -> dict[str, DataFrame]:
         return {"": out}
     meta = [c for c in ("run_id", "split", "page_id", "model_name", "prompt_id") if c in out.columns]
     place = lambda kind: F.lit(f"{kind}/").alias("folder")
-    one = out.select(*meta, place("first_pass"), F.col("budget_low").alias("budget_name"), F.col("first_pass_output_tokens").alias("output_token_count"), F.col("first_pass_runtime_ms").alias("runtime_ms"), F.col("first_pass_text").alias("raw_text"))
-    two = out.where("reparse_triggered").select(*meta, place("reparse"), F.col("budget_high").alias("budget_name"), F.col("reparse_output_tokens").alias("output_token_count"), F.col("reparse_runtime_ms").alias("runtime_ms"), F.col("reparse_text").alias("raw_text"))
+    one = out.select(
+        *meta, place("first_pass"), F.col("budget_low").alias("budget_name"), F.col("first_pass_output_tokens").alias("output_token_count"),
+        F.col("first_pass_runtime_ms").alias("runtime_ms"), F.col("first_pass_text").alias("raw_text")
+    )
+    two = out.where("reparse_triggered").select(
+        *meta, place("reparse"), F.col("budget_high").alias("budget_name"), F.col("reparse_output_tokens").alias("output_token_count"),
+        F.col("reparse_runtime_ms").alias("runtime_ms"), F.col("reparse_text").alias("raw_text")
+    )
     return {"first_pass": one, "reparse": two, "final": out.drop("first_pass_text", "reparse_text")}
 
 

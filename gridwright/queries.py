@@ -27,7 +27,16 @@ STUB_2B, STUB_8B = inference.Model("stub_2b", "stub"), inference.Model("stub_8b"
 PROMPT = inference.Prompt("table_parse_v2", 2)
 RULE = dataset.HardTableRule(20, 6, ("has_merged_cells", "has_nested_headers"))
 SETTINGS = calibration.Settings((2, 4, 6), (8, 12, 16), (4, 6, 8, 10), 6.0)
-FROZEN = {"schema_version": 1, "pinning": {"cost_unit": "max_tiles"}, "budgets": {"B_low": {"name": "B_low", "max_tiles": 4, "model_name": "stub_2b", "adapter_kind": "stub"}, "B_high": {"name": "B_high", "max_tiles": 10, "model_name": "stub_2b", "adapter_kind": "stub"}, "B_fix_2B": {"name": "B_fix_2B", "max_tiles": 10, "model_name": "stub_2b", "adapter_kind": "stub"}, "B_fix_8B": {"name": "B_fix_8B", "max_tiles": 10, "model_name": "stub_8b", "adapter_kind": "stub"}}, "selection": {"adaptive": {"target": 10.0, "measured": 9.5, "low": 4, "high": 10}}}
+FROZEN = {
+    "schema_version": 1, "pinning": {"cost_unit": "max_tiles"},
+    "budgets": {
+        "B_low": {"name": "B_low", "max_tiles": 4, "model_name": "stub_2b", "adapter_kind": "stub"},
+        "B_high": {"name": "B_high", "max_tiles": 10, "model_name": "stub_2b", "adapter_kind": "stub"},
+        "B_fix_2B": {"name": "B_fix_2B", "max_tiles": 10, "model_name": "stub_2b", "adapter_kind": "stub"},
+        "B_fix_8B": {"name": "B_fix_8B", "max_tiles": 10, "model_name": "stub_8b", "adapter_kind": "stub"}
+    },
+    "selection": {"adaptive": {"target": 10.0, "measured": 9.5, "low": 4, "high": 10}}
+}
 
 
 def query(sql: str | None = None, *ctes: str):
@@ -98,7 +107,10 @@ def english_table_pages(spark, sf_dir):
     return dataset.english_table_pages(fx.page_records(spark, sf_dir)).select("page_id", "language")
 
 
-@query("select page_id, row_count, col_count from page_records where is_english_table_page and (coalesce(row_count, 0) >= 20 or coalesce(col_count, 0) >= 6 or has_merged_cells or has_nested_headers)", P)
+@query(
+    "select page_id, row_count, col_count from page_records where is_english_table_page and (coalesce(row_count, 0) >= 20 or coalesce(col_count, 0) >= 6 or has_merged_cells or has_nested_headers)",
+    P
+)
 def hard_table_pages(spark, sf_dir):
     return dataset.hard_table_pages(dataset.english_table_pages(fx.page_records(spark, sf_dir)), RULE).select("page_id", "row_count", "col_count")
 
@@ -126,7 +138,10 @@ def table_metadata(spark, sf_dir):
     return out.withColumns({c: F.col(c).cast("long") for c in ("row_count", "col_count")})
 
 
-@query(r"select k, len(list_filter(regexp_extract_all(raw_text, '(?is)<td\b[^>]*>.*?</td\s*>|<th\b[^>]*>.*?</th\s*>'), lambda x: trim(regexp_replace(x, '<[^>]+>', '', 'g')) <> '')) as n from order_html", H)
+@query(
+    r"select k, len(list_filter(regexp_extract_all(raw_text, '(?is)<td\b[^>]*>.*?</td\s*>|<th\b[^>]*>.*?</th\s*>'), lambda x: trim(regexp_replace(x, '<[^>]+>', '', 'g')) <> '')) as n from order_html",
+    H
+)
 def non_empty_cells(spark, sf_dir):
     return fx.order_html(spark, sf_dir).select("k", html.non_empty_cells(F.col("raw_text")).cast("long").alias("n"))
 
@@ -135,7 +150,10 @@ def non_empty_cells(spark, sf_dir):
   cast(case k % 8 when 0 then 0 when 6 then 2 else 1 end as bigint) as tables, true as html_parse_ok, k % 8 not in (1, 3, 4) as span_ok from order_html""", H)
 def verify_pages(spark, sf_dir):
     out = verify.verified(fx.order_html(spark, sf_dir))
-    return out.select("k", F.col("verifier_decision").alias("decision"), F.array_join("verifier_failure_codes", ",").alias("codes"), F.col("predicted_table_count").cast("long").alias("tables"), "html_parse_ok", F.col("span_normalization_ok").alias("span_ok"))
+    return out.select(
+        "k", F.col("verifier_decision").alias("decision"), F.array_join("verifier_failure_codes", ",").alias("codes"),
+        F.col("predicted_table_count").cast("long").alias("tables"), "html_parse_ok", F.col("span_normalization_ok").alias("span_ok")
+    )
 
 
 @query("""select k, r, c, case when r = 0 then case when k % 8 in (6, 7) then ['part', 'qty', 'flag'][c + 1] else ['part qty', '', 'flag'][c + 1] end else [p::varchar, q::varchar, f][c + 1] end as text,
@@ -157,7 +175,10 @@ def verify_several(spark, sf_dir):
     """A second table behind each page's own: codes come once each, in the order of the tables."""
     more = F.when(F.col("k") % 3 == 0, F.lit(fx.OVERLAP)).when(F.col("k") % 3 == 1, F.lit("<table><tr><td> </td></tr></table>")).otherwise(F.lit(""))
     pages = fx.order_html(spark, sf_dir).withColumn("raw_text", F.concat("raw_text", F.lit(" then "), more))
-    return verify.verified(pages).select("k", F.col("verifier_decision").alias("decision"), F.array_join("verifier_failure_codes", ",").alias("codes"), F.col("predicted_table_count").cast("long").alias("tables"))
+    return verify.verified(pages).select(
+        "k", F.col("verifier_decision").alias("decision"), F.array_join("verifier_failure_codes", ",").alias("codes"),
+        F.col("predicted_table_count").cast("long").alias("tables")
+    )
 
 
 @query("select k, case when n = 0 then result else '' end as error, n::bigint as n_rows, m::bigint as n_cols, case when n = 0 then '' else result end as cells from lenient", fx.LENIENT_HTML)
@@ -182,7 +203,12 @@ SIM = """case when k % 16 = 7 then 0 else case k % 8 when 2 then 1 - levenshtein
 @query(f"""select k, round({F1}, 6) as precision, round({F1}, 6) as recall, round({F1}, 6) as cell_f1, round({SIM}, 6) as text_similarity, cast(case when k % 16 = 7 then 0 else 3 * (n + 1) end as bigint) as gold_cells, k % 16 = 7 as gold_missing,
   cast(case when k % 8 in (0, 1, 3, 4) then 0 when k % 8 = 5 then 3 * n else 3 * (n + 1) end as bigint) as pred_cells, case k % 8 when 0 then 'no_tables' when 1 then 'not_rectangular' when 3 then 'span_expansion_failed' when 4 then 'span_expansion_failed' else '' end as error from flat""", H, FLAT)
 def score_pages(spark, sf_dir):
-    return rounded(_scores(spark, sf_dir).select("k", "precision", "recall", "cell_f1", "text_similarity", "gold_cells", "gold_missing", "pred_cells", F.coalesce("pred_parse_error", F.lit("")).alias("error")))
+    return rounded(
+        _scores(spark, sf_dir).select(
+            "k", "precision", "recall", "cell_f1", "text_similarity", "gold_cells", "gold_missing", "pred_cells",
+            F.coalesce("pred_parse_error", F.lit("")).alias("error")
+        )
+    )
 
 
 GOLDEN = "filter (where k % 16 <> 7)"
@@ -207,7 +233,10 @@ def leak_check(spark, sf_dir):
     return analysis.leaks(log, log.where("line_no % 50 <> 0").select("page_id").distinct())
 
 
-@query("select f as family from (values ('adaptive_2b'), ('fixed_2b_low'), ('fixed_2b_matched'), ('random_2b'), ('fixed_8b_matched')) t(f) where f not in (select regexp_replace(system_id, '_seed[0-9]+$', '') from run_log where system_id not like 'random%')", L)
+@query(
+    "select f as family from (values ('adaptive_2b'), ('fixed_2b_low'), ('fixed_2b_matched'), ('random_2b'), ('fixed_8b_matched')) t(f) where f not in (select regexp_replace(system_id, '_seed[0-9]+$', '') from run_log where system_id not like 'random%')",
+    L
+)
 def missing_families(spark, sf_dir):
     seen = fx.run_log(spark, sf_dir).where("system_id not like 'random%'").select(F.regexp_replace("system_id", "_seed[0-9]+$", "").alias("family"))
     return spark.createDataFrame([(f,) for f in experiment.FAMILIES], "family string").join(seen, "family", "left_anti")
@@ -219,7 +248,10 @@ def split_overlap(spark, sf_dir):
     return r.where("has_merged_cells").select("page_id").intersect(r.where("has_nested_headers").select("page_id"))
 
 
-@query("select page_id, image_path, coalesce(language, '') as language, contains_table, is_english_table_page, coalesce(row_count, -1)::bigint as row_count, coalesce(col_count, -1)::bigint as col_count, has_merged_cells, has_nested_headers from page_records", P)
+@query(
+    "select page_id, image_path, coalesce(language, '') as language, contains_table, is_english_table_page, coalesce(row_count, -1)::bigint as row_count, coalesce(col_count, -1)::bigint as col_count, has_merged_cells, has_nested_headers from page_records",
+    P
+)
 def json_records(spark, sf_dir):
     """Records written as one JSON array by many tasks, and read back in byte ranges."""
     rows = fx.page_records(spark, sf_dir).withColumn("language", F.coalesce("language", F.lit("")))
@@ -333,7 +365,9 @@ def stub_render(spark, sf_dir):
     return inference.infer(_stub_pages(spark, sf_dir), STUB_2B, inference.Budget("B_low", 4), PROMPT).select("page_id", "raw_text", "output_tokens")
 
 
-@query(r"select doc_id, len(list_filter(regexp_split_to_array(text, '[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x <> '')) as n from documents")
+@query(
+    r"select doc_id, len(list_filter(regexp_split_to_array(text, '[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x <> '')) as n from documents"
+)
 def q_token_count(spark, sf_dir):
     return fx.table(spark, sf_dir, "documents").select("doc_id", token_count(F.col("text")).alias("n"))
 
@@ -379,7 +413,9 @@ def language_lookup(spark, sf_dir):
     return dataset.with_language(fx.annotation_json(spark, sf_dir)).select("doc_id", "language").where("language is not null")
 
 
-@query(r"""select 'p_' || doc_id || '_v1' as page_id, 'imgs/p ' || doc_id || '.v1.png' as image_filename, 'en' as language, '<table><tr><td>' || n_chars || '</td></tr></table>' as table_html, 1::bigint as row_count, 1::bigint as col_count, false as has_merged_cells, false as has_nested_headers from documents where lang = 'en' order by image_filename limit 100""")
+@query(
+    r"""select 'p_' || doc_id || '_v1' as page_id, 'imgs/p ' || doc_id || '.v1.png' as image_filename, 'en' as language, '<table><tr><td>' || n_chars || '</td></tr></table>' as table_html, 1::bigint as row_count, 1::bigint as col_count, false as has_merged_cells, false as has_nested_headers from documents where lang = 'en' order by image_filename limit 100"""
+)
 def annotated_pages(spark, sf_dir):
     out = dataset.select_annotations(fx.annotation_json(spark, sf_dir).select("entry"), 100, 1)
     return out.withColumns({c: F.col(c).cast("long") for c in ("row_count", "col_count")})
@@ -419,7 +455,11 @@ def _uneven_run(spark, sf_dir):
 def adaptive_run(spark, sf_dir):
     """With an adapter that fails the verifier on known pages."""
     out = _uneven_run(spark, sf_dir)
-    return out.select("page_id", "reparse_triggered", "verifier_decision", F.array_join("verifier_failure_codes", ",").alias("codes"), F.col("predicted_table_count").cast("long").alias("tables"), "first_pass_output_tokens", F.coalesce("reparse_output_tokens", F.lit(-1)).alias("reparse_output_tokens"), "total_runtime_ms", "final_output_source")
+    return out.select(
+        "page_id", "reparse_triggered", "verifier_decision", F.array_join("verifier_failure_codes", ",").alias("codes"),
+        F.col("predicted_table_count").cast("long").alias("tables"), "first_pass_output_tokens",
+        F.coalesce("reparse_output_tokens", F.lit(-1)).alias("reparse_output_tokens"), "total_runtime_ms", "final_output_source"
+    )
 
 
 HIGH_STUB = STUB.replace("B_low", "B_high")
@@ -431,7 +471,9 @@ HIGH_STUB = STUB.replace("B_low", "B_high")
 def pass_artifacts(spark, sf_dir):
     """The texts of each pass and of what is kept."""
     parts = runners.artifacts(_uneven_run(spark, sf_dir))
-    kept = F.when(F.col("reparse_triggered"), F.struct("budget_high", "reparse_output_tokens")).otherwise(F.struct(F.col("budget_low").alias("budget_high"), F.col("first_pass_output_tokens").alias("reparse_output_tokens")))
+    kept = F.when(F.col("reparse_triggered"), F.struct("budget_high", "reparse_output_tokens")).otherwise(
+        F.struct(F.col("budget_low").alias("budget_high"), F.col("first_pass_output_tokens").alias("reparse_output_tokens"))
+    )
     final = parts["final"].withColumn("kept", kept).select("page_id", "raw_text", F.col("kept.budget_high").alias("budget_name"), F.col("kept.reparse_output_tokens").alias("output_token_count"))
     rows = [df.select(F.lit(k).alias("pass"), "page_id", "budget_name", F.col("output_token_count").alias("tokens"), "raw_text") for k, df in (parts | {"final": final}).items()]
     return rows[0].unionAll(rows[1]).unionAll(rows[2])
@@ -471,14 +513,27 @@ def system_specs(spark, sf_dir):
 
 def _entries(spark, sf_dir):
     counts = fx.run_log(spark, sf_dir).groupBy("system_id").agg(F.count(F.lit(1)).cast("int").alias("pages_processed"))
-    e = fx.systems(spark).join(counts, "system_id").select("ord", "system_id", F.regexp_replace("system_id", "_seed[0-9]+$", "").alias("family"), "runner", F.lit("ok").alias("status"), F.lit("out").alias("output_dir"), "pages_processed", F.col("low").alias("budget_low_max_tiles"), F.col("high").alias("budget_high_max_tiles"), F.col("tiles").alias("budget_max_tiles"), F.expr("try_cast(nullif(regexp_extract(system_id, 'seed([0-9]+)', 1), '') as int)").alias("seed"))
+    e = fx.systems(spark).join(counts, "system_id").select(
+        "ord", "system_id", F.regexp_replace("system_id", "_seed[0-9]+$", "").alias("family"), "runner", F.lit("ok").alias("status"),
+        F.lit("out").alias("output_dir"), "pages_processed", F.col("low").alias("budget_low_max_tiles"), F.col("high").alias("budget_high_max_tiles"),
+        F.col("tiles").alias("budget_max_tiles"), F.expr("try_cast(nullif(regexp_extract(system_id, 'seed([0-9]+)', 1), '') as int)").alias("seed")
+    )
     return e.withColumns({"random_probability": F.lit(None).cast("double"), "notes": F.array().cast("array<string>"), "error": F.lit(None).cast("string"), "reason": F.lit(None).cast("string")})
 
 
-@query(f"""select system_id, count(*) as pages_processed, count(*) as sample_size, round(avg(value), 6) as mean_runtime_ms, round(avg({KEPT}), 6) as mean_output_tokens, (case when any_value(adaptive) then count(*) filter (where event_type = 'error') end)::double as no_table, (case when any_value(adaptive) then count(*) filter (where event_type <> 'error' and k % 3 = 0) end)::double as one_table from run_log group by 1""", L)
+@query(
+    f"""select system_id, count(*) as pages_processed, count(*) as sample_size, round(avg(value), 6) as mean_runtime_ms, round(avg({KEPT}), 6) as mean_output_tokens, (case when any_value(adaptive) then count(*) filter (where event_type = 'error') end)::double as no_table, (case when any_value(adaptive) then count(*) filter (where event_type <> 'error' and k % 3 = 0) end)::double as one_table from run_log group by 1""",
+    L
+)
 def system_results(spark, sf_dir):
     out = analysis.results(_entries(spark, sf_dir), fx.run_log(spark, sf_dir))
-    return rounded(out.select("system_id", F.col("pages_processed").cast("long").alias("pages_processed"), "sample_size", "mean_runtime_ms", "mean_output_tokens", F.col("verifier_failure_codes")["NO_TABLE_FOUND"].cast("double").alias("no_table"), F.col("predicted_table_count_hist")[1].cast("double").alias("one_table")))
+    return rounded(
+        out.select(
+            "system_id", F.col("pages_processed").cast("long").alias("pages_processed"), "sample_size", "mean_runtime_ms", "mean_output_tokens",
+            F.col("verifier_failure_codes")["NO_TABLE_FOUND"].cast("double").alias("no_table"),
+            F.col("predicted_table_count_hist")[1].cast("double").alias("one_table")
+        )
+    )
 
 
 @query(f"""select s.system_id, case s.ord when 1 then 'failed' when 6 then 'skipped_stub_8b' else 'ok' end as status, cast(case when s.ord in (1, 6) then 0 else l.n end as bigint) as pages_processed, cast(case when s.ord in (1, 6) then 0 else l.n end as bigint) as sample_size,
@@ -487,13 +542,27 @@ def system_results(spark, sf_dir):
 def results_with_failures(spark, sf_dir):
     """One system failed, one was skipped, one has scores."""
     broken, skipped = F.col("ord") == 1, F.col("ord") == 6
-    e = _entries(spark, sf_dir).withColumns({"status": F.when(broken, F.lit("failed")).when(skipped, F.lit(experiment.SKIPPED)).otherwise(F.lit("ok")), "error": F.when(broken, F.lit("broken")), "reason": F.when(skipped, F.lit("a stub"))})
+    e = _entries(spark, sf_dir).withColumns(
+        {
+            "status": F.when(broken, F.lit("failed")).when(skipped, F.lit(experiment.SKIPPED)).otherwise(F.lit("ok")),
+            "error": F.when(broken, F.lit("broken")), "reason": F.when(skipped, F.lit("a stub"))
+        }
+    )
     scores = spark.createDataFrame([("adaptive_2b", 0.5)], "system_id string, macro_cell_f1 double")
     out = analysis.results(e, fx.run_log(spark, sf_dir), scores)
-    return rounded(out.select("system_id", "status", F.col("pages_processed").cast("long").alias("pages_processed"), F.col("sample_size").cast("long").alias("sample_size"), "mean_output_tokens", "cost_tiles", F.coalesce("note", F.lit("-")).alias("note"), F.coalesce("macro_cell_f1", F.lit(-1.0)).alias("macro_cell_f1")))
-
-
-@query(f"""select page_id, max_by({KEPT}, event_id) as output_tokens, count(*) as rows from (select *, page_no * 7 + ord as event_id, case when ord < 4 then 'a' else 'b' end as half from run_log) group by page_id""", L)
+    return rounded(
+        out.select(
+            "system_id", "status", F.col("pages_processed").cast("long").alias("pages_processed"),
+            F.col("sample_size").cast("long").alias("sample_size"), "mean_output_tokens", "cost_tiles", F.coalesce("note", F.lit("-")).alias("note"),
+            F.coalesce("macro_cell_f1", F.lit(-1.0)).alias("macro_cell_f1")
+        )
+    )
+
+
+@query(
+    f"""select page_id, max_by({KEPT}, event_id) as output_tokens, count(*) as rows from (select *, page_no * 7 + ord as event_id, case when ord < 4 then 'a' else 'b' end as half from run_log) group by page_id""",
+    L
+)
 def last_row_wins(spark, sf_dir):
     """A log that repeats each page: the matrix shows its last line."""
     log = fx.run_log(spark, sf_dir).join(F.broadcast(fx.systems(spark).select("system_id", "ord")), "system_id")
@@ -503,7 +572,10 @@ def last_row_wins(spark, sf_dir):
     return out.select("page_id", F.inline("systems")).join(counts, "page_id").select("page_id", "output_tokens", "rows")
 
 
-@query("select system_id, count(*) filter (where hit) as reparse_count, round(avg(hit::int), 6) as reparse_rate, count(*) filter (where not hit) as passed, count(*) filter (where event_type = 'purchase') as degenerate from run_log where adaptive group by 1", L)
+@query(
+    "select system_id, count(*) filter (where hit) as reparse_count, round(avg(hit::int), 6) as reparse_rate, count(*) filter (where not hit) as passed, count(*) filter (where event_type = 'purchase') as degenerate from run_log where adaptive group by 1",
+    L
+)
 def reparse_slices(spark, sf_dir):
     out = analysis.reparse_slices(_entries(spark, sf_dir), fx.run_log(spark, sf_dir))
     return rounded(out.select("system_id", "reparse_count", "reparse_rate", F.col("decision_histogram")["PASS"].alias("passed"), F.col("code_histogram")["DEGENERATE_TABLE"].alias("degenerate")))
@@ -527,7 +599,10 @@ def manifest_cost(spark, sf_dir):
 def audit_report(spark, sf_dir):
     log, pages = fx.run_log(spark, sf_dir), fx.run_log(spark, sf_dir).select("page_id").distinct()
     same = {"held_out_sha256": "a", "frozen_sha256": "b"}
-    checks = analysis.audit(_entries(spark, sf_dir), log, spark.createDataFrame([("calibration_page",)], "page_id string"), pages, same | {"seeds": [0, 1, 2], "prompt_id": "table_parse_v2"}, {"held_out": "a", "frozen": "b"}, FROZEN)
+    checks = analysis.audit(
+        _entries(spark, sf_dir), log, spark.createDataFrame([("calibration_page",)], "page_id string"), pages,
+        same | {"seeds": [0, 1, 2], "prompt_id": "table_parse_v2"}, {"held_out": "a", "frozen": "b"}, FROZEN
+    )
     return spark.createDataFrame([(i, c["name"], c["status"], c["detail"]) for i, c in enumerate(checks)], "ord int, name string, status string, detail string")
 
 
@@ -547,7 +622,10 @@ TAMPERED = """cases(c) as (select unnest(range(9))),
   warn(c, ord) as (select c, 9 from (select c, system_id, string_agg(hit::varchar, '' order by page_no) as d from bad_log where system_id like 'random%' group by 1, 2) group by c having count(distinct d) < 2 union all select c, 10 from cases)"""
 
 
-@query("select c::int as c, o::int as ord, case when exists (select 1 from fail f where f.c = t.c and f.ord = o and bad > 0) then 'fail' when exists (select 1 from warn w where w.c = t.c and w.ord = o) then 'warn' else 'ok' end as status from cases t, (select unnest(range(11)) as o)", L, TAMPERED)
+@query(
+    "select c::int as c, o::int as ord, case when exists (select 1 from fail f where f.c = t.c and f.ord = o and bad > 0) then 'fail' when exists (select 1 from warn w where w.c = t.c and w.ord = o) then 'warn' else 'ok' end as status from cases t, (select unnest(range(11)) as o)",
+    L, TAMPERED
+)
 def audit_tampered(spark, sf_dir):
     """The audit over a sound run (0) and eight that were tampered with, each in one place."""
     log, entries = fx.run_log(spark, sf_dir), shared.stored(_entries(spark, sf_dir), "entries")

@@ -100,8 +100,13 @@ def order_html(spark: SparkSession, sf_dir: str, clean: bool = False) -> DataFra
         full = F.concat(cells, F.when(short, F.lit("")).otherwise(F.concat(F.lit("<td>"), x["f"], F.lit("</td>"))), F.lit("</tr>"))
         return F.when(mode == 5, F.lit("<tr><td> </td><td></td><td> </td></tr>")).otherwise(full)
 
-    head = F.when(mode == 2, F.lit('<tr><th colspan="2">part qty</th><th>flag</th></tr>')).when(mode == 3, F.lit('<tr><th colspan="0">part</th><th>qty</th><th>flag</th></tr>')).when(mode == 5, F.lit("")).otherwise(F.lit("<tr><th>part</th><th>qty</th><th>flag</th></tr>"))
-    text = F.concat(F.lit("# order "), F.col("k").cast("string"), F.lit(" <table>"), head, F.array_join(F.transform("x", line), ""), F.lit("</table>"), F.when(mode == 6, F.lit(" and <table></table>")).otherwise(F.lit("")))
+    head = F.when(mode == 2, F.lit('<tr><th colspan="2">part qty</th><th>flag</th></tr>')).when(
+        mode == 3, F.lit('<tr><th colspan="0">part</th><th>qty</th><th>flag</th></tr>')
+    ).when(mode == 5, F.lit("")).otherwise(F.lit("<tr><th>part</th><th>qty</th><th>flag</th></tr>"))
+    text = F.concat(
+        F.lit("# order "), F.col("k").cast("string"), F.lit(" <table>"), head, F.array_join(F.transform("x", line), ""), F.lit("</table>"),
+        F.when(mode == 6, F.lit(" and <table></table>")).otherwise(F.lit(""))
+    )
     text = F.when(mode == 0, F.concat(F.lit("# order "), F.col("k").cast("string"))).when(mode == 4, F.lit(OVERLAP)).otherwise(text)
     return rows.select("k", "n", F.concat(F.lit("order_"), F.col("k").cast("string")).alias("page_id"), text.alias("raw_text"))
 
@@ -157,7 +162,10 @@ def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     def image(width: pa.Array, height: pa.Array, grey: pa.Array) -> pa.Array:
         return pa.array([pixels.encode(np.full((h, w, 3), g, np.uint8)) for w, h, g in zip(width.to_pylist(), height.to_pylist(), grey.to_pylist())], pa.binary())
 
-    sizes = table(spark, sf_dir, "documents").selectExpr("concat('page_', lpad(cast(doc_id as string), 7, '0')) as page_id", "cast(8 + doc_id % 23 as int) as width", "cast(8 + n_chars % 31 as int) as height", "cast(doc_id % 256 as int) as grey")
+    sizes = table(spark, sf_dir, "documents").selectExpr(
+        "concat('page_', lpad(cast(doc_id as string), 7, '0')) as page_id", "cast(8 + doc_id % 23 as int) as width",
+        "cast(8 + n_chars % 31 as int) as height", "cast(doc_id % 256 as int) as grey"
+    )
     return sizes.select("page_id", "width", "height", image("width", "height", "grey").alias("content"))
 
 
@@ -187,7 +195,13 @@ UNEVEN = """uneven as (select page_id, n, n % 5 < 2 as again, case n % 5 when 0
 
 def annotation_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and entry (VARIANT): the place of the language and the HTML key vary by doc_id."""
-    parts = table(spark, sf_dir, "documents").selectExpr("doc_id", "lang", "concat('imgs/p ', cast(doc_id as string), '.v1.png') as img", "concat('<table><tr><td>', cast(n_chars as string), '</td></tr></table>') as h")
+    parts = table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", "lang", "concat('imgs/p ', cast(doc_id as string), '.v1.png') as img",
+        "concat('<table><tr><td>', cast(n_chars as string), '</td></tr></table>') as h"
+    )
     language = "case doc_id % 4 when 0 then concat('\"page_info\":{\"image_path\":\"', img, '\",\"page_attribute\":{\"language\":\"', upper(lang), '\"}}') when 1 then concat('\"page_info\":{\"image_path\":\"', img, '\",\"language\":\"', lang, ' \"}') when 2 then concat('\"image_path\":\"', img, '\",\"page_attribute\":{\"language\":\"', lang, '\"}') else concat('\"image_path\":\"', img, '\",\"x\":[{\"y\":{\"language\":\"', lang, '\"}}]') end"
     key = "element_at(array('html', 'html_str', 'table_html', 'html_seq'), cast(doc_id % 4 as int) + 1)"
-    return parts.selectExpr("doc_id", f"parse_json(concat('{{', {language}, ',\"layout_dets\":[{{\"category_type\":\"text\"}},{{\"category_type\":\"table\",\"', {key}, '\":\"', h, '\"}}]}}')) as entry")
+    return parts.selectExpr(
+        "doc_id",
+        f"parse_json(concat('{{', {language}, ',\"layout_dets\":[{{\"category_type\":\"text\"}},{{\"category_type\":\"table\",\"', {key}, '\":\"', h, '\"}}]}}')) as entry"
+    )

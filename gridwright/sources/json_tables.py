@@ -43,7 +43,9 @@ def as_number(v: Column) -> Column:
 def as_flag(v: Column) -> Column:
     """Whether a value counts as true: not false, 0, empty or null."""
     kind, text = _kind_of(v), F.to_json(v)
-    return F.when(kind.isNull() | (kind == "VOID"), F.lit(False)).when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean")).when(kind.isin("STRING", "OBJECT", "ARRAY"), ~text.isin('""', "{}", "[]")).otherwise(F.try_variant_get(v, "$", "double") != 0)
+    return F.when(kind.isNull() | (kind == "VOID"), F.lit(False)).when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean")).when(
+        kind.isin("STRING", "OBJECT", "ARRAY"), ~text.isin('""', "{}", "[]")
+    ).otherwise(F.try_variant_get(v, "$", "double") != 0)
 
 
 def page_records(spark: SparkSession, path: str) -> DataFrame:
@@ -97,7 +99,10 @@ def log_rows(spark: SparkSession, paths: dict[str, str], schema: str = schemas.A
     listed = spark.createDataFrame([(f, s) for s, files in own.items() for f in files], "file string, system_id string")
     if len({f for files in own.values() for f in files}) < listed.count():
         raise ValueError("two systems share a log")
-    lines = spark.read.text([literal(f) for files in own.values() for f in files]).select("value", plain(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    lines = spark.read.text([literal(f) for files in own.values() for f in files]).select(
+        "value", plain(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id")
+    )
     splits = lines.groupBy("file", "block").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).join(F.broadcast(listed), "file")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("system_id").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = lines.join(F.broadcast(splits.select("system_id", "file", "block", "low", before.alias("before"))), ["file", "block"])

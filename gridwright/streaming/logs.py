@@ -27,7 +27,10 @@ def running_results(rows: DataFrame) -> DataFrame:
     State is a row for each system.
     """
     flag = F.when(F.col("reparse_triggered").isNotNull(), F.col("reparse_triggered").cast("int"))
-    return rows.groupBy("system_id").agg(F.count(F.lit(1)).alias("sample_size"), F.avg(kept_runtime()).alias("mean_runtime_ms"), F.avg(kept_tokens()).alias("mean_output_tokens"), F.avg(flag).alias("reparse_rate"))
+    return rows.groupBy("system_id").agg(
+        F.count(F.lit(1)).alias("sample_size"), F.avg(kept_runtime()).alias("mean_runtime_ms"), F.avg(kept_tokens()).alias("mean_output_tokens"),
+        F.avg(flag).alias("reparse_rate")
+    )
 
 
 def keep_latest(rows: DataFrame, folder: str, checkpoint: str, **trigger) -> StreamingQuery:

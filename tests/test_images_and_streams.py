@@ -36,7 +36,9 @@ def plain_filter(rows, depth, kinds):
 def png(width, height, bits, colour, data, palette=None, interlaced=0):
     chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
     raw = zlib.compress(data)
-    return pixels.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, bits, colour, 0, 0, interlaced)) + (chunk(b"PLTE", palette) if palette else b"") + chunk(b"IDAT", raw[:7]) + chunk(b"IDAT", raw[7:]) + chunk(b"IEND", b"")
+    return pixels.SIGNATURE + chunk(
+        b"IHDR", struct.pack(">IIBBBBB", width, height, bits, colour, 0, 0, interlaced)
+    ) + (chunk(b"PLTE", palette) if palette else b"") + chunk(b"IDAT", raw[:7]) + chunk(b"IDAT", raw[7:]) + chunk(b"IEND", b"")
 
 
 @settings(max_examples=120, deadline=None)

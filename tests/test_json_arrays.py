@@ -111,7 +111,10 @@ def test_folders_of_any_name(spark, tmp_path, name):
     """Page files are written and read back, logs and artifacts too, whatever a folder is called."""
     pages = spark.createDataFrame([(f"page_{i:07d}", 8, 8) for i in range(6)], "page_id string, width int, height int")
     run = tmp_path / name
-    for folder, out in ((run / "two", runners.adaptive(pages, Q.UNEVEN_2B, *Q.LOW_HIGH, Q.PROMPT, "r", "s")), (run / "one", runners.single_pass(pages, Q.STUB_2B, inference.Budget("B_low", 4), Q.PROMPT, "r", "s"))):
+    for folder, out in (
+        (run / "two", runners.adaptive(pages, Q.UNEVEN_2B, *Q.LOW_HIGH, Q.PROMPT, "r", "s")),
+        (run / "one", runners.single_pass(pages, Q.STUB_2B, inference.Budget("B_low", 4), Q.PROMPT, "r", "s"))
+    ):
         assert drivers._write(out, str(folder)) == 6
         texts = {r.page_id: r.raw_text for r in drivers.run_outputs(spark, str(folder)).collect()}
         assert len(texts) == 6 and all(texts.values())

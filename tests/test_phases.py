@@ -20,23 +20,71 @@ def project(tmp_path_factory):
         p.write_text(json.dumps(data) if name.endswith(".json") else yaml.safe_dump(data))
         return str(p)
 
-    pages = [{"page_id": f"page_{i:04d}", "image_path": f"images/page_{i:04d}.png", "language": "en", "contains_table": True, "is_english_table_page": True, "row_count": 25 if i == 1 else 2} for i in range(1, 15)]
+    pages = [
+        {
+            "page_id": f"page_{i:04d}", "image_path": f"images/page_{i:04d}.png", "language": "en", "contains_table": True,
+            "is_english_table_page": True, "row_count": 25 if i == 1 else 2
+        } for i in range(1, 15)
+    ]
     (root / "images").mkdir()
     for p in pages:
         (root / p["image_path"]).write_bytes(b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 640, 480) + b"\x08\2\0\0\0")
     records = put("records.json", pages)
-    put("freeze.yaml", {"pinning": {"dataset_name": "d"}, "input": {"records_path": records}, "subsets": {"hard_table_rule": {"min_row_count": 20}}, "split": {"seed": 1337, "calibration_size": 5, "eval_size": None}, "output": {"manifests_dir": str(root / "splits")}})
+    put(
+        "freeze.yaml",
+        {
+            "pinning": {"dataset_name": "d"}, "input": {"records_path": records}, "subsets": {"hard_table_rule": {"min_row_count": 20}},
+            "split": {"seed": 1337, "calibration_size": 5, "eval_size": None}, "output": {"manifests_dir": str(root / "splits")}
+        }
+    )
     models = put("models.yaml", {"models": {n: {"adapter_kind": "stub"} for n in ("m2", "m8")}})
     budgets = put("budgets.yaml", {"budgets": {"low": {"max_tiles": 4}, "high": {"max_tiles": 12}}})
     prompt = put("prompt.yaml", {"id": "p1", "version": 1, "template": "parse"})
     cal, held = (str(root / f"splits/{k}_split.json") for k in ("calibration", "held_out_eval"))
     inputs = {"split_name": "s", "manifest_path": cal, "records_path": records, "image_root": str(root)}
-    put("single.yaml", {"run_id": "r", "inputs": inputs, "model": {"config_path": models, "name": "m2"}, "budget": {"config_path": budgets, "name": "low"}, "prompt": {"config_path": prompt}, "output": {"dir": str(root / "single")}})
-    put("adaptive.yaml", {"run_id": "r", "inputs": inputs, "model": {"config_path": models, "name": "m2"}, "budget": {"config_path": budgets, "low_name": "low", "high_name": "high"}, "prompt": {"config_path": prompt}, "output": {"dir": str(root / "adaptive")}})
+    put(
+        "single.yaml",
+        {
+            "run_id": "r", "inputs": inputs, "model": {"config_path": models, "name": "m2"}, "budget": {"config_path": budgets, "name": "low"},
+            "prompt": {"config_path": prompt}, "output": {"dir": str(root / "single")}
+        }
+    )
+    put(
+        "adaptive.yaml",
+        {
+            "run_id": "r", "inputs": inputs, "model": {"config_path": models, "name": "m2"},
+            "budget": {"config_path": budgets, "low_name": "low", "high_name": "high"}, "prompt": {"config_path": prompt},
+            "output": {"dir": str(root / "adaptive")}
+        }
+    )
     fixed = [4, 6, 8, 10, 12]
-    put("calibration.yaml", {"run_id": "c", "split": inputs, "prompt_config_path": prompt, "model_config_path": models, "candidates": {"low_max_tiles": [2, 4, 6], "high_max_tiles": [8, 12, 16], "fixed_2b_max_tiles": fixed, "fixed_8b_max_tiles": fixed}, "target_adaptive_cost_tiles": 6.0, "matched_cost_tolerance": 0.1, "models": {"adaptive": "m2", "fixed_2b": "m2", "fixed_8b": "m8"}, "output": {"sweep_summaries_path": str(root / "sweep"), "frozen_budgets_path": str(root / "frozen.json")}})
-    put("experiment.yaml", {"run_set_id": "e", "frozen_budgets_path": str(root / "frozen.json"), "inputs": inputs | {"manifest_path": held}, "model": {"config_path": models}, "prompt": {"config_path": prompt}, "output": {"root": str(root / "runs")}, "random_escalation": {"seeds": [0, 1]}})
-    put("analysis.yaml", {"inputs": {"phase6_manifest_path": str(root / "runs/manifest.json"), "frozen_budgets_path": str(root / "frozen.json"), "held_out_split_path": held, "calibration_split_path": cal, "scoring_summaries_root": str(root)}, "output": {"root": str(root / "analysis")}})
+    put(
+        "calibration.yaml",
+        {
+            "run_id": "c", "split": inputs, "prompt_config_path": prompt, "model_config_path": models,
+            "candidates": {"low_max_tiles": [2, 4, 6], "high_max_tiles": [8, 12, 16], "fixed_2b_max_tiles": fixed, "fixed_8b_max_tiles": fixed},
+            "target_adaptive_cost_tiles": 6.0, "matched_cost_tolerance": 0.1, "models": {"adaptive": "m2", "fixed_2b": "m2", "fixed_8b": "m8"},
+            "output": {"sweep_summaries_path": str(root / "sweep"), "frozen_budgets_path": str(root / "frozen.json")}
+        }
+    )
+    put(
+        "experiment.yaml",
+        {
+            "run_set_id": "e", "frozen_budgets_path": str(root / "frozen.json"), "inputs": inputs | {"manifest_path": held},
+            "model": {"config_path": models}, "prompt": {"config_path": prompt}, "output": {"root": str(root / "runs")},
+            "random_escalation": {"seeds": [0, 1]}
+        }
+    )
+    put(
+        "analysis.yaml",
+        {
+            "inputs": {
+                "phase6_manifest_path": str(root / "runs/manifest.json"), "frozen_budgets_path": str(root / "frozen.json"),
+                "held_out_split_path": held, "calibration_split_path": cal, "scoring_summaries_root": str(root)
+            },
+            "output": {"root": str(root / "analysis")}
+        }
+    )
     return root
 
 
@@ -76,7 +124,10 @@ def test_bad_configurations(tmp_path, spark):
         (tmp_path / "c.yaml").write_text(yaml.safe_dump(data))
         return tmp_path / "c.yaml"
 
-    for load, data in ((config.budgets, {"budgets": {"low": {"max_tiles": 0}}}), (config.budgets, {"budgets": [1]}), (config.models, {"models": {"m": {}}}), (config.prompt, {"id": "x", "version": 1, "template": " "}), (config.read, [1]), (lambda p: config.load("single", p), {"run_id": "r"})):
+    for load, data in (
+        (config.budgets, {"budgets": {"low": {"max_tiles": 0}}}), (config.budgets, {"budgets": [1]}), (config.models, {"models": {"m": {}}}),
+        (config.prompt, {"id": "x", "version": 1, "template": " "}), (config.read, [1]), (lambda p: config.load("single", p), {"run_id": "r"})
+    ):
         with pytest.raises(ValueError):
             load(put(data))
     with pytest.raises(KeyError):
@@ -84,7 +135,20 @@ def test_bad_configurations(tmp_path, spark):
     (tmp_path / "m.json").write_text('{"schema_version": 2}')
     with pytest.raises(ValueError):
         drivers.run_manifest(spark, str(tmp_path / "m.json"))
-    (tmp_path / "m.json").write_text(json.dumps({"schema_version": 1, "header": {}, "entries": [{"system_id": "s", "family": "f", "runner": "adaptive", "status": "ok", "output_dir": "", "seed": "4", "random_probability": 1, "notes": None}, {"system_id": "t", "seed": None}]}))
+    (tmp_path / "m.json").write_text(
+        json.dumps(
+            {
+                "schema_version": 1, "header": {},
+                "entries": [
+                    {
+                        "system_id": "s", "family": "f", "runner": "adaptive", "status": "ok", "output_dir": "", "seed": "4", "random_probability": 1,
+                        "notes": None
+                    },
+                    {"system_id": "t", "seed": None}
+                ]
+            }
+        )
+    )
     first, second = drivers.run_manifest(spark, str(tmp_path / "m.json"))[1].orderBy("ord").collect()
     assert (first.output_dir, first.seed, first.random_probability, first.notes) == (None, 4, 1.0, []) and (second.seed, second.family) == (None, None)
     (tmp_path / "score_phase6_s").mkdir()
@@ -110,7 +174,10 @@ def test_describe(spark, tmp_path, capsys):
     (tmp_path / "a.json").write_text(json.dumps({"data": [{"page": {"no": 3}}, {"page": {"no": 1}, "boxes": [[1], []]}]}))
     assert cli.main(["describe", str(tmp_path / "a.json")]) == 0
     told = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
-    assert [(r["path"], r["kind"], r["n"]) for r in told] == [("$", "OBJECT", 2), ("$.boxes", "ARRAY", 1), ("$.boxes[]", "ARRAY", 2), ("$.boxes[][]", "BIGINT", 1), ("$.page", "OBJECT", 2), ("$.page.no", "BIGINT", 2)]
+    assert [(r["path"], r["kind"], r["n"]) for r in told] == [
+        ("$", "OBJECT", 2), ("$.boxes", "ARRAY", 1), ("$.boxes[]", "ARRAY", 2), ("$.boxes[][]", "BIGINT", 1), ("$.page", "OBJECT", 2),
+        ("$.page.no", "BIGINT", 2)
+    ]
     assert told[-1]["example"] == "1" and told[1]["most_length"] == 2
 
 

@@ -38,7 +38,10 @@ def test_dense_places(spark):
 
 
 def test_rules(spark):
-    r = spark.createDataFrame([("a", 25, 1, False, False), ("b", None, None, True, False), ("c", 3, 7, False, False), ("d", 3, 3, False, None)], "page_id string, row_count int, col_count int, has_merged_cells boolean, has_nested_headers boolean")
+    r = spark.createDataFrame(
+        [("a", 25, 1, False, False), ("b", None, None, True, False), ("c", 3, 7, False, False), ("d", 3, 3, False, None)],
+        "page_id string, row_count int, col_count int, has_merged_cells boolean, has_nested_headers boolean"
+    )
     ids = lambda rule: sorted(x.page_id for x in dataset.hard_table_pages(r, rule).collect())
     assert ids(dataset.HardTableRule()) == []
     assert ids(dataset.HardTableRule(20, 6, ("has_merged_cells",))) == ["a", "b", "c"]
@@ -57,8 +60,14 @@ def test_random_policy(spark):
 
 def test_p95_and_costs(spark):
     rows = [("a", i, False, 1, None, float(i)) for i in range(101)] + [("b", 0, True, 5, 7, 3.0), ("b", 1, True, 5, None, 3.0), ("b", 2, None, 5, 9, 3.0)]
-    log = spark.createDataFrame(rows, "system_id string, line_no int, reparse_triggered boolean, first_pass_output_tokens long, reparse_output_tokens long, total_runtime_ms double").withColumns({"runtime_ms": F.lit(None).cast("double"), "output_token_count": F.lit(None).cast("long")})
-    systems = spark.createDataFrame([("a", True, 4, 10, None), ("b", True, 4, 10, None), ("c", False, None, None, 6), ("d", True, 4, 10, None)], "system_id string, adaptive boolean, low int, high int, tiles int")
+    log = spark.createDataFrame(
+        rows,
+        "system_id string, line_no int, reparse_triggered boolean, first_pass_output_tokens long, reparse_output_tokens long, total_runtime_ms double"
+    ).withColumns({"runtime_ms": F.lit(None).cast("double"), "output_token_count": F.lit(None).cast("long")})
+    systems = spark.createDataFrame(
+        [("a", True, 4, 10, None), ("b", True, 4, 10, None), ("c", False, None, None, 6), ("d", True, 4, 10, None)],
+        "system_id string, adaptive boolean, low int, high int, tiles int"
+    )
     got = {r.system_id: r for r in summary.summaries(log, systems).collect()}
     assert got["a"].p95_runtime_ms == 95.0 and got["a"].cost_tiles == 4
     assert got["b"].mean_output_tokens == pytest.approx(17 / 3) and got["b"].cost_tiles == pytest.approx(4 + 20 / 3) and got["b"].reparse_count == 2
@@ -105,7 +114,13 @@ def test_selection(spark):
 
 
 def test_last_row_wins_and_empty_pages(spark):
-    log = spark.createDataFrame([("s", 0, "p", 1), ("s", 2, "p", 3), ("s", 1, "p", 2)], "system_id string, line_no int, page_id string, output_token_count long").withColumns({"reparse_triggered": F.lit(None).cast("boolean"), "reparse_output_tokens": F.lit(None).cast("long"), "first_pass_output_tokens": F.lit(None).cast("long"), "total_runtime_ms": F.lit(0.0), "runtime_ms": F.lit(0.0), "verifier_decision": F.lit(None).cast("string"), "verifier_failure_codes": F.lit(None).cast("array<string>")})
+    log = spark.createDataFrame([("s", 0, "p", 1), ("s", 2, "p", 3), ("s", 1, "p", 2)], "system_id string, line_no int, page_id string, output_token_count long").withColumns(
+        {
+            "reparse_triggered": F.lit(None).cast("boolean"), "reparse_output_tokens": F.lit(None).cast("long"),
+            "first_pass_output_tokens": F.lit(None).cast("long"), "total_runtime_ms": F.lit(0.0), "runtime_ms": F.lit(0.0),
+            "verifier_decision": F.lit(None).cast("string"), "verifier_failure_codes": F.lit(None).cast("array<string>")
+        }
+    )
     got = {r.page_id: r.systems for r in summary.page_matrix(spark.createDataFrame([("p",), ("q",)], "page_id string"), log, spark.createDataFrame([("s", 0)], "system_id string, ord int")).collect()}
     assert got["p"][0].output_tokens == 3 and got["q"] == []
 
@@ -198,7 +213,15 @@ def test_readers(spark, tmp_path):
     assert json_tables.gold(spark, at("g.json", {"p": "<table></table>"})).head().html == "<table></table>"
     with pytest.raises(ValueError):
         json_tables.gold(spark, at("g2.json", {"p": 1}))
-    tree = {"data": [{"page_info": {"image_path": "a/b c.x.png", "language": " EN "}, "layout_dets": [{"category_type": "Table", "html": " ", "html_str": " <table><tr><td>1</td></tr></table> "}]}, {"image_path": "z.png", "layout_dets": [], "deep": {"language": "eng"}}, {"image_path": "y.png"}]}
+    tree = {
+        "data": [
+            {
+                "page_info": {"image_path": "a/b c.x.png", "language": " EN "},
+                "layout_dets": [{"category_type": "Table", "html": " ", "html_str": " <table><tr><td>1</td></tr></table> "}]
+            },
+            {"image_path": "z.png", "layout_dets": [], "deep": {"language": "eng"}}, {"image_path": "y.png"}
+        ]
+    }
     got = dataset.select_annotations(json_tables.annotations(spark, at("a.json", tree)), 5).collect()
     assert [(x.page_id, x.language, x.table_html, x.row_count) for x in got] == [("b_c_x", "en", "<table><tr><td>1</td></tr></table>", 1)]
     sinks.write_json(tmp_path / "x.json", {"b": 1, "a": 2})
@@ -238,7 +261,10 @@ def test_lines_of_logs_are_numbered(spark, tmp_path):
 
 def test_languages_deep_in_trees(spark):
     nest = lambda v, n: {"language": v} if not n else [nest(v, n - 1)] if n % 2 else {"k": nest(v, n - 1)}
-    trees = [{"a": {"language": ""}, "b": [{"language": None}, {"c": 1, "language": " Eng "}]}, nest("en", 8), nest("en", 9), {"z": {"language": "de"}, "language": "fr"}, {"page_info": {"language": "EN"}, "x": {"language": "no"}}, [], {"language": 0}]
+    trees = [
+        {"a": {"language": ""}, "b": [{"language": None}, {"c": 1, "language": " Eng "}]}, nest("en", 8), nest("en", 9),
+        {"z": {"language": "de"}, "language": "fr"}, {"page_info": {"language": "EN"}, "x": {"language": "no"}}, [], {"language": 0}
+    ]
     df = spark.createDataFrame([(i, json.dumps(t)) for i, t in enumerate(trees)], "i int, t string").select("i", F.parse_json("t").alias("entry"))
     out = dataset.with_language(df)
     assert [r.language for r in out.orderBy("i").collect()] == ["eng", "en", None, "fr", "en", None, "0"]
@@ -365,7 +391,10 @@ def test_systems_run_side_by_side(spark, tmp_path):
         return str(tmp_path / system)
 
     entries = experiment.run_all(pages, frozen, {m.name: m for m in (Q.STUB_2B, Q.STUB_8B)}, Q.PROMPT, [0], write, at_once=4)
-    assert [(e["system_id"], e["status"]) for e in entries] == [("adaptive_2b", "ok"), ("fixed_2b_low", "failed"), ("fixed_2b_matched", "ok"), ("random_2b_seed0", "ok"), ("fixed_8b_matched", "skipped_stub_8b")]
+    assert [(e["system_id"], e["status"]) for e in entries] == [
+        ("adaptive_2b", "ok"), ("fixed_2b_low", "failed"), ("fixed_2b_matched", "ok"), ("random_2b_seed0", "ok"),
+        ("fixed_8b_matched", "skipped_stub_8b")
+    ]
     assert "disk full" in entries[1]["error"] and entries[2]["pages_processed"] == 5
     left[0].join(50)
     assert ended and ended[0] < 45 and spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None

@@ -112,7 +112,10 @@ def test_verifier(spark):
 
 
 def test_blocks_and_patterns(spark):
-    texts = ["", "tables of lakes", f"x {WELL}\n\n{VOID.upper()}y</table>", "<tables>no</tables>", "<table><thead><tr><th>p<th>q</tr></thead><tr><td rowspan = 2>r</td><td>&nbsp;</td></tr><thead></thead></table>", None]
+    texts = [
+        "", "tables of lakes", f"x {WELL}\n\n{VOID.upper()}y</table>", "<tables>no</tables>",
+        "<table><thead><tr><th>p<th>q</tr></thead><tr><td rowspan = 2>r</td><td>&nbsp;</td></tr><thead></thead></table>", None
+    ]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     rows = {r.i: r for r in df.select("i", html.table_blocks(df.t).alias("b"), html.metadata(df.t).alias("m"), html.non_empty_cells(df.t).alias("n")).collect()}
     assert [len(rows[i].b) for i in range(6)] == [0, 0, 2, 0, 1, 0]
@@ -193,7 +196,12 @@ def test_long_pages_compare(spark, monkeypatch):
     cells = sum(x != y for r, o in zip(rows, other) for x, y in zip(r, o))
     r = scores(spark, [(show(other), show(rows)), (show(rows), show(rows))])
     assert r[0].gold_cells == 100_000 and r[0].precision == pytest.approx(1 - cells / 100_000) and 0.99 < r[0].text_similarity < 1 and r[1].text_similarity == 1
-    pairs = [(show([[rng.choice(["a b", "cé", ""]) for _ in range(5)] for _ in range(rng.randrange(1, 30))]), show([[rng.choice(["a b", "cé", ""]) for _ in range(5)] for _ in range(rng.randrange(1, 30))])) for _ in range(60)]
+    pairs = [
+        (
+            show([[rng.choice(["a b", "cé", ""]) for _ in range(5)] for _ in range(rng.randrange(1, 30))]),
+            show([[rng.choice(["a b", "cé", ""]) for _ in range(5)] for _ in range(rng.randrange(1, 30))])
+        ) for _ in range(60)
+    ]
     found = []
     for at in (0, 10**9):
         found.append(scoring._compare(pa.array([[p] for p, _ in pairs]), pa.array([[g] for _, g in pairs])).to_pylist())
