@@ -23,7 +23,10 @@ def ship(spark: SparkSession) -> None:
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH")) if x)
         # One thread for tokenizers; freed memory of Python workers goes back to the system.
-        for k, v in {"TOKENIZERS_PARALLELISM": "false", "ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "4194304"}.items():
+        for k, v in {
+            "TOKENIZERS_PARALLELISM": "false", "ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "1048576",
+            "MALLOC_TRIM_THRESHOLD_": "4194304"
+        }.items():
             env.setdefault(k, v)
     # Texts vary in length: batches for Python are bounded by bytes, not only by rows.
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))

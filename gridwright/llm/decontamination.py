@@ -208,4 +208,8 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     of each document, a row for each row; a null text is clean, and so are all if there are no items.
     """
     out = searched(docs, benchmark)
-    return out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), F.array_join(F.transform("item_ids", lambda x: x.cast("string")), ",").alias("item_ids"), F.coalesce(F.round("similarity", 6), F.lit(0.0)).alias("similarity"))
+    return out.select(
+        "doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"),
+        F.array_join(F.transform("item_ids", lambda x: x.cast("string")), ",").alias("item_ids"),
+        F.coalesce(F.round("similarity", 6), F.lit(0.0)).alias("similarity")
+    )

@@ -532,7 +532,13 @@ def later_lines(docs: DataFrame, most: int = 1, least: int = 20, short: bool = F
     # Rows that agree in doc_id and text are one document.
     lines = S.map_arrow(docs, number, "line long, check long, doc_id long, row long, at int")
     joined = lines.join(parts, F.col("line") == F.col("node"), "left") if parts is not None else lines.withColumn("component", F.lit(None).cast("long"))
-    lines = S.stored(joined.select(F.coalesce("component", "line").alias("class"), F.when(F.col("component").isNull(), F.col("check")).otherwise(0).alias("check"), "line", "doc_id", "row", "at"), "lines")
+    lines = S.stored(
+        joined.select(
+            F.coalesce("component", "line").alias("class"), F.when(F.col("component").isNull(), F.col("check")).otherwise(0).alias("check"), "line",
+            "doc_id", "row", "at"
+        ),
+        "lines"
+    )
     first = lines.groupBy("class", "check").agg(F.min(F.struct("doc_id", "row", "at", "line")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = S.join_groups(lines, first, ["class", "check"], "n").where("struct(doc_id, row, at) > struct(first.doc_id, first.row, first.at)")
     near = F.size(F.collect_set(F.when(F.col("line") != F.col("first.line"), F.col("at")))).cast("long")
@@ -615,6 +621,9 @@ def digest(docs: DataFrame, most: int = 1, least: int = 20, short: bool = False)
         prints = [p if g is None else sha256(without(t, set(g)).encode()).hexdigest() for t, g, p in zip(b.column("held").to_pylist(), gone, prints)]
         less, stays = [len(g or ()) for g in gone], [",".join(map(str, x or ())) for x in b.column("stays_in").to_pylist()]
         near = b.column("near").fill_null(0)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_lines"), pa.array(less, pa.int64()), near, pa.array(prints, pa.string()), pa.array(stays, pa.string())], names=["doc_id", "n_lines", "n_removed", "n_near", "kept_sha256", "stays_in"])
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), b.column("n_lines"), pa.array(less, pa.int64()), near, pa.array(prints, pa.string()), pa.array(stays, pa.string())],
+            names=["doc_id", "n_lines", "n_removed", "n_near", "kept_sha256", "stays_in"]
+        )
 
     return S.map_arrow(met_.select("doc_id", "n_lines", "kept_sha256", "held", "gone", "near", "stays_in"), cut, RESULT)

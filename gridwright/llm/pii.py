@@ -107,7 +107,10 @@ def proposals(text: str) -> list[Span]:
     return list(dict.fromkeys(out))
 
 
-NAMES = ("kind", "length", "digits", "letters", "spaces", "separators", "different", "groups", "longest", "shortest", "first", "luhn", "octets", "plus", "at", "spelled", "tail", "before", "after", "digits_around", "hint", "brackets")
+NAMES = (
+    "kind", "length", "digits", "letters", "spaces", "separators", "different", "groups", "longest", "shortest", "first", "luhn", "octets", "plus",
+    "at", "spelled", "tail", "before", "after", "digits_around", "hint", "brackets"
+)
 
 
 def describe(text: str, span: Span) -> list[float]:
@@ -119,7 +122,12 @@ def describe(text: str, span: Span) -> list[float]:
     seps = re.findall(r"[^0-9A-Za-z]+", s)
     klass = lambda c: 0 if not c else 1 if c.isspace() else 2 if c.isdigit() else 3 if c.isalpha() else 4 if c in ".,;:!?" else 5
     tail = re.search(r"([A-Za-z]+)$", s)
-    return [KINDS.index(kind), len(s), len(d), sum(c.isalpha() for c in s), sum(c.isspace() for c in s), len(seps), len(set(seps)), len(groups), max(groups), min(groups), int(d[0]) if d else -1, bool(d) and luhn(d), octets(s), s[:1] == "+" or s[:2] == "00", "@" in s, bool(re.search(r"[\[({](?:at|dot)|\b(?:at|dot|AT|DOT)\b", s)), len(tail.group(1)) if tail else 0, klass(left[-1:]), klass(right[:1]), sum(c.isdigit() for c in left + right), any(h in left.lower() for h in HINTS[kind]), sum(s.count(c) for c in "()[]")]
+    return [
+        KINDS.index(kind), len(s), len(d), sum(c.isalpha() for c in s), sum(c.isspace() for c in s), len(seps), len(set(seps)), len(groups),
+        max(groups), min(groups), int(d[0]) if d else -1, bool(d) and luhn(d), octets(s), s[:1] == "+" or s[:2] == "00", "@" in s,
+        bool(re.search(r"[\[({](?:at|dot)|\b(?:at|dot|AT|DOT)\b", s)), len(tail.group(1)) if tail else 0, klass(left[-1:]), klass(right[:1]),
+        sum(c.isdigit() for c in left + right), any(h in left.lower() for h in HINTS[kind]), sum(s.count(c) for c in "()[]")
+    ]
 
 
 class Boosted:
@@ -294,7 +302,11 @@ def in_groups(d: str, rng: np.random.Generator, sep: str) -> str:
 
 # Ways to write a right span otherwise, by kind and name.
 FAMILIES: dict[str, dict[str, Callable[[str, np.random.Generator], str]]] = {
-    "email": {f"{at}{dot}": spelled(at, dot) for at in ("@", " @ ", "(at)", " (at) ", "[at]", " [at] ", "{at}", " at ", " AT ") for dot in (".", " . ", "(dot)", " (dot) ", "[dot]", " [dot] ", "{dot}", " dot ", " DOT ") if (at, dot) != ("@", ".")},
+    "email": {
+        f"{at}{dot}": spelled(at, dot) for at in ("@", " @ ", "(at)", " (at) ", "[at]", " [at] ", "{at}", " at ", " AT ") for dot in (
+            ".", " . ", "(dot)", " (dot) ", "[dot]", " [dot] ", "{dot}", " dot ", " DOT "
+        ) if (at, dot) != ("@", ".")
+    },
     "ip": {sep: (lambda s, rng, sep=sep: s.replace(".", sep)) for sep in ("[.]", " . ", "(.)", ". ", " .")},
     "card": {sep: (lambda s, rng, sep=sep: sep.join(only_digits(s)[i : i + 4] for i in range(0, len(only_digits(s)), 4))) for sep in (".", "  ", "/", "_", " - ")},
     "phone": {
@@ -358,7 +370,13 @@ def evidence(texts: list[str], fold: int = 3, seed: int = 7) -> list[dict]:
                     around, at = placed(text, span, s)
                     hit = any(k == kind and a < at[2] and b > at[1] for k, a, b in detector.spans(around)[1])
                     tally[kind][right, hit] += 1
-    return [{"kind": k, "right": c[True, True] + c[True, False], "recall": c[True, True] / max(1, c[True, True] + c[True, False]), "precision": c[True, True] / max(1, c[True, True] + c[False, True])} for k, c in tally.items()]
+    return [
+        {
+            "kind": k, "right": c[True, True] + c[True, False], "recall": c[True, True] / max(1, c[True, True] + c[True, False]),
+            "precision": c[True, True] / max(1, c[True, True] + c[False, True])
+        } for k,
+        c in tally.items()
+    ]
 
 
 def train(docs: DataFrame, most: int = 3000, longest: int = 200_000) -> Detector:

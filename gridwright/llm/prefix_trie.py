@@ -34,7 +34,10 @@ def conversations(turns: DataFrame) -> DataFrame:
     """
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
     digest = F.sha2(F.concat(F.length(role).cast("string"), F.lit(":"), role, text), 256)
-    rows = turns.where(F.col("conv_id").isNotNull()).select(F.col("conv_id").cast("long"), F.struct(F.col("turn").cast("long").alias("turn"), digest.alias("digest"), F.length(text).cast("long").alias("size")).alias("t"))
+    rows = turns.where(F.col("conv_id").isNotNull()).select(
+        F.col("conv_id").cast("long"),
+        F.struct(F.col("turn").cast("long").alias("turn"), digest.alias("digest"), F.length(text).cast("long").alias("size")).alias("t")
+    )
     grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     return grouped.select("conv_id", F.transform("ts", lambda t: F.struct(t["digest"].alias("digest"), t["size"].alias("size"))).alias("path"))
 
@@ -183,12 +186,19 @@ def tops(big: DataFrame, below: DataFrame, ends: DataFrame) -> DataFrame:
     """Nodes above splits: `below` are the stats of the next nodes by key of the node they hang from, `ends` the paths
     that end where the split is.
     """
-    sums = below.groupBy("up").agg(F.min("conv_id").alias("conv_id"), F.sum("n_convs").alias("n_convs"), F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("below"), F.sum("count").alias("n_children"))
+    sums = below.groupBy("up").agg(
+        F.min("conv_id").alias("conv_id"), F.sum("n_convs").alias("n_convs"), F.sum("n_leaves").alias("n_leaves"),
+        F.sum("saved_tokens").alias("below"), F.sum("count").alias("n_children")
+    )
     own = ends.select(F.col("key"), F.col("conv_id").alias("own"), F.col("n").alias("own_n"), "ends")
     rows = big.join(sums.withColumnRenamed("up", "key"), "key", "left").join(own, "key", "left")
     n = F.coalesce("n_convs", F.lit(0)) + F.coalesce("own_n", F.lit(0))
     sizes = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
-    return rows.where(n > 0).select("key", "up", "depth", "sizes", F.least("conv_id", "own").alias("conv_id"), n.alias("n_convs"), F.coalesce("n_children", F.lit(0)).cast("long").alias("n_children"), F.coalesce("n_leaves", F.lit(1)).alias("n_leaves"), (F.coalesce("below", F.lit(0)) + (n - 1) * sizes).alias("saved_tokens"), F.coalesce("ends", F.lit(NONE)).alias("ends"))
+    return rows.where(n > 0).select(
+        "key", "up", "depth", "sizes", F.least("conv_id", "own").alias("conv_id"), n.alias("n_convs"),
+        F.coalesce("n_children", F.lit(0)).cast("long").alias("n_children"), F.coalesce("n_leaves", F.lit(1)).alias("n_leaves"),
+        (F.coalesce("below", F.lit(0)) + (n - 1) * sizes).alias("saved_tokens"), F.coalesce("ends", F.lit(NONE)).alias("ends")
+    )
 
 
 def chain(found: DataFrame) -> DataFrame:
@@ -197,7 +207,11 @@ def chain(found: DataFrame) -> DataFrame:
     last = F.coalesce(F.col("i") == F.size("sizes") - 1, F.lit(True))
     above = F.aggregate(F.slice("sizes", F.lit(1), F.coalesce("i", F.lit(0))), F.lit(0).cast("long"), lambda a, x: a + x)
     return rows.select(
-        F.when(F.coalesce("i", F.lit(0)) == 0, F.col("up")).alias("up"), (F.col("depth") + F.coalesce("i", F.lit(0))).cast("long").alias("depth"), "conv_id", F.when(F.col("i") > 0, F.col("conv_id")).alias("parent_conv_id"), "n_convs",
+        F.when(
+            F.coalesce("i", F.lit(0)) == 0, F.col("up")
+        ).alias("up"), (
+            F.col("depth") + F.coalesce("i", F.lit(0))
+        ).cast("long").alias("depth"), "conv_id", F.when(F.col("i") > 0, F.col("conv_id")).alias("parent_conv_id"), "n_convs",
         F.when(last, F.col("n_children")).otherwise(1).cast("long").alias("n_children"), "n_leaves", (F.col("saved_tokens") - (F.col("n_convs") - 1) * above).alias("saved_tokens"), F.when(last, F.col("ends")).otherwise(NONE).alias("ends_sha256"))
 
 
@@ -242,7 +256,10 @@ def trie(convs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
     buckets = max(1, math.ceil(paths.count() / limit))
     tail = F.slice("path", F.col("depth"), F.size("path"))
-    given = final.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), "key", "up", "depth", "conv_id", "n", "ends", F.transform(tail, lambda t: t["digest"]).alias("digests"), F.transform(tail, lambda t: t["size"]).alias("sizes"))
+    given = final.select(
+        F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), "key", "up", "depth", "conv_id", "n", "ends",
+        F.transform(tail, lambda t: t["digest"]).alias("digests"), F.transform(tail, lambda t: t["size"]).alias("sizes")
+    )
     nodes = S.stored(given.groupBy("bucket").applyInPandas(grown, "key string, up string, " + NODE), "nodes")
 
     hung = nodes.where(F.col("up").isNotNull())

@@ -295,7 +295,13 @@ def deduplicated(docs: DataFrame, length: int = 13, short: int | None = None, te
     changed = changed.unionByName(gone.select("doc_id", "copy", F.lit(None).cast("long").alias("n_removed"), F.lit(empty).alias("kept_sha256"), F.lit("").alias("kept_text")))
     # One row for each different text of an id: rows come out as often as they came in.
     changed = changed.groupBy("doc_id", "copy").agg(F.max(F.struct(F.coalesce("n_removed", F.lit(-1)).alias("n"), "kept_sha256", "kept_text")).alias("r"))
-    changed = changed.select(F.col("doc_id").alias("changed_id"), F.col("copy").alias("changed_copy"), F.when(F.col("r.n") >= 0, F.col("r.n")).alias("less"), F.col("r.kept_sha256").alias("new_sha256"), "r.kept_text")
+    changed = changed.select(
+        F.col("doc_id").alias("changed_id"), F.col("copy").alias("changed_copy"), F.when(F.col("r.n") >= 0, F.col("r.n")).alias("less"),
+        F.col("r.kept_sha256").alias("new_sha256"), "r.kept_text"
+    )
     out = every.join(changed, (F.col("doc_id") == F.col("changed_id")) & (F.col("copy") == F.col("changed_copy")), "left")
-    out = out.select("doc_id", "copy", "n_words", F.when(F.col("changed_id").isNull(), 0).otherwise(F.coalesce("less", "n_words")).alias("n_removed"), F.coalesce("new_sha256", "kept_sha256").alias("kept_sha256"), F.coalesce("kept_text", "own_text").alias("kept_text"))
+    out = out.select(
+        "doc_id", "copy", "n_words", F.when(F.col("changed_id").isNull(), 0).otherwise(F.coalesce("less", "n_words")).alias("n_removed"),
+        F.coalesce("new_sha256", "kept_sha256").alias("kept_sha256"), F.coalesce("kept_text", "own_text").alias("kept_text")
+    )
     return out.drop("copy", "kept_text") if not text else out.drop("copy")

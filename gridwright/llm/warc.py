@@ -123,7 +123,14 @@ def write_archives(pages: DataFrame, folder: str, smallest: int = 0, roll: int =
                     sink = where.open_output_stream(names[-1], compression=None, buffer_size=1 << 20)
                 data = payload.as_py()
                 top = top.as_py()
-                sink.write(member(record("response" if top is None else "revisit", ident(key.as_py()), url.as_py(), data, base64.b32encode(bytes.fromhex(sha1.as_py())).decode(), len(data), date, None if top is None else ident(top))))
+                sink.write(
+                    member(
+                        record(
+                            "response" if top is None else "revisit", ident(key.as_py()), url.as_py(), data,
+                            base64.b32encode(bytes.fromhex(sha1.as_py())).decode(), len(data), date, None if top is None else ident(top)
+                        )
+                    )
+                )
                 if sink.tell() >= roll:
                     sink.close()
                     sink = None
@@ -275,7 +282,16 @@ class WarcReader(DataSourceReader):
                 for h, http, payload, block in records(file, file.size(), self.wanted, payloads):
                     said = h.get("warc-payload-digest", "").removeprefix("sha1:") or None
                     full = payload is not None and h.get("warc-type") == "response"
-                    rows.append({"record_id": h.get("warc-record-id", "").strip("<>"), "record_type": h.get("warc-type"), "target_uri": h.get("warc-target-uri"), "warc_date": h.get("warc-date"), "payload_digest": said, "refers_to": h["warc-refers-to"].strip("<>") if "warc-refers-to" in h else None, "payload_bytes": int(http.get("content-length", block)), "payload_ok": digest(payload) == said if full and "payload_ok" in self.columns else None, "payload": payload if full else None})
+                    rows.append(
+                        {
+                            "record_id": h.get("warc-record-id", "").strip("<>"), "record_type": h.get("warc-type"),
+                            "target_uri": h.get("warc-target-uri"), "warc_date": h.get("warc-date"), "payload_digest": said,
+                            "refers_to": h["warc-refers-to"].strip("<>") if "warc-refers-to" in h else None,
+                            "payload_bytes": int(http.get("content-length", block)),
+                            "payload_ok": digest(payload) == said if full and "payload_ok" in self.columns else None,
+                            "payload": payload if full else None
+                        }
+                    )
                     held += len(payload or b"") + 200
                     if held > 8 << 20:
                         yield out()

@@ -436,7 +436,10 @@ def test_shard_access():
 
 def test_archives(spark):
     pages = [(i, f"http://a.example/{i}", f"<p>{i % 7} é</p>" if i % 3 else f"<p>{i}</p>" * 3000) for i in range(60)]
-    pages += [(100, None, None), (101, "x\r\nY: z", ""), (102, "u", None), (7, "http://a.example/7", "<p>0 é</p>"), (None, "n", "<p>0 é</p>"), (None, "n", "only"), (103, "same", "twice"), (103, "same", "twice")]
+    pages += [
+        (100, None, None), (101, "x\r\nY: z", ""), (102, "u", None), (7, "http://a.example/7", "<p>0 é</p>"), (None, "n", "<p>0 é</p>"),
+        (None, "n", "only"), (103, "same", "twice"), (103, "same", "twice")
+    ]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 as top", "2 as sha1")
     top = {}
     for i, _, h in pages:

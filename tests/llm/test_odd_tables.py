@@ -19,13 +19,19 @@ TEXTS = [
     (0, PLAIN), (1, None), (2, ""), (3, " \n\t\x0b"), (4, LONG), (5, LONG), (6, PLAIN + " again"), (6, PLAIN + " again"), (6, "another text under the same id, with 4111 1111 1111 1111 in it"),
     (None, PLAIN), (None, None), (None, "no id and nothing like it anywhere else in this table of odd rows"), (7, PLAIN), (-3, "ünïcödé 🎉 \x00 text"), (9, "x" * 5000), (10, "a b c"),
 ]
-CLASHING = ("component_id", "fingerprint", "n_tokens", "ids", "score", "lang_pred", "row", "key", "fp", "state", "part", "length", "start", "line", "marks", "item_ids", "kept_text", "id", "n", "mask", "draw", "token_ids", "decoded_text")
+CLASHING = (
+    "component_id", "fingerprint", "n_tokens", "ids", "score", "lang_pred", "row", "key", "fp", "state", "part", "length", "start", "line", "marks",
+    "item_ids", "kept_text", "id", "n", "mask", "draw", "token_ids", "decoded_text"
+)
 ITEMS = [(1, PLAIN), (1, "something else entirely for the same item of the benchmark"), (None, PLAIN), (3, None), (4, ""), (5, PLAIN)]
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    df = spark.createDataFrame([(k, t, "en" if i % 2 else None, "hot" if i % 3 else None, None if t is None else len(t)) for i, (k, t) in enumerate(TEXTS)], "doc_id long, text string, lang string, source string, n_chars long")
+    df = spark.createDataFrame(
+        [(k, t, "en" if i % 2 else None, "hot" if i % 3 else None, None if t is None else len(t)) for i, (k, t) in enumerate(TEXTS)],
+        "doc_id long, text string, lang string, source string, n_chars long"
+    )
     return df.withColumns({c: F.lit(i) for i, c in enumerate(CLASHING)}).repartition(3)
 
 

@@ -118,7 +118,16 @@ def plain_audit(docs, labels):
                 before = set(order[:step])
                 gone = [r for r in mine if x in r[1] and not r[1] & before]
                 shapley[x] += len(gone)
-                table.append((x, (part, "".join(order), step + 1, sum(not r[1] & {*before, x} for r in mine), len(gone), sum(x in r[1] and bool(r[1] & before) for r in mine), sum(r[1] == {x} for r in mine), sum(r[2] for r in gone), sum(r[3] for r in gone))))
+                table.append(
+                    (
+                        x,
+                        (
+                            part, "".join(order), step + 1, sum(not r[1] & {*before, x} for r in mine), len(gone),
+                            sum(x in r[1] and bool(r[1] & before) for r in mine), sum(r[1] == {x} for r in mine), sum(r[2] for r in gone),
+                            sum(r[3] for r in gone)
+                        )
+                    )
+                )
         out |= {(*row, shapley[x]) for x, row in table}
     return out
 

@@ -73,7 +73,9 @@ def test_base_spans_in_long_runs():
 
 
 def test_detector(spark):
-    texts = [f"write to user{i}@mail.example.com now" for i in range(40)] + [f"host 10.0.{i}.1 is up" for i in range(40)] + [f"card 4111111111111111 and 411111111111{i:04d}" for i in range(40)] + [f"call +1 ({200 + i}) 555-01{i:02d} today" for i in range(40)] + ["no data in 2020 or 12345"] * 20 + [None, ""]
+    texts = [f"write to user{i}@mail.example.com now" for i in range(40)] + [f"host 10.0.{i}.1 is up" for i in range(40)] + [
+        f"card 4111111111111111 and 411111111111{i:04d}" for i in range(40)
+    ] + [f"call +1 ({200 + i}) 555-01{i:02d} today" for i in range(40)] + ["no data in 2020 or 12345"] * 20 + [None, ""]
     df = rows(spark, texts)
     got = {r.doc_id: r for r in pii.detected(df).collect()}
     assert len(got) == len(texts)
