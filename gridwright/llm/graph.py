@@ -109,3 +109,30 @@ def whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table
             held.append(b)
     if held:
         yield pa.Table.from_batches(held)
+
+
+def bounded_runs(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iterator[tuple[pa.Table, bool]]:
+    """Tables of rows sorted by key, and whether their keys are whole. Of a key with over `most` rows some at a time come,
+    and nothing else with them, so no more are held.
+    """
+    held: list[pa.RecordBatch] = []
+    last, over = None, None  # the key of what is held; one that had too many
+    for b in batches:
+        keys = b.column(key).to_numpy(zero_copy_only=False)
+        if over is not None and len(keys) and keys[0] == over:
+            cut = int(np.searchsorted(keys, over, "right"))
+            yield pa.Table.from_batches([b.slice(0, cut)]), False
+            b, keys = b.slice(cut), keys[cut:]
+        if not len(keys):
+            continue
+        over, cut = None, int(np.searchsorted(keys, keys[-1], "left"))
+        if cut or held and last != keys[-1]:
+            yield pa.Table.from_batches([*held, b.slice(0, cut)]), True
+            held = []
+        held.append(b.slice(cut))
+        last = keys[-1]
+        if sum(h.num_rows for h in held) > most:
+            yield pa.Table.from_batches(held), False
+            held, over = [], last
+    if held:
+        yield pa.Table.from_batches(held), True

@@ -23,6 +23,8 @@ from . import graph
 
 SEGMENTS = (13, 13, 13, 13, 12)
 STARTS = tuple(sum(SEGMENTS[:i]) for i in range(5))
+CROWD, BLOCK = 4096, 2048  # fingerprints of a key that one task compares, and of a block of more
+MEETING = pa.schema([(c, pa.int64()) for c in ("a", "b", "key", "fp", "id")])
 MARKED = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
 
@@ -92,20 +94,21 @@ def chained(a: np.ndarray, b: np.ndarray, key: np.ndarray, most: int = 4) -> np.
     return ok & (np.bitwise_count(diff) <= most)
 
 
-def links_of(table: pa.Table, most: int = 4, small: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Links among the rows (key, fp, id) of each key, of those pairs that pass the chain that the key begins and then
-    the full distance: all of small groups, a spanning forest of larger ones. No group makes more links than it has
-    members, but for a few in small ones.
+def links_of(table: pa.Table, most: int = 4, small: int = 8, by: str = "key") -> tuple[np.ndarray, np.ndarray]:
+    """Links among the rows (key, fp, id) of each value of `by`, of those pairs that pass the chain that the key begins
+    and then the full distance: all of small groups, a spanning forest of larger ones. No group makes more links than it
+    has members, but for a few in small ones.
     """
+    group = table.column(by).to_numpy()
     key, fp, ids = (table.column(c).to_numpy() for c in ("key", "fp", "id"))
     fp = fp.view(np.uint64)
-    starts = graph.runs(key)
+    starts = graph.runs(group)
     sizes = np.diff(starts)
     a, b = [], []
     for off in range(1, small):
         if not (sizes > off).any():
             break
-        at = np.flatnonzero(key[off:] == key[:-off])
+        at = np.flatnonzero(group[off:] == group[:-off])
         at = at[np.repeat(sizes, sizes)[at] <= small]
         at = at[chained(fp[at], fp[at + off], key[at], most)]
         a.append(ids[at])
@@ -128,19 +131,42 @@ def links_of(table: pa.Table, most: int = 4, small: int = 8) -> tuple[np.ndarray
 
 def hamming_links(fps: DataFrame, most: int = 4) -> DataFrame:
     """Links (a, b) that join all ids of fps (fp, id), one row for each different fp, that a chain of fingerprints at
-    distances of at most 4 joins.
+    distances of at most 4 joins; a table.
+
+    A key's fingerprints are compared by one task, if they are CROWD or fewer. More are cut into blocks by their ids, and
+    each two blocks meet in a group of their own.
     """
     if not 0 <= most <= 4:
         raise ValueError("the segments hold for distances of at most 4")
     rows = fps.select(F.explode(ring_keys(F.col("fp"))).alias("key"), "fp", "id").repartition("key").sortWithinPartitions("key")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in graph.whole_runs(batches, "key"):
-            a, b = links_of(t, most)
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, whole in graph.bounded_runs(batches, "key", CROWD):
+            if whole:
+                a, b = links_of(t, most)
+                if len(a):
+                    yield S.batch(MEETING, a, b, *[pa.nulls(len(a), pa.int64())] * 3)
+            else:
+                none = pa.nulls(t.num_rows, pa.int64())
+                yield S.batch(MEETING, none, none, *(t.column(c).combine_chunks() for c in ("key", "fp", "id")))
+
+    met = S.stored(rows.mapInArrow(meet, "a long, b long, key long, fp long, id long"), "met")
+    links, over = met.where("a is not null").select("a", "b"), met.where("a is null").select("key", "fp", "id")
+    if over.isEmpty():
+        return links
+    blocks = over.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    over = over.join(blocks.hint("merge"), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    over = over.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    over = over.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "key", "fp", "id")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in graph.whole_runs(batches, "group"):
+            a, b = links_of(t, most, by="group")
             if len(a):
                 yield S.batch(graph.PAIR, a, b)
 
-    return rows.mapInArrow(run, "a long, b long")
+    more = over.repartition("group").sortWithinPartitions("group").mapInArrow(compare, "a long, b long")
+    return links.unionByName(S.stored(more, "links"))
 
 
 def grouped(docs: DataFrame, size: int = 4, most: int = 4) -> DataFrame:

@@ -13,6 +13,7 @@ from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -270,7 +271,23 @@ def test_ring_keys_meet(fp, bits):
     assert len(shared) and simhash.chained(a, b, shared).any()
 
 
-def test_ring_keys_in_spark_and_large_groups(spark):
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=60), st.integers(1, 9), st.integers(1, 12))
+def test_runs_are_bounded(keys, size, most):
+    keys = sorted(keys)
+    rows = pa.record_batch({"k": pa.array(keys, pa.int64()), "i": pa.array(range(len(keys)), pa.int64())})
+    out = list(graph.bounded_runs((rows.slice(i, size) for i in range(0, len(keys), size)), "k", most))
+    assert [i for t, _ in out for i in t.column("i").to_pylist()] == list(range(len(keys)))
+    parts = [set(t.column("k").to_pylist()) for t, whole in out if not whole]
+    assert all(len(p) == 1 and keys.count(*p) > most for p in parts) and all(t.num_rows <= most + size or whole for t, whole in out)
+    whole = [set(t.column("k").to_pylist()) for t, ok in out if ok]
+    assert sum(map(len, whole)) == len(set().union(*whole)) and not set().union(*whole) & set().union(*parts)
+
+
+@pytest.mark.parametrize("crowd,block", [(4096, 2048), (5, 3)])
+def test_ring_keys_in_spark_and_large_groups(spark, monkeypatch, crowd, block):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rng = np.random.default_rng(0)
     centre = rng.integers(-(2**63), 2**63 - 1, 6)
     fps = sorted({int(c) ^ int(np.bitwise_or.reduce(1 << rng.integers(0, 63, k))) for c in centre for k in rng.integers(1, 5, 60)})
