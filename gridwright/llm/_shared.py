@@ -99,6 +99,13 @@ def kept_for(spark: SparkSession) -> Iterator[list[str]]:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def tasks_for(rows: DataFrame) -> int:
+    """How many tasks to deal rows of a table to: as many as read it, and no fewer than the session's shuffles have, so
+    that a task's share doesn't grow with the table.
+    """
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
     """Join rows with groups, one for each of their keys, whose column `size` counts the group's rows.
 

@@ -180,7 +180,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, room: int = 2048, g
     """
     S.ship(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    dealt = rows.withColumn("draw", F.xxhash64(F.lit(SEED), "key", "text")).repartition("draw").sortWithinPartitions("draw", "key").select("key", "text")
+    dealt = rows.withColumn("draw", F.xxhash64(F.lit(SEED), "key", "text")).repartition(S.tasks_for(docs), "draw").sortWithinPartitions("draw", "key").select("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, number = tokens(tokenizer), TaskContext.get().partitionId() << 40

@@ -62,7 +62,7 @@ def endings(rows: DataFrame) -> DataFrame:
     them passes on its ids as text, and what is left for one task is hashing that text as a stream.
     """
     S.ship(rows.sparkSession)
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = S.tasks_for(rows)
     schema = pa.schema([("key", pa.string()), ("n", pa.int64()), ("least", pa.int64()), ("ends", pa.string()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
