@@ -103,9 +103,9 @@ def log_rows(spark: SparkSession, paths: dict[str, str], schema: str = schemas.A
         "value", plain(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("id")
     )
-    splits = lines.groupBy("file", "block").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).join(F.broadcast(listed), "file")
+    splits = lines.groupBy("file", "block").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).join(listed, "file")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("system_id").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = lines.join(F.broadcast(splits.select("system_id", "file", "block", "low", before.alias("before"))), ["file", "block"])
+    rows = lines.join(splits.select("system_id", "file", "block", "low", before.alias("before")), ["file", "block"])
     rows = rows.select("system_id", (F.col("before") + F.col("id") - F.col("low")).alias("line_no"), "value").where(F.trim("value") != "")
     kind = F.schema_of_variant(F.try_parse_json("value"))
     if bad := rows.where(~F.coalesce(kind.startswith("OBJECT"), F.lit(False))).orderBy("system_id", "line_no").take(1):

@@ -422,3 +422,11 @@ def test_shapes_of_trees(spark):
         ("$.a[]", "BIGINT"): (1, None, None, "1"), ("$.a[]", "OBJECT"): (1, 1, 1, None), ("$.a[].b", "VOID"): (1, None, None, "null"), ("$.a.b", "BOOLEAN"): (1, None, None, "true"),
     }
     assert dataset.described(df.limit(0)).count() == 0
+
+
+def test_the_audit_reads_the_log_once(spark, tmp_path):
+    Q.fx.run_log(spark, SF).write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    held = spark.range(3).selectExpr("concat('page_', id) as page_id")
+    plan = analysis.evidence(log, held, "p")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1
