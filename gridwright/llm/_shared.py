@@ -83,6 +83,13 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return stored_at(df, what)[0]
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of results that have been stored: it does so when the driver's JVM finds that
+    nothing uses them any more, which on a quiet driver may be much later.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def kept_for(spark: SparkSession) -> Iterator[list[str]]:
     """Gives a list of the tables and folders that are made inside; what it holds at the end is deleted. Results that are

@@ -78,9 +78,10 @@ def settled(h: np.ndarray, d: np.ndarray, text: np.ndarray) -> tuple[np.ndarray,
     starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     several = np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)
     several &= np.minimum.reduceat(text, starts) != np.maximum.reduceat(text, starts)
-    known = np.repeat(several, np.diff(np.append(starts, len(h))))
-    again = h[starts[several]]
-    return np.concatenate([h, again]), np.concatenate([d, np.full(len(again), NOBODY)]), np.concatenate([np.where(known, KNOWN, OPEN), np.full(len(again), OPEN)]).astype(np.int8)
+    state = np.empty(len(h), np.int8)  # in the order that the rows came in, by documents, which packs better
+    state[order] = np.where(np.repeat(several, np.diff(np.append(starts, len(h)))), KNOWN, OPEN)
+    again, back = h[starts[several]], np.argsort(order)
+    return np.concatenate([h[back], again]), np.concatenate([d[back], np.full(len(again), NOBODY)]), np.concatenate([state, np.full(len(again), OPEN, np.int8)])
 
 
 def repeated(rows: DataFrame) -> DataFrame:
@@ -166,6 +167,7 @@ def candidates(docs: DataFrame, length: int, short: int, gone: DataFrame | None
         levels = levels.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
     marks = repeated(levels).groupBy("doc_id").agg(F.collect_set("h").alias("marks")).withColumnRenamed("doc_id", "marked_id")
     near = S.stored(docs.join(marks, F.col("doc_id") == F.col("marked_id")).select("doc_id", "text", "marks"), "candidates")
+    S.release(docs.sparkSession)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def windows() -> Iterator[tuple[np.ndarray, ...]]:
@@ -183,10 +185,11 @@ def candidates(docs: DataFrame, length: int, short: int, gone: DataFrame | None
                 yield S.batch(AT, h, g, d, at)
                 continue
             order = np.lexsort((d, g, h))
-            h, g, d = h[order], g[order], d[order]
-            starts = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]))
-            late = d > np.repeat(d[starts], np.diff(np.append(starts, len(h))))
-            yield S.batch(AT_ONCE, h, g, d, np.where(late, KNOWN, OPEN).astype(np.int8))
+            a, b, c = h[order], g[order], d[order]
+            starts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            state = np.empty(len(h), np.int8)
+            state[order] = np.where(c > np.repeat(c[starts], np.diff(np.append(starts, len(c)))), KNOWN, OPEN)
+            yield S.batch(AT_ONCE, h, g, d, state)
 
     return near, near.mapInArrow(extend, "h long, g long, doc_id long, " + ("state byte" if once else "at int"))
 
