@@ -60,6 +60,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _MADE: list[list[str]] = []  # paths that were given out, for each kept_for that is open
 
 
@@ -72,10 +73,19 @@ def fresh(spark: SparkSession, what: str) -> str:
 
 
 def stored_at(df: DataFrame, what: str) -> tuple[DataFrame, str]:
-    """The rows as a table in the shared folder, and its path."""
-    path = fresh(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    """The rows as a table in the shared folder, and its path. Shuffle files of the job that writes it go when it ends:
+    what follows reads the table.
+    """
+    spark = df.sparkSession
+    path, was = fresh(spark, what), spark.conf.get(CLEANUP, None)
+    if was is not None:  # else this Spark has no such setting
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if was is not None:
+            spark.conf.set(CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
@@ -83,13 +93,6 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return stored_at(df, what)[0]
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of results that have been stored: it does so when the driver's JVM finds that
-    nothing uses them any more, which on a quiet driver may be much later.
-    """
-    spark.sparkContext._jvm.System.gc()
-
-
 @contextmanager
 def kept_for(spark: SparkSession) -> Iterator[list[str]]:
     """Gives a list of the tables and folders that are made inside; what it holds at the end is deleted. Results that are

@@ -167,7 +167,6 @@ def candidates(docs: DataFrame, length: int, short: int, gone: DataFrame | None
         levels = levels.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
     marks = repeated(levels).groupBy("doc_id").agg(F.collect_set("h").alias("marks")).withColumnRenamed("doc_id", "marked_id")
     near = S.stored(docs.join(marks, F.col("doc_id") == F.col("marked_id")).select("doc_id", "text", "marks"), "candidates")
-    S.release(docs.sparkSession)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def windows() -> Iterator[tuple[np.ndarray, ...]]:
