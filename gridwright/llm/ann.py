@@ -1,15 +1,17 @@
-"""Approximate nearest neighbours by inner product: an inverted file of coarse centroids with product-quantised
-residuals.
+"""Nearest neighbours by inner product: an inverted file of coarse centroids whose vectors are kept as they are.
 
-Every different vector is filed in the list of its nearest centroid as the codes of its residual: one of at most 256
-centroids for each part of the vector. A query looks into the lists whose centroids have the largest inner product with
-it; its inner products with the centroids of all parts make a table from which a filed vector's score is a sum of
-look-ups. The best by that score are scored again with the original vectors in double precision.
+Every different vector is filed in the list of its nearest centroid. A query looks into the lists whose centroids
+promise most; how many, is measured: the true neighbours of PILOT queries are found among all vectors, and as many lists
+are looked into as hold a share RECALL of those. So where near neighbours lie anywhere, all lists are looked into, and
+where they lie together, few are.
+
+In a list nothing is lost: float32 products of scaled vectors, which have a known error, tell which vectors may be among
+a query's best, and those are scored with the original vectors in double precision.
 
 Equal vectors are one entry with its smallest ids, as many as a result can show, so a vector that many rows share makes
-no long list and ties come out by id. Centroids are learned from at most SAMPLE vectors, those whose ids hash lowest;
-every vector is filed. Lists are dealt in blocks of bounded size, so a large list is many rows of one join, not one
-task's.
+no long list and ties come out by id. Centroids are learned from some SAMPLE vectors, those whose hashes are lowest;
+every vector is filed. Queries and filed vectors meet in blocks, as a product of partitions that reads the filed table
+for each part of the queries: what is shuffled and stored grows with the table, not with the lists that are looked into.
 """
 
 from __future__ import annotations
@@ -18,35 +20,72 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _shared as S
 
 SAMPLE = 20_000
-BLOCK = 4096  # filed vectors, and QUERIES queries, in a row of the join
-QUERIES = 256
-VECTOR = pa.schema([("vec_id", pa.int64()), ("vec", pa.binary()), ("dim", pa.int32())])
-PAIRS = pa.schema([("query_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float32()))])
+PILOT = 512
+RECALL = 0.95
+BLOCK = 8192  # filed vectors, and queries, in a row of the product
+PARTS = 12  # of the filed table: each gives its best for a query
+CELLS = 1 << 19  # products that are held at once
+BYTES = 4 << 20  # of vectors in a row
+VECTOR = pa.schema([("vec_id", pa.int64()), ("key", pa.binary()), ("vec", pa.binary()), ("dim", pa.int32())])
+FILED = pa.schema([("lists", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("entries", pa.binary()), ("vecs", pa.binary())])
+ASKED = pa.schema([("block", pa.binary()), ("asked", pa.list_(pa.int32())), ("keys", pa.binary()), ("queries", pa.binary())])
+FOUND = pa.schema([("block", pa.binary()), ("keys", pa.binary()), ("entries", pa.binary()), ("scores", pa.binary())])
+BEST = pa.schema([("key", pa.binary()), ("entries", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
+SPOTS = pa.schema([("query", pa.int32()), ("list", pa.int32()), ("score", pa.float64())])
+KEY = 16  # bytes of a vector's hash
+NONE = np.iinfo(np.int64).max  # an entry that isn't there
+
+
+def kind_of(vectors: DataFrame) -> str:
+    """How components are kept: those of float columns as they are, others as doubles."""
+    return "<f4" if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, vec (its doubles as bytes), dim of the vectors that take part: not null, not zero, only finite
-    components, a vec_id.
+    """vec_id, key (128 bits of hash), vec (its components as bytes), dim of the vectors that take part: not null, not
+    zero, only finite components, a vec_id.
     """
+    kind = kind_of(vectors)
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for k, v in zip(b.column("vec_id").to_pylist(), b.column("vec")):
-            if k is None or not v.is_valid or v.values.null_count or not len(v.values):
-                continue
-            x = v.values.to_numpy(zero_copy_only=False).astype("<f8")
-            if np.isfinite(x).all() and x.any():
-                rows.append((k, (x + 0.0).tobytes(), len(x)))
-        if rows:
-            yield S.batch(VECTOR, *zip(*rows))
-
-    return S.map_arrow(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vec")), run, "vec_id long, vec binary, dim int")
+        column = b.column("vec")
+        flat, ends = column.values, column.offsets.to_numpy()
+        bad = np.zeros(len(flat) + 1, np.int64)
+        x = (flat.fill_null(0) if flat.null_count else flat).to_numpy(zero_copy_only=False).astype(kind) + 0.0  # no -0.0
+        wrong = ~np.isfinite(x)
+        if flat.null_count:
+            wrong |= flat.is_null().to_numpy(zero_copy_only=False)
+        np.cumsum(wrong, out=bad[1:])
+        some = np.concatenate([[0], np.cumsum(x != 0)])
+        a, e = ends[:-1], ends[1:]
+        good = (bad[e] == bad[a]) & (some[e] > some[a])
+        for c in (column, b.column("vec_id")):
+            good &= c.is_valid().to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero(good)
+        if len(rows):
+            raw, w = x.astype(kind, copy=False).tobytes(), np.dtype(kind).itemsize
+            vecs = [raw[i * w : j * w] for i, j in zip(a[rows].tolist(), e[rows].tolist())]
+            ids = b.column("vec_id").take(pa.array(rows))
+            yield S.batch(VECTOR, ids, [xxhash.xxh3_128_digest(v) for v in vecs], vecs, (e - a)[rows].astype(np.int32))
+
+    return S.map_arrow(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vec")), run, "vec_id long, key binary, vec binary, dim int")
+
+
+def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of about unit length in double precision, and the powers of two that they were divided by."""
+    x = x.astype(np.float64)
+    power = np.exp2(np.frexp(np.abs(x).max(1))[1].astype(np.float64).clip(-1000, 1000))
+    x = x / power[:, None]
+    more = np.exp2(np.frexp(np.sqrt((x**2).sum(1)))[1].astype(np.float64))
+    return x / more[:, None], power * more
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -72,181 +111,320 @@ def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
 
 
 class Index:
-    """Coarse centroids and the centroids of each part of the residuals."""
+    """Coarse centroids, the spread of their lists, how many lists a query looks into and by what order: the product
+    with the centroid and so many spreads.
+    """
 
-    def __init__(self, coarse: np.ndarray, parts: list[np.ndarray], bounds: list[tuple[int, int]]):
-        self.coarse, self.parts, self.bounds = coarse, parts, bounds
+    def __init__(self, coarse: np.ndarray, spread: np.ndarray, unit: float):
+        self.coarse, self.spread, self.unit = coarse, spread, unit
+        self.count, self.spreads = len(coarse), 0.0
 
     @classmethod
-    def fit(cls, x: np.ndarray, lists: int, parts: int = 32, seed: int = 5) -> Index:
-        rng = np.random.default_rng(seed)
-        x = x.astype(np.float32)
-        coarse = kmeans(x, lists, 8, rng)
-        rest = x - coarse[nearest(x, coarse)]
-        parts = min(parts, x.shape[1])
-        edges = np.linspace(0, x.shape[1], parts + 1).astype(int)
-        bounds = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
-        return cls(coarse, [kmeans(rest[:, a:b], 256, 6, rng) for a, b in bounds], bounds)
-
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = x.astype(np.float32)
-        own = nearest(x, self.coarse)
-        rest = x - self.coarse[own]
-        return own, np.stack([nearest(rest[:, a:b], c) for (a, b), c in zip(self.bounds, self.parts)], 1).astype(np.uint8)
-
-    def probes(self, q: np.ndarray, count: int) -> np.ndarray:
-        s = q.astype(np.float32) @ self.coarse.T
-        count = min(count, s.shape[1])
-        return np.argpartition(-s, count - 1, axis=1)[:, :count]
-
-    def score(self, q: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
-        """Scores of queries against filed vectors of a list: asymmetric distance tables, summed over parts."""
-        q = q.astype(np.float32)
-        out = np.repeat((q @ self.coarse[which])[:, None], len(codes), 1)
-        for k, ((a, b), c) in enumerate(zip(self.bounds, self.parts)):
-            out += (q[:, a:b] @ c.T)[:, codes[:, k]]
+    def fit(cls, x: np.ndarray, lists: int, seed: int = 5) -> Index:
+        unit = float(np.abs(x).max())
+        x = (x.astype(np.float64) / unit).astype(np.float32)
+        coarse = kmeans(x, lists, 8, np.random.default_rng(seed)) if lists > 1 else x[:1]
+        own = nearest(x, coarse)
+        rest = ((x - coarse[own]) ** 2).mean(1)
+        return cls(coarse, np.sqrt(np.bincount(own, rest, len(coarse)) / np.maximum(np.bincount(own, minlength=len(coarse)), 1)).astype(np.float32), unit)
+
+    def own(self, x: np.ndarray) -> np.ndarray:
+        big = 1e15  # beyond the sample's largest component; keeps squares finite
+        return nearest((x.astype(np.float64) / self.unit).clip(-big, big).astype(np.float32), self.coarse)
+
+    def promise(self, q: np.ndarray, spreads: float) -> np.ndarray:
+        q = scaled(q)[0].astype(np.float32)
+        return q @ self.coarse.T + spreads * np.sqrt((q**2).sum(1))[:, None] * self.spread
+
+    def probes(self, q: np.ndarray) -> np.ndarray:
+        """Which lists (columns) queries (rows) look into."""
+        out = np.ones((len(q), len(self.coarse)), bool)
+        if self.count < len(self.coarse):
+            for i in range(0, len(q), 1024):
+                s = self.promise(q[i : i + 1024], self.spreads)
+                out[i : i + 1024] = False
+                np.put_along_axis(out[i : i + 1024], np.argpartition(-s, self.count - 1, axis=1)[:, : self.count], True, 1)
         return out
 
+    def settle(self, q: np.ndarray, query: np.ndarray, which: np.ndarray) -> None:
+        """Set the order and the count from pilot queries (rows of q) and the lists that hold their true neighbours."""
+        self.count = len(self.coarse) + 1
+        for spreads in (0.0, 2.0, 4.0):
+            place = (-self.promise(q, spreads)).argsort(1).argsort(1)[query, which]
+            count = int(np.quantile(place, RECALL, method="higher")) + 1
+            if count < self.count:
+                self.count, self.spreads = count, spreads
+
+
+def best_of(ids: np.ndarray, scores: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best of each row, ties to the smaller id."""
+    order = np.lexsort((ids, -scores), axis=1)[:, :keep]
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+
+
+class Asking:
+    """A block of queries and the best that each has met."""
+
+    def __init__(self, index: Index, keep: int, keys: bytes, q: np.ndarray):
+        self.keep, self.keys, self.q = keep, keys, q.astype(np.float64)
+        unit, self.size = scaled(q)
+        self.unit = unit.astype(np.float32)
+        self.probes = index.probes(q).T.copy()
+        self.ids, self.scores = np.full((len(q), keep), NONE), np.full((len(q), keep), -np.inf)
+        self.least = np.full(len(q), -np.inf)  # the last of each row of scores, over the query's size
+        # Rows are shorter than 1: products differ from the true ones by less than this, rounding of both included.
+        self.error = (q.shape[1] + 8) * 2.0**-23
+        self.new, self.waiting = [], 0  # rows, entries, scores that aren't merged yet
+        self.products, self.hits = np.empty(CELLS, np.float32), np.zeros(CELLS + 8, bool)
+
+    def meet(self, which: int, entries: np.ndarray, x: np.ndarray, unit: np.ndarray, size: float) -> None:
+        """Look into a part of a list: its vectors x, and the same divided by `size`, none longer than 1."""
+        rows = np.flatnonzero(self.probes[which])
+        step = max(1, CELLS // len(entries))
+        for i in range(0, len(rows), step):
+            self._some(rows[i : i + step], entries, x, unit, size)
+
+    def _some(self, rows: np.ndarray, entries: np.ndarray, x: np.ndarray, unit: np.ndarray, size: float) -> None:
+        n, keep, cells = len(entries), self.keep, len(rows) * len(entries)
+        s = np.matmul(self.unit[rows], unit.T, out=self.products[:cells].reshape(len(rows), n))
+        with np.errstate(over="ignore", invalid="ignore"):
+            least = self.least[rows] / size - 2 * self.error
+        fresh = np.flatnonzero(np.isneginf(least))
+        if len(fresh) and n > keep:
+            least[fresh] = np.partition(s[fresh], n - keep, axis=1)[:, n - keep] - 4 * self.error
+        np.greater_equal(s, np.nan_to_num(least, nan=-np.inf, posinf=np.inf, neginf=-np.inf).astype(np.float32)[:, None], out=self.hits[:cells].reshape(s.shape))
+        words = -(-cells // 8)
+        self.hits[cells : words * 8] = False
+        flat = self.hits[: words * 8].reshape(-1, 8)  # eight at a time
+        word = np.flatnonzero(flat.view(np.uint64).ravel())
+        if not len(word):
+            return
+        a, b = np.nonzero(flat[word])
+        row, col = np.divmod(word[a] * 8 + b, n)
+        row = rows[row]
+        score = np.empty(len(row))
+        with np.errstate(over="ignore", invalid="ignore"):
+            for i in range(0, len(row), 8192):
+                score[i : i + 8192] = np.einsum("ij,ij->i", self.q[row[i : i + 8192]], x[col[i : i + 8192]].astype(np.float64))
+        better = score >= self.scores[row, -1]
+        self.new.append((row[better], entries[col[better]], score[better]))
+        self.waiting += len(self.new[-1][0])
+        if self.waiting > max(8 * len(self.q), 1 << 12):
+            self.settle()
+
+    def settle(self) -> None:
+        """Merge what waits."""
+        if not self.waiting:
+            return
+        row, ids, score = (np.concatenate(x) for x in zip(*self.new))
+        self.new, self.waiting = [], 0
+        order = np.argsort(row, kind="stable")
+        if len(row) and np.bincount(row).max() > 4 * self.keep:
+            order = np.lexsort((ids, -score, row))
+        row, ids, score = row[order], ids[order], score[order]
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        counts = np.diff(first, append=len(row))
+        met, most = row[first], int(min(4 * self.keep, counts.max()))
+        place = np.arange(len(row)) - np.repeat(first, counts)
+        held = place < most  # all, or the best come first
+        more, worth = np.full((len(met), most), NONE), np.full((len(met), most), -np.inf)
+        at = np.repeat(np.arange(len(met)), counts)[held], place[held]
+        more[at], worth[at] = ids[held], score[held]
+        self.ids[met], self.scores[met] = best_of(np.concatenate([self.ids[met], more], 1), np.concatenate([self.scores[met], worth], 1), self.keep)
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.least[met] = self.scores[met, -1] / self.size[met]
+
+
+def parts_of(b: pa.RecordBatch, kind: str, dim: int) -> Iterator[tuple[int, list, np.ndarray, np.ndarray]]:
+    """Of each row of filed vectors: its number, [(list, from, to)], entries, vectors."""
+    for i in range(b.num_rows):
+        lists, sizes = b.column("lists")[i].values.to_pylist(), b.column("sizes")[i].values.to_pylist()
+        ends = np.cumsum(sizes).tolist()
+        entries, x = np.frombuffer(b.column("entries")[i].as_buffer(), "<i8"), np.frombuffer(b.column("vecs")[i].as_buffer(), kind).reshape(-1, dim)
+        yield i, [(g, e - n, e) for g, n, e in zip(lists, sizes, ends)], entries, x
+
+
+def filed_blocks(df: DataFrame, dim: int, kind: str) -> DataFrame:
+    """Rows (list, entry, vec) that come by list, packed."""
+    most = max(1, min(BLOCK, BYTES // (dim * np.dtype(kind).itemsize)))
+
+    def packed(lists: list, entries: list, vecs: list) -> pa.RecordBatch:
+        x = np.array(lists)
+        starts = np.flatnonzero(np.diff(x, prepend=-1))
+        return S.batch(FILED, [x[starts].tolist()], [np.diff(starts, append=len(x)).tolist()], [np.array(entries, "<i8").tobytes()], [b"".join(vecs)])
 
-class Best:
-    """The best of each query so far, merged when there are many pieces."""
-
-    def __init__(self, keep: int):
-        self.keep, self.pieces = keep, {}
-
-    def add(self, query: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        held = self.pieces.setdefault(query, [])
-        held.append((ids, scores))
-        if len(held) > 8:
-            self.pieces[query] = [self.cut(held)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists, entries, vecs = [], [], []
+        for b in batches:
+            for c, held in zip(("list", "entry", "vec"), (lists, entries, vecs)):
+                held += b.column(c).to_pylist()
+            while len(lists) >= most:
+                yield packed(lists[:most], entries[:most], vecs[:most])
+                lists, entries, vecs = lists[most:], entries[most:], vecs[most:]
+        if lists:
+            yield packed(lists, entries, vecs)
 
-    def cut(self, held: list) -> tuple[np.ndarray, np.ndarray]:
-        ids, scores = (np.concatenate(x) for x in zip(*held))
-        top = np.lexsort((ids, -scores))[: self.keep]
-        return ids[top], scores[top]
+    return df.mapInArrow(run, "lists array<int>, sizes array<int>, entries binary, vecs binary")
 
-    def out(self) -> Iterator[pa.RecordBatch]:
-        items = [(q, *self.cut(h)) for q, h in self.pieces.items()]
-        self.pieces = {}
-        for i in range(0, len(items), 2000):
-            q, ids, scores = zip(*items[i : i + 2000])
-            yield S.batch(PAIRS, list(q), list(ids), list(scores))
 
+def spots(filed: DataFrame, ids: np.ndarray, q: np.ndarray, top: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """For each of a few queries the lists of its true neighbours, among all that is filed: numbers of queries, lists."""
+    held = filed.sparkSession.sparkContext.broadcast((ids, q.astype(np.float64)))
 
-def _merge(df: DataFrame, keep: int, most: int = 1000) -> DataFrame:
-    """One row (query_id, ids, scores) for each query; rows come sorted by query, so no more than about `most` queries
-    are held.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, q = held.value
+        best, where = np.full((len(q), top), -np.inf), np.full((len(q), top), NONE)
+        for b in batches:
+            for _, parts, entries, x in parts_of(b, kind, q.shape[1]):
+                which = np.repeat([g for g, _, _ in parts], [e - a for _, a, e in parts])
+                for i in range(0, len(x), 2048):
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        s = np.nan_to_num(q @ x[i : i + 2048].T.astype(np.float64), nan=-np.inf)
+                    s[mine[:, None] == entries[i : i + 2048]] = -np.inf
+                    near = np.argpartition(-s, top, axis=1)[:, :top] if s.shape[1] > top else np.tile(np.arange(s.shape[1]), (len(q), 1))
+                    where, best = best_of(np.concatenate([where, which[i : i + 2048][near]], 1), np.concatenate([best, np.take_along_axis(s, near, 1)], 1), top)
+        query, place = np.nonzero(best > -np.inf)
+        yield S.batch(SPOTS, query.astype(np.int32), where[query, place].astype(np.int32), best[query, place])
+
+    near = filed.mapInArrow(run, "query int, list int, score double")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "list"))
+    rows = near.withColumn("place", place).where(F.col("place") <= top).select("query", "list").collect()
+    return np.array([r["query"] for r in rows], np.int64), np.array([r["list"] for r in rows], np.int64)
+
+
+def merged(df: DataFrame, keep: int) -> DataFrame:
+    """The best of each query from what the parts of the filed table gave: key, entries, scores."""
+
+    def out(keys: bytes, ids: np.ndarray, scores: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(ids), 2000):
+            some = ids[i : i + 2000] != NONE
+            names = [keys[k * KEY : (k + 1) * KEY] for k in range(i, min(len(ids), i + 2000))]
+            yield S.batch(BEST, names, [x[m] for x, m in zip(ids[i : i + 2000], some)], [x[m] for x, m in zip(scores[i : i + 2000], some)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(keep)
+        block = keys = ids = scores = None
         for b in batches:
-            for q, ids, scores in zip(b.column("query_id").to_pylist(), b.column("ids"), b.column("scores")):
-                if q not in best.pieces and len(best.pieces) >= most:
-                    yield from best.out()
-                best.add(q, ids.values.to_numpy(), scores.values.to_numpy())
-        yield from best.out()
+            for name, names, i, s in zip(*(b.column(c) for c in ("block", "keys", "entries", "scores"))):
+                more, worth = np.frombuffer(i.as_buffer(), "<i8").reshape(-1, keep), np.frombuffer(s.as_buffer(), "<f8").reshape(-1, keep)
+                if name.as_py() != block:
+                    if block is not None:
+                        yield from out(keys, ids, scores)
+                    block, keys, ids, scores = name.as_py(), names.as_py(), more, worth
+                else:
+                    ids, scores = best_of(np.concatenate([ids, more], 1), np.concatenate([scores, worth], 1), keep)
+        if block is not None:
+            yield from out(keys, ids, scores)
 
-    return df.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(run, "query_id long, ids array<long>, scores array<float>")
+    return df.repartition("block").sortWithinPartitions("block").mapInArrow(run, "key binary, entries array<long>, scores array<double>")
 
 
-def search(vectors: DataFrame, every: int = 20, top: int = 20, shortlist: int = 200, probe: float = 0.65) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, top: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: for each vec_id divisible by `every` its `top` nearest other rows by inner
     product, ties to the smaller id.
 
     `vectors` has vec_id and embedding. Vectors that are null, zero, or hold null or non-finite components take no part,
-    nor do ones of another length than most. A share `probe` of the lists is looked into, `shortlist` entries are scored
-    exactly; with few vectors there is one list and all of them are looked at. Rows that repeat a vec_id count one by
-    one; none is a neighbour of its own id.
+    nor do ones of another length than most. With few vectors there is one list and all of them are looked at. Rows that
+    repeat a vec_id count one by one; none is a neighbour of its own id.
     """
-    spark = vectors.sparkSession
-    rows = S.stored(usable(vectors), "vectors")
-    dims = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
+    spark, keep = vectors.sparkSession, top + 1
+    kind = kind_of(vectors)
+    rows = usable(vectors)
+    dims = rows.groupBy("dim").agg(F.count("*").alias("n"), F.approx_count_distinct("key", 0.02).alias("different")).orderBy(F.desc("n"), "dim").limit(1).collect()
     if not dims:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = dims[0]["dim"]
-    rows = rows.where(F.col("dim") == dim).select("vec_id", "vec")
-    # Equal vectors: the smallest ids of each, one more than a result shows, as a query may be among them. Spark keeps
-    # that many before it deals them.
-    order = Window.partitionBy("vec").orderBy("vec_id")
-    members = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top + 1)
-    members = S.stored(members, "members")
-    entries = members.where("place = 1").select(F.col("vec_id").alias("entry"), "vec")
-    n = entries.count()
-    lists = 1 if n <= 2000 else min(4096, int(n**0.5))
-    count = max(1, round(lists * probe))
-    sample = [np.frombuffer(r.vec, "<f8") for r in entries.orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE).collect()]
-    held = spark.sparkContext.broadcast(Index.fit(np.stack(sample), lists))
+    dim, n = dims[0]["dim"], dims[0]["different"]
+    rows = rows.where(F.col("dim") == dim).select("vec_id", "key", "vec")
 
     def take(column: pa.Array) -> np.ndarray:
-        return np.stack([np.frombuffer(v.as_buffer(), "<f8") for v in column])
-
-    coded = pa.schema([("list", pa.int32()), ("entry", pa.int64()), ("codes", pa.binary())])
+        return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), dim)
 
-    def encode(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if b.num_rows:
-            own, codes = held.value.encode(take(b.column("vec")))
-            yield S.batch(coded, own.astype(np.int32), b.column("entry"), [c.tobytes() for c in codes])
+    def lowest(df: DataFrame, share: float, most: int) -> list:
+        """About a share of the different vectors, those whose hashes are lowest."""
+        low = df.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+        return low.dropDuplicates(["key"]).orderBy(F.xxhash64("key"), "key").limit(most).collect()
 
-    asked = pa.schema([("list", pa.int32()), ("query_id", pa.int64()), ("q", pa.binary())])
+    lists = 1 if n <= 2000 else min(1024, int(n**0.5))
+    sample = lowest(rows, SAMPLE / n, SAMPLE * 5 // 4) or rows.limit(1).collect()
+    index = Index.fit(np.stack([np.frombuffer(r.vec, kind) for r in sample]), lists)
+    held = spark.sparkContext.broadcast(index)
 
-    def ask(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def own(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if b.num_rows:
-            near = held.value.probes(take(b.column("vec")), count)
-            yield S.batch(asked, near.ravel().astype(np.int32), np.repeat(b.column("vec_id").to_numpy(), near.shape[1]), np.repeat(np.array(b.column("vec").to_pylist(), object), near.shape[1]))
-
-    def blocks(df: DataFrame, ident: str, data: str, most: int, salts: int) -> DataFrame:
-        """Rows of a list in blocks: (list, ids, data), each packed."""
-        schema = pa.schema([("list", pa.int32()), ("ids", pa.binary()), ("data", pa.binary())])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            which, ids, parts = None, [], []
-            for b in batches:
-                for g, i, d in zip(b.column("list").to_pylist(), b.column(ident).to_pylist(), b.column(data).to_pylist()):
-                    if g != which or len(ids) >= most:
-                        if ids:
-                            yield S.batch(schema, [which], [np.array(ids, "<i8").tobytes()], [b"".join(parts)])
-                        which, ids, parts = g, [], []
-                    ids.append(i)
-                    parts.append(d)
-            if ids:
-                yield S.batch(schema, [which], [np.array(ids, "<i8").tobytes()], [b"".join(parts)])
-
-        dealt = df.withColumn("salt", F.pmod(F.xxhash64(ident), F.lit(salts))).repartition("list", "salt").sortWithinPartitions("list", "salt").drop("salt")
-        return dealt.mapInArrow(run, "list int, ids binary, data binary")
-
-    filed = blocks(S.map_arrow(entries, encode, "list int, entry long, codes binary"), "entry", "codes", BLOCK, 4)
-    queries = S.stored(rows.where(F.col("vec_id") % every == 0).select("vec_id", "vec").distinct(), "queries")
-    asking = blocks(S.map_arrow(queries, ask, "list int, query_id long, q binary"), "query_id", "q", QUERIES, 4)
+            yield pa.RecordBatch.from_arrays([pa.array(held.value.own(take(b.column("vec"))), pa.int32()), *b.columns], names=["list", *b.schema.names])
+
+    # Equal vectors: one entry, named by its smallest id. Tasks put theirs together before they are dealt, and lists are
+    # dealt in four, so one that holds much of the table is not one task's.
+    entries = rows.groupBy("key").agg(F.min("vec_id").alias("entry"), F.first("vec").alias("vec")).select("entry", "vec")
+    coded = S.map_arrow(entries, own, "list int, entry long, vec binary").withColumn("salt", F.pmod(F.xxhash64("entry"), F.lit(4)))
+    deals = max(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = coded.repartition(deals, "list", "salt").sortWithinPartitions("list", "salt").drop("salt")
+    filed = S.stored(filed_blocks(dealt, dim, kind), "filed")
+    filed = filed.coalesce(min(PARTS, max(1, filed.rdd.getNumPartitions())))
+
+    # The smallest ids of a vector that more rows share, one more than a result shows: a query may be among them.
+    place = F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))
+    copies = rows.select("key", "vec_id").withColumn("place", place).where(F.col("place") <= keep).groupBy("key").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    copies = S.stored(copies.where(F.size("ids") > 1).select(F.col("ids")[0].alias("entry"), "ids"), "copies")
+
+    queries = usable(vectors.where(F.col("vec_id").cast("long") % every == 0)).where(F.col("dim") == dim)
+    queries = S.stored(queries.select(F.col("vec_id").alias("query_id"), "key", "vec"), "queries")
+    sizes = queries.select("query_id", "key").distinct().groupBy("key").agg(F.count("*").alias("n"))
+    different = queries.groupBy("key").agg(F.first("vec").alias("vec"))
+    count = different.count()
+    if lists > 1 and count:
+        pilot = lowest(queries, PILOT / count, 2 * PILOT) or queries.limit(1).collect()
+        q = np.stack([np.frombuffer(r.vec, kind) for r in pilot])
+        index.settle(q, *spots(filed, np.array([r.query_id for r in pilot]), q, top, kind))
+        held = spark.sparkContext.broadcast(index)
+
+    most = max(1, min(BLOCK, BYTES // (dim * np.dtype(kind).itemsize)))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, vecs = [], []
+
+        def packed(keys: list, vecs: list) -> pa.RecordBatch:
+            data = b"".join(vecs)
+            asked = np.flatnonzero(held.value.probes(np.frombuffer(data, kind).reshape(-1, dim)).any(0))
+            return S.batch(ASKED, [keys[0]], [asked.tolist()], [b"".join(keys)], [data])
+
+        for b in batches:
+            keys += b.column("key").to_pylist()
+            vecs += b.column("vec").to_pylist()
+            while len(keys) >= most:
+                yield packed(keys[:most], vecs[:most])
+                keys, vecs = keys[most:], vecs[most:]
+        if keys:
+            yield packed(keys, vecs)
+
+    tasks = -(-count // most) or 1
+    near = S.map_arrow(different, own, "list int, key binary, vec binary")
+    asking = S.stored(near.repartitionByRange(tasks, "list", "key").sortWithinPartitions("list", "key").mapInArrow(ask, "block binary, asked array<int>, keys binary, queries binary"), "asking")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, best = held.value, Best(shortlist)
+        index, open_ = held.value, {}
         for b in batches:
-            for g, ids, codes, qids, q in zip(*(b.column(c).to_pylist() for c in ("list", "ids", "data", "query_ids", "q"))):
-                entry, code = np.frombuffer(ids, "<i8"), np.frombuffer(codes, np.uint8).reshape(-1, len(index.bounds))
-                s = index.score(np.frombuffer(q, "<f8").reshape(-1, dim), g, code)
-                for query, row in zip(np.frombuffer(qids, "<i8").tolist(), s):
-                    near = np.argpartition(-row, shortlist)[:shortlist] if len(row) > shortlist else np.arange(len(row))
-                    best.add(query, entry[near], row[near])
-            if len(best.pieces) > 20_000:
-                yield from best.out()
-        yield from best.out()
-
-    met = filed.join(asking.toDF("list", "query_ids", "q"), "list")
-    S.ship(spark)
-    found = met.select("list", "ids", "data", "query_ids", "q")
-    short = _merge(found.mapInArrow(scan, "query_id long, ids array<long>, scores array<float>"), shortlist)
-    pairs = short.select("query_id", F.explode("ids").alias("entry"))
+            for i, parts, entries, x in parts_of(b, kind, dim):
+                name = b.column("block")[i].as_py()
+                if name not in open_:
+                    open_[name] = Asking(index, keep, b.column("keys")[i].as_py(), np.frombuffer(b.column("queries")[i].as_py(), kind).reshape(-1, dim))
+                unit, size = scaled(x)
+                whole = size.max()
+                unit = (unit * (size / whole)[:, None]).astype(np.float32)
+                for g, a, e in parts:
+                    open_[name].meet(g, entries[a:e], x[a:e], unit[a:e], whole)
+        for name, a in open_.items():
+            a.settle()
+            yield S.batch(FOUND, [name], [a.keys], [a.ids.astype("<i8").tobytes()], [a.scores.astype("<f8").tobytes()])
 
-    def exact(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if b.num_rows:
-            s = np.einsum("ij,ij->i", take(b.column("qvec")), take(b.column("vec")))
-            yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("entry"), pa.array(s)], names=["query_id", "entry", "score"])
-
-    both = pairs.join(entries, "entry").join(queries.toDF("query_id", "qvec"), "query_id").select("query_id", "entry", "vec", "qvec")
-    scored = S.map_arrow(both, exact, "query_id long, entry long, score double")
-    scored = scored.withColumn("place", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("place") <= top + 1).drop("place")
-    groups = members.join(entries.toDF("entry", "vec"), "vec").select("entry", "vec_id")
-    rows = scored.join(groups, "entry").where("vec_id <> query_id")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= top)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    S.ship(spark)
+    met = filed.hint("shuffle_replicate_nl").join(asking.repartition(tasks), F.arrays_overlap("lists", "asked"))
+    found = met.select("lists", "sizes", "entries", "vecs", "block", "keys", "queries").mapInArrow(scan, "block binary, keys binary, entries binary, scores binary")
+    best = S.stored(merged(found, keep), "best")
+
+    pairs = best.select("key", F.explode(F.arrays_zip("entries", "scores")).alias("x")).select("key", F.col("x.entries").alias("entry"), F.col("x.scores").alias("score"))
+    ids = F.explode(F.coalesce("ids", F.array("entry"))).alias("vec_id")
+    ordered = pairs.join(copies, "entry", "left").select("key", "score", ids).groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))).alias("near"))
+    groups = S.stored(ordered.select("key", F.slice("near", 1, keep).alias("near")).join(sizes, "key"), "near")
+    asked = S.join_groups(queries.select("query_id", "key").distinct(), groups, ["key"], "n")
+    ranked = asked.select("query_id", F.posexplode(F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, top)).alias("place", "x"))
+    return ranked.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"))

@@ -400,6 +400,28 @@ def test_neighbour_recall(spark):
     assert hits / (300 * 20) >= 0.9
 
 
+def shuffled(spark):
+    """Bytes that each stage so far has written for shuffles."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = store.stageList(None, False, False, none, None)
+    return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_neighbours_shuffle_no_more_than_the_table(spark, tmp_path):
+    """Queries aren't dealt to each list that they look into."""
+    x = np.random.default_rng(6).normal(size=(30_000, 32)).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "e"))
+    before, conf = shuffled(spark), "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(conf)
+    spark.conf.set(conf, "-1")  # as with larger tables
+    try:
+        assert ann.search(spark.read.parquet(str(tmp_path / "e"))).count() == 1500 * 20
+    finally:
+        spark.conf.set(conf, was)
+    assert sum(n for k, n in shuffled(spark).items() if k not in before) < 8 * x.nbytes
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 5000), max_size=700), st.data())
 def test_elias_fano(steps, data):
