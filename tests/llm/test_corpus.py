@@ -400,6 +400,22 @@ def test_neighbour_recall(spark):
     assert hits / (300 * 20) >= 0.9
 
 
+def test_neighbour_recall_on_wide_rows(spark):
+    """Many components."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(4000, 256)).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in ann.search(df).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, 4000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hits / (200 * 20) >= 0.9
+
+
 def shuffled(spark):
     """Bytes that each stage so far has written for shuffles."""
     store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
