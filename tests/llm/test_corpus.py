@@ -416,6 +416,67 @@ def test_neighbour_recall_on_wide_rows(spark):
     assert hits / (200 * 20) >= 0.9
 
 
+def recalls(spark, x, kind="double"):
+    """Of each query the share of its 20 true neighbours, ties to smaller ids, that is found."""
+    got = collections.defaultdict(set)
+    for r in ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")).collect():
+        got[r.query_id].add(r.vec_id)
+    out = {}
+    for q in range(0, len(x), 20):
+        if x[q].any():
+            s = np.where((x != 0).any(1), x @ x[q], -np.inf)
+            s[q] = -np.inf
+            out[q] = len(got[q] & set(np.argsort(-s, kind="stable")[:20].tolist())) / 20
+    return out
+
+
+def test_neighbour_recall_among_ties(spark):
+    """Products are small whole numbers: the smaller ids of many equal ones are the neighbours."""
+    rng = np.random.default_rng(8)
+    x = np.zeros((8000, 300))
+    for _ in range(2):
+        x[np.arange(8000), rng.integers(0, 300, 8000)] += 1
+    assert np.mean(list(recalls(spark, x).values())) >= 0.9
+
+
+def test_neighbour_recall_of_rare_queries(spark):
+    """Few queries whose neighbours lie anywhere, beside many whose neighbours lie together."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(100, 48))[rng.integers(0, 100, 8000)] + 0.1 * rng.normal(size=(8000, 48))
+    rare = np.flatnonzero(rng.random(8000) < 0.04)
+    x[rare] = rng.normal(size=(len(rare), 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = recalls(spark, x)
+    assert np.mean([found[q] for q in rare.tolist() if q in found]) >= 0.8 and np.mean(list(found.values())) >= 0.9
+
+
+def test_neighbours_of_each_length(spark):
+    """Vectors of any length are searched among those of their length, with lists and without."""
+    rng = np.random.default_rng(10)
+    size = rng.choice([3, 8, 12], 6000, p=[0.1, 0.5, 0.4])
+    x = [rng.normal(size=k) for k in size.tolist()]
+    found = collections.defaultdict(set)
+    for r in ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect():
+        found[r.query_id].add(r.vec_id)
+    for k, least in ((3, 1), (8, 0.9), (12, 0.9)):
+        ids = np.flatnonzero(size == k)
+        y, hits, asked = np.stack([x[i] for i in ids.tolist()]), 0, np.flatnonzero(ids % 20 == 0)
+        for j in asked.tolist():
+            s = y @ y[j]
+            s[j] = -np.inf
+            hits += len(found[int(ids[j])] & set(ids[np.argsort(-s)[:20]].tolist()))
+        assert hits / (20 * len(asked)) >= least
+
+
+def test_neighbours_whose_products_overflow(spark):
+    """Products beyond the largest double are equal: the smaller ids win. Opposite ones come last."""
+    x = np.random.default_rng(11).normal(size=(400, 6))
+    rows = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x * 1e170)], "vec_id long, embedding array<double>")).collect()
+    for q in range(0, 400, 20):
+        got = [(r.vec_id, r.score) for r in sorted(rows, key=lambda r: r.rank) if r.query_id == q]
+        assert got == [(i, np.inf) for i in range(400) if i != q and x[i] @ x[q] > 0][:20]
+
+
 def shuffled(spark):
     """Bytes that each stage so far has written for shuffles."""
     store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
